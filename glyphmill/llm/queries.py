@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, fingerprints
+from . import bpe, decontamination, fingerprints, html_text, jaccard_join
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
     "op5_token_counts": bpe.op5_token_counts,
+    "op7_html_text": html_text.op7_html_text,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+    "op10_decontamination": decontamination.op10_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op8_jaccard_join": jaccard_join.ORACLE,
+    "op10_decontamination": decontamination.ORACLE,
+}

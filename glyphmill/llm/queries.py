@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, fingerprints, html_text, jaccard_join
+from . import bpe, decontamination, fingerprints, html_text, jaccard_join, packing
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
+    "op2_packing": packing.op2_packing,
     "op5_token_counts": bpe.op5_token_counts,
     "op7_html_text": html_text.op7_html_text,
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,

@@ -11,6 +11,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,8 +19,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Chunks kept with their counts in each worker; chunks longer than LONG are not kept.
-CACHE, LONG = 200_000, 64
+#: Words kept with their counts in each worker, twice at most; words longer than LONG are not kept.
+CACHE, LONG = 300_000, 64
 LIMIT = 2048
 
 
@@ -29,6 +30,32 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: The rule by which a word-end tokenizer cuts words, and the same for texts of ASCII and of characters up to U+024F,
+#: which have their composed form already, and neither NUL nor white space that only one of the two regular expressions knows.
+_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+_LATIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|(?:[^\s\w]|_)+")
+_BEYOND = re.compile(r"[\x00\x1c-\x1f\u0250-\U0010ffff]")
+#: Marks words that are in the byte alphabet already.
+_BYTES = "\x00"
+
+
+def byte_alphabet() -> dict[int, str]:
+    """The printable character of each byte: itself where Latin-1 prints it, else one beyond U+0100, in order."""
+    printed = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = (b for b in range(256) if b not in set(printed))
+    return {b: chr(b) for b in printed} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+_ALPHABET = byte_alphabet()
+
+
+def in_bytes(word: str) -> str:
+    if word.startswith(_BYTES):
+        return word[1:]
+    return word if word.isascii() and word.isalnum() else "".join(map(_ALPHABET.__getitem__, word.encode()))
+
+
 class Vocabulary:
     """Ranks and rules of a byte-pair tokenizer file of the tokenizers library."""
 
@@ -48,17 +75,21 @@ class Vocabulary:
         self.library.no_padding()
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        first = ((spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
-        #: Whether white space only separates words, so that chunks between it are counted on their own.
-        self.drops_space = first.get("type") == "Split" and first.get("behavior") == "Removed" and bool(first.get("invert"))
+        steps = spec.get("pre_tokenizer") or {}
+        #: Whether words are cut by the rules that _ASCII and _LATIN state for texts of those characters.
+        self.plain = [s.get("pattern", {}).get("Regex") for s in steps.get("pretokenizers", [])] == [_RULE, None] and (spec.get("normalizer") or {}).get("normalizers", [])[-1:] == [{"type": "Lowercase"}]
 
     def words(self, text: str) -> list[str]:
+        """The words of a text without special strings, in the byte alphabet where they are not in Latin letters."""
+        if self.plain and not _BEYOND.search(text):
+            return (_ASCII if text.isascii() else _LATIN).findall(text.lower())
         lib = self.library
         norm = lib.normalizer.normalize_str(text) if lib.normalizer else text
-        return [w for w, _ in lib.pre_tokenizer.pre_tokenize_str(norm)]
+        return [_BYTES + w for w, _ in lib.pre_tokenizer.pre_tokenize_str(norm)]
 
     def merged(self, word: str) -> list[str]:
         """The symbols of a word after all merges."""
+        word = in_bytes(word)
         symbols = [*word[:-1], word[-1] + self.end] if word else []
         n = len(symbols)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
@@ -82,44 +113,36 @@ class Vocabulary:
 
 
 class Kept(dict):
-    """value(chunk) of the chunks of texts, in two bounded generations: when the young one is full, it becomes the old one."""
+    """value(word) of words, in two bounded generations: when the young one is full, it becomes the old one."""
 
     def __init__(self, value):
         super().__init__()
         self.value, self.old = value, {}
 
-    def __missing__(self, chunk: str):
-        found = self.old.get(chunk)
+    def __missing__(self, word: str):
+        found = self.old.get(word)
         if found is None:
-            found = self.value(chunk)
-        if len(chunk) <= LONG:
+            found = self.value(word)
+        if len(word) <= LONG:
             if len(self) >= CACHE:
                 self.old = dict(self)
                 self.clear()
-            self[chunk] = found
+            self[word] = found
         return found
 
 
-#: These count as white space for str.split() but not for the tokenizer.
-_SEPARATORS = re.compile(r"[\x1c-\x1f]")
-_SPACE = re.compile(r"[^\S\x1c-\x1f]+")
-
-
-def chunks(text: str) -> list[str]:
-    return [x for x in _SPACE.split(text) if x] if _SEPARATORS.search(text) else text.split()
+@cache
+def counter(path: str) -> tuple[Vocabulary, Kept]:
+    """A tokenizer and its words' token counts, once in each worker."""
+    vocabulary = Vocabulary(path)
+    return vocabulary, Kept(lambda word: len(vocabulary.merged(word)))
 
 
 def count_tokens(vocabulary: Vocabulary, kept: Kept, text: str) -> int:
     """Tokens of a whole text as the library has them by default: special strings inside are one token each."""
     special = vocabulary.special
     parts = special.split(text) if special and special.search(text) else [text]
-    n = len(parts) - 1
-    for part in parts:
-        if vocabulary.drops_space:
-            n += sum(map(kept.__getitem__, chunks(part)))
-        else:
-            n += sum(map(kept.__getitem__, vocabulary.words(part)))
-    return n
+    return len(parts) - 1 + sum(sum(map(kept.__getitem__, vocabulary.words(part))) for part in parts)
 
 
 def token_counts(docs: DataFrame, path: str, keep: list[str], text: str = "text", limit: int = LIMIT) -> DataFrame:
@@ -132,9 +155,7 @@ def token_counts(docs: DataFrame, path: str, keep: list[str], text: str = "text"
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "n_bytes long", "n_tokens long", "over_limit boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(path)
-        by_word = Kept(lambda w: len(vocabulary.merged(w)))
-        kept = Kept(lambda c: sum(map(by_word.__getitem__, vocabulary.words(c)))) if vocabulary.drops_space else by_word
+        vocabulary, kept = counter(path)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
             n = [count_tokens(vocabulary, kept, t) for t in texts.to_pylist()]

@@ -18,6 +18,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import common
-from .bpe import Kept, Vocabulary, chunks, public_path
+from .bpe import Kept, Vocabulary, in_bytes, public_path
 
 CAPACITY = 2048
 #: Rounds of multiplicative weights, their rate, and how near the best a pattern of a round must be.
@@ -37,19 +38,32 @@ RANKED = 256
 PIECE = "doc_id {kind}, piece int, start long, length long, ids_crc32 long"
 
 
+def packed_ids(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
+@cache
+def encoder(path: str) -> tuple[Vocabulary, Kept]:
+    """A tokenizer and its words' ids, by the library's own model, once in each worker."""
+    vocabulary = Vocabulary(path)
+    tokenize = vocabulary.library.model.tokenize
+    return vocabulary, Kept(lambda word: packed_ids([t.id for t in tokenize(in_bytes(word))]))
+
+
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, doc: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
     """Pieces of the ids of each text and a closing id: (doc_id, piece, start, length, ids_crc32)."""
     kind = docs.schema[doc].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(path)
-        encode = lambda t: np.array(vocabulary.library.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        kept, last = Kept(encode), np.array([end_id], "<u4").tobytes()
+        vocabulary, kept = encoder(path)
+        last = packed_ids([end_id])
         for batch in batches:
             rows = []
             for k, t in enumerate(batch.column(1).to_pylist()):
-                whole = not vocabulary.drops_space or vocabulary.special and vocabulary.special.search(t)
-                ids = (encode(t) if whole else b"".join(map(kept.__getitem__, chunks(t)))) + last
+                if vocabulary.special and vocabulary.special.search(t):
+                    ids = packed_ids(vocabulary.library.encode(t, add_special_tokens=False).ids) + last
+                else:
+                    ids = b"".join(map(kept.__getitem__, vocabulary.words(t))) + last
                 rows += [(k, p, s // 4, len(ids[s : s + 4 * capacity]) // 4, zlib.crc32(ids[s : s + 4 * capacity])) for p, s in enumerate(range(0, len(ids), 4 * capacity))]
             at, piece, start, length, crc = zip(*rows, strict=True) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names=["doc_id", "piece", "start", "length", "ids_crc32"])

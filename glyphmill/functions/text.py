@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 LENGTH_BOUNDS = (50, 100, 200, 300, 400, 500)
 
 
+def let(body: Callable[[Column], Column], **values: Column) -> Column:
+    """body of a struct of values, each computed once: a lambda that refers to an outer expression would compute it for every element."""
+    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body)[0]
+
+
 def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"^\s+|\s+$", "")
 
@@ -128,7 +135,8 @@ def stable_hash(text: Column) -> Column:
 
 def ngrams(tokens: Column, n: int) -> Column:
     """All runs of n tokens, joined by spaces."""
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda k: F.array_join(F.slice(tokens, k, n), " "))).otherwise(F.array().cast("array<string>"))
+    runs = lambda t: F.transform(F.sequence(F.lit(1), F.size(t) - n + 1), lambda k: F.array_join(F.slice(t, k, n), " "))
+    return let(lambda s: F.when(F.size(s["t"]) >= n, runs(s["t"])).otherwise(F.array().cast("array<string>")), t=tokens)
 
 
 def ngram_overlap(a: Column, b: Column, n: int) -> Column:

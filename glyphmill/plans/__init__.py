@@ -1,0 +1 @@
+"""Queries over the driver's tables, each with the SQL that checks it where SQL can express it."""

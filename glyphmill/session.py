@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -14,3 +18,12 @@ def session(name: str = "glyphmill", **conf: str) -> SparkSession:
         "spark.sql.session.timeZone": "UTC",
     } | conf
     return SparkSession.builder.appName(name).config(map=settings).getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once a context."""
+    if getattr(spark.sparkContext, "_glyphmill_sent", None) is None:
+        package = Path(__file__).resolve().parent
+        to = tempfile.mkdtemp(prefix="glyphmill-py-")
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{to}/{package.name}", "zip", package.parent, package.name))
+        spark.sparkContext._glyphmill_sent = True

@@ -14,7 +14,7 @@ with any name are kept; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -29,17 +29,19 @@ LEAST_LEFT = 0.2
 FIELD = "<*>"
 
 
-def tokens(line):
-    """Tokens of a line; those with a digit are variable fields. The regular expression starts at tokens only, so it is linear."""
-    masked = F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", FIELD)
-    return F.split(F.trim(F.regexp_replace(masked, r"[ \t\r\f\x0B]+", " ")), " ")
+def masked(line: Column) -> Column:
+    """A line with single spaces and with variable fields for its tokens with a digit. Most lines have none, and no other white space."""
+    fields = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", FIELD)).otherwise(line)
+    folded = F.when(F.contains(line, F.lit("  ")) | line.rlike(r"[\t\r\f\x0B]"), F.regexp_replace(fields, r"[ \t\r\f\x0B]+", " ")).otherwise(fields)
+    return F.trim(folded)
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """(doc, key, line, leaf, body, n) of the lines of docs (doc, key, text) that are looked at."""
-    rows = docs.select("doc", "key", F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("tokens", tokens(F.col("text")))
-    rows = rows.withColumn("n", F.size("tokens")).where(F.col("n") >= LEAST_TOKENS)
-    return rows.select("doc", "key", "line", F.xxhash64("n", F.slice("tokens", 1, DEPTH)).alias("leaf"), F.xxhash64("tokens").alias("body"), "n", "tokens")
+    """(doc, key, line, leaf, body, n, masked) of the lines of docs (doc, key, text) that are looked at."""
+    # Masked inside the generator: as a column of a projection it would be computed again in the filter and for each use.
+    rows = docs.select("doc", "key", F.posexplode(F.transform(F.split("text", "\n"), masked)).alias("line", "masked"))
+    rows = rows.withColumn("n", F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= LEAST_TOKENS)
+    return rows.select("doc", "key", "line", F.xxhash64("n", F.substring_index("masked", " ", DEPTH)).alias("leaf"), F.xxhash64("masked").alias("body"), "n", "masked")
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
@@ -52,8 +54,8 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     wanted = shown.select("doc", "key", "line", "leaf", "body", "weight")
     ids = shown.select("doc", "key").distinct()
     texts = docs.join(common.sized(ids), docs["doc"].eqNullSafe(ids["doc"]) & (docs["key"] == ids["key"]), "left_semi")
-    found = parsed(texts).select("leaf", "body", "n", "tokens").dropDuplicates(["leaf", "body"]).join(wanted.select("leaf", "body", "weight"), ["leaf", "body"])
-    fields = common.durable(found.select("leaf", "body", "weight", "n", F.posexplode("tokens").alias("at", "token")), "fields")
+    found = parsed(texts).select("leaf", "body", "n", "masked").dropDuplicates(["leaf", "body"]).join(wanted.select("leaf", "body", "weight"), ["leaf", "body"])
+    fields = common.durable(found.select("leaf", "body", "weight", "n", F.posexplode(F.split("masked", " ")).alias("at", "token")), "fields")
     counted = fields.groupBy("leaf", "at", "token").agg(F.sum("weight").alias("weight"))
     template = counted.groupBy("leaf", "at").agg(F.min(F.struct(-F.col("weight"), "token")).getField("token").alias("usual"))
     agree = fields.join(template, ["leaf", "at"]).groupBy("leaf", "body").agg(F.sum((F.col("token") == F.col("usual")).cast("int")).alias("same"), F.max("n").alias("n"))

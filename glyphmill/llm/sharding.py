@@ -98,7 +98,7 @@ class ShardSet:
         if not found:
             return []
         rows = self.spark.read.schema(df.schema).parquet(f"{self.root}/{folder}").groupBy(F.col("_metadata.file_name").alias("f")).count()
-        count = {r.f: r["count"] for r in rows.toLocalIterator()}
+        count = {r.f: r["count"] for r in rows.collect()}  # a row for each file
         return [Shard(p, n, count[p.rsplit("/", 1)[1]], self.tier(n)) for p, n in sorted(found.items()) if p.rsplit("/", 1)[1] in count]
 
     def append(self, df: DataFrame) -> int:
@@ -107,7 +107,8 @@ class ShardSet:
         return self.commit(base, [*self.shards(base), *self._written(df)])
 
     def compact(self) -> int:
-        """Merges every tier that is full, until none is; finished shards stay as they are."""
+        """Merges every tier that is full, the smallest first, each once; finished shards stay as they are."""
+        done: set[int] = set()
         while True:
             base = self.version()
             live = self.shards(base)
@@ -115,26 +116,25 @@ class ShardSet:
             for s in live:
                 if s.bytes < self.target / 2:
                     tiers[s.tier].append(s)
-            full = min((t for t, own in tiers.items() if len(own) >= self.fan), default=None)
+            full = min((t for t, own in tiers.items() if len(own) >= self.fan and t not in done), default=None)
             if full is None:
                 return base
-            merged = tiers[full]
-            new = self._written(self._packed([s.path for s in merged]))
-            if len(new) >= len(merged):
-                return base  # the session reads files in parts too small to merge these
-            gone = set(merged)
+            done.add(full)
+            new = self._merged(tiers[full])
+            if 2 * len(new) > len(tiers[full]):
+                continue  # the session reads files in parts too small to merge these; the copies are cleaned away later
+            gone = set(tiers[full])
             self.commit(base, [*(s for s in live if s not in gone), *new])
             self.clean()
 
-    def _packed(self, paths: list[str]) -> DataFrame:
+    def _merged(self, shards: list[Shard]) -> list[Shard]:
+        """The rows of shards, written with whole small files read together up to the target size, each such part a shard."""
         conf = {"spark.sql.files.maxPartitionBytes": str(self.target), "spark.sql.files.openCostInBytes": "0", "spark.sql.files.minPartitionNum": "1"}
         before = {k: self.spark.conf.get(k, None) for k in conf}
         try:
             for k, v in conf.items():
                 self.spark.conf.set(k, v)
-            df = self.spark.read.parquet(*paths)
-            df.rdd.getNumPartitions()  # plans the scan under these settings
-            return df
+            return self._written(self.spark.read.parquet(*[s.path for s in shards]))
         finally:
             for k, v in before.items():
                 self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import shutil
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: A key list of at most this many rows may be broadcast; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: Rows in an Arrow batch: whole texts of up to some 100 kB each must fit a Python worker.
@@ -19,13 +19,9 @@ _scope: list[str] = []
 
 
 def prepare(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a context, and keeps Arrow batches of whole texts small."""
+    """Sends the library to the executors and keeps Arrow batches of whole texts small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    if getattr(spark.sparkContext, "_glyphmill_sent", None) is None:
-        package = Path(__file__).resolve().parents[1]
-        to = tempfile.mkdtemp(prefix="glyphmill-py-")
-        spark.sparkContext.addPyFile(shutil.make_archive(f"{to}/{package.name}", "zip", package.parent, package.name))
-        spark.sparkContext._glyphmill_sent = True
+    ship(spark)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

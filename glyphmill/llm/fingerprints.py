@@ -44,20 +44,20 @@ def numbered(texts: DataFrame) -> DataFrame:
 
 
 def fingerprint(docs: DataFrame, text: str = "text", hash_of: Callable[[Column], Column] = wide_hash) -> DataFrame:
-    """docs with the columns fingerprint and, for the byte comparison, nothing else.
+    """docs with a column fingerprint, in place of one that it may have.
 
     The buckets with several rows are found from the hashes alone; only their texts are then shuffled,
     collapsed per partition, and compared. Other columns of docs, whatever their names, are kept.
     """
-    mark = docs.select("*", canonical(common.text_or_empty(text)).alias("__canon")).withColumn("__bucket", hash_of(F.col("__canon")))
-    shared = mark.groupBy(F.col("__bucket").alias("bucket")).count().where("count > 1").select("bucket")
-    texts = mark.join(shared, mark["__bucket"] == shared["bucket"], "left_semi").select(F.col("__bucket").alias("bucket"), F.col("__canon").alias("canon"))
-    extra = common.durable(numbered(texts).where("variant > 0"), "variants")
+    mark = docs.drop("fingerprint").select("*", canonical(common.text_or_empty(text)).alias("__canon")).withColumn("__bucket", hash_of(F.col("__canon")))
+    shared = mark.groupBy(F.col("__bucket").alias("__shared")).agg(F.count("*").alias("__n")).where("__n > 1").select("__shared")
+    texts = mark.join(shared, mark["__bucket"] == shared["__shared"], "left_semi").select(F.col("__bucket").alias("bucket"), F.col("__canon").alias("canon"))
+    extra = common.durable(numbered(texts).where("variant > 0").select(F.col("bucket").alias("__b"), F.col("canon").alias("__c"), F.col("variant").alias("__v")), "variants")
     if extra.isEmpty():
         return mark.withColumn("fingerprint", F.col("__bucket")).drop("__canon", "__bucket")
-    on = (mark["__bucket"] == extra["bucket"]) & (mark["__canon"] == extra["canon"])
-    found = mark.join(extra, on, "left").withColumn("fingerprint", F.concat("__bucket", F.when(F.col("variant") > 0, F.concat(F.lit("-"), F.col("variant"))).otherwise("")))
-    return found.select(*[mark[c] for c in docs.columns], "fingerprint")
+    found = mark.join(extra, (mark["__bucket"] == extra["__b"]) & (mark["__canon"] == extra["__c"]), "left")
+    name = F.concat("__bucket", F.when(F.col("__v") > 0, F.concat(F.lit("-"), F.col("__v"))).otherwise(""))
+    return found.withColumn("fingerprint", name).drop("__canon", "__bucket", "__b", "__c", "__v")
 
 
 def neighbours(docs: DataFrame) -> DataFrame:

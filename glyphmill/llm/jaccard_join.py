@@ -238,7 +238,7 @@ def summed(rows: DataFrame) -> Sketch:
     some = rows.where("n_shingles < 0").select("n_shingles", "key", F.pmod(F.xxhash64("key"), F.lit(64)).alias("salt"))
     some = some.groupBy("n_shingles", "salt").applyInPandas(add, "n_shingles long, key binary")
     counts = np.zeros((1 << SKETCH_BITS) // SKETCH_ROW * SKETCH_ROW, np.uint32).reshape(-1, SKETCH_ROW)
-    for r in some.groupBy("n_shingles").applyInPandas(add, "n_shingles long, key binary").toLocalIterator():
+    for r in some.groupBy("n_shingles").applyInPandas(add, "n_shingles long, key binary").collect():
         counts[-1 - r.n_shingles] = np.frombuffer(r.key, np.uint32)
     return Sketch(counts.ravel())
 

@@ -27,7 +27,7 @@ from .text_features import Features, Sparse, chosen_features, descend, sample, s
 
 #: A document is toxic from this probability on.
 THRESHOLD = 0.5
-FOLDS, STEPS, L2 = 3, 150, 3e-4
+FOLDS, STEPS, L2 = 3, 300, 1e-4
 
 
 def categories() -> dict[str, Column]:
@@ -95,13 +95,17 @@ def scored(docs: DataFrame, models: dict[str, Linear], text: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = list(sent.value.values())
-        features = [Features({int(f): c for c, f in enumerate(m.features)}) for m in models]
+        chosen = np.unique(np.concatenate([m.features for m in models]))
+        features = Features({int(f): c for c, f in enumerate(chosen)})
+        weights = np.zeros((len(models), len(chosen)))
+        for k, m in enumerate(models):
+            weights[k, np.searchsorted(chosen, m.features)] = m.weights
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
+            totals = np.array([weights[:, list(features.of(t))].sum(1) for t in texts]).reshape(len(texts), len(models))
             before = np.zeros((len(texts), 0))
-            for model, own in zip(models, features, strict=True):
-                total = np.array([model.weights[list(own.of(t))].sum() if len(model.weights) else 0.0 for t in texts])
-                p = sigmoid(total + before @ model.earlier + model.bias)
+            for k, model in enumerate(models):
+                p = sigmoid(totals[:, k] + before @ model.earlier + model.bias)
                 before = np.concatenate([before, p[:, None]], 1)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(before[:, k]) for k in range(len(models)))], names=schema.names)
 

@@ -12,7 +12,8 @@ REPLAY = 500
 
 def drift(events: DataFrame, time: str, value: str, *groups: str, window: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Count and mean of a value by tumbling window; on a stream, rows later than the watermark are left out and closed windows forgotten."""
-    rows = events.withWatermark(time, late) if events.isStreaming else events
+    zoned = events.withColumn(time, F.col(time).cast("timestamp"))  # watermarks need instants
+    rows = zoned.withWatermark(time, late) if events.isStreaming else events
     out = rows.groupBy(F.window(time, window).alias("w"), *groups).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"))
     return out.select(F.col("w.start").alias("start"), *groups, "n", "mean")
 

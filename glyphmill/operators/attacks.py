@@ -18,6 +18,10 @@ from ..functions import rng, text
 TYPO_MIX = (("transpose", 0.011), ("delete", 0.23), ("substitute", 0.556), ("insert", 0.203))
 MARKS = (",", ".", ";", ":", "!", "?")
 HOMOGLYPHS = dict(zip("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "âḃĉḑêḟǵĥîĵǩᶅḿňôṕʠřŝẗǔṽẘẍŷẑÂḂĈĎÊḞǴĤÎĴǨĹḾŇÔṔQŘŜṪÛṼẘẌŶẐ", strict=True))
+STOP_WORDS = (
+    "i me you he him she her it we us they them my your his its our their mine yours hers ours theirs this that these those who whom whose which what "
+    "myself yourself himself herself itself ourselves yourselves themselves a an the and but or nor for yet so as if is are be was were being been"
+).split()
 ZERO_WIDTH, SHIFT = "​", "\u000b\u000b"
 
 
@@ -165,6 +169,14 @@ def mask_spans(t: Column, key: Column, share: float = 0.3, span: int = 2, buffer
     return changed(text.let(lambda s: text.let(masked, w=s["w"], p=picked(s)), w=text.split_words(t)), t)
 
 
+def synonyms(t: Column, key: Column, table: dict[str, str], share: float = 0.2, seed: int = rng.SEED) -> Column:
+    """Synonyms from a table for a share of the tokens, in texts of four at least; marks, stop words and unknown words stay."""
+    known = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    one = lambda w, i: F.when(~F.lower(w).isin(*STOP_WORDS), F.try_element_at(known, F.lower(w))).otherwise(w)
+    joined = lambda s: F.when(F.size(s["w"]) >= 4, text.detokenize(in_places(s["w"], key, share, "syno", seed, lambda w, i: F.coalesce(one(w, i), w))))
+    return changed(text.let(joined, w=text.tokenize(t)), t)
+
+
 def drop_sentences(t: Column, key: Column, p: float = 0.25, seed: int = rng.SEED) -> Column:
     """Sentences but for a share p; the text itself if none would be left."""
     kept = F.filter(text.sentences(t), lambda x, i: rng.uniform(seed, key, "sentence", i) >= p)
@@ -219,6 +231,7 @@ ATTACKS: dict[str, Callable[..., Column]] = {
     "form_shift_u": shift_up,
     "homo": homoglyph,
     "span": mask_spans,
+    "syno": synonyms,
     "sentence_deletion": drop_sentences,
     "cohesiveness_deletion": blank_words,
     "selective_deletion": selective_drop,

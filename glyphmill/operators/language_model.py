@@ -101,6 +101,7 @@ def scores() -> dict[str, Column]:
         "binoculars": -lp / (-F.avg("cross") + 1e-12),
         "dnadetectllm": (lp + F.avg("best")) / (2 * F.avg("cross") - 1e-12),
         "imbd": lp - F.avg("lp2"),
+        "causal": 1 / (1 - lp),
     }
 
 
@@ -175,3 +176,19 @@ def divergence(tokens: DataFrame, token: str, side: str) -> DataFrame:
     m = (F.col("p") + F.col("r")) / 2
     part = lambda x: F.when(x > 0, x * F.ln(x / m)).otherwise(0.0)
     return rows.agg(F.round(F.sum(part(F.col("p")) + part(F.col("r"))) / 2, 6).alias("jsd"))
+
+
+def length_prior(length: int, share: float) -> float:
+    """Expected share of human tokens after length steps of a walk on 0 .. length that goes down with a chance share, else up, and stays at the ends."""
+    import numpy as np
+
+    if length < 3:
+        return share
+    at = np.zeros(length + 1)
+    at[0] = 1.0
+    for _ in range(length):
+        down, up = share * at, (1 - share) * at
+        at = np.append(down[1:], 0.0) + np.insert(up[:-1], 0, 0.0)
+        at[0] += down[0]
+        at[-1] += up[-1]
+    return float(1 - at @ np.arange(length + 1) / length)

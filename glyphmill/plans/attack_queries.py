@@ -97,3 +97,10 @@ def _switch(df, table_):
 
     words = text.split_words(F.col("text"))
     return df.where(F.size(words) > 0).select("doc_id", F.array_join(F.transform(words, one), " ").alias("switched"))
+
+
+_SYN = {"the": "x", "of": "from", "thing": "matter", "oneand": "both", "que": "qui", "erer": "rere", "ing": "ong"}
+_SYNC = "CASE lower(x) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in _SYN.items() if a not in A.STOP_WORDS) + " END"
+_TOK = r"w AS (SELECT doc_id, text, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x0b]') AS w FROM documents), e AS (SELECT doc_id, text, len(w) AS n, i - 1 AS i, w[i] AS x FROM (SELECT *, unnest(generate_series(1, len(w))) AS i FROM w WHERE len(w) >= 4))"
+_DETOK = r"regexp_replace(regexp_replace(string_agg(CASE WHEN hit THEN coalesce(" + _SYNC + r", x) ELSE x END, ' ' ORDER BY i), ' ([.,!?;:%)\]}])', '\1', 'g'), '([(\[{]) ', '\1', 'g')"
+attack("attack_synonym", f"WITH {_TOK} " + _OUT.format(f"SELECT doc_id, any_value(text) AS text, {_DETOK} AS t FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {h('syno', 'i')}, i) <= greatest(1, round_even(n * 0.2, 0)) AS hit FROM e) GROUP BY doc_id"), lambda t, k: A.synonyms(t, k, _SYN))

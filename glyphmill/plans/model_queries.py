@@ -45,6 +45,7 @@ _FORMS = {
     "binoculars": {"binoculars": "-avg(lp) / (-avg(crossed) + 1e-12)"},
     "dnadetectllm": {"dnadetectllm": "(avg(lp) + avg(best)) / (2 * avg(crossed) - 1e-12)"},
     "imbd": {"imbd": "avg(lp) - avg(lp2)"},
+    "causal": {"causal": "1 / (1 - avg(lp))"},
 }
 for _name, _forms in _FORMS.items():
     query(f"detector_{_name}", f"WITH {_LM} SELECT doc_id, " + ", ".join(f"round({f}, 6) AS {n}" for n, f in _forms.items()) + " FROM st GROUP BY doc_id")(lambda s, d, n=list(_forms): lm.detector_scores(statistics(s, d), "doc_id", n))
@@ -187,3 +188,32 @@ def _built(spark, d):
     shuffled = F.transform(F.array_sort(F.transform(words, lambda w, i: F.struct(rng.digest(rng.SEED, F.col("doc_id").cast("string"), "gen", i).alias("h"), w.alias("w")))), lambda x: x["w"])
     machine = docs(spark, d).where("doc_id % 4 = 0").select(F.concat(F.col("doc_id"), F.lit("-gen")).alias("id"), F.concat_ws(" ", text.take_first(F.col("text"), 16), F.array_join(F.slice(shuffled, 1, 64), " ")).alias("text"), F.lit("machine").alias("role"), F.lit(1).alias("label"), "lang")
     return human.unionByName(machine)
+
+
+@query("pu_prior_by_length")
+def pu_prior_by_length(spark, d):
+    """The prior of each document by its length in words; a table of a bounded range of lengths is joined by broadcast."""
+    prior = spark.createDataFrame([(n, round(lm.length_prior(n, 0.2), 6)) for n in range(65)], "n int, prior double")
+    rows = docs(spark, d).select("doc_id", F.least(F.size(text.split_words(F.col("text"))), F.lit(64)).alias("n"))
+    return rows.join(F.broadcast(prior), "n").select("doc_id", "n", "prior")
+
+
+@query("text_quality")
+def text_quality(spark, d):
+    """Readability with perplexity; a text without tokens has no perplexity."""
+    read = docs(spark, d).select("doc_id", text.readability(F.col("text")).alias("r")).select("doc_id", "r.*")
+    return read.join(lm.strided_perplexity(statistics(spark, d), "doc_id").select("doc_id", "perplexity"), "doc_id", "left")
+
+
+class _Shuffler:
+    """A stand-in for a paraphrasing model: each text with its sentences in reverse."""
+
+    def generate(self, prompts):
+        return [" ".join(p.split(". ")[::-1]) for p in prompts]
+
+
+@query("attack_paraphrase")
+def attack_paraphrase(spark, d):
+    from .api import generated
+
+    return generated(docs(spark, d).select("doc_id", F.col("text").alias("prompt")), _Shuffler, to="attacked").where("attacked <> prompt").select("doc_id", "attacked")

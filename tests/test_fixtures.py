@@ -124,7 +124,7 @@ def test_splits(spark):
 def test_attacks_do_not_depend_on_partitions(spark):
     rows = [(k, " ".join(f"word{j}" for j in range(k % 40)) + ". The end!") for k in range(60)] + [(60, ""), (61, None)]
     df = spark.createDataFrame(rows, "id long, text string")
-    configs = [{"type": t} | ({"table": {"the": "a"}} if t == "dict_subst" else {}) | ({"keywords": ["the"]} if t == "selective_deletion" else {}) for t in attacks.ATTACKS]
+    configs = [{"type": t} | ({"table": {"the": "a"}} if t in ("dict_subst", "syno") else {}) | ({"keywords": ["the"]} if t == "selective_deletion" else {}) for t in attacks.ATTACKS]
     run = lambda d: sorted((r.id, r.attack, r.attacked) for r in attacks.attacked(d, configs).collect())
     first = run(df.repartition(1))
     assert first == run(df.repartition(7)) and len({a for _, a, _ in first}) >= 10

@@ -42,6 +42,8 @@ LEVEL = 1.5
 PARTS_UP_TO = 0.06
 #: Counters of the sketch of shingle frequencies, and how many are in a row of it.
 SKETCH_BITS, SKETCH_ROW = 20, 1024
+#: Bits that mark the rare shingles which several sets turned out to sign with, and how often signing is repeated without them.
+SHARED_BITS, REFINED = 26, 1
 #: Sets and shingles on one side of a block.
 BLOCK_SETS, BLOCK_SHINGLES = 1500, 600_000
 #: Components probed through one of their sets before a search, in blocks of more than this many sets.
@@ -53,19 +55,28 @@ def bucket(found: np.ndarray) -> np.ndarray:
 
 
 class Sketch:
-    """How many documents have a shingle, at most: counts by bucket."""
+    """How many documents have a shingle, at most: counts by bucket. shared: bits of shingles that several sets have for sure."""
 
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts
+    def __init__(self, counts: np.ndarray, shared: np.ndarray | None = None):
+        self.counts, self.shared = counts, shared
         usual = float(np.median(counts))
         self.often = usual + 6 * math.sqrt(usual) + 6
 
+    def order(self, found: np.ndarray) -> np.ndarray:
+        """A number for each shingle, the smaller the rarer: first those not known to be shared."""
+        count = self.counts[bucket(found)].astype(np.int64)
+        if self.shared is None:
+            return count
+        at = (found & np.uint64((1 << SHARED_BITS) - 1)).astype(np.int64)
+        return count + ((self.shared[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(np.int64) << 40)
+
 
 class Parts:
     """Levels of set sizes and the number of parts in each, for sets that link at num / den."""
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
+        self.by_prefix = den - num > PARTS_UP_TO * (den + num)
         self.tops = [1]
         self.counts: dict[int, int] = {}
 
@@ -95,8 +106,8 @@ class Parts:
 
     def signatures(self, found: np.ndarray, sketch: Sketch) -> np.ndarray:
         """What a set meets its partners by."""
-        if self.den - self.num > PARTS_UP_TO * (self.den + self.num):
-            rare = np.lexsort((found, sketch.counts[bucket(found)]))
+        if self.by_prefix:
+            rare = np.lexsort((found, sketch.order(found)))
             return found[rare[: len(found) + self.num * len(found) // -self.den + 1]]
         out = []
         frequent = sketch.counts[bucket(found)] > sketch.often
@@ -244,7 +255,7 @@ def summed(rows: DataFrame) -> Sketch:
 
 
 def signature_table(docs: DataFrame, text: str, width: int, num: int, den: int, sketch: Sketch) -> DataFrame:
-    """(sign, id): id is the first 8 bytes of the set's key. In a batch, each signature keeps one id, tied to its others by a signature of their own."""
+    """(sign, id): id is the first 8 bytes of the set's key. In a batch, each signature keeps two ids, and its first is tied to its others by a signature of their own."""
     sent = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,19 +273,38 @@ def signature_table(docs: DataFrame, text: str, width: int, num: int, den: int,
             order = np.lexsort((ids, signs))
             ids, signs = ids[order], signs[order]
             new = np.concatenate([[True], signs[1:] != signs[:-1]]) if len(signs) else np.empty(0, bool)
+            kept = new | np.concatenate([[False], new[:-1]])  # the row after a first one is a second, or a first itself
             first = ids[new][np.cumsum(new) - 1] if len(signs) else ids
             tied = np.unique(np.stack([ids[~new], first[~new]], 1), axis=0)
             tied = tied[tied[:, 0] != tied[:, 1]]
             with np.errstate(over="ignore"):
                 tie = mixed(mixed(tied[:, 0].view(np.uint64)) + tied[:, 1].view(np.uint64)).view(np.int64) if len(tied) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([signs[new], tie, tie])), pa.array(np.concatenate([ids[new], *(np.ascontiguousarray(tied[:, c]) for c in (0, 1))]))], names=["sign", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([signs[kept], tie, tie])), pa.array(np.concatenate([ids[kept], *(np.ascontiguousarray(tied[:, c]) for c in (0, 1))]))], names=["sign", "id"])
 
     return docs.select(common.text_or_empty(text).alias("text")).mapInArrow(run, "sign long, id long")
 
 
+def marked(signs: DataFrame, before: np.ndarray | None) -> np.ndarray:
+    """Bits of the signatures that several ids have, and of those known before: made by Spark's bitmap functions, 2 ** SHARED_BITS bits in all.
+
+    A set that signs with such a shingle meets sets that merely share a phrase. Put last in the order, it signs no longer,
+    unless the set has too few others; any order that all sets follow finds every link.
+    """
+    several = signs.groupBy("sign").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high")
+    at = F.col("sign").bitwiseAND(F.lit((1 << SHARED_BITS) - 1)) + 1
+    rows = several.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+    out = np.zeros(1 << SHARED_BITS - 3, np.uint8) if before is None else before.copy()
+    for r in rows.collect():  # rows of 4 KB
+        out[(r.k - 1) * len(r.bits) : r.k * len(r.bits)] |= np.frombuffer(r.bits, np.uint8)
+    return out
+
+
 def links(docs: DataFrame, sets: DataFrame, doc: str, text: str, width: int, num: int, den: int) -> DataFrame:
     """(a, b): pairs of keys of linked sets that connect every component."""
-    signs = signature_table(docs, text, width, num, den, summed(sets))
+    sketch = summed(sets)
+    for _ in range(REFINED * Parts(num, den).by_prefix):
+        sketch = Sketch(sketch.counts, marked(signature_table(docs, text, width, num, den, sketch), sketch.shared))
+    signs = signature_table(docs, text, width, num, den, sketch)
     tied = signs.withColumn("low", F.min("id").over(W.partitionBy("sign"))).where("id <> low")
     families = common.components(tied.select(F.col("id").alias("a"), F.col("low").alias("b")).distinct(), "families")
     id64 = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")

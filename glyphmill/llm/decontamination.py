@@ -159,7 +159,7 @@ def matched(docs: DataFrame, benchmark: DataFrame, text: str = "text", locate: b
     n_own = len(docs.columns)
     for block in range(blocks):
         part = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
-        sent = spark.sparkContext.broadcast([(r.item, r.text.encode()) for r in part.toLocalIterator()])
+        sent = spark.sparkContext.broadcast([(r.item, r.text.encode()) for r in part.collect()])  # BLOCK_BYTES or one item
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             block_tests = Tests(sent.value)

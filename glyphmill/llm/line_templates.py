@@ -74,7 +74,8 @@ def deduplicated(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> Da
     own = F.xxhash64(F.lit("document"), text)
     small = docs.select(F.col(doc).alias("doc"), own.alias("key"), common.text_or_empty(text).alias("text"))
     gone = common.durable(dropped_lines(small), "dropped").withColumnsRenamed({"doc": "__doc", "key": "__key", "lines": "__gone"})
-    out = docs.join(common.sized(gone), docs[doc].eqNullSafe(gone["__doc"]) & (F.xxhash64(F.lit("document"), docs[text]) == gone["__key"]), "left")
+    n_gone = gone.agg(F.sum(1 + F.size("__gone"))).first()[0] or 0  # numbers of lines, so that the bound holds for their bytes
+    out = docs.join(common.sized(gone, n_gone), docs[doc].eqNullSafe(gone["__doc"]) & (F.xxhash64(F.lit("document"), docs[text]) == gone["__key"]), "left")
     split = F.split(common.text_or_empty(text), "\n")
     kept = F.when(F.col("__gone").isNull(), common.text_or_empty(text)).otherwise(F.array_join(F.filter(split, lambda x, k: ~F.array_contains("__gone", k)), "\n"))
     return out.select(*[docs[c] if c != text else kept.alias(text) for c in docs.columns], F.size(split).alias("__lines"), F.coalesce(F.size("__gone"), F.lit(0)).alias("__dropped"), F.length(common.text_or_empty(text)).alias("__before"))

@@ -74,7 +74,8 @@ def sample(docs: DataFrame, labels: DataFrame, targets: dict[str, Column], doc:
             found = [sorted(features.of(t)) for t in batch.column(batch.schema.get_field_index("__text")).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32())), *(batch.column(batch.schema.get_field_index(n)) for n in [*names, "__order"])], names=["f", *names, "o"])
 
-    got = rows.mapInArrow(run, "f array<int>, " + "".join(f"`{n}` int, " for n in names) + "o long").toArrow().sort_by("o")
+    made = rows.mapInArrow(run, "f array<int>, " + "".join(f"`{n}` int, " for n in names) + "o long")
+    got = made.orderBy("o", F.xxhash64("f")).limit(TRAIN_ROWS).toArrow()  # an id may have many rows
     flat, lists = got["f"].combine_chunks(), []
     if len(flat):
         values, at = flat.values.to_numpy(), flat.offsets.to_numpy()

@@ -79,6 +79,15 @@ def test_empty_tables(spark, empty_dir, name):
     assert queries.QUERIES[name](spark, empty_dir).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op7_html_text"}))
+def test_rows_without_ids(spark, edge, edge_dir, folder, name):
+    """Rows whose columns are all null, and texts without an id, have results of their own."""
+    more = edge.unionByName(spark.createDataFrame([(None,) * len(edge.columns), (None, "a text without an id " * 9, *(None,) * (len(edge.columns) - 2))], edge.schema))
+    path = folder(f"null-{name}", documents=more, **{t: spark.read.parquet(f"{edge_dir}/{t}.parquet") for t in ("benchmark", "labels")})
+    rows = queries.QUERIES[name](spark, path)
+    assert rows.where("doc_id IS NULL").count() == 2
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_against_sql(spark, name):
     same(queries.QUERIES[name](spark, DATA), duck(), queries.ORACLES[name])

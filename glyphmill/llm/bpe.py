@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from . import common
 
 #: Words kept with their counts in each worker, twice at most; words longer than LONG are not kept.
-CACHE, LONG = 300_000, 64
+CACHE, LONG = 150_000, 64
 LIMIT = 2048
 
 

@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words kept with their hashes in each worker.
-CACHE = 400_000
+CACHE = 200_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 

@@ -42,7 +42,7 @@ def chunk_features(chunk: str) -> tuple[int, ...]:
 class Features(dict):
     """Features of chunks; bounded, as it starts anew when full. chosen maps features to columns of a model."""
 
-    def __init__(self, chosen: dict[int, int] | None = None, most: int = 300_000):
+    def __init__(self, chosen: dict[int, int] | None = None, most: int = 150_000):
         super().__init__()
         self.chosen, self.most = chosen, most
 

@@ -6,8 +6,8 @@ most frequent token makes the leaf's template, and lines that agree with it in e
 their other positions are variable fields. A line that does not is a template of its own. Templates that
 recur in several documents are dropped everywhere but in the first document (by id) that has them.
 
-Defined results: null and empty texts stay as they are (null: empty) without dropped lines; lines of fewer than LEAST_TOKENS
-tokens are kept; lines that recur in one document only are kept; a line of any length is compared whole;
+Defined results: null and empty texts stay as they are (null: empty) without dropped lines; blank lines are kept; lines of fewer
+than LEAST_TOKENS tokens have no template and recur only word for word (the query op3_line_dedup keeps them, as its SQL does); lines that recur in one document only are kept; a line of any length is compared whole;
 rows that repeat an id and its text count as one document and get the same result; columns of documents
 with any name are kept; an empty table gives an empty result.
 """
@@ -21,7 +21,7 @@ from . import common
 
 #: Leading tokens in the tree; the share of positions in which a line must agree with its leaf's template.
 DEPTH, ALIKE = 4, 0.8
-#: Documents in which a template recurs, and tokens in a line that is looked at, at least.
+#: Documents in which a template recurs, and tokens in a line that can have a template, at least.
 DOCUMENTS, LEAST_TOKENS = 2, 5
 #: In the pipeline, a document of whose words less than this share is left goes: earlier documents hold the rest.
 LEAST_LEFT = 0.2
@@ -29,24 +29,30 @@ LEAST_LEFT = 0.2
 FIELD = "<*>"
 
 
+def folded(line: Column, of: Column) -> Column:
+    """of, made of line, with single spaces. Most lines have no other white space."""
+    return F.trim(F.when(F.contains(line, F.lit("  ")) | line.rlike(r"[\t\r\f\x0B]"), F.regexp_replace(of, r"[ \t\r\f\x0B]+", " ")).otherwise(of))
+
+
 def masked(line: Column) -> Column:
-    """A line with single spaces and with variable fields for its tokens with a digit. Most lines have none, and no other white space."""
-    fields = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", FIELD)).otherwise(line)
-    folded = F.when(F.contains(line, F.lit("  ")) | line.rlike(r"[\t\r\f\x0B]"), F.regexp_replace(fields, r"[ \t\r\f\x0B]+", " ")).otherwise(fields)
-    return F.trim(folded)
+    """A line with single spaces and with variable fields for its tokens with a digit. Most lines have none."""
+    return folded(line, F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", FIELD)).otherwise(line))
 
 
-def parsed(docs: DataFrame) -> DataFrame:
-    """(doc, key, line, leaf, body, n, masked) of the lines of docs (doc, key, text) that are looked at."""
+def parsed(docs: DataFrame, least: int) -> DataFrame:
+    """(doc, key, line, leaf, body, n, masked) of the lines of docs (doc, key, text) of least tokens or more; short ones have leaves of their own."""
     # Masked inside the generator: as a column of a projection it would be computed again in the filter and for each use.
-    rows = docs.select("doc", "key", F.posexplode(F.transform(F.split("text", "\n"), masked)).alias("line", "masked"))
-    rows = rows.withColumn("n", F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= LEAST_TOKENS)
-    return rows.select("doc", "key", "line", F.xxhash64("n", F.substring_index("masked", " ", DEPTH)).alias("leaf"), F.xxhash64("masked").alias("body"), "n", "masked")
+    rows = docs.select("doc", "key", F.posexplode(F.transform(F.split("text", "\n"), lambda x: F.struct(masked(x).alias("masked"), folded(x, x).alias("plain")))).alias("line", "of"))
+    rows = rows.select("doc", "key", "line", "of.masked", "of.plain").where("masked <> ''")
+    rows = rows.withColumn("n", F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= least)
+    exact = F.col("n") < LEAST_TOKENS
+    leaf = F.when(exact, F.xxhash64(F.lit("line"), "plain")).otherwise(F.xxhash64("n", F.substring_index("masked", " ", DEPTH)))
+    return rows.select("doc", "key", "line", leaf.alias("leaf"), F.xxhash64(F.when(exact, F.col("plain")).otherwise(F.col("masked"))).alias("body"), "n", "masked")
 
 
-def dropped_lines(docs: DataFrame) -> DataFrame:
+def dropped_lines(docs: DataFrame, least: int) -> DataFrame:
     """(doc, key, lines): the numbers of the lines to drop from each document of docs (doc, key, text)."""
-    lines = common.durable(parsed(docs).select("doc", "key", "line", "leaf", "body"), "lines")
+    lines = common.durable(parsed(docs, least).select("doc", "key", "line", "leaf", "body"), "lines")
     bodies = lines.groupBy("leaf", "body").agg(F.count("*").alias("weight"), F.min(F.struct("doc", "key", "line")).alias("first"))
     several = bodies.groupBy("leaf").agg(F.count("*").alias("bodies")).where("bodies > 1").select("leaf")
     # One occurrence of every line of those leaves is enough to see its tokens.
@@ -54,7 +60,7 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     wanted = shown.select("doc", "key", "line", "leaf", "body", "weight")
     ids = shown.select("doc", "key").distinct()
     texts = docs.join(common.sized(ids), docs["doc"].eqNullSafe(ids["doc"]) & (docs["key"] == ids["key"]), "left_semi")
-    found = parsed(texts).select("leaf", "body", "n", "masked").dropDuplicates(["leaf", "body"]).join(wanted.select("leaf", "body", "weight"), ["leaf", "body"])
+    found = parsed(texts, LEAST_TOKENS).select("leaf", "body", "n", "masked").dropDuplicates(["leaf", "body"]).join(wanted.select("leaf", "body", "weight"), ["leaf", "body"])
     fields = common.durable(found.select("leaf", "body", "weight", "n", F.posexplode(F.split("masked", " ")).alias("at", "token")), "fields")
     counted = fields.groupBy("leaf", "at", "token").agg(F.sum("weight").alias("weight"))
     template = counted.groupBy("leaf", "at").agg(F.min(F.struct(-F.col("weight"), "token")).getField("token").alias("usual"))
@@ -69,11 +75,11 @@ def dropped_lines(docs: DataFrame) -> DataFrame:
     return gone.groupBy("doc", "key").agg(F.collect_set("line").alias("lines"))
 
 
-def deduplicated(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with its text without the dropped lines, and __lines and __dropped: how many it had and lost."""
+def deduplicated(docs: DataFrame, doc: str = "doc_id", text: str = "text", least: int = 1) -> DataFrame:
+    """docs with its text without the dropped lines, of those of least tokens or more, and __lines and __dropped: how many it had and lost."""
     own = F.xxhash64(F.lit("document"), text)
     small = docs.select(F.col(doc).alias("doc"), own.alias("key"), common.text_or_empty(text).alias("text"))
-    gone = common.durable(dropped_lines(small), "dropped").withColumnsRenamed({"doc": "__doc", "key": "__key", "lines": "__gone"})
+    gone = common.durable(dropped_lines(small, least), "dropped").withColumnsRenamed({"doc": "__doc", "key": "__key", "lines": "__gone"})
     n_gone = gone.agg(F.sum(1 + F.size("__gone"))).first()[0] or 0  # numbers of lines, so that the bound holds for their bytes
     out = docs.join(common.sized(gone, n_gone), docs[doc].eqNullSafe(gone["__doc"]) & (F.xxhash64(F.lit("document"), docs[text]) == gone["__key"]), "left")
     split = F.split(common.text_or_empty(text), "\n")
@@ -89,7 +95,7 @@ def without_recurring(docs: DataFrame, doc: str = "doc_id", text: str = "text")
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return deduplicated(docs).select("doc_id", "text", F.col("__lines").cast("long").alias("n_lines"), F.col("__dropped").cast("long").alias("n_dropped"))
+    return deduplicated(docs, least=LEAST_TOKENS).select("doc_id", "text", F.col("__lines").cast("long").alias("n_lines"), F.col("__dropped").cast("long").alias("n_dropped"))
 
 
 ORACLE = r"""

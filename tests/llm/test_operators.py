@@ -212,6 +212,13 @@ def test_templates_generalise_and_keep_the_first(spark):
     assert got == {1: f"{lines[0]}\nmine only one two three\n{lines[2]}", 2: "yours only four five six", 3: "short\nshort", 4: "repeat of a line inside me\nrepeat of a line inside me"}
 
 
+def test_short_lines_that_recur_word_for_word(spark):
+    rows = [(1, "All rights reserved.\n\n版权所有不得转载\nPage 1\nfirst own"), (2, "All  rights reserved.\n\n版权所有不得转载\nPage 2\nsecond own"), (3, "Page 2\nthird own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_templates.without_recurring(docs).collect()}
+    assert got == {1: rows[0][1], 2: "\nPage 2\nsecond own", 3: "third own"}
+
+
 def test_columns_are_kept(spark, edge):
     out = line_templates.without_recurring(edge)
     assert out.columns == edge.columns

@@ -7,7 +7,8 @@ their other positions are variable fields. A line that does not is a template of
 recur in several documents are dropped everywhere but in the first document (by id) that has them.
 
 Defined results: null and empty texts stay as they are (null: empty) without dropped lines; blank lines are kept; lines of fewer
-than LEAST_TOKENS tokens have no template and recur only word for word (the query op3_line_dedup keeps them, as its SQL does); lines that recur in one document only are kept; a line of any length is compared whole;
+than LEAST_TOKENS tokens, or with less than CONSTANT of them without digits, have no template and recur only word for word; the query
+op3_line_dedup keeps short lines, gives every longer one a template and counts the leading tokens as agreement, as its SQL does; lines that recur in one document only are kept; a line of any length is compared whole;
 rows that repeat an id and its text count as one document and get the same result; columns of documents
 with any name are kept; an empty table gives an empty result.
 """
@@ -23,7 +24,9 @@ from . import common
 DEPTH, ALIKE = 4, 0.8
 #: Documents in which a template recurs, and tokens in a line that can have a template, at least.
 DOCUMENTS, LEAST_TOKENS = 2, 5
-#: In the pipeline, a document of whose words less than this share is left goes: earlier documents hold the rest.
+#: Share of tokens without digits in a line that can have a template, at least.
+CONSTANT = 0.5
+#: In the pipeline, a document of which less than this share is left goes, if documents that stay hold its dropped lines word for word.
 LEAST_LEFT = 0.2
 
 FIELD = "<*>"
@@ -39,20 +42,22 @@ def masked(line: Column) -> Column:
     return folded(line, F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<!\S)[^\s0-9]*+[0-9]\S*+", FIELD)).otherwise(line))
 
 
-def parsed(docs: DataFrame, least: int) -> DataFrame:
-    """(doc, key, line, leaf, body, n, masked) of the lines of docs (doc, key, text) of least tokens or more; short ones have leaves of their own."""
+def parsed(docs: DataFrame, least: int, constant: float) -> DataFrame:
+    """(doc, key, line, leaf, body, n, masked, exact) of the lines of docs (doc, key, text) of least tokens or more; those without a template (exact) have leaves of their own."""
     # Masked inside the generator: as a column of a projection it would be computed again in the filter and for each use.
     rows = docs.select("doc", "key", F.posexplode(F.transform(F.split("text", "\n"), lambda x: F.struct(masked(x).alias("masked"), folded(x, x).alias("plain")))).alias("line", "of"))
     rows = rows.select("doc", "key", "line", "of.masked", "of.plain").where("masked <> ''")
     rows = rows.withColumn("n", F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= least)
     exact = F.col("n") < LEAST_TOKENS
+    if constant:
+        exact |= F.contains("masked", F.lit(FIELD)) & (F.regexp_count("masked", F.lit(r"(?<!\S)<\*>(?!\S)")) > (1 - constant) * F.col("n"))
     leaf = F.when(exact, F.xxhash64(F.lit("line"), "plain")).otherwise(F.xxhash64("n", F.substring_index("masked", " ", DEPTH)))
-    return rows.select("doc", "key", "line", leaf.alias("leaf"), F.xxhash64(F.when(exact, F.col("plain")).otherwise(F.col("masked"))).alias("body"), "n", "masked")
+    return rows.select("doc", "key", "line", leaf.alias("leaf"), F.xxhash64(F.when(exact, F.col("plain")).otherwise(F.col("masked"))).alias("body"), "n", "masked", exact.alias("exact"))
 
 
-def dropped_lines(docs: DataFrame, least: int) -> DataFrame:
+def dropped_lines(docs: DataFrame, least: int, constant: float, given: int) -> DataFrame:
     """(doc, key, lines): the numbers of the lines to drop from each document of docs (doc, key, text)."""
-    lines = common.durable(parsed(docs, least).select("doc", "key", "line", "leaf", "body"), "lines")
+    lines = common.durable(parsed(docs, least, constant).select("doc", "key", "line", "leaf", "body"), "lines")
     bodies = lines.groupBy("leaf", "body").agg(F.count("*").alias("weight"), F.min(F.struct("doc", "key", "line")).alias("first"))
     several = bodies.groupBy("leaf").agg(F.count("*").alias("bodies")).where("bodies > 1").select("leaf")
     # One occurrence of every line of those leaves is enough to see its tokens.
@@ -60,12 +65,13 @@ def dropped_lines(docs: DataFrame, least: int) -> DataFrame:
     wanted = shown.select("doc", "key", "line", "leaf", "body", "weight")
     ids = shown.select("doc", "key").distinct()
     texts = docs.join(common.sized(ids), docs["doc"].eqNullSafe(ids["doc"]) & (docs["key"] == ids["key"]), "left_semi")
-    found = parsed(texts, LEAST_TOKENS).select("leaf", "body", "n", "masked").dropDuplicates(["leaf", "body"]).join(wanted.select("leaf", "body", "weight"), ["leaf", "body"])
+    found = parsed(texts, LEAST_TOKENS, constant).where("not exact").select("leaf", "body", "n", "masked").dropDuplicates(["leaf", "body"]).join(wanted.select("leaf", "body", "weight"), ["leaf", "body"])
     fields = common.durable(found.select("leaf", "body", "weight", "n", F.posexplode(F.split("masked", " ")).alias("at", "token")), "fields")
     counted = fields.groupBy("leaf", "at", "token").agg(F.sum("weight").alias("weight"))
     template = counted.groupBy("leaf", "at").agg(F.min(F.struct(-F.col("weight"), "token")).getField("token").alias("usual"))
     agree = fields.join(template, ["leaf", "at"]).groupBy("leaf", "body").agg(F.sum((F.col("token") == F.col("usual")).cast("int")).alias("same"), F.max("n").alias("n"))
-    belong = agree.where(F.col("same") >= ALIKE * F.col("n")).select("leaf", "body", F.lit(True).alias("generalised"))
+    # The leading tokens, which the tree has compared, are agreement only as far as they are given.
+    belong = agree.where(F.col("same") - (DEPTH - given) >= ALIKE * (F.col("n") - (DEPTH - given))).select("leaf", "body", F.lit(True).alias("generalised"))
     belong = common.durable(belong, "belong")
     named = lines.join(common.sized(belong), ["leaf", "body"], "left").withColumn("body", F.when(F.col("generalised"), F.lit(0).cast("long")).otherwise(F.col("body")))
     named = named.withColumn("generalised", F.coalesce("generalised", F.lit(False)))
@@ -75,27 +81,58 @@ def dropped_lines(docs: DataFrame, least: int) -> DataFrame:
     return gone.groupBy("doc", "key").agg(F.collect_set("line").alias("lines"))
 
 
-def deduplicated(docs: DataFrame, doc: str = "doc_id", text: str = "text", least: int = 1) -> DataFrame:
-    """docs with its text without the dropped lines, of those of least tokens or more, and __lines and __dropped: how many it had and lost."""
+def marked(docs: DataFrame, doc: str = "doc_id", text: str = "text", least: int = 1, constant: float = CONSTANT, given: int = 0) -> DataFrame:
+    """docs with __gone: the numbers of the lines to drop, or null.
+
+    Lines of least tokens or more are looked at; one with less than a share constant of tokens without digits has no template, and of
+    the DEPTH leading tokens of one that has, the first given count in its agreement.
+    """
     own = F.xxhash64(F.lit("document"), text)
     small = docs.select(F.col(doc).alias("doc"), own.alias("key"), common.text_or_empty(text).alias("text"))
-    gone = common.durable(dropped_lines(small, least), "dropped").withColumnsRenamed({"doc": "__doc", "key": "__key", "lines": "__gone"})
+    gone = common.durable(dropped_lines(small, least, constant, given), "dropped").withColumnsRenamed({"doc": "__doc", "key": "__key", "lines": "__gone"})
     n_gone = gone.agg(F.sum(1 + F.size("__gone"))).first()[0] or 0  # numbers of lines, so that the bound holds for their bytes
     out = docs.join(common.sized(gone, n_gone), docs[doc].eqNullSafe(gone["__doc"]) & (F.xxhash64(F.lit("document"), docs[text]) == gone["__key"]), "left")
+    return out.select(*[docs[c] for c in docs.columns], "__gone")
+
+
+def deduplicated(docs: DataFrame, doc: str = "doc_id", text: str = "text", **rule: float) -> DataFrame:
+    """docs with its text without the dropped lines by the rule of marked(), and __lines and __dropped: how many it had and lost."""
+    return _cut(marked(docs, doc, text, **rule), text).drop("__gone")
+
+
+def _cut(out: DataFrame, text: str) -> DataFrame:
     split = F.split(common.text_or_empty(text), "\n")
     kept = F.when(F.col("__gone").isNull(), common.text_or_empty(text)).otherwise(F.array_join(F.filter(split, lambda x, k: ~F.array_contains("__gone", k)), "\n"))
-    return out.select(*[docs[c] if c != text else kept.alias(text) for c in docs.columns], F.size(split).alias("__lines"), F.coalesce(F.size("__gone"), F.lit(0)).alias("__dropped"), F.length(common.text_or_empty(text)).alias("__before"))
+    return out.select(*[F.col(f"`{c}`") if c != text else kept.alias(text) for c in out.columns], F.size(split).alias("__lines"), F.coalesce(F.size("__gone"), F.lit(0)).alias("__dropped"), F.length(common.text_or_empty(text)).alias("__before"))
+
+
+def _hashes(lines: Column) -> Column:
+    """Two hashes of each different line with single spaces."""
+    return F.transform(F.array_distinct(F.transform(lines, lambda x: folded(x, x))), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("line"), x).alias("b")))
 
 
 def without_recurring(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without recurring lines; a document of which almost nothing is left goes, one that was short or empty before stays."""
-    out = deduplicated(docs, doc, text)
-    return out.where((F.col("__dropped") == 0) | (F.length(F.trim(text)) >= LEAST_LEFT * F.col("__before"))).select(docs.columns)
+    """docs without recurring lines; a document of which almost nothing is left goes if documents of which more is left hold its dropped
+    lines word for word. One that was short or empty before stays."""
+    rows = marked(docs, doc, text).withColumn("__own", F.xxhash64(F.lit("document"), text))
+    split = F.split(common.text_or_empty(text), "\n")
+    gone = F.filter(split, lambda x, k: F.array_contains("__gone", k))
+    rest = F.length(F.trim(F.array_join(F.filter(split, lambda x, k: ~F.array_contains("__gone", k)), "\n")))
+    rows = rows.withColumn("__bare", F.coalesce(F.when(F.col("__gone").isNotNull(), rest < LEAST_LEFT * F.length(common.text_or_empty(text))), F.lit(False)))
+    lost = common.durable(rows.where("__bare").select(F.col(doc).alias("__doc"), F.col("__own").alias("__key"), F.explode(_hashes(gone)).alias("h")).select("__doc", "__key", "h.*"), "lost")
+    wanted = lost.select("a", "b").distinct()
+    kept = F.when(F.col("__gone").isNull(), split).otherwise(F.filter(split, lambda x, k: ~F.array_contains("__gone", k)))
+    held = rows.where("not __bare").select(F.explode(_hashes(kept)).alias("h")).select("h.*").join(common.sized(wanted), ["a", "b"], "left_semi").distinct()
+    alone = common.durable(lost.join(common.durable(held, "held"), ["a", "b"], "left_anti").select("__doc", "__key").distinct(), "alone")
+    stay = alone.withColumn("__stay", F.lit(True))
+    out = rows.join(common.sized(stay), rows[doc].eqNullSafe(stay["__doc"]) & (rows["__own"] == stay["__key"]), "left").where("not __bare OR __stay")
+    return _cut(out.select(*[rows[c] for c in docs.columns], "__gone"), text).select(docs.columns)
 
 
 def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    return deduplicated(docs, least=LEAST_TOKENS).select("doc_id", "text", F.col("__lines").cast("long").alias("n_lines"), F.col("__dropped").cast("long").alias("n_dropped"))
+    out = deduplicated(docs, least=LEAST_TOKENS, constant=0, given=DEPTH)  # the rule of the SQL
+    return out.select("doc_id", "text", F.col("__lines").cast("long").alias("n_lines"), F.col("__dropped").cast("long").alias("n_dropped"))
 
 
 ORACLE = r"""

@@ -219,6 +219,20 @@ def test_short_lines_that_recur_word_for_word(spark):
     assert got == {1: rows[0][1], 2: "\nPage 2\nsecond own", 3: "third own"}
 
 
+def test_lines_that_no_other_document_holds(spark):
+    """Five tokens with another last one, and rows of numbers, have no common template."""
+    rows = [(1, "alpha beta gamma delta one\n1 2 3 4 5\n10 of 20 30 40"), (2, "alpha beta gamma delta two\n6 7 8 9 10\n11 of 21 31 41"), (3, "6 7 8 9 10\nthe own words of this text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_templates.without_recurring(docs).collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1], 3: "the own words of this text"}
+
+
+def test_documents_go_only_if_others_hold_their_lines(spark):
+    log = "the job on node a took {} seconds to end this time"
+    docs = spark.createDataFrame([(1, log.format(1)), (2, f"{log.format(2)}\nx"), (3, log.format(1)), (4, f"  {log.format(1)}\ny")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in line_templates.without_recurring(docs).collect()} == {1: log.format(1), 2: "x"}
+
+
 def test_columns_are_kept(spark, edge):
     out = line_templates.without_recurring(edge)
     assert out.columns == edge.columns

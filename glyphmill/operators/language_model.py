@@ -192,3 +192,25 @@ def length_prior(length: int, share: float) -> float:
         at[0] += down[0]
         at[-1] += up[-1]
     return float(1 - at @ np.arange(length + 1) / length)
+
+
+def length_priors(lengths: DataFrame, share: float) -> DataFrame:
+    """(n, prior) of lengths (n): length_prior() of each, rounded.
+
+    The walk cannot pass its upper end, so one walk serves all lengths: its mean grows by 1 - share, less share unless it is at 0, where it
+    is until it first goes above; that happens after 2 m + 1 steps with the chance Catalan(m) (1 - share)^(m + 1) share^m.
+    """
+    import numpy as np
+
+    def run(batches):
+        for b in batches:
+            k = int(b.n.max()) + 2 if len(b) else 2
+            m = np.arange(1, k // 2 + 1)
+            leaves = np.zeros(k + 2)
+            terms = np.cumprod(np.append(1 - share, share * (1 - share) * 2 * (2 * m - 1) / (m + 1)))
+            leaves[1::2] = terms[: len(leaves[1::2])]
+            mean = np.append(0.0, np.cumsum((1 - share) - share * np.minimum(1.0, np.cumsum(leaves))))
+            n = b.n.to_numpy()
+            yield b.assign(prior=np.round(np.where(n < 3, share, 1 - mean[n] / np.maximum(n, 1)), 6))
+
+    return lengths.select("n").mapInPandas(run, "n int, prior double")

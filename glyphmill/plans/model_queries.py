@@ -192,10 +192,9 @@ def _built(spark, d):
 
 @query("pu_prior_by_length")
 def pu_prior_by_length(spark, d):
-    """The prior of each document by its length in words; a table of a bounded range of lengths is joined by broadcast."""
-    prior = spark.createDataFrame([(n, round(lm.length_prior(n, 0.2), 6)) for n in range(65)], "n int, prior double")
-    rows = docs(spark, d).select("doc_id", F.least(F.size(text.split_words(F.col("text"))), F.lit(64)).alias("n"))
-    return rows.join(F.broadcast(prior), "n").select("doc_id", "n", "prior")
+    """The prior of each document by its length in words, computed once for each length that occurs."""
+    rows = docs(spark, d).select("doc_id", F.size(text.split_words(F.col("text"))).alias("n"))
+    return rows.join(lm.length_priors(rows.select("n").distinct(), 0.2), "n").select("doc_id", "n", "prior")
 
 
 @query("text_quality")

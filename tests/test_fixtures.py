@@ -162,3 +162,15 @@ def test_streams_agree_with_batches(spark, tmp_path):
     q.stop()
     own = spark.table("drift").withColumn("start", F.col("start").cast("timestamp_ntz"))
     assert sorted(map(tuple, own.collect())) == sorted(map(tuple, monitors.drift(events, "ts", "value", "event_type").collect()))
+
+
+def test_priors_of_true_lengths(spark, tmp_path):
+    from glyphmill.operators import language_model as lm
+    from glyphmill.plans.registry import QUERIES
+
+    lengths = [0, 1, 2, 3, 4, 5, 64, 65, 300, 2001]
+    for share in (0.2, 0.5, 0.7):
+        got = {r.n: r.prior for r in lm.length_priors(spark.createDataFrame([(n,) for n in lengths], "n int"), share).collect()}
+        assert got == pytest.approx({n: lm.length_prior(n, share) for n in lengths}, abs=2e-6)
+    spark.createDataFrame([(n, "w " * n, "en", "s", 2 * n) for n in lengths], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.n for r in QUERIES["pu_prior_by_length"](spark, f"file://{tmp_path}").collect()} == {n: n for n in lengths}

@@ -1,10 +1,11 @@
 """Operator 7: main text of web pages by the distribution of line blocks.
 
 Markup is stripped into lines, one for each block of the page. A line weighs its characters of text, and
-nothing if it lies in a menu, header, footer, sidebar, notice, advert, form, comment thread or the like, if
-most of it is link text, or if the page marks its article and the line is outside. Over the weights slides
-a window of DEPTH lines; where its sum rises from nothing to the threshold a surge begins, and where it
-falls to nothing it dives. The lines with weight between surge and dive are the text.
+nothing if it lies in a menu, header, footer, sidebar, notice, advert, form, comment thread or the like, or if
+the page marks its article and the line is outside, or does not and most of the line is link text. Over the
+weights slides a window of DEPTH lines; where its sum first rises to the threshold the text surges. The lines
+with weight from there on are the text; a later dive to nothing ends nothing, as what follows with weight is
+text too, and on a page without a surge all lines with weight are.
 
 Defined results: null or empty html, and pages without text, give the empty string and 0; a page of any
 length is read whole; repeated rows are extracted each; other columns are not read.
@@ -24,7 +25,7 @@ from . import common
 
 #: Lines in the sliding window, and the characters in it that make a surge outside a marked article.
 DEPTH, SURGE = 3, 60
-#: A line whose share of link text is larger weighs nothing.
+#: A line outside a marked article whose share of link text is larger weighs nothing.
 LINKS = 0.5
 
 _TOKEN = re.compile(
@@ -71,7 +72,7 @@ def lines(html: str) -> list[tuple[str, int, bool, bool]]:
         if piece:
             text.append(piece)
             if in_link:
-                linked += len(piece.strip())
+                linked += len(" ".join(unescape(piece).split()))
 
     end = 0
     for m in _TOKEN.finditer(html):
@@ -116,19 +117,12 @@ def lines(html: str) -> list[tuple[str, int, bool, bool]]:
 
 
 def extract(html: str) -> str:
-    """The lines with weight from each surge to its dive, joined by empty lines."""
+    """The lines with weight from the surge on, or all of them where there is none, joined by empty lines."""
     rows = lines(html)
-    weight = [0 if out or n > LINKS * len(t) else len(t) for t, n, out, _ in rows]
-    kept, inside = [], False
-    for k, (t, _, _, article) in enumerate(rows):
-        block = sum(weight[k : k + DEPTH])
-        if not inside:
-            inside = weight[k] > 0 and block >= (1 if article else SURGE)
-        elif block == 0:
-            inside = False
-        if inside and weight[k]:
-            kept.append(t)
-    return "\n\n".join(kept)
+    weight = [0 if out or not article and n > LINKS * len(t) else len(t) for t, n, out, article in rows]
+    surges = (k for k, (_, _, _, article) in enumerate(rows) if weight[k] > 0 and sum(weight[k : k + DEPTH]) >= (1 if article else SURGE))
+    start = next(surges, 0)
+    return "\n\n".join(t for k, (t, _, _, _) in enumerate(rows) if k >= start and weight[k])
 
 
 def main_texts(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -324,6 +324,14 @@ def test_pages():
     assert html_text.extract(soup) == "A heading\n\nPlain page text that is long enough to rise above the threshold.\n\nAnd more."
 
 
+def test_links_in_articles_and_short_texts():
+    assert html_text.extract("<article><p>See:</p><ul><li><a href=a>A linked paper of the authors</a></li></ul><p>End.</p></article>") == "See:\n\nA linked paper of the authors\n\nEnd."
+    plain = "A paragraph without any article around it, long enough to surge by itself."
+    assert html_text.extract(f"<p>{plain}</p><p>R <a href=a>{'&eacute;' * 5}</a> words after it</p>") == f"{plain}\n\nR ééééé words after it"
+    assert html_text.extract("<p>Sold out.</p>") == "Sold out."
+    assert html_text.extract(f"<p>{plain}</p>{'<p><a href=a>more</a></p>' * 3}<p>The end.</p>") == f"{plain}\n\nThe end."
+
+
 def test_given_pages():
     import html
 

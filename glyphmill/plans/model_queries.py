@@ -54,7 +54,13 @@ query("ppl_strided", f"WITH {_LM} SELECT doc_id, round(exp(-sum(lp) / count(*)),
 for _order, _by in (("s", "pos"), ("h2l", "round(best - lp, 9) DESC, pos"), ("l2h", "round(best - lp, 9), pos")):
     query(f"repair_auc_{_order}", f"WITH {_LM} SELECT doc_id, round(avg(ppl), 6) AS mean_ppl FROM (SELECT doc_id, exp(-(sum(lp) OVER (PARTITION BY doc_id) + sum(best - lp) OVER (PARTITION BY doc_id ORDER BY {_by} ROWS UNBOUNDED PRECEDING)) / count(*) OVER (PARTITION BY doc_id)) AS ppl FROM st) GROUP BY doc_id")(lambda s, d, o=_order: lm.repair_curve(statistics(s, d), "doc_id", o))
 query("lastde")(lambda s, d: lm.lastde(statistics(s, d), "doc_id"))
-query("lastdepp")(lambda s, d: lm.lastde(statistics(s, d), "doc_id", 4, 8, 15).withColumnRenamed("lastde", "lastdepp"))
+query("lastdepp")(lambda s, d: _lastdepp(s, d))
+
+
+def _lastdepp(spark, d):
+    tokens = lm.token_table(docs(spark, d).select("doc_id", "text"), "doc_id")
+    coded = lm.coded(tokens, "doc_id", lm.vocabulary(tokens, V))
+    return lm.lastdepp(coded, lm.fit(coded, V), "doc_id")
 
 
 def perturbed(spark, d, variants: int = 3):

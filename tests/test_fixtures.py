@@ -174,3 +174,29 @@ def test_priors_of_true_lengths(spark, tmp_path):
         assert got == pytest.approx({n: lm.length_prior(n, share) for n in lengths}, abs=2e-6)
     spark.createDataFrame([(n, "w " * n, "en", "s", 2 * n) for n in lengths], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: r.n for r in QUERIES["pu_prior_by_length"](spark, f"file://{tmp_path}").collect()} == {n: n for n in lengths}
+
+
+def test_lastdepp_is_normalised_by_sampled_sequences(spark):
+    import hashlib
+
+    from glyphmill.functions import rng
+    from glyphmill.operators import language_model as lm
+
+    texts = {1: "a b c a b d a c c b a d " * 3, 2: "b a d c " * 8, 3: "a b"}
+    tokens = lm.token_table(spark.createDataFrame(list(texts.items()), "id long, text string"), "id")
+    coded = lm.coded(tokens, "id", lm.vocabulary(tokens, 9)).persist()
+    model = lm.fit(coded, 9)
+    got = {r.id: r.lastdepp for r in lm.lastdepp(coded, model, "id").collect()}
+    assert got == {r.id: r.lastdepp for r in lm.lastdepp(coded.repartition(7), model, "id").collect()}
+    q = {r.t: r.q for r in model.unigrams.collect()}
+    p = {(r.h, r.t): r.p for r in model.bigrams.collect()}
+    words = sorted(q)
+    for key, whole in texts.items():
+        t = whole.split()
+        h = [lm.START, *t[:-1]]
+        rows = np.array([[p.get((x, y), (1 - lm.MIX) * q[y]) for y in words] for x in h])
+        assert rows.sum(1) == pytest.approx(1)
+        u = np.random.Generator(np.random.Philox(key=int(hashlib.sha1(f"{rng.SEED}:{key}:lastdepp".encode()).hexdigest()[:32], 16))).random((len(t), 100))
+        sampled = [lm.multiscale_entropy([np.log(r[np.searchsorted(np.cumsum(r), v, side="right")]) for r, v in zip(rows, u[:, k], strict=True)], 4, 8, 15) for k in range(100)]
+        own = lm.multiscale_entropy([np.log(r[words.index(x)]) for r, x in zip(rows, t, strict=True)], 4, 8, 15)
+        assert got[key] == pytest.approx((own - np.mean(sampled)) / (np.std(sampled, ddof=1) or 1), abs=0.02)

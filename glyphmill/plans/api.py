@@ -62,11 +62,12 @@ def scored_by(df: DataFrame, make: Callable[[], TokenScorer], column: str = "tex
 
 
 def build(df: DataFrame, make: Callable[[], TextGenerator], prefix_words: int = 64, template: str = "{prefix}", weights: tuple[float, ...] = (8, 1, 1)) -> DataFrame:
-    """Human rows (id, text, ...) and a machine row for each, split so that a pair stays together."""
+    """Human rows (id, text, ...) and a machine row for each, with df's other columns, split so that a pair stays together."""
+    more = [c for c in df.columns if c not in ("id", "group", "text", "label", "role")]
     prompt = F.replace(F.lit(template), F.lit("{prefix}"), text.take_first(F.col("text"), prefix_words))
-    human = df.select(F.concat(F.col("id").cast("string"), F.lit("-human")).alias("id"), F.col("id").cast("string").alias("group"), "text", F.lit(0).alias("label"), F.lit("human").alias("role"))
-    asked = df.select("id", prompt.alias("prompt"))
-    machine = generated(asked, make).select(F.concat(F.col("id").cast("string"), F.lit("-gen")).alias("id"), F.col("id").cast("string").alias("group"), F.col("generated").alias("text"), F.lit(1).alias("label"), F.lit("machine").alias("role"))
+    human = df.select(F.concat(F.col("id").cast("string"), F.lit("-human")).alias("id"), F.col("id").cast("string").alias("group"), "text", F.lit(0).alias("label"), F.lit("human").alias("role"), *more)
+    asked = df.select("id", prompt.alias("prompt"), *more)
+    machine = generated(asked, make).select(F.concat(F.col("id").cast("string"), F.lit("-gen")).alias("id"), F.col("id").cast("string").alias("group"), F.col("generated").alias("text"), F.lit(1).alias("label"), F.lit("machine").alias("role"), *more)
     return sampling.split(human.unionByName(machine), "group", weights=weights)
 
 

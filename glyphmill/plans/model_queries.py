@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import cache
 
 import pandas as pd
@@ -187,13 +188,19 @@ def threshold_presets(spark, d):
 query("build_dataset")(lambda s, d: _built(s, d))
 
 
+class _Continuer:
+    """A stand-in for a generating model: each prompt and after it its words in hashed order."""
+
+    def generate(self, prompts):
+        order = lambda p: sorted(enumerate(p.split()), key=lambda x: hashlib.sha1(f"{rng.SEED}:{p}:gen:{x[0]}".encode()).digest())
+        return [" ".join([p, *(w for _, w in order(p))]) for p in (p or "" for p in prompts)]
+
+
 def _built(spark, d):
-    """Human documents with machine ones, here the default generator's: each sentence's words in hashed order after a prefix."""
-    human = docs(spark, d).where("doc_id % 4 = 0").select(F.concat(F.col("doc_id"), F.lit("-human")).alias("id"), "text", F.lit("human").alias("role"), F.lit(0).alias("label"), "lang")
-    words = text.split_words(F.col("text"))
-    shuffled = F.transform(F.array_sort(F.transform(words, lambda w, i: F.struct(rng.digest(rng.SEED, F.col("doc_id").cast("string"), "gen", i).alias("h"), w.alias("w")))), lambda x: x["w"])
-    machine = docs(spark, d).where("doc_id % 4 = 0").select(F.concat(F.col("doc_id"), F.lit("-gen")).alias("id"), F.concat_ws(" ", text.take_first(F.col("text"), 16), F.array_join(F.slice(shuffled, 1, 64), " ")).alias("text"), F.lit("machine").alias("role"), F.lit(1).alias("label"), "lang")
-    return human.unionByName(machine)
+    """Every document and a machine text for it, in split pairs."""
+    from .api import build
+
+    return build(docs(spark, d).select(F.col("doc_id").alias("id"), "text", "lang"), _Continuer)
 
 
 @query("pu_prior_by_length")

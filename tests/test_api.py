@@ -43,3 +43,16 @@ def test_verbs(spark, tmp_path):
 def test_failing_generator_gives_the_prompt(spark):
     df = spark.createDataFrame([(1, "p")], "id int, prompt string")
     assert api.generated(df, Failing).first().generated == "p"
+
+
+def test_built_dataset_holds_every_document(spark):
+    from glyphmill.plans.registry import QUERIES
+
+    path = "/root/testdata/sf0.001"
+    built = QUERIES["build_dataset"](spark, path).persist()
+    texts = {r.doc_id: (r.text, r.lang) for r in spark.read.parquet(f"{path}/documents.parquet").collect()}
+    assert {r.id: (r.text, r.lang) for r in built.where("label = 0").collect()} == {f"{k}-human": v for k, v in texts.items()}
+    assert {r.id for r in built.where("label = 1").collect()} == {f"{k}-gen" for k in texts}
+    assert built.groupBy("group").agg(F.countDistinct("split").alias("n")).where("n > 1").isEmpty()
+    made = {r.group: r.text.split() for r in built.where("label = 1").collect()}
+    assert all(made[str(k)][: len(t.split()[:64])] == t.split()[:64] for k, (t, _) in texts.items())

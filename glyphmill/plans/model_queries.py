@@ -8,7 +8,7 @@ from functools import cache
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..functions import rng, text
+from ..functions import fuzz, rng, text
 from ..operators import attacks, graph, neighbours
 from ..operators import language_model as lm
 from ..streaming import monitors
@@ -95,13 +95,26 @@ def _tocsin(df, base):
     return base.join(cut.select("doc_id", same.alias("same")), "doc_id").select("doc_id", F.round(F.col("likelihood") * F.exp(-(1 - F.col("same"))), 6).alias("tocsin"))
 
 
+REWRITES = ("drop", "swap", "chars", "punct", "typo", "sentences", "blanks")
+
+
+def _rewrites(df):
+    """(doc_id, text, and a column for each of REWRITES): seven rewrites of each whole text; one that does not apply gives the text."""
+    key, t = F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))
+    made = (attacks.word_drop(t, key), attacks.word_swap(t, key), attacks.char_swap(t, key), attacks.punct_noise(t, key), attacks.typo(t, key, "delete"), attacks.drop_sentences(t, key), attacks.blank_words(t, key))
+    return df.select("doc_id", t.alias("text"), *[F.coalesce(r, t).alias(n) for n, r in zip(REWRITES, made, strict=True)])
+
+
 def _raidar(df):
-    """n-gram overlaps of a text with its rewrites, per word."""
-    key, t = F.col("doc_id").cast("string"), F.col("text")
-    rewrites = {"drop": attacks.word_drop(t, key), "swap": attacks.word_swap(t, key), "typo": attacks.typo(t, key, "delete")}
-    rows = df.select("doc_id", text.split_words(t).alias("w"), *[text.split_words(F.coalesce(r, t)).alias(n) for n, r in rewrites.items()])
-    n = F.greatest(F.size("w"), F.lit(1))
-    return rows.select("doc_id", *[F.round(text.ngram_overlap(F.col("w"), F.col(r), k) / n, 6).alias(f"{r}_{k}") for r in rewrites for k in (1, 2, 3)])
+    """The 50 features of a text beside its seven rewrites: n-gram overlaps per word (mean, each, all), and both fuzz ratios."""
+    names = [f"{r}_{k}" for r in ("mean", *REWRITES, "all") for k in (1, 2, 3, 4)] + [f"{r}_{f}" for r in REWRITES for f in ("ratio", "token_set")]
+
+    def run(batches):
+        for b in batches:
+            rows = [[round(x, 6) for x in fuzz.rewrite_features(t, list(r))] for t, *r in zip(b.text, *[b[r] for r in REWRITES], strict=True)]
+            yield pd.concat([b[["doc_id"]], pd.DataFrame(rows, columns=names, index=b.index, dtype=float)], axis=1)
+
+    return _rewrites(df).mapInPandas(run, "doc_id long, " + ", ".join(f"{n} double" for n in names))
 
 
 @query("detector_dnagpt")
@@ -161,17 +174,20 @@ query("job_expiry", "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FRO
 
 # Python only where no built-in has the measure
 @cache
-def fuzz():
-    import difflib
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([round(100 * difflib.SequenceMatcher(None, x, y, autojunk=False).ratio(), 6) for x, y in zip(a, b, strict=True)])
+def fuzzy():
+    @F.pandas_udf("ratio double, token_set double")
+    def both(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(round(fuzz.ratio(x, y), 6), round(fuzz.token_set_ratio(x, y), 6)) for x, y in zip(a, b, strict=True)], columns=["ratio", "token_set"])
 
-    return ratio
+    return both
 
 
-query("fuzz_ratio")(lambda s, d: table(s, d, "benchmark").select("item_id", fuzz()("text", F.substring("text", 5, 200)).alias("ratio")))
+@query("fuzz_ratio")
+def fuzz_ratio(spark, d):
+    """Both ratios of every document with each of its rewrites."""
+    rows = _rewrites(docs(spark, d))
+    each = rows.select("doc_id", "text", F.explode(F.array(*[F.struct(F.lit(r).alias("rewrite"), F.col(r).alias("t")) for r in REWRITES])).alias("r"))
+    return each.select("doc_id", "r.rewrite", fuzzy()("text", "r.t").alias("f")).select("doc_id", "rewrite", "f.*")
 
 
 @query("threshold_presets")

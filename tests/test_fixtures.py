@@ -200,3 +200,35 @@ def test_lastdepp_is_normalised_by_sampled_sequences(spark):
         sampled = [lm.multiscale_entropy([np.log(r[np.searchsorted(np.cumsum(r), v, side="right")]) for r, v in zip(rows, u[:, k], strict=True)], 4, 8, 15) for k in range(100)]
         own = lm.multiscale_entropy([np.log(r[words.index(x)]) for r, x in zip(rows, t, strict=True)], 4, 8, 15)
         assert got[key] == pytest.approx((own - np.mean(sampled)) / (np.std(sampled, ddof=1) or 1), abs=0.02)
+
+
+def test_fuzz_and_rewrite_features(spark):
+    from glyphmill.functions import fuzz
+    from glyphmill.plans import model_queries as mq
+
+    def lcs(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row, old = [0], row
+            for k, y in enumerate(b):
+                row.append(old[k] + 1 if x == y else max(row[-1], old[k + 1]))
+        return row[-1]
+
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        a, b = ("".join(rng.choice(list("abc d"), rng.integers(0, 40))) for _ in range(2))
+        assert fuzz.common_subsequence(a, b) == lcs(a, b)
+    assert fuzz.ratio("this is a test", "this is a test!") == pytest.approx(96.551724)
+    assert fuzz.token_set_ratio("fuzzy was a bear", "fuzzy fuzzy was a bear") == 100
+    assert fuzz.token_set_ratio("a b", "a c") == pytest.approx(100 * (1 - 2 / 6))
+    texts = {1: "The cat sat. " + "On the mat it lay all day long. " * 4, 2: "x", 3: ""}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    made = {r.doc_id: [r[n] for n in mq.REWRITES] for r in mq._rewrites(df).collect()}
+    rows = {r.doc_id: list(r[1:]) for r in mq._raidar(df).collect()}
+    assert {k: len(v) for k, v in rows.items()} == {1: 50, 2: 50, 3: 50}
+    assert rows[1] == pytest.approx(fuzz.rewrite_features(texts[1], made[1]), abs=1e-6)
+    for k in (2, 3):
+        assert rows[k] == pytest.approx(fuzz.rewrite_features(texts[k], made[k]), abs=1e-6)
+    own = texts[1].lower().split()
+    assert rows[1][32:36] == pytest.approx([len({tuple(own[i : i + n]) for i in range(len(own) - n + 1)} & {tuple(w[i : i + n]) for w in [" ".join(made[1]).lower().split()] for i in range(len(w) - n + 1)}) / len(own) for n in (1, 2, 3, 4)], abs=1e-6)
+    assert rows[1][:4] == pytest.approx(np.reshape(rows[1][4:32], (7, 4)).mean(0), abs=1e-6)

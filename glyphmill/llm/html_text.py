@@ -1,20 +1,24 @@
 """Operator 7: main text of web pages by the distribution of line blocks.
 
-Markup is stripped into lines, one for each block of the page. A line weighs its characters of text, and
-nothing if it lies in a menu, header, footer, sidebar, notice, advert, form, comment thread or the like, or if
-the page marks its article and the line is outside, or does not and most of the line is link text. Over the
-weights slides a window of DEPTH lines; where its sum first rises to the threshold the text surges. The lines
-with weight from there on are the text; a later dive to nothing ends nothing, as what follows with weight is
-text too, and on a page without a surge all lines with weight are.
-
-Defined results: null or empty html, and pages without text, give the empty string and 0; a page of any
-length is read whole; repeated rows are extracted each; other columns are not read.
+Markup is stripped into lines, one for each block of the page. Every line knows the zones it lies in: elements that
+hold no article text (menus, headers, footers, sidebars, dialogs, forms, controls) and elements whose class, id or role says
+so. Where a zone turns out to wrap the page's main element, its article or its heading, as a form or a layout may, it is
+none. A line weighs its characters of text, and nothing if it lies in a zone; or if the page marks its article and the line
+is outside, or does not and most of the line is link text. Over the weights slides a window of DEPTH lines; where its sum
+first rises to the threshold the text surges. The lines with weight from there on are the text; a later dive to nothing ends
+nothing, as what follows with weight is text too, and on a page without a surge all lines with weight are.
+
+Defined results: null and empty html, and pages without text, give the empty string and 0; end tags may be missing, as HTML
+allows, and elements that are never closed hide nothing; a page of any length is read whole; repeated rows are extracted
+each; rows without an id or url keep their nulls; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
@@ -27,93 +31,240 @@ from . import common
 DEPTH, SURGE = 3, 60
 #: A line outside a marked article whose share of link text is larger weighs nothing.
 LINKS = 0.5
+#: A form with a larger share of the page's text is the page. An article inside main with a smaller share of its text is not the whole.
+WRAPS = 0.5
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|svg|iframe|object|canvas|math|head|title|select|button)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>",
-    re.S | re.I,
-)
+_TAG = re.compile(r"<!--|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_PARTS = re.compile(r"[^a-z0-9]+")
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: Elements that stand in a line of text.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements without an end tag.
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements whose content is no markup.
+RAW = frozenset("script style textarea title noframes xmp".split())
+#: Elements that show no text of their own, and those of them that hold no blocks.
+CONTROLS = frozenset("button select option optgroup datalist noscript template svg iframe object canvas math audio video map".split())
+SHALLOW = frozenset("button select option optgroup datalist".split())
+#: Elements of the page's head.
+HEAD = frozenset("title meta link script style base noscript template".split())
 #: Elements that hold no article text.
-OUTSIDE = frozenset("nav aside footer form menu dialog".split())
+OUTSIDE = frozenset("nav aside footer menu dialog".split())
 #: Words in class, id or role that mark the same.
-MARKS = frozenset("nav navbar navigation menu footer sidebar ad ads adv advert adverts advertisement advertising promo sponsor sponsored banner cookie cookies consent notice popup modal overlay newsletter subscribe share sharing social related breadcrumb breadcrumbs comment comments reply replies respond discussion disqus widget toolbar pagination pager copyright login signup search complementary contentinfo".split())
-#: Elements that may mark the article itself, which no mark in their names takes away.
-ARTICLE = frozenset(["article", "main"])
-NEVER = frozenset("html body article main h1 h2 h3 h4 h5 h6".split())
-CLOSED_BY_BLOCKS = frozenset(["p", "li", "dt", "dd"])
+LAYOUT = frozenset("nav navbar navigation menu footer sidebar widget toolbar pagination pager breadcrumb breadcrumbs copyright complementary contentinfo overlay".split())
+MARKS = LAYOUT | frozenset("ad ads adv advert adverts advertisement advertising promo sponsor sponsored banner cookie cookies consent notice popup modal newsletter subscribe share sharing social related teaser teasers recommended comment comments reply replies respond discussion disqus login signup search".split())
+HEADERS = frozenset(["header", "masthead"])
+#: First words of names that tell of something else: what a page has or lacks, and what a post is about.
+ABOUT = frozenset("has no with without not is hide show js supports category tag topic term format type status".split())
+NEVER = frozenset("html body main h1 h2 h3 h4 h5 h6".split())
+#: What the start of an element ends: those of its name that are open in the nearest of the elements after the colon.
+ENDS = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table"))}
 
 
-def lines(html: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters in links, outside, in the article) of each block of a page, in order."""
-    out: list[tuple[str, int, bool, bool]] = []
-    text: list[str] = []
-    linked = 0
-    in_link = False
-    zone, depth = "", 0  # the element outside the article in which we are, and how deep in others of its name
-    article, seen = 0, False
-
-    def flush() -> None:
-        nonlocal linked
-        if text:
-            joined = " ".join(unescape("".join(text)).split())
+@dataclass
+class Zone:
+    """An element without article text: why, and what it wraps."""
+
+    why: str
+    article: bool = False
+    main: bool = False
+    heading: bool = False
+
+    def wraps(self, lenient: bool) -> bool:
+        """A zone around the main element or the heading is a layout; leniently, so is one around an article, but for comments and teasers."""
+        if self.why in ("element", "header"):
+            return self.main
+        return self.main or self.heading or lenient and self.article and self.why in ("layout", "form")
+
+
+@dataclass
+class Line:
+    text: str
+    linked: int
+    zones: tuple[Zone, ...]
+    article: int
+    main: bool
+
+
+def named(attributes: str, in_article: bool) -> str:
+    """Why the names of an element mark it as a zone, or an empty string."""
+    why = ""
+    for found in _NAMES.findall(attributes):
+        for name in "".join(found).split():
+            parts = [p.lower() for p in _PARTS.findall(name)]
+            if not parts or parts[0] in ABOUT:
+                continue
+            if not MARKS.isdisjoint(parts):
+                if LAYOUT.isdisjoint(parts):
+                    return "named"
+                why = "layout"
+            elif not in_article and not HEADERS.isdisjoint(parts):
+                why = why or "layout"
+    return why
+
+
+def tag_after(html: str, at: int) -> int:
+    return after.start() if (after := _TAG.search(html, at)) else len(html)
+
+
+class Page:
+    """The lines of a page, read tag by tag with a stack of open elements."""
+
+    def __init__(self, html: str):
+        self.lines: list[Line] = []
+        self.text: list[str] = []
+        self.linked = 0
+        self.in_link = False
+        self.stack: list[tuple[str, Zone | None]] = []
+        self.open: Counter[str] = Counter()
+        self.zones: tuple[Zone, ...] = ()
+        self.articles = self.hidden = 0
+        self.read(html)
+        self.flush()
+
+    def flush(self) -> None:
+        if self.text:
+            joined = " ".join(unescape("".join(self.text)).split())
             if joined:
-                out.append((joined, linked, bool(zone), article > 0))
-            text.clear()
-        linked = 0
-
-    def add(piece: str) -> None:
-        nonlocal linked
-        if piece:
-            text.append(piece)
-            if in_link:
-                linked += len(" ".join(unescape(piece).split()))
-
-    end = 0
-    for m in _TOKEN.finditer(html):
-        if m.start() > end:
-            add(html[end : m.start()])
-        end = m.end()
-        name = m[3]
-        if not name:
-            if m[1]:
-                text.append(" ")
-            continue
-        name, closing = name.lower(), bool(m[2])
-        if name in INLINE:
-            if name == "a":
-                in_link = not closing
-            elif name == "br":
-                text.append(" ")
-            continue
-        flush()
-        in_link = False
-        if zone in CLOSED_BY_BLOCKS and (name != zone or not closing):
-            zone, depth = "", 0
-        if name in ARTICLE:
-            if closing:
-                article = max(0, article - 1)
+                self.lines.append(Line(joined, self.linked, self.zones, self.articles if self.open["article"] else 0, self.open["main"] > 0))
+            self.text = []
+        self.linked = 0
+
+    def add(self, piece: str) -> None:
+        if self.hidden:
+            return
+        self.text.append(piece)
+        if self.in_link:
+            self.linked += len(" ".join(unescape(piece).split()))
+
+    def push(self, name: str, zone: Zone | None = None) -> None:
+        self.stack.append((name, zone))
+        self.open[name] += 1
+        self.hidden += name in CONTROLS
+        if zone:
+            self.zones += (zone,)
+
+    def pop(self) -> str:
+        name, zone = self.stack.pop()
+        self.open[name] -= 1
+        self.hidden -= name in CONTROLS
+        if zone:
+            self.zones = self.zones[:-1]
+        return name
+
+    def pop_to(self, names: tuple[str, ...], within: tuple[str, ...] = ()) -> None:
+        """Closes the innermost of names, and all in it, unless it is outside the innermost of within."""
+        if any(self.open[n] for n in names):
+            for name, _ in reversed(self.stack):
+                if name in within:
+                    return
+                if name in names:
+                    while self.pop() not in names:
+                        pass
+                    return
+
+    def read(self, html: str) -> None:
+        low, last, end = html.lower(), {}, 0
+        closes = lambda name, at: last.setdefault(name, low.rfind(f"</{name}")) > at
+        while m := _TAG.search(html, end):
+            if m.start() > end:
+                self.add(html[end : m.start()])
+            end = m.end()
+            if not m[2]:
+                if m[0] == "<!--":
+                    end = close + 3 if (close := html.find("-->", end)) >= 0 else end
+                continue
+            name, closing = m[2].lower(), bool(m[1])
+            if name in RAW and not closing:
+                if closes(name, end):
+                    close = low.find(f"</{name}", end)
+                    end = len(html) if (stop := html.find(">", close)) < 0 else stop + 1
+                else:  # never closed: what comes before the next tag is lost
+                    end = tag_after(html, end)
+                self.text.append(" ")
+            elif self.hidden and name not in CONTROLS and self.innermost() not in SHALLOW:
+                continue  # markup of a drawing, a formula or an embedded thing
+            elif name in INLINE or "-" in name or ":" in name:
+                if name == "a":
+                    self.in_link = not closing
+                elif name == "br":
+                    self.text.append(" ")
+            elif name in CONTROLS:
+                self.text.append(" ")
+                if closing:
+                    self.pop_to((name,))
+                elif closes(name, end) and not m[3].endswith("/"):
+                    self.push(name)
+                elif name in SHALLOW:
+                    end = tag_after(html, end)
             else:
-                article, seen = article + 1, True
-                zone, depth = "", 0
-        elif zone:
-            if name == zone:
-                depth += -1 if closing else 1
-                if depth <= 0:
-                    zone = ""
-        elif not closing and not m[0].endswith("/>"):
-            named = {p for n in _NAMES.findall(m[4]) for p in _PARTS.split("".join(n).lower())} if m[4] else set()
-            if name in OUTSIDE or name == "header" and not article or name not in NEVER and (named & MARKS or not article and named & {"header", "masthead"}):
-                zone, depth = name, 1
-    if end < len(html):
-        add(html[end:])
-    flush()
-    return out if not seen else [(t, n, z or not a, a) for t, n, z, a in out]
+                self.split(name, closing)
+                if not closing and name not in VOID:
+                    self.start(name, m[3])
+        if end < len(html):
+            self.add(html[end:])
+
+    def innermost(self) -> str:
+        return next(n for n, _ in reversed(self.stack) if n in CONTROLS)
+
+    def split(self, name: str, closing: bool) -> None:
+        """Ends the line, and the elements that a tag closes."""
+        self.flush()
+        self.in_link = False
+        if closing:
+            self.pop_to((name,))
+        else:
+            if self.open["head"] and name not in HEAD:
+                self.pop_to(("head",))
+            while self.hidden and self.stack[-1][0] in SHALLOW:
+                self.pop()
+            self.pop_to(("p",), ("td", "th", "li", "object", "button"))
+            if name in ENDS:
+                self.pop_to(*ENDS[name])
+
+    def start(self, name: str, attributes: str) -> None:
+        """Opens an element; one with article text in it tells the zones around."""
+        in_article = self.open["article"] > 0
+        why = ""
+        if name == "head" or name in OUTSIDE:
+            why = "element"
+        elif name == "form":
+            why = "form"
+        elif name == "header" and not in_article:
+            why = "header"
+        elif name not in NEVER and attributes:
+            why = named(attributes, in_article)
+        if attributes.endswith("/"):
+            return
+        if not why:
+            for zone in self.zones:
+                zone.article |= name == "article"
+                zone.main |= name == "main"
+                zone.heading |= name == "h1"
+            if name == "article" and not in_article:
+                self.articles += 1
+        self.push(name, Zone(why) if why else None)
+
+
+def lines(html: str) -> list[tuple[str, int, bool, bool]]:
+    """(text, characters in links, outside, in the article) of each block of a page, in order."""
+    rows = Page(html).lines
+    for lenient in (False, True):
+        for zone in {id(z): z for r in rows for z in r.zones if z.why == "form"}.values():
+            held = [r for r in rows if zone in r.zones and all(z is zone or z.wraps(lenient) for z in r.zones)]
+            zone.main |= sum(len(r.text) - r.linked for r in held) > WRAPS * sum(len(r.text) for r in rows)
+        inside = [all(z.wraps(lenient) for z in r.zones) for r in rows]
+        if any(ok and r.article for r, ok in zip(rows, inside, strict=True)) or not any(r.article for r in rows):
+            break
+    size = lambda test: sum(len(r.text) for r, ok in zip(rows, inside, strict=True) if ok and test(r))
+    main, article = size(lambda r: r.main), size(lambda r: r.article)
+    if main and size(lambda r: r.main and r.article) < WRAPS * main:
+        chosen = [r.main for r in rows]
+    elif article:
+        chosen = [r.article > 0 for r in rows]
+    else:
+        return [(r.text, r.linked, not ok, False) for r, ok in zip(rows, inside, strict=True)]
+    return [(r.text, r.linked, not (ok and c), c) for r, ok, c in zip(rows, inside, chosen, strict=True)]
 
 
 def extract(html: str) -> str:
@@ -131,11 +282,11 @@ def main_texts(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("p
     out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "text string", "n_chars long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.batches(batches):
             texts = [extract(h) for h in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*keep, "text", "n_chars"])
 
-    return pages.select(*keep, common.text_or_empty(html).alias("__html")).mapInArrow(run, out)
+    return pages.select(*keep, common.text_or_empty(html).alias(common.unused(pages.select(*keep), "__html")[0])).mapInArrow(run, out)
 
 
 def op7_html_text(spark, sf_dir: str) -> DataFrame:

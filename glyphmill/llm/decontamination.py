@@ -1,21 +1,22 @@
 """Operator 10: benchmark decontamination with training suffix arrays.
 
-Every shard of the training text (a run of documents in one task) gets a suffix array over its words;
-every window of every test item, that is the head of each test suffix, is binary-searched in it. The
-range found gives all places of the window; windows that follow one another on the same diagonal of
-document and item join to the longest verbatim matches. Documents are read once and nothing is shuffled.
+Every shard of the training text (a run of documents in one task) gets a suffix array over its words, by prefix doubling.
+Every test suffix, at each word of each item, is binary-searched in it: the neighbours of its place tell the longest
+verbatim match that begins with it. Where that is a window or more, a search to the depth of the window gives the range
+of all places that share it, and from those that cannot be extended to the left the matches are followed to their
+ends. Documents are read once and nothing is shuffled.
 
 Words are runs of bytes other than ASCII non-alphanumerics, A-Z in lower case. A window is WINDOW
-consecutive words of an item; an item of fewer words, but not none, is one window.
+consecutive words of an item; an item of fewer words, but not none, is one window. A word that no item has ends
+a suffix, and suffixes that begin with one are not in the array, as no match can begin there.
 
 Defined results: null and empty texts have no words, no hits and are not contaminated; repeated rows are
-judged each; an empty benchmark hits nothing; null item ids count as the empty string; columns of
-documents with any name are kept as they are.
+judged each; an empty benchmark hits nothing; null item ids count as the empty string; items of one id are one item in
+counts; columns of documents with any name are kept as they are.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -29,85 +30,120 @@ from . import common
 WINDOW = 13
 #: Bytes of test text searched for in one pass over the documents; more are searched in further passes.
 BLOCK_BYTES = 16_000_000
-#: Words in a shard's suffix array, at least one document.
+#: Words in a shard's suffix array, about, and at least one document.
 SHARD_WORDS = 1_000_000
+#: Words that are compared at once.
+STEP = 8
 
 #: ASCII letters and digits and all bytes beyond ASCII make words.
 _TO_WORDS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256)).lower()
 
-STATE = "__words long, __hits array<int>, __items array<string>, __matches array<struct<item:string,doc_start:int,item_start:int,length:int>>"
-
-
 def words(text: bytes) -> list[bytes]:
     return text.translate(_TO_WORDS).split()
 
 
+def suffix_array(ids: np.ndarray) -> np.ndarray:
+    """The places of ids that are not 0, in the order of the words from there on up to a 0; of equal ones, the later place first or last."""
+    n = len(ids)
+    place = np.flatnonzero(ids)
+    order = place[np.argsort(ids[place])]
+    # A rank is the first slot of the group of suffixes that are alike so far. Zeros differ from each other, so groups end with them.
+    rank = -1 - np.arange(n + 1)
+    slots = np.arange(len(order))
+    new = np.concatenate([[True], ids[order[1:]] != ids[order[:-1]]]) if len(order) else np.empty(0, bool)
+    h = 0
+    while True:
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(slots)))
+        rank[order[slots]] = np.repeat(slots[first], size)
+        slots = slots[np.repeat(size > 1, size)]
+        if not len(slots):
+            return order
+        h = 2 * h or 1
+        at = order[slots]
+        key = rank[at] * (2 * n + 4) + rank[np.minimum(at + h, n)] + n + 2
+        by = np.argsort(key)
+        order[slots], key = at[by], key[by]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+
+
+def common_words(a: np.ndarray, at: np.ndarray, b: np.ndarray, by: np.ndarray, most: np.ndarray | None = None) -> np.ndarray:
+    """How many words from a[at] and b[by] on agree, up to a 0 of either, for arrays of places; not more than most where that is given.
+
+    Both end with STEP zeros at least.
+    """
+    out = np.zeros(len(at), np.int64)
+    todo = np.arange(len(at))
+    steps = np.arange(STEP)
+    while len(todo):
+        x, y = a[(at[todo] + out[todo])[:, None] + steps], b[(by[todo] + out[todo])[:, None] + steps]
+        differ = (x != y) | (x == 0)
+        ended = differ.any(1)
+        out[todo] += np.where(ended, differ.argmax(1), STEP)
+        todo = todo[~ended if most is None else ~ended & (out[todo] < most[todo])]
+    return out if most is None else np.minimum(out, most)
+
+
 class Tests:
-    """The windows of a block of test items, over a vocabulary of their own words (1, 2, ...; 0 is any other word)."""
+    """The suffixes of a block of test items, over a vocabulary of their own words (1, 2, ...; 0 ends an item)."""
 
     def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
-        self.width, self.vocabulary = window, {}
-        by: dict[bytes, list[tuple[str, int]]] = defaultdict(list)
-        size: dict[bytes, int] = {}
-        pairs, single = set(), set()
-        for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            for start in range(max(1, len(ids) - window + 1) if ids else 0):
-                own = ids[start : start + window]
-                low = np.array(own + [0] * (window - len(own)), ">u4").tobytes()
-                by[low].append((item, start))
-                size[low] = len(own)
-                if len(own) > 1:
-                    pairs.add((own[0], own[1]))
-                else:
-                    single.add(own[0])
-        low = sorted(by)
-        self.places = [by[x] for x in low]
-        self.length = np.array([size[x] for x in low], np.int64)
-        self.low = np.array(low, f"S{4 * window}") if low else np.empty(0, f"S{4 * window}")
-        self.high = np.array([x[: 4 * size[x]] + b"\xff" * (4 * (window - size[x])) for x in low], f"S{4 * window}") if low else self.low
-        self.base = len(self.vocabulary) + 1
-        self.pairs = np.array(sorted(a * self.base + b for a, b in pairs), np.int64)
-        self.single = np.array(sorted(single), np.int64)
-
-    def suffix_array(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The suffixes of ids in word order, and their heads; those that cannot begin with any window are left out."""
-        first, second = ids[:-1], ids[1:]
-        at = np.flatnonzero(first > 0)
-        code = first[at] * self.base + second[at]
-        ok = np.zeros(len(at), bool)
-        for found, value in ((self.pairs, code), (self.single, first[at])):
-            if len(found):
-                k = np.minimum(np.searchsorted(found, value), len(found) - 1)
-                ok |= found[k] == value
-        at = at[ok]
-        padded = np.concatenate([ids, np.zeros(self.width, np.int64)]).astype(">u4")
-        heads = np.ascontiguousarray(padded[at[:, None] + np.arange(self.width)]).view(f"S{4 * self.width}").ravel() if len(at) else np.empty(0, self.low.dtype)
-        order = np.argsort(heads, kind="stable")
-        return at[order], heads[order]
-
-    def search(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place in ids, window) of every occurrence of a window, by binary search of each window's range."""
-        order, heads = self.suffix_array(ids)
-        left, right = np.searchsorted(heads, self.low, "left"), np.searchsorted(heads, self.high, "right")
-        count = right - left
-        which = np.repeat(np.arange(len(count)), count)
-        within = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-        return order[np.repeat(left, count) + within], which
-
-
-def _longest(tests: Tests, at: np.ndarray, which: np.ndarray) -> list[dict]:
-    """Longest matches of one document: windows in a row on the same diagonal of one item are joined."""
-    rows = sorted((item, p - off, p, int(tests.length[w])) for p, w in zip(at.tolist(), which.tolist(), strict=True) for item, off in tests.places[w])
-    out: list[dict] = []
-    last = None
-    for item, diagonal, p, n in rows:
-        if last == (item, diagonal, p - 1):
-            out[-1]["length"] = p + n - out[-1]["doc_start"]
-        else:
-            out.append({"item": item, "doc_start": p, "item_start": p - diagonal, "length": n})
-        last = (item, diagonal, p)
-    return out
+        self.vocabulary: dict[bytes, int] = {}
+        self.names = [item for item, _ in items]
+        ids, item, start, left, need = [0], [], [], [], []
+        for k, (_, text) in enumerate(items):
+            own = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
+            n = len(own)
+            item += [k] * n
+            start += range(n)
+            left += range(n, 0, -1)
+            need += [min(window, n)] * n
+            ids += [*own, 0]
+        self.ids = np.array(ids + [0] * STEP, np.int64)
+        self.item, self.start, self.left, self.need = (np.array(x, np.int64) for x in (item, start, left, need))
+        self.at = np.flatnonzero(self.ids)
+
+    def place(self, shard: np.ndarray, order: np.ndarray, which: np.ndarray, most: np.ndarray | None = None, after: bool = False) -> np.ndarray:
+        """The slot of each suffix of which in a shard's suffix array, by its first most words: before equal ones, or after them."""
+        low, high = np.zeros(len(which), np.int64), np.full(len(which), len(order))
+        todo = np.arange(len(which)) if len(order) else np.empty(0, np.int64)
+        while len(todo):
+            mid = (low[todo] + high[todo]) // 2
+            p, t = order[mid], self.at[which[todo]]
+            upto = None if most is None else most[todo]
+            n = common_words(shard, p, self.ids, t, upto)
+            x, y = shard[p + n], self.ids[t + n]
+            equal = y == 0 if upto is None else n >= upto
+            up = np.where(equal, after, x < y)
+            low[todo] = np.where(up, mid + 1, low[todo])
+            high[todo] = np.where(up, high[todo], mid)
+            todo = todo[low[todo] < high[todo]]
+        return low
+
+    def longest(self, shard: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """The length of the longest match in a shard that begins with each test suffix: the words in common with the neighbours of its slot."""
+        every = np.arange(len(self.at))
+        out = np.zeros(len(every), np.int64)
+        if len(order) and len(every):
+            slot = self.place(shard, order, every)
+            for near in (slot - 1, slot):
+                ok = np.flatnonzero((near >= 0) & (near < len(order)))
+                out[ok] = np.maximum(out[ok], common_words(shard, order[near[ok]], self.ids, self.at[ok]))
+        return out
+
+    def search(self, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in a shard, test suffix, words) of every longest match of a window or more."""
+        order = suffix_array(shard)
+        which = np.flatnonzero((self.left >= self.need) & (self.longest(shard, order) >= self.need))
+        need = self.need[which]
+        first, last = self.place(shard, order, which, need), self.place(shard, order, which, need, after=True)
+        count = last - first
+        suffix = np.repeat(which, count)
+        at = order[np.repeat(first, count) + np.arange(len(suffix)) - np.repeat(np.cumsum(count) - count, count)]
+        before = shard[at - 1]  # a shard begins with a 0
+        whole = (before == 0) | (before != self.ids[self.at[suffix] - 1])
+        at, suffix = at[whole], suffix[whole]
+        return at, suffix, common_words(shard, at, self.ids, self.at[suffix])
 
 
 def _merged(spans: np.ndarray) -> np.ndarray:
@@ -124,14 +160,14 @@ def searched(tests: Tests, texts: list[bytes], locate: bool) -> list[tuple[int,
     """For each document of a shard: its words, its merged spans, the items found and the longest matches."""
     get = tests.vocabulary.get
     split = [np.fromiter(map(get, own := words(t), repeat(0)), np.int64, len(own)) for t in texts]
-    starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in split])])
-    ids = np.zeros(starts[-1] + 1, np.int64)
+    starts = 1 + np.concatenate([[0], np.cumsum([len(x) + 1 for x in split])])
+    ids = np.zeros(starts[-1] + STEP, np.int64)
     for s, x in zip(starts, split, strict=False):
         ids[s : s + len(x)] = x
-    at, which = tests.search(ids)
+    at, suffix, length = tests.search(ids)
     doc = np.searchsorted(starts, at, "right") - 1
     order = np.lexsort((at, doc))
-    at, which, doc = at[order], which[order], doc[order]
+    at, suffix, length, doc = at[order], suffix[order], length[order], doc[order]
     bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
     out = []
     for k, x in enumerate(split):
@@ -139,30 +175,42 @@ def searched(tests: Tests, texts: list[bytes], locate: bool) -> list[tuple[int,
         if lo == hi:
             out.append((len(x), np.empty((0, 2), np.int64), [], []))
             continue
-        own, win = at[lo:hi] - starts[k], which[lo:hi]
-        spans = _merged(np.stack([own, own + tests.length[win]], 1))
-        found = sorted({item for w in np.unique(win).tolist() for item, _ in tests.places[w]})
-        out.append((len(x), spans, found, _longest(tests, own, win) if locate else []))
+        own, which = at[lo:hi] - starts[k], suffix[lo:hi]
+        spans = _merged(np.stack([own, own + length[lo:hi]], 1))
+        item = [tests.names[i] for i in tests.item[which].tolist()]
+        rows = zip(item, own.tolist(), tests.start[which].tolist(), length[lo:hi].tolist(), strict=True)
+        matches = [{"item": i, "doc_start": a, "item_start": b, "length": n} for i, a, b, n in rows] if locate else []
+        out.append((len(x), spans, sorted(set(item)), matches))
     return out
 
 
-def matched(docs: DataFrame, benchmark: DataFrame, text: str = "text", locate: bool = True) -> DataFrame:
-    """docs with __words, __hits (flat starts and ends of hit words), __items and, if located, __matches."""
+STATE = (("__words", "long"), ("__hits", "array<int>"), ("__items", "array<string>"), ("__matches", "array<struct<item:string,doc_start:int,item_start:int,length:int>>"))
+
+
+def names(docs: DataFrame) -> list[str]:
+    """The columns that matched() adds: __words, __hits, __items and __matches, with underscores at the end where docs has those."""
+    return common.unused(docs, *[n for n, _ in STATE])
+
+
+def matched(docs: DataFrame, benchmark: DataFrame, text: str = "text", locate: bool = True, window: int = WINDOW) -> DataFrame:
+    """docs with the number of words, the hit words (flat starts and ends), the items and, if located, the longest matches of a window or
+    more, in columns named by names()."""
     spark = docs.sparkSession
     tests = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), common.text_or_empty("text").alias("text"))
     total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // BLOCK_BYTES))
-    empty = [F.lit(0).cast("long").alias("__words"), F.array().cast("array<int>").alias("__hits"), F.array().cast("array<string>").alias("__items"), F.array().cast("array<struct<item:string,doc_start:int,item_start:int,length:int>>").alias("__matches")]
+    own_names = names(docs)
+    empty = [(F.lit(0) if kind == "long" else F.array()).cast(kind).alias(n) for n, (_, kind) in zip(own_names, STATE, strict=True)]
     state = docs.select("*", *empty)
     schema = state.schema
-    arrow = {f: pa.list_(k) for f, k in (("__hits", pa.int32()), ("__items", pa.string()), ("__matches", pa.struct([("item", pa.string()), ("doc_start", pa.int32()), ("item_start", pa.int32()), ("length", pa.int32())])))}
+    kinds = [pa.list_(k) for k in (pa.int32(), pa.string(), pa.struct([("item", pa.string()), ("doc_start", pa.int32()), ("item_start", pa.int32()), ("length", pa.int32())]))]
     n_own = len(docs.columns)
     for block in range(blocks):
         part = tests if blocks == 1 else tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)
         sent = spark.sparkContext.broadcast([(r.item, r.text.encode()) for r in part.collect()])  # BLOCK_BYTES or one item
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            block_tests = Tests(sent.value)
+            block_tests = Tests(sent.value, window)
             for batch in batches:
                 texts = [t or b"" for t in batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()]
                 done, shard, size = [], [], 0
@@ -177,28 +225,29 @@ def matched(docs: DataFrame, benchmark: DataFrame, text: str = "text", locate: b
                 hits = [_merged(np.concatenate([np.array(a, np.int64).reshape(-1, 2), d[1]])).ravel().tolist() if a else d[1].ravel().tolist() for a, d in zip(old[0], done, strict=True)]
                 items = [sorted({*a, *d[2]}) for a, d in zip(old[1], done, strict=True)]
                 matches = [[*a, *d[3]] for a, d in zip(old[2], done, strict=True)]
-                new = [pa.array([d[0] for d in done], pa.int64()), *(pa.array(v, arrow[f]) for f, v in (("__hits", hits), ("__items", items), ("__matches", matches)))]
+                new = [pa.array([d[0] for d in done], pa.int64()), *(pa.array(v, k) for v, k in zip((hits, items, matches), kinds, strict=True))]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n_own], *new], names=schema.names)
 
-        state = state.withColumn("__text", F.col(text)).mapInArrow(run, schema)
+        state = state.select("*", F.col(text).cast("string").alias(common.unused(state, "__text")[0])).mapInArrow(run, schema)
         if block < blocks - 1:
             state = common.durable(state, "searched")
     return state
 
 
-def n_hit():
+def n_hit(hits: str = "__hits"):
     """Hit words: the sum of the merged spans' lengths."""
-    return F.aggregate(F.transform("__hits", lambda x, k: F.when(k % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
+    return F.aggregate(F.transform(hits, lambda x, k: F.when(k % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
-def contaminated():
+def contaminated(n_words: str = "__words", hits: str = "__hits"):
     """A document is contaminated if at least one word in twenty is hit."""
-    return (n_hit() > 0) & (20 * n_hit() >= F.col("__words"))
+    return (n_hit(hits) > 0) & (20 * n_hit(hits) >= F.col(n_words))
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """docs without the contaminated ones, with their own columns only."""
-    return matched(docs, benchmark, text, locate=False).where(~contaminated()).select(docs.columns)
+    n_words, hits, _, _ = names(docs)
+    return matched(docs, benchmark, text, locate=False).where(~contaminated(n_words, hits)).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -5,11 +5,14 @@ that can reach the threshold. High thresholds sign by pigeonhole: a set's shingl
 more parts than linked sets can differ in shingles, so two such sets agree on a whole part, whose hash is
 a signature. Lower thresholds sign with the rarest shingles (prefix filter). How often a shingle occurs is
 told by a sketch of fixed size over all documents; it only orders and weighs, so its errors cost time, not
-links. Sets with a common signature (directly or through others) are a family. In a family, blocks of at most
-BLOCK_SETS indexed and BLOCK_SETS querying sets are searched with DivideSkip: the short inverted lists
-of a query are merged through a heap, the long ones probed by binary search, and the sets that occur in
-T lists, T being the overlap that the threshold asks for, are links. A query skips sets that are
-connected with it already, so a family of m mutually similar sets gives some m links, not m * m.
+links. Sets with a common signature (directly or through others) are a family. A family is cut by size into
+ranges, so that links stay in a range or join neighbouring ones, and ranges into blocks of at most BLOCK_SETS sets.
+Every block is searched in itself with DivideSkip: the short inverted lists of a query are merged through a
+heap, the long ones probed by binary search, and the sets that occur in T lists, T being the overlap that the
+threshold asks for, are links. The first set of each range (its pivot) visits the blocks of its range and of the
+next, which connects a large group of near copies across blocks. Only blocks that hold sets of different components
+after that are searched pair by pair. A query skips sets that are connected with it already, so a family of m
+mutually similar sets gives some m links, not m * m, and its sets are sent to one block each.
 
 Two sets link when den * intersection >= num * union. Every link between different components is found;
 those inside a component suffice to connect it.
@@ -29,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -44,7 +47,7 @@ PARTS_UP_TO = 0.06
 SKETCH_BITS, SKETCH_ROW = 20, 1024
 #: Bits that mark the rare shingles which several sets turned out to sign with, and how often signing is repeated without them.
 SHARED_BITS, REFINED = 26, 1
-#: Sets and shingles on one side of a block.
+#: Sets and shingles in a block.
 BLOCK_SETS, BLOCK_SHINGLES = 1500, 600_000
 #: Components probed through one of their sets before a search, in blocks of more than this many sets.
 PROBE_ABOVE, PROBES = 32, 4
@@ -195,21 +198,27 @@ class Groups:
         return a != b
 
 
-def block_links(sets: list[np.ndarray], n_index: int, num: int, den: int) -> list[tuple[int, int]]:
-    """Links that connect what is linked among the first n_index sets and between them and the others."""
+def block_links(sets: list[np.ndarray], n_index: int, num: int, den: int, labels: list | None = None) -> list[tuple[int, int]]:
+    """Links that connect what is linked among the first n_index sets and between them and the others; with labels, sets of
+    one label are connected already, and only links of the others with the first n_index are looked for."""
     groups, out = Groups(len(sets)), []
     index = Index(sets[:n_index])
-    tops = set(range(n_index))  # the roots of the components that the index has
+    if labels is not None:
+        seen: dict = {}
+        for k, x in enumerate(labels):
+            groups.join(k, seen.setdefault(x, k))
+    tops = {groups.find(k) for k in range(n_index)}  # the roots of the components that the index has
 
     def link(q: int, k: int) -> None:
         a, b = groups.find(q), groups.find(k)
         if a != b:
             groups.join(a, b)
             out.append((q, k))
-            if a in tops and b in tops:
-                tops.remove(max(a, b))
+            if a in tops or b in tops:
+                tops.difference_update((a, b))
+                tops.add(groups.find(q))
 
-    for q in range(len(sets)):
+    for q in range(0 if labels is None else n_index, len(sets)):
         if n_index > PROBE_ABOVE:
             for t in sorted(tops)[:PROBES]:
                 if t != groups.find(q) and len(np.intersect1d(sets[q], sets[t], assume_unique=True)) >= needed(len(sets[q]), len(sets[t]), num, den):
@@ -220,23 +229,27 @@ def block_links(sets: list[np.ndarray], n_index: int, num: int, den: int) -> lis
     return out
 
 
+def mark_of(text: str) -> Column:
+    return F.xxhash64(common.text_or_empty(text))
+
+
 def set_table(docs: DataFrame, doc: str, text: str, width: int) -> DataFrame:
-    """(doc_id, n_shingles, key) of every document; and rows of each task's sketch, whose n_shingles is negative."""
+    """(doc_id, mark, n_shingles, key) of every document, mark being a hash of its text; and rows of each task's sketch, whose n_shingles is negative."""
     kind = docs.schema[doc].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, counts, ids = WordHash(), np.zeros(1 << SKETCH_BITS, np.uint32), pa.array([], pa.int64())
-        names = ["doc_id", "n_shingles", "key"]
-        for batch in batches:
-            found = [shingles(t, width, hashes) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        names = ["doc_id", "mark", "n_shingles", "key"]
+        for batch in common.batches(batches):
+            found = [shingles(t, width, hashes) for t in batch.column(2).cast(pa.binary()).to_pylist()]
             counts += np.bincount(np.concatenate([bucket(s) for s in found]), minlength=1 << SKETCH_BITS).astype(np.uint32) if found else 0
             ids = batch.column(0)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(map(len, found), pa.int64()), pa.array(map(set_key, found), pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([ids, batch.column(1), pa.array(map(len, found), pa.int64()), pa.array(map(set_key, found), pa.binary())], names=names)
         rows = counts.reshape(-1, SKETCH_ROW)
         at = np.flatnonzero(rows.any(1))
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), ids.type), pa.array(-1 - at), pa.array([r.tobytes() for r in rows[at]], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), ids.type), pa.nulls(len(at), pa.int64()), pa.array(-1 - at), pa.array([r.tobytes() for r in rows[at]], pa.binary())], names=names)
 
-    return docs.select(F.col(doc).alias("doc_id"), common.text_or_empty(text).alias("text")).mapInArrow(run, f"doc_id {kind}, n_shingles long, key binary")
+    return docs.select(F.col(doc).alias("doc_id"), mark_of(text).alias("mark"), common.text_or_empty(text).alias("text")).mapInArrow(run, f"doc_id {kind}, mark long, n_shingles long, key binary")
 
 
 def summed(rows: DataFrame) -> Sketch:
@@ -260,7 +273,7 @@ def signature_table(docs: DataFrame, text: str, width: int, num: int, den: int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, parts = WordHash(), Parts(num, den)
-        for batch in batches:
+        for batch in common.batches(batches):
             own: dict[int, np.ndarray] = {}
             for t in batch.column(0).cast(pa.binary()).to_pylist():
                 found = shingles(t, width, hashes)
@@ -309,42 +322,105 @@ def links(docs: DataFrame, sets: DataFrame, doc: str, text: str, width: int, num
     families = common.components(tied.select(F.col("id").alias("a"), F.col("low").alias("b")).distinct(), "families")
     id64 = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")
     classes = sets.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n")).withColumn("id", id64)
-    members = common.durable(classes.join(families, F.col("id") == F.col("node")).select("key", "doc", "n", "root"), "members")
-    sized = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("chunks"))
-    placed = members.join(sized, "root").withColumn("chunk", F.pmod(F.xxhash64("key", "root"), F.col("chunks")).cast("int"))
-    placed = common.durable(placed.select("key", "doc", "root", "chunk", "chunks"), "placed")
+    members = classes.join(families, F.col("id") == F.col("node")).select("key", "doc", "n", "root")
+    # Linked sets are in one range of sizes or in neighbouring ones; the ranges are a little wider than they need be.
+    members = common.durable(members.withColumn("range", F.floor(F.ln("n") / math.log(den / num * 1.0001)).cast("int")), "members")
+    sized = members.groupBy("root", "range").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.min("key").alias("pivot"))
+    sized = common.durable(sized, "sized")
+    placed = members.join(sized, ["root", "range"]).withColumn("block", F.pmod(F.xxhash64("key", "root"), F.col("blocks")).cast("int"))
+    placed = common.durable(placed.select("key", "doc", "root", "range", "block", "blocks", (F.col("key") == F.col("pivot")).alias("is_pivot")), "placed")
     reps = placed.select(F.col("doc").alias(doc)).distinct()
     texts = docs.join(common.sized(reps), doc, "left_semi").select(common.text_or_empty(text).alias("text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
-        for batch in batches:
+        for batch in common.batches(batches):
             own = {set_key(s): s for s in (shingles(t, width, hashes) for t in batch.column(0).cast(pa.binary()).to_pylist())}
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([s.tobytes() for s in own.values()], pa.binary())], names=["key", "hashes"])
 
-    rows = texts.mapInArrow(hashed, "key binary, hashes binary").join(placed.drop("doc"), "key")
-    ends = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda k: F.struct(F.least(k, F.col("chunk")).alias("i"), F.greatest(k, F.col("chunk")).alias("j")))
-    rows = rows.select("key", "hashes", "root", "chunk", F.explode(ends).alias("e")).select("key", "hashes", "root", "chunk", "e.i", "e.j")
-
-    def searched(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates("key").assign(query=part.chunk != part.i).sort_values(["query", "key"])
-        keys, own = part.key.tolist(), [np.frombuffer(h, np.uint64) for h in part.hashes]
-        found = block_links(own, int((~part["query"]).sum()), num, den)
-        return pd.DataFrame({"a": [keys[a] for a, _ in found], "b": [keys[b] for _, b in found]})
-
-    return rows.groupBy("root", "i", "j").applyInPandas(searched, "a binary, b binary")
+    found = texts.mapInArrow(hashed, "key binary, hashes binary")
+    rows = found.join(placed.drop("doc"), "key")
+    several = sized.groupBy("root").agg(F.sum("blocks").alias("n")).where("n > 1").select("root")
+    split = not several.isEmpty()
+    if split:
+        rows = common.durable(rows.drop_duplicates(["key"]), "hashes")
+        # A pivot visits the other blocks of its range and those of the next one.
+        to = [sized.select("root", (F.col("range") - d).alias("range"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("to"), F.lit(d).alias("step")) for d in (0, 1)]
+        ways = to[0].unionByName(to[1])
+        visits = rows.where("is_pivot").join(ways, ["root", "range"]).where("step = 1 OR to <> block")
+        visits = visits.select("key", "hashes", "root", (F.col("range") + F.col("step")).alias("range"), F.col("to").alias("block"), F.lit(False).alias("home"))
+        home = rows.select("key", "hashes", "root", "range", "block", F.lit(True).alias("home")).unionByName(visits)
+    else:
+        home = rows.select("key", "hashes", "root", "range", "block", F.lit(True).alias("home"))
+
+    def within(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.drop_duplicates("key").sort_values(["home", "key"], ascending=[False, True])
+        return named(part.key.tolist(), block_links([np.frombuffer(h, np.uint64) for h in part.hashes], int(part.home.sum()), num, den))
+
+    def between(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["second", "key"])
+        return named(part.key.tolist(), block_links([np.frombuffer(h, np.uint64) for h in part.hashes], int((~part.second).sum()), num, den, part.label.tolist()))
+
+    pairs = "a binary, b binary"
+    links_in = home.groupBy("root", "range", "block").applyInPandas(within, pairs)
+    if not split:
+        return links_in
+    links_in = common.durable(links_in, "links_in")
+    labels = common.components(links_in, "labels").withColumnsRenamed({"node": "key", "root": "label"})
+    labelled = rows.join(several, "root", "left_semi").join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    labelled = common.durable(labelled.select("key", "hashes", "root", "range", "block", "label"), "labelled")
+    blocks = common.durable(labelled.groupBy("root", "range", "block").agg(F.min("label").alias("low"), F.max("label").alias("high")), "blocks")
+    other = blocks.select("root", F.col("range").alias("range2"), F.col("block").alias("block2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    met = [blocks.withColumn("range2", F.col("range") + d).join(other, ["root", "range2"]).where("block < block2" if d == 0 else "true") for d in (0, 1)]
+    open_pairs = met[0].unionByName(met[1]).where("NOT (low = high AND low2 = high2 AND low = low2)").select("root", "range", "block", "range2", "block2")
+    open_pairs = common.durable(open_pairs, "open_pairs")
+    if open_pairs.isEmpty():
+        return links_in
+    first = open_pairs.join(labelled, ["root", "range", "block"]).withColumn("second", F.lit(False))
+    second = open_pairs.join(labelled.withColumnsRenamed({"range": "range2", "block": "block2"}), ["root", "range2", "block2"]).withColumn("second", F.lit(True))
+    return links_in.unionByName(first.unionByName(second).groupBy("root", "range", "block", "range2", "block2").applyInPandas(between, pairs))
+
+
+def named(keys: list[bytes], found: list[tuple[int, int]]) -> pd.DataFrame:
+    return pd.DataFrame({"a": [keys[a] for a, _ in found], "b": [keys[b] for _, b in found]})
+
+
+def grouped(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
+    """(doc_id, mark, n_shingles, component_id, first) of every document: first is the least (id, mark) of its component, null for an empty set."""
+    with common.scratch(docs.sparkSession, "jaccard"):
+        sets = common.durable(set_table(docs, doc, text, width), "sets")
+        linked = common.components(links(docs, sets, doc, text, width, num, den), "linked")
+        classes = sets.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "mark")).alias("first"))
+        classes = common.durable(classes.join(linked, F.col("key") == F.col("node"), "left").select("key", "low", "first", F.coalesce("root", "key").alias("root")), "classes")
+        lows = classes.groupBy("root").agg(F.min("low").alias("component"), F.min("first").alias("least"))
+        names = classes.join(lows, "root").select("key", "component", F.col("least").alias("first"))
+        out = sets.where("n_shingles >= 0").join(names, "key", "left")
+        return common.durable(out.select("doc_id", "mark", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), "first"), "groups", up=1)
 
 
 def joined(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document."""
-    sets = common.durable(set_table(docs, doc, text, width), "sets")
-    linked = common.components(links(docs, sets, doc, text, width, num, den), "linked")
-    classes = sets.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("low"))
-    classes = common.durable(classes.join(linked, F.col("key") == F.col("node"), "left").select("key", "low", F.coalesce("root", "key").alias("root")), "classes")
-    lows = classes.groupBy("root").agg(F.min("low").alias("component"))
-    named = classes.join(lows, "root").select("key", "component")
-    out = sets.where("n_shingles >= 0").join(named, "key", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    return grouped(docs, doc, text, width, num, den).select("doc_id", "n_shingles", "component_id")
+
+
+def representatives(docs: DataFrame, doc: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """One row of docs for each component: that of the smallest id, of one id that of the smallest hash of its text, of rows equal in both any one.
+
+    Rows are told apart by id and text, so rows that share an id but not their texts stand for themselves. Rows without words all stay.
+    """
+    own, k_doc, k_mark = common.unused(docs, "__mark", "__doc", "__gone")
+    with common.scratch(docs.sparkSession, "near"):
+        rows = grouped(docs, doc, text, width, num, den).where("n_shingles > 0").select(F.col("doc_id").alias(k_doc), F.col("mark").alias(k_mark), "first")
+        least = F.col(k_doc).eqNullSafe(F.col("first.doc_id")) & (F.col(k_mark) == F.col("first.mark"))
+        gone = common.durable(rows.where(~least).select(k_doc, k_mark).distinct(), "gone", up=1)
+        again = common.durable(rows.where(least).groupBy(k_doc, k_mark).count().where("count > 1").select(k_doc, k_mark), "again", up=1)
+    same = lambda a, b: a[doc].eqNullSafe(b[k_doc]) & (a[own] == b[k_mark])
+    marked_ = docs.withColumn(own, mark_of(text))
+    left = marked_.join(common.sized(gone), same(marked_, gone), "left_anti")
+    if not again.isEmpty():
+        more = common.sized(again)
+        left = left.join(more, same(left, again), "left_anti").unionByName(left.join(more, same(left, again), "left_semi").dropDuplicates([doc, own]))
+    return left.select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:

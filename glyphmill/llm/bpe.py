@@ -156,13 +156,13 @@ def token_counts(docs: DataFrame, path: str, keep: list[str], text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, kept = counter(path)
-        for batch in batches:
+        for batch in common.batches(batches):
             texts = batch.column(batch.num_columns - 1)
             n = [count_tokens(vocabulary, kept, t) for t in texts.to_pylist()]
             size = pa.array([len(t) for t in texts.cast(pa.binary()).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], size, pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=[*keep, "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(*keep, common.text_or_empty(text).alias("__text")).mapInArrow(run, out)
+    return docs.select(*keep, common.text_or_empty(text).alias(common.unused(docs, "__text")[0])).mapInArrow(run, out)
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextvars import ContextVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,36 +16,60 @@ from ..session import ship
 
 #: A key list of at most this many rows may be broadcast; a longer one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
-#: Rows in an Arrow batch: whole texts of up to some 100 kB each must fit a Python worker.
+#: A key is hot if it holds more than one in so many rows of its table; so many keys are hot at most, which may be broadcast.
+HOT = 10_000
+#: Rows that a worker turns into Python objects at once: whole texts of up to some 100 kB each must fit. Spark bounds the bytes of a batch.
 BATCH_ROWS = 1_000
 
-_scope: list[str] = []
+#: Folders of sessions on one machine that name none, by application.
+_own: dict[str, str] = {}
+_scopes: ContextVar[tuple[str, ...]] = ContextVar("scopes", default=())
 
 
-def prepare(spark: SparkSession) -> None:
-    """Sends the library to the executors and keeps Arrow batches of whole texts small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    prepare(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def batches(given: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most BATCH_ROWS."""
+    for batch in given:
+        for k in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(k, BATCH_ROWS)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """names, each with underscores at its end until no column of df has it."""
+    own, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in own:
+            name += "_"
+        own.add(name.lower())
+        out.append(name)
+    return out
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all run on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='glyphmill-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = f"file://{tempfile.mkdtemp(prefix='glyphmill-')}"
+        found = _own[app]
     return found.rstrip("/")
 
 
-def durable(df: DataFrame, name: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: the lineage ends here and a lost executor loses nothing."""
+def durable(df: DataFrame, name: str, up: int = 0) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: the lineage ends here and a lost executor loses nothing.
+
+    It goes with the innermost scratch() around, or lives on beyond so many (up) of them.
+    """
     spark = df.sparkSession
-    path = "/".join([shared_dir(spark), *_scope, f"{name}-{uuid.uuid4().hex}"])
+    scopes = _scopes.get()
+    path = "/".join([shared_dir(spark), *scopes[: len(scopes) - min(up, len(scopes))], f"{name}-{uuid.uuid4().hex}"])
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -52,21 +80,24 @@ def filesystem(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
-class scope:
-    """Durable tables written inside go to a folder of their own, which drop() removes when its readers are done."""
-
-    def __init__(self, name: str):
-        self.name = f"{name}-{uuid.uuid4().hex}"
-
-    def __enter__(self):
-        _scope.append(self.name)
-        return self
+def remove(df: DataFrame) -> None:
+    """Deletes the files of a durable table that no result needs any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        fs, at = filesystem(spark, path)
+        fs.delete(at, True)
 
-    def __exit__(self, *_):
-        _scope.remove(self.name)
 
-    def drop(self, spark: SparkSession) -> None:
-        fs, at = filesystem(spark, f"{shared_dir(spark)}/{self.name}")
+@contextlib.contextmanager
+def scratch(spark: SparkSession, name: str):
+    """Durable tables written inside are in a folder of their own, which is removed at the end. Results that outlive it ask for up=1."""
+    scopes = _scopes.get()
+    token = _scopes.set((*scopes, f"{name}-{uuid.uuid4().hex}"))
+    try:
+        yield
+    finally:
+        fs, at = filesystem(spark, "/".join([shared_dir(spark), *_scopes.get()]))
+        _scopes.reset(token)
         fs.delete(at, True)
 
 
@@ -75,6 +106,20 @@ def sized(keys: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(keys) if (keys.count() if rows is None else rows) <= BROADCAST_ROWS else keys.hint("merge")
 
 
+def joined_hot(rows: DataFrame, keyed: DataFrame, on: list[str], total: int) -> DataFrame:
+    """rows joined on keys (not null) with keyed, which has a row for each key and in __n the number of rows that have it, of total.
+
+    Hot keys, HOT at most, are broadcast, so that the rows of one key never meet in one task; the others are joined by size.
+    """
+    hot = keyed.where(F.col("__n") * HOT > total).drop("__n")
+    cold = keyed.where(F.col("__n") * HOT <= total).drop("__n")
+    if hot.isEmpty():
+        return rows.join(sized(cold), on)
+    few = F.broadcast(hot)
+    rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti")
+    return rows.join(few, on).unionByName(rest.join(sized(cold), on))
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -93,6 +138,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     state = durable(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
     before = None
     while True:
+        last = state
         pairs = state.select(F.explode(both).alias("e")).select("e.a", "e.b")
         low = pairs.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = pairs.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -101,6 +147,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         state = durable(small, name)
         now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.countDistinct("a")).first()
         if now == before or now[0] == now[2] and state.join(state.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
+            remove(last)
             break
+        remove(last)
         before = now
     return state.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(state.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -7,11 +7,14 @@ second, third ... in byte order get a suffix. So equal canonical texts have equa
 different ones never share one.
 
 Defined results: a null text counts as the empty text, which has a fingerprint as well; repeated rows
-and ids keep one result row each; an empty table gives an empty result; further columns are not read.
+and ids keep one result row each (rows of one id are neighbours in the order of their texts); rows without an id come
+last; ids are read as whole numbers (long); an empty table gives an empty result; further columns are kept by
+fingerprint(), whatever their names, and not read by the query.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -20,8 +23,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Blocks of neighbouring ids per shuffle partition, and at most in all: their heads are broadcast.
-BLOCKS_PER_PARTITION, MOST_BLOCKS = 4, 4096
+#: Blocks of neighbouring ids: so many a shuffle partition, or of so many characters if that makes more. Their heads, MOST_BLOCKS at most, are broadcast.
+BLOCKS_PER_PARTITION, BLOCK_CHARS, MOST_BLOCKS = 4, 64_000_000, 1 << 17
 
 
 def canonical(text: Column) -> Column:
@@ -49,33 +52,38 @@ def fingerprint(docs: DataFrame, text: str = "text", hash_of: Callable[[Column],
     The buckets with several rows are found from the hashes alone; only their texts are then shuffled,
     collapsed per partition, and compared. Other columns of docs, whatever their names, are kept.
     """
-    mark = docs.drop("fingerprint").select("*", canonical(common.text_or_empty(text)).alias("__canon")).withColumn("__bucket", hash_of(F.col("__canon")))
-    shared = mark.groupBy(F.col("__bucket").alias("__shared")).agg(F.count("*").alias("__n")).where("__n > 1").select("__shared")
-    texts = mark.join(shared, mark["__bucket"] == shared["__shared"], "left_semi").select(F.col("__bucket").alias("bucket"), F.col("__canon").alias("canon"))
-    extra = common.durable(numbered(texts).where("variant > 0").select(F.col("bucket").alias("__b"), F.col("canon").alias("__c"), F.col("variant").alias("__v")), "variants")
+    canon, bucket, b, c, v = common.unused(docs, "__canon", "__bucket", "__b", "__c", "__v")
+    mark = docs.drop("fingerprint").select("*", canonical(common.text_or_empty(text)).alias(canon)).withColumn(bucket, hash_of(F.col(canon)))
+    shared = mark.groupBy(F.col(bucket).alias(b)).agg(F.count("*").alias(v)).where(F.col(v) > 1).select(b)
+    texts = mark.join(shared, mark[bucket] == shared[b], "left_semi").select(F.col(bucket).alias("bucket"), F.col(canon).alias("canon"))
+    extra = common.durable(numbered(texts).where("variant > 0").select(F.col("bucket").alias(b), F.col("canon").alias(c), F.col("variant").alias(v)), "variants")
+    kept = [x for x in docs.columns if x.lower() != "fingerprint"]
     if extra.isEmpty():
-        return mark.withColumn("fingerprint", F.col("__bucket")).drop("__canon", "__bucket")
-    found = mark.join(extra, (mark["__bucket"] == extra["__b"]) & (mark["__canon"] == extra["__c"]), "left")
-    name = F.concat("__bucket", F.when(F.col("__v") > 0, F.concat(F.lit("-"), F.col("__v"))).otherwise(""))
-    return found.withColumn("fingerprint", name).drop("__canon", "__bucket", "__b", "__c", "__v")
+        common.remove(extra)
+        return mark.select(*[F.col(f"`{x}`") for x in kept], F.col(bucket).alias("fingerprint"))
+    found = mark.join(extra, (mark[bucket] == extra[b]) & (mark[canon] == extra[c]), "left")
+    name = F.concat(bucket, F.when(F.col(v) > 0, F.concat(F.lit("-"), F.col(v))).otherwise(""))
+    return found.select(*[F.col(f"`{x}`") for x in kept], name.alias("fingerprint"))
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text, bucket, ...) with next_id, next_text, next_bucket: the next row in descending doc_id, after the last the first.
+    """docs (doc_id, a long; text, bucket, ...) with next_id, next_text, next_bucket: the next row in descending doc_id, after the last the first.
 
-    Ids are cut at quantiles into blocks; one exchange brings each block together with a copy of the
+    Ids are cut at quantiles into blocks, whose number grows with the text; one exchange brings each block together with a copy of the
     first row of the block below it. Ties of doc_id go by text.
     """
     spark = docs.sparkSession
-    n = min(MOST_BLOCKS, BLOCKS_PER_PARTITION * common.shuffle_parts(spark))
-    cuts = docs.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10 * MOST_BLOCKS)).first()[0] or []
+    chars = docs.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    n = min(MOST_BLOCKS, max(BLOCKS_PER_PARTITION * common.shuffle_parts(spark), chars // BLOCK_CHARS))
+    cuts = docs.select(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10 * n)).first()[0] or []
     cuts = sorted(set(cuts))
-    runs = [cuts[k : k + 64] for k in range(0, len(cuts), 64)]
+    each = max(16, math.isqrt(len(cuts)))
+    runs = [cuts[k : k + each] for k in range(0, len(cuts), each)]
     below = lambda ids: F.size(F.filter(ids, lambda b: b < F.col("doc_id")))
     if cuts:
         array = lambda ids: F.array(*[F.lit(x).cast("long") for x in ids])
         high = below(array([r[-1] for r in runs]))
-        block = high * 64 + F.when(high < len(runs), below(F.element_at(F.array(*map(array, runs)), F.least(high + 1, F.lit(len(runs)))))).otherwise(0)
+        block = high * each + F.when(high < len(runs), below(F.element_at(F.array(*map(array, runs)), F.least(high + 1, F.lit(len(runs)))))).otherwise(0)
     else:
         block = F.lit(0)
     dealt = docs.withColumn("block", block.cast("int"))

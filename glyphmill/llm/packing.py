@@ -32,8 +32,8 @@ from .bpe import Kept, Vocabulary, in_bytes, public_path
 CAPACITY = 2048
 #: Rounds of multiplicative weights, their rate, and how near the best a pattern of a round must be.
 ROUNDS, RATE, NEAR = 40, 0.5, 0.02
-#: Parts into which the pieces of one length are ranked.
-RANKED = 256
+#: Pieces of one length that one task ranks, about.
+RANKED = 200_000
 
 PIECE = "doc_id {kind}, piece int, start long, length long, ids_crc32 long"
 
@@ -57,7 +57,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, doc: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, kept = encoder(path)
         last = packed_ids([end_id])
-        for batch in batches:
+        for batch in common.batches(batches):
             rows = []
             for k, t in enumerate(batch.column(1).to_pylist()):
                 if vocabulary.special and vocabulary.special.search(t):
@@ -192,24 +192,25 @@ def slots(patterns: list[tuple[Counter, int]]) -> dict[str, np.ndarray]:
 def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (doc_id, piece, length, ...; written, as they are read twice) with sequence_id and offset."""
     spark = pieces.sparkSession
-    part = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(RANKED)).cast("int")
-    dealt = pieces.withColumn("__part", part)
-    counts = dealt.groupBy("length", "__part").count().orderBy("length", "__part").toPandas()
-    histogram = {int(x): int(n) for x, n in counts.groupby("length")["count"].sum().items()}
-    before = counts.groupby("length")["count"].cumsum() - counts["count"]
-    base = np.zeros((capacity + 1, RANKED), np.int64)
-    base[counts["length"].to_numpy(int), counts["__part"].to_numpy(int)] = before.to_numpy(np.int64)
+    part, rank_in = common.unused(pieces, "__part", "__rank")
+    histogram = {int(r.length): r["count"] for r in pieces.groupBy("length").count().collect()}  # a row for each of capacity lengths
+    own = spark.createDataFrame([(x, -(-n // RANKED)) for x, n in histogram.items()] or [(0, 1)], "length long, __parts long")
+    dealt = pieces.join(F.broadcast(own), "length").select(*pieces.columns, F.pmod(F.xxhash64(*pieces.columns), "__parts").cast("int").alias(part))
+    # A row for each length and RANKED pieces of it: where the part's ranks begin.
+    counts = dealt.groupBy("length", part).count().toPandas().sort_values(["length", part])
+    code = (counts["length"].to_numpy(np.int64) << 32) | counts[part].to_numpy(np.int64)
+    base = (counts.groupby("length")["count"].cumsum() - counts["count"]).to_numpy(np.int64)
     table = slots(plan(histogram, capacity))
-    sent = spark.sparkContext.broadcast((base, table, (table["length"] << 44) | table["rank"]))
-    ranked = dealt.withColumn("__rank", F.row_number().over(W.partitionBy("length", "__part").orderBy(*pieces.columns)) - 1)
+    sent = spark.sparkContext.broadcast((code, base, table, (table["length"] << 44) | table["rank"]))
+    ranked = dealt.withColumn(rank_in, F.row_number().over(W.partitionBy("length", part).orderBy(*pieces.columns)) - 1)
     schema = pieces.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        start, place, keys = sent.value
+        code, base, place, keys = sent.value
         for batch in batches:
             number = lambda c, b=batch: b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64)
             length = number("length")
-            rank = number("__rank") + start[length, number("__part")]
+            rank = number(rank_in) + base[np.searchsorted(code, (length << 32) | number(part))]
             k = np.searchsorted(keys, (length << 44) | rank, "right") - 1
             within, each = rank - place["rank"][k], place["each"][k]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(place["sequence"][k] + within // each), pa.array(place["offset"][k] + within % each * length)], names=schema.names)

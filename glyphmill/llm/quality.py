@@ -42,6 +42,28 @@ class Ordinal:
     thresholds: np.ndarray
 
 
+def ordered(cut: np.ndarray) -> np.ndarray:
+    """Thresholds of a first one and the logarithms of the gaps."""
+    return np.concatenate([cut[:1], cut[0] + np.cumsum(np.exp(np.clip(cut[1:], -20, 20)))])
+
+
+def gradient(p: np.ndarray, x: Sparse, grade: np.ndarray) -> np.ndarray:
+    """Of the mean negative log likelihood with a penalty on the weights; p: weights, first threshold, logarithms of the gaps."""
+    m, n = x.width, len(grade)
+    edge = np.concatenate([[-np.inf], ordered(p[m:]), [np.inf]])
+    f = x.times(p[:m])
+    low, high = sigmoid(edge[grade] - f), sigmoid(edge[grade + 1] - f)
+    low, high = np.where(grade == 0, 0.0, low), np.where(grade == GRADES - 1, 1.0, high)
+    mass = np.maximum(high - low, 1e-12)
+    d_low, d_high = low * (1 - low) / mass, high * (1 - high) / mass  # of the log likelihood by the edges
+    by_f = (d_high - d_low) / n  # of the loss
+    by_theta = np.zeros(GRADES - 1)
+    np.add.at(by_theta, np.minimum(grade, GRADES - 2), np.where(grade < GRADES - 1, -d_high, 0) / n)
+    np.add.at(by_theta, np.maximum(grade - 1, 0), np.where(grade > 0, d_low, 0) / n)
+    gaps = np.exp(np.clip(p[m + 1 :], -20, 20)) * np.cumsum(by_theta[:0:-1])[::-1]
+    return np.concatenate([x.back(by_f) + L2 * p[:m], [by_theta.sum()], gaps])
+
+
 def fitted(lists: list[np.ndarray], grade: np.ndarray) -> Ordinal:
     """Maximum likelihood with a small penalty on the weights."""
     n = len(grade)
@@ -54,28 +76,10 @@ def fitted(lists: list[np.ndarray], grade: np.ndarray) -> Ordinal:
     x = Sparse(lists, chosen)
     m = x.width
 
-    def split(p: np.ndarray) -> np.ndarray:
-        return np.concatenate([[p[m]], p[m] + np.cumsum(np.exp(np.clip(p[m + 1 :], -20, 20)))])
-
-    def gradient(p: np.ndarray) -> np.ndarray:
-        theta = split(p)
-        edge = np.concatenate([[-np.inf], theta, [np.inf]])
-        f = x.times(p[:m])
-        low, high = sigmoid(edge[grade] - f), sigmoid(edge[grade + 1] - f)
-        low, high = np.where(grade == 0, 0.0, low), np.where(grade == GRADES - 1, 1.0, high)
-        mass = np.maximum(high - low, 1e-12)
-        d_low, d_high = low * (1 - low) / mass, high * (1 - high) / mass  # of the log likelihood by the edges
-        by_f = (d_high - d_low) / n  # of the loss
-        by_theta = np.zeros(GRADES - 1)
-        np.add.at(by_theta, np.minimum(grade, GRADES - 2), np.where(grade < GRADES - 1, -d_high, 0) / n)
-        np.add.at(by_theta, np.maximum(grade - 1, 0), np.where(grade > 0, d_low, 0) / n)
-        gaps = np.exp(np.clip(p[m + 1 :], -20, 20)) * np.cumsum(by_theta[:0:-1])[::-1]
-        return np.concatenate([x.back(by_f) + L2 * p[:m], [by_theta.sum()], gaps])
-
     by_row = x.times(np.ones(m)) + 1
     curve = np.concatenate([x.back(by_row) / (4 * n) + L2, np.full(GRADES - 1, by_row.mean() / 4 + 0.5)])
-    p = descend(gradient, np.concatenate([np.zeros(m), [start[0]], np.log(np.maximum(np.diff(start), 1e-3))]), STEPS, 1 / curve)
-    return Ordinal(chosen, p[:m], split(p))
+    p = descend(lambda p: gradient(p, x, grade), np.concatenate([np.zeros(m), [start[0]], np.log(np.maximum(np.diff(start), 1e-3))]), STEPS, 1 / curve)
+    return Ordinal(chosen, p[:m], ordered(p[m:]))
 
 
 def train(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text") -> Ordinal:
@@ -84,19 +88,19 @@ def train(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "
 
 
 def graded(docs: DataFrame, model: Ordinal, text: str = "text") -> DataFrame:
-    """docs with __above_0, __above_1, ...: the probabilities of a higher grade than 0, 1, ..."""
-    schema = docs.select("*", *[F.lit(0.0).alias(f"__above_{k}") for k in range(GRADES - 1)]).schema
+    """docs with __above_0, __above_1, ... (with underscores at the end where docs has them): the probabilities of a higher grade than 0, 1, ..."""
+    schema = docs.select("*", *[F.lit(0.0).alias(n) for n in common.unused(docs, *[f"__above_{k}" for k in range(GRADES - 1)])]).schema
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         features = Features({int(f): c for c, f in enumerate(model.features)})
-        for batch in batches:
+        for batch in common.batches(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             total = np.array([model.weights[list(features.of(t))].sum() if len(model.weights) else 0.0 for t in texts])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(sigmoid(total - t)) for t in model.thresholds)], names=schema.names)
 
-    return docs.withColumn("__text", common.text_or_empty(text)).mapInArrow(run, schema)
+    return docs.select("*", common.text_or_empty(text).alias(common.unused(docs, "__text")[0])).mapInArrow(run, schema)
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:

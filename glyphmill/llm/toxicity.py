@@ -48,6 +48,13 @@ class Linear:
         return sigmoid(texts.times(self.weights) + before @ self.earlier + self.bias)
 
 
+def gradient(p: np.ndarray, x: Sparse, before: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Of the mean logistic loss with a penalty on all but the bias; p: weights of the features, of the earlier probabilities, bias."""
+    m = x.width
+    error = (sigmoid(x.times(p[:m]) + before @ p[m:-1] + p[-1]) - y) / len(y)
+    return np.concatenate([x.back(error) + L2 * p[:m], before.T @ error + L2 * p[m:-1], [error.sum()]])
+
+
 def fitted(lists: list[np.ndarray], before: np.ndarray, y: np.ndarray) -> Linear:
     n, k = len(y), before.shape[1]
     share = float(np.mean(y)) if n else 0.0
@@ -57,14 +64,10 @@ def fitted(lists: list[np.ndarray], before: np.ndarray, y: np.ndarray) -> Linear
     x = Sparse(lists, chosen)
     m = x.width
 
-    def gradient(p: np.ndarray) -> np.ndarray:
-        error = (sigmoid(x.times(p[:m]) + before @ p[m : m + k] + p[-1]) - y) / n
-        return np.concatenate([x.back(error) + L2 * p[:m], before.T @ error + L2 * p[m : m + k], [error.sum()]])
-
     # The sums of |features| by row and by column bound the curvature of each coordinate.
     by_row = x.times(np.ones(m)) + before.sum(1) + 1
     curve = np.concatenate([x.back(by_row), before.T @ by_row, [by_row.sum()]]) / (4 * n) + L2
-    p = descend(gradient, np.concatenate([np.zeros(m + k), [np.log(share / (1 - share))]]), STEPS, 1 / curve)
+    p = descend(lambda p: gradient(p, x, before, y), np.concatenate([np.zeros(m + k), [np.log(share / (1 - share))]]), STEPS, 1 / curve)
     return Linear(chosen, p[:m], p[m : m + k], float(p[-1]))
 
 
@@ -88,9 +91,14 @@ def train(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "
     return chain(*sample(docs, labels, categories(), doc, text))
 
 
+def score_names(docs: DataFrame, models: dict[str, Linear]) -> list[str]:
+    """The columns that scored() adds: __p_<category>, with underscores at the end where docs has that name."""
+    return common.unused(docs, *[f"__p_{n}" for n in models])
+
+
 def scored(docs: DataFrame, models: dict[str, Linear], text: str = "text") -> DataFrame:
-    """docs with a column __p_<category> for each model."""
-    schema = docs.select("*", *[F.lit(0.0).alias(f"__p_{n}") for n in models]).schema
+    """docs with a column of probabilities for each model, named by score_names()."""
+    schema = docs.select("*", *[F.lit(0.0).alias(n) for n in score_names(docs, models)]).schema
     sent = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,7 +108,7 @@ def scored(docs: DataFrame, models: dict[str, Linear], text: str = "text") -> Da
         weights = np.zeros((len(models), len(chosen)))
         for k, m in enumerate(models):
             weights[k, np.searchsorted(chosen, m.features)] = m.weights
-        for batch in batches:
+        for batch in common.batches(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             totals = np.array([weights[:, list(features.of(t))].sum(1) for t in texts]).reshape(len(texts), len(models))
             before = np.zeros((len(texts), 0))
@@ -109,13 +117,14 @@ def scored(docs: DataFrame, models: dict[str, Linear], text: str = "text") -> Da
                 before = np.concatenate([before, p[:, None]], 1)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(before[:, k]) for k in range(len(models)))], names=schema.names)
 
-    return docs.withColumn("__text", common.text_or_empty(text)).mapInArrow(run, schema)
+    return docs.select("*", common.text_or_empty(text).alias(common.unused(docs, "__text")[0])).mapInArrow(run, schema)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, known: DataFrame | None = None, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those that the chain finds toxic. known: the documents that labels speak of, docs itself unless given."""
     models = train(docs if known is None else known, labels, doc, text)
-    return scored(docs, models, text).where(F.col("__p_toxic") < THRESHOLD).select(docs.columns)
+    toxic = score_names(docs, models)[list(models).index("toxic")]
+    return scored(docs, models, text).where(F.col(toxic) < THRESHOLD).select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:

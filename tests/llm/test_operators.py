@@ -205,39 +205,99 @@ def test_plans_hold_the_histogram(seed):
 
 
 # 3
-def test_templates_generalise_and_keep_the_first(spark):
-    lines = ["job 17 took 35 ms on node a", "job 18 took 99 ms on node a", "the very same words in this line stay put alpha", "the very same words in this line stay put beta"]
-    docs = spark.createDataFrame([(1, f"{lines[0]}\nmine only one two three\n{lines[2]}"), (2, f"{lines[1]}\nyours only four five six\n{lines[3]}"), (3, "short\nshort"), (4, "repeat of a line inside me\nrepeat of a line inside me")], "doc_id long, text string")
-    got = {r.doc_id: r.text for r in line_templates.deduplicated(docs).collect()}
-    assert got == {1: f"{lines[0]}\nmine only one two three\n{lines[2]}", 2: "yours only four five six", 3: "short\nshort", 4: "repeat of a line inside me\nrepeat of a line inside me"}
+LOG = "job {} took {} ms on node a"
 
 
-def test_short_lines_that_recur_word_for_word(spark):
-    rows = [(1, "All rights reserved.\n\n版权所有不得转载\nPage 1\nfirst own"), (2, "All  rights reserved.\n\n版权所有不得转载\nPage 2\nsecond own"), (3, "Page 2\nthird own")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.text for r in line_templates.without_recurring(docs).collect()}
-    assert got == {1: rows[0][1], 2: "\nPage 2\nsecond own", 3: "third own"}
+def texts_of(df) -> dict:
+    return {r.doc_id: r.text for r in df.collect()}
 
 
-def test_lines_that_no_other_document_holds(spark):
-    """Five tokens with another last one, and rows of numbers, have no common template."""
-    rows = [(1, "alpha beta gamma delta one\n1 2 3 4 5\n10 of 20 30 40"), (2, "alpha beta gamma delta two\n6 7 8 9 10\n11 of 21 31 41"), (3, "6 7 8 9 10\nthe own words of this text")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.text for r in line_templates.without_recurring(docs).collect()}
-    assert got == {1: rows[0][1], 2: rows[1][1], 3: "the own words of this text"}
+def documents(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string")
 
 
-def test_documents_go_only_if_others_hold_their_lines(spark):
-    log = "the job on node a took {} seconds to end this time"
-    docs = spark.createDataFrame([(1, log.format(1)), (2, f"{log.format(2)}\nx"), (3, log.format(1)), (4, f"  {log.format(1)}\ny")], "doc_id long, text string")
-    assert {r.doc_id: r.text for r in line_templates.without_recurring(docs).collect()} == {1: log.format(1), 2: "x"}
+def test_templates_with_fields_recur_in_five_documents(spark):
+    texts = [f"{LOG.format(k, 35 * k)}\nown line of {'abcdefg'[k]} here" for k in range(5)] + ["short\nshort", "repeat of a line inside me\nrepeat of a line inside me"]
+    got = texts_of(line_templates.deduplicated(documents(spark, texts)))
+    assert got == {1: texts[0], **{k: texts[k - 1].split("\n")[1] for k in range(2, 6)}, 6: texts[5], 7: texts[6]}
+    assert texts_of(line_templates.deduplicated(documents(spark, texts[:4]))) == dict(enumerate(texts[:4], 1))
 
 
-def test_columns_are_kept(spark, edge):
-    out = line_templates.without_recurring(edge)
-    assert out.columns == edge.columns
-    assert toxicity.without_toxic(edge, spark.createDataFrame([(3, 0, 1)], "doc_id long, quality int, toxic int")).columns == edge.columns
-    assert decontamination.decontaminated(edge, spark.createDataFrame([], "item_id long, text string")).columns == edge.columns
+def test_positions_that_vary_like_fields(spark):
+    names = "ann bob cem dan eva fay gus hal ida joe".split()
+    texts = [f"the session of user {n} was opened by the system at night" for n in names]
+    got = texts_of(line_templates.deduplicated(documents(spark, [*texts, "the session of user kim was closed by two admins at night"])))
+    assert got == {1: texts[0], **dict.fromkeys(range(2, 11), ""), 11: "the session of user kim was closed by two admins at night"}
+    assert texts_of(line_templates.deduplicated(documents(spark, texts[:7]))) == dict(enumerate(texts[:7], 1))
+
+
+def test_sentences_that_differ_stay(spark):
+    """False drops: sentences with another name or number in a few documents."""
+    texts = [f"The president of France is {n}" for n in ("Macron", "Hollande", "Sarkozy", "Chirac")] + [f"Total revenue was {n} million dollars" for n in (17, 35, 99)]
+    texts += [f"{w} is a word of its own kind and number {k}" for k, w in enumerate("apple pear plum fig".split())]
+    texts += ["1 2 3 4 5\n10 of 20 30 40", "6 7 8 9 10\n11 of 21 31 41"]
+    for give in (line_templates.deduplicated, line_templates.without_recurring):
+        assert texts_of(give(documents(spark, texts))) == dict(enumerate(texts, 1))
+
+
+def test_few_false_drops_of_given_documents(spark):
+    """A dropped line either stands word for word in an earlier document or has fields or a template that five documents have."""
+    docs = common.table(spark, DATA, "documents")
+    before, after = ({r.doc_id: (r.text or "").split("\n") for r in df.collect()} for df in (docs, line_templates.deduplicated(docs)))
+    fold = lambda x: re.sub(r"[ \t\r\f\x0b]+", " ", x).strip(" ")
+    first: dict[str, int] = {}
+    for k in sorted(before):
+        for x in before[k]:
+            first.setdefault(fold(x), k)
+    gone = [(k, x) for k in before for x, n in (Counter(map(fold, before[k])) - Counter(map(fold, after[k]))).items()]
+    assert len(gone) > 100
+    assert sum(first[x] == k for k, x in gone) <= 0.01 * len(gone)
+
+
+def test_lines_that_recur_word_for_word(spark):
+    texts = ["All rights reserved.\n\n版权所有不得转载\nPage 1\nfirst own", "All  rights reserved.\n\n版权所有不得转载\nPage 2\nsecond own", "Page 2\nthird own"]
+    assert texts_of(line_templates.without_recurring(documents(spark, texts))) == {1: texts[0], 2: "\nPage 2\nsecond own", 3: "third own"}
+
+
+def test_own_lines_are_never_lost(spark):
+    """A document goes only if all its lines stand word for word in others; one sentence of its own keeps it."""
+    shared = [f"line {w} of the text that both of them have" for w in "abcdefghij"]
+    texts = ["\n".join(shared), "\n".join([*shared, "One sentence of its own."]), "\n".join(shared), " \n"]
+    assert texts_of(line_templates.without_recurring(documents(spark, texts))) == {1: texts[0], 2: "One sentence of its own.", 4: " \n"}
+    logs = [LOG.format(k, 3 * k) for k in range(6)]  # of a template, but with values of their own
+    assert texts_of(line_templates.without_recurring(documents(spark, logs))) == dict(enumerate(logs, 1))
+
+
+def test_hot_lines(spark, monkeypatch):
+    texts = [f"the line that everyone has\nown {k}{'x' * k}" for k in range(60)]
+    want = {1: texts[0], **{k + 1: texts[k].split("\n")[1] for k in range(1, 60)}}
+    for share in (1, 10_000):
+        monkeypatch.setattr(common, "HOT", share)
+        assert texts_of(line_templates.without_recurring(documents(spark, texts))) == want
+
+
+INNER = "__text __p_junk __p_toxic __above_0 __above_1 __words __hits __items __matches __gone __unsure __doc __key __lines __dropped __canon __bucket __b __c __v __mark __html __part __rank arrival".split()
+
+
+def test_columns_of_any_name_are_kept(spark, edge, tmp_path):
+    """Columns that have every name that operators use inside."""
+    docs = edge.select("*", *[F.lit(n).alias(n) for n in INNER])
+    labels = spark.createDataFrame([(3, 0, 1), (4, 1, 0)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([("i", "line one of the shared text here")], "item_id string, text string")
+    whole = [
+        line_templates.without_recurring(docs),
+        toxicity.without_toxic(docs, labels),
+        decontamination.decontaminated(docs, items),
+        jaccard_join.representatives(docs),
+        sharding.sharded(docs, f"file://{tmp_path}/set").read(),
+    ]
+    for df in whole:
+        assert sorted(df.columns) == sorted(docs.columns)
+        assert df.where(" OR ".join(f"`{n}` <> '{n}'" for n in INNER)).isEmpty()
+    more = [line_templates.deduplicated(docs), toxicity.scored(docs, toxicity.train(docs, labels)), quality.graded(docs, quality.train(docs, labels)), decontamination.matched(docs, items), fingerprints.fingerprint(docs)]
+    for df in more:
+        assert set(docs.columns) <= set(df.columns) and df.count() == docs.count()
+        assert df.where(" OR ".join(f"`{n}` <> '{n}'" for n in INNER)).isEmpty()
 
 
 # 4 and 9
@@ -266,14 +326,73 @@ def test_models_without_labels_or_with_one_class(spark, edge):
     assert quality.graded(edge, quality.train(edge, none)).where("__above_0 < 0.5").count() == 0
 
 
+def sparse(seed: int, n: int = 80):
+    rnd = np.random.default_rng(seed)
+    lists = [np.unique(rnd.integers(0, 12, 5)) for _ in range(n)]
+    return rnd, lists, text_features.Sparse(lists, np.arange(12))
+
+
+def slope(loss, p: np.ndarray) -> np.ndarray:
+    step = 1e-6 * np.eye(len(p))
+    return np.array([(loss(p + d) - loss(p - d)) / 2e-6 for d in step])
+
+
+def test_chain_gradient():
+    rnd, lists, x = sparse(1)
+    before, y = rnd.random((80, 2)), rnd.integers(0, 2, 80)
+
+    def loss(p):
+        f = np.array([p[:12][own].sum() for own in lists]) + before @ p[12:14] + p[14]
+        return np.mean(np.log1p(np.exp(f)) - y * f) + toxicity.L2 / 2 * (p[:14] ** 2).sum()
+
+    p = rnd.normal(size=15)
+    assert np.allclose(toxicity.gradient(p, x, before, y), slope(loss, p), atol=1e-6)
+
+
 def test_ordinal_gradient():
-    rnd = np.random.default_rng(0)
-    grade = rnd.integers(0, 3, 400)
-    lists = [np.array(sorted({int(g) * 7 + int(x) for x in rnd.integers(0, 12, 4)})) for g in grade]
-    model = quality.fitted(lists, grade)
-    total = text_features.Sparse(lists, model.features).times(model.weights)
-    expected = sum(text_features.sigmoid(total - t) for t in model.thresholds)
-    assert np.corrcoef(expected, grade)[0, 1] > 0.8
+    rnd, lists, x = sparse(2)
+    grade = rnd.integers(0, 3, 80)
+
+    def loss(p):
+        f = np.array([p[:12][own].sum() for own in lists])
+        cut = [-np.inf, p[12], p[12] + np.exp(p[13]), np.inf]
+        below = lambda k: 1 / (1 + np.exp(f - np.array(cut)[k]))
+        return -np.mean(np.log(below(grade + 1) - below(grade))) + quality.L2 / 2 * (p[:12] ** 2).sum()
+
+    p = rnd.normal(size=14)
+    assert np.allclose(quality.gradient(p, x, grade), slope(loss, p), atol=1e-6)
+    model = quality.fitted([np.array(sorted({int(g) * 7 + int(k) for k in rnd.integers(0, 12, 4)})) for g in grade], grade)
+    assert (np.diff(model.thresholds) > 0).all()
+
+
+def features_of(text: str) -> set[int]:
+    return {f for chunk in text.split() for f in text_features.chunk_features(chunk)}
+
+
+def test_chain_and_grades_against_plain_sums(spark):
+    """Probabilities of whole texts from the models' weights one by one, and out-of-fold training by hand."""
+    docs, labels = (common.table(spark, DATA, t) for t in ("documents", "labels"))
+    models, graded = toxicity.train(docs, labels), quality.train(docs, labels)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    sigmoid = lambda v: 1 / (1 + np.exp(-np.clip(v, -40, 40)))
+    total = lambda features, weights, own: sum(w for f, w in zip(features.tolist(), weights.tolist(), strict=True) if f in own)
+    want = {}
+    for k, t in texts.items():
+        own, chain = features_of(t), []
+        for m in models.values():
+            chain.append(sigmoid(total(m.features, m.weights, own) + sum(a * b for a, b in zip(m.earlier, chain, strict=True)) + m.bias))
+        want[k] = (*chain, *(sigmoid(total(graded.features, graded.weights, own) - c) for c in graded.thresholds))
+    rows = quality.graded(toxicity.scored(docs, models), graded).collect()
+    assert all(np.allclose([r["__p_junk"], r["__p_toxic"], r["__above_0"], r["__above_1"]], want[r.doc_id]) for r in rows)
+
+    lists, targets, order = text_features.sample(docs, labels, toxicity.categories(), "doc_id", "text")
+    out = np.zeros(len(order))
+    for f in range(toxicity.FOLDS):
+        inside = np.abs(order) % toxicity.FOLDS == f
+        m = toxicity.fitted([x for x, i in zip(lists, inside, strict=True) if not i], np.zeros(((~inside).sum(), 0)), targets["junk"][~inside])
+        out[inside] = [sigmoid(total(m.features, m.weights, set(x.tolist())) + m.bias) for x, i in zip(lists, inside, strict=True) if i]
+    again = toxicity.fitted(lists, out[:, None], targets["toxic"])
+    assert np.allclose(again.weights, models["toxic"].weights) and np.allclose(again.earlier, models["toxic"].earlier)
 
 
 # 5
@@ -310,6 +429,38 @@ def test_sharding_round_trip_and_versions(spark, edge, tmp_path):
     assert key(made.read()) == key(edge.union(edge))
 
 
+def test_two_writers(spark, edge, tmp_path):
+    """A merge and its cleaning leave alone what another writer has written and not yet committed; both appends are kept."""
+    root = f"file://{tmp_path}/set"
+    sizes = {"target": 200_000, "small": 1_000, "fan": 2}
+    one, two = sharding.ShardSet(spark, root, **sizes), sharding.ShardSet(spark, root, **sizes)
+    one.append(edge)
+    late = two._written(edge)[0]
+    for _ in range(4):
+        one.append(edge)
+        one.compact()
+    two.add(late)
+    assert two.read().count() == one.read().count() == 6 * edge.count()
+    with pytest.raises(FileNotFoundError):
+        one.commit(one.version(), [*one.shards(), sharding.Shard(f"{root}/data/none/x.parquet", 1, 1, 0)])
+
+
+def test_tiers_and_sizes(spark, tmp_path):
+    """Every merge takes a full tier, makes fewer shards, and none that is far over the target; the rest of a tier is under the fan."""
+    made = sharding.ShardSet(spark, f"file://{tmp_path}/set", target=60_000, small=2_000, fan=4)
+    rows = spark.range(40).select("id", F.expr("repeat(sha2(cast(id as string), 512), 3)").alias("text"))
+    for k in range(12):
+        before = made.shards()
+        made.append(rows.withColumn("k", F.lit(k)).coalesce(1))
+        assert len(made.shards()) == len(before) + 1
+        made.compact()
+        tiers = Counter(s.tier for s in made.shards() if s.bytes < made.target / 2)
+        assert all(n < made.fan for n in tiers.values())
+        assert all(s.tier == made.tier(s.bytes) and s.bytes < 1.5 * made.target for s in made.shards())
+    assert made.read().count() == 480 and len(made.shards()) < 9
+    assert [made.tier(n) for n in (0, 1_999, 2_000, 7_999, 8_000, 32_000)] == [0, 0, 1, 1, 2, 3]
+
+
 # 7
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header><p>Site name</p></header><nav><ul><li><a href="/">Home</a></ul></nav>
 <div class="cookie-notice"><p>We use cookies, a long enough notice to count as text by its length alone.</p></div>
@@ -332,6 +483,36 @@ def test_links_in_articles_and_short_texts():
     assert html_text.extract(f"<p>{plain}</p>{'<p><a href=a>more</a></p>' * 3}<p>The end.</p>") == f"{plain}\n\nThe end."
 
 
+LEAD = "A first paragraph of the article with enough words to be one."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<html><head><title>t</title><body><p>{LEAD}</p></body></html>", LEAD),
+        (f"<html><head><title>t<meta charset=x></head><body><p>{LEAD}</p></body></html>", LEAD),
+        (f"<article><p>{LEAD}<button>Share</p><p>More of it.</p><select><option>one<p>End.</p></article>", f"{LEAD}\n\nMore of it.\n\nEnd."),
+        (f"<article><object data=x><p>{LEAD}</p><p>Two <button>b</button> <svg><text>s</text></svg>parts.</p></article>", f"{LEAD}\n\nTwo parts."),
+        (f'<article><p>{LEAD}</p></article><section id="comments"><article class="comment"><p>Nice!</p></article><article><p>So so.</p></article></section>', LEAD),
+        (f'<article><p>{LEAD}</p></article><aside class="related"><article><p>A teaser of another text.</p></article></aside>', LEAD),
+        (f'<div class="sidebar"><article><p>A teaser.</p></article></div><article><p>{LEAD}</p></article>', LEAD),
+        (f'<div class="content has-sidebar"><article><p>{LEAD}</p></article><div class="sidebar"><p>Side</p></div></div>', LEAD),
+        (f'<div class="sidebar-layout"><article><p>{LEAD}</p></article></div>', LEAD),
+        (f'<div class="post category-social tag-comment"><p>{LEAD}</p></div>', LEAD),
+        (f'<form id="aspnetForm"><div class="nav"><a href=a>Home</a></div><div><p>{LEAD}</p></div><input type=submit></form>', LEAD),
+        (f"<form id=f><article><p>{LEAD}</p><form><label>Mail</label></form></article></form>", LEAD),
+        (f"<main><p>{LEAD}</p><p><a href=x>Another whole paragraph that is one link.</a></p></main><p>Outside</p>", f"{LEAD}\n\nAnother whole paragraph that is one link."),
+        (f"<main><div><h2>Head</h2><p>{LEAD}</p></div><article><p>Small.</p></article></main>", f"Head\n\n{LEAD}\n\nSmall."),
+        ("<p>A paragraph of thirty characters.</p>", "A paragraph of thirty characters."),
+        (f"<article><ul><li>one<li class=ad>buy<li>two</ul><p class=ad>ad<p>{LEAD}<x-tip>!</x-tip></article>", f"one\n\ntwo\n\n{LEAD}!"),
+        (f"<article><p>{LEAD}</p><table><tr><td>a<td>b<tr><td>c</table></article>", f"{LEAD}\n\na\n\nb\n\nc"),
+        (f"<!-- x --><article><p>{LEAD}</p></article><!-- never closed", LEAD),
+    ],
+)
+def test_ordinary_pages(page, text):
+    assert html_text.extract(page) == text
+
+
 def test_given_pages():
     import html
 
@@ -388,6 +569,31 @@ def test_signatures_meet(num):
             assert len(np.intersect1d(parts.signatures(a, sketch), parts.signatures(b, sketch)))
 
 
+def test_groups_across_blocks(spark, monkeypatch):
+    """A large group of near copies, chains over sizes, and sets that only share a passage, in blocks of a few sets."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 4)
+    rnd = random.Random(3)
+    base = [f"b{k}" for k in range(60)]
+    texts = []
+    for _ in range(40):
+        own = list(base)
+        own[rnd.randrange(60)] = f"o{rnd.randrange(1000)}"
+        texts.append(" ".join(own))
+    texts += [" ".join(base[: 60 - k]) for k in range(20)]
+    texts += [" ".join([*(f"p{rnd.randrange(10**6)}" for _ in range(8)), *base[:40]]) for _ in range(20)]
+    want = brute_components(dict(enumerate(texts)), 3, 90, 100)
+    rows = jaccard_join.joined(documents(spark, texts).withColumn("doc_id", F.col("doc_id") - 1)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == want
+
+
+def test_representatives_tell_rows_apart_by_id_and_text(spark):
+    text = "one two three four five six seven eight nine ten"
+    other = "wholly different words stand in this row of the table here"
+    rows = [(1, text, "a"), (2, text, "b"), (2, other, "c"), (1, text, "d"), (3, None, "e"), (3, None, "f"), (None, other, "g")]
+    got = jaccard_join.representatives(spark.createDataFrame(rows, "doc_id long, text string, x string")).collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(1, text), (None, other), (3, None), (3, None)])
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)] + [(7, 7), (200, 201)]
     got = {r.node: r.root for r in common.components(spark.createDataFrame(edges, "a long, b long"), "t").collect()}
@@ -405,6 +611,40 @@ def test_longest_matches(spark):
     assert decontamination.decontaminated(docs, bench).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(12))
+def test_suffix_arrays(seed):
+    rnd = random.Random(seed)
+    ids = np.array([0, *(rnd.choice([0, 1, 1, 2, 3]) if seed % 2 else rnd.choice([0] + [1, 2] * 30) for _ in range(rnd.choice([0, 1, 40, 400]))), *[0] * decontamination.STEP])
+    upto = lambda k: tuple(ids[k : k + int(np.argmax(ids[k:] == 0))])
+    order = decontamination.suffix_array(ids)
+    assert sorted(order) == [k for k in range(len(ids)) if ids[k]]
+    assert [upto(k) for k in order] == sorted(upto(k) for k in order)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_longest_matches_against_scanning(seed):
+    """Every match of a window or more that can be extended to neither side, and its place, in random texts of few words."""
+    rnd = random.Random(seed)
+    words = [f"v{k}" for k in range(3)]
+    items = [(f"i{k}", rnd.choices(words, k=rnd.choice([1, 2, 5, 12]))) for k in range(4)]
+    texts = [rnd.choices([*words, "other"], k=rnd.choice([0, 1, 30, 120]), weights=[5, 5, 5, 1]) for _ in range(5)] + [items[3][1]]
+    tests = decontamination.Tests([(i, " ".join(w).encode()) for i, w in items], 4)
+    got = decontamination.searched(tests, [" ".join(t).encode() for t in texts], True)
+    for text, (n, spans, found, matches) in zip(texts, got, strict=True):
+        want = set()
+        for item, w in items:
+            for a in range(len(text)):
+                for b in range(len(w)):
+                    k = 0
+                    while a + k < len(text) and b + k < len(w) and text[a + k] == w[b + k]:
+                        k += 1
+                    if k >= min(4, len(w)) and not (a and b and text[a - 1] == w[b - 1]):
+                        want.add((item, a, b, k))
+        assert n == len(text) and {(m["item"], m["doc_start"], m["item_start"], m["length"]) for m in matches} == want
+        assert found == sorted({x[0] for x in want})
+        assert {p for a, b in spans for p in range(a, b)} == {p for _, a, _, k in want for p in range(a, a + k)}
+
+
 def test_blocks_of_items_give_the_same(spark, edge_dir, monkeypatch):
     whole = sorted(map(tuple, decontamination.op10_decontamination(spark, edge_dir).collect()))
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", 60)

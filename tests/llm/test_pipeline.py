@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline as pipeline
@@ -27,7 +29,9 @@ def test_stages(spark):
     assert lines.columns == columns
     assert lines.where(F.col("n_chars") != F.char_length("text")).isEmpty()
     again = line_templates.deduplicated(clean).select("doc_id", F.col("text").alias("t"))
-    assert lines.join(again, "doc_id").where("text <> t").isEmpty()
+    assert lines.join(again, "doc_id").where("text <> t AND trim(t) <> ''").isEmpty()
+    cut = again.join(clean.where("trim(text) <> ''").select("doc_id"), "doc_id")
+    assert set(ids(cut.where("t RLIKE '[^ \\n]'"))) <= set(ids(lines))
 
     near = common.durable(stages["jaccard_join"](spark, lines, DATA), "c")
     groups = brute_components({r.doc_id: r.text for r in lines.collect()}, 5, 80, 100)
@@ -45,3 +49,15 @@ def test_stages(spark):
 def test_odd_and_empty_tables(spark, edge_dir, empty_dir):
     assert {r.doc_id for r in pipeline.run(spark, edge_dir).collect()}
     assert pipeline.run(spark, empty_dir).count() == 0
+
+
+def test_two_runs_in_one_session(spark):
+    a, b = pipeline.run(spark, DATA), pipeline.run(spark, DATA)
+    assert a.count() == b.count() > 0
+
+
+def test_tables_of_stages_are_removed(spark):
+    shared = Path(common.shared_dir(spark).removeprefix("file://"))
+    before = set(shared.iterdir())
+    assert pipeline.run(spark, DATA).count()
+    assert [p.name.split("-")[0] for p in set(shared.iterdir()) - before] == ["pieces"]

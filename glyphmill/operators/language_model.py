@@ -1,86 +1,128 @@
 """An n-gram language model as tables, token statistics, and detector scores over them.
 
-p(t | h) = l c(h, t) / c(h) + (1 - l) (c(t) + a) / (N + a V) over a vocabulary of the V most frequent tokens and one
-for the rest. All moments of a history are sums over the vocabulary, taken from the sum of its unigram part and
-corrected for the tokens seen after it, so no table of histories by vocabulary is made. The unigram table,
-V rows at most, is the only one that is broadcast.
+p(t | h) = l c(h, t) / c(h) + (1 - l) (c(t) + a) / (N + a V) over all V different tokens of the fitted texts; a token that
+they do not have counts 0, and after a history that they do not have p is the second part alone, with l = 0. All moments of a history
+are sums over the vocabulary, taken from the sum of its unigram part and corrected for the tokens seen after it, and ranks
+are counted from the spectrum of the unigram part (its different values, some square root of the tokens) and corrected likewise,
+so no table of histories by vocabulary is made. Tables of any size are joined by shuffles.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
 
 UNKNOWN, START = "<unk>", "<s>"
-VOCABULARY, ALPHA, MIX, SECOND_MIX = 2000, 0.5, 0.9, 0.5
+ALPHA, MIX, SECOND_MIX = 0.5, 0.9, 0.5
 
 
 @dataclass
 class Model:
-    """unigrams (t, q); bigrams (h, t, p, rank, entropy, variance, p2, cross, best)."""
+    """pairs (h, t, c, q, p, p2), histories (h, ch, entropy, variance, cross, best), unigrams (t, q), and sums over the unigrams."""
 
+    pairs: DataFrame
+    histories: DataFrame
     unigrams: DataFrame
-    bigrams: DataFrame
+    whole: dict[str, float]
+    mix: float
+    second: float
 
 
 def token_table(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """(key, pos, raw) of the lower-case words of each text."""
-    return docs.select(key, F.posexplode(F.transform(text.split_words(F.col(column)), F.lower)).alias("pos", "raw"))
+    """(key, pos, t, h): the lower-case words of each text, each with the word before it. No row leaves its task."""
+    own = lambda s: F.transform(s["w"], lambda x, i: F.struct(i.alias("pos"), x.alias("t"), F.coalesce(F.get(s["w"], i - 1), F.lit(START)).alias("h")))
+    return docs.select(key, F.inline(text.let(own, w=F.transform(text.split_words(F.col(column)), F.lower))))
 
 
-def vocabulary(tokens: DataFrame, size: int = VOCABULARY) -> DataFrame:
-    """(raw) the most frequent tokens, ties by token."""
-    return tokens.groupBy("raw").count().orderBy(F.desc("count"), "raw").limit(size).select("raw")
+def bounded(tokens: DataFrame, size: int) -> DataFrame:
+    """tokens (of token_table) over the size most frequent ones, ties by token; all others are the unknown one."""
+    words = F.broadcast(tokens.groupBy("t").count().orderBy(F.desc("count"), "t").limit(size).select(F.col("t").alias("word")))
+    for c in ("t", "h"):
+        name = F.when(F.col("word").isNotNull(), F.col(c)).otherwise(F.when(F.col(c) == START, START).otherwise(UNKNOWN) if c == "h" else F.lit(UNKNOWN))
+        tokens = tokens.join(words, tokens[c] == words["word"], "left").withColumn(c, name).drop("word")
+    return tokens
 
 
-def coded(tokens: DataFrame, key: str, words: DataFrame) -> DataFrame:
-    """(key, pos, t, h): tokens of the vocabulary or the unknown one, each with the token before it."""
-    from pyspark.sql import Window as W
+def _xlogy(x: Column, y: Column) -> Column:
+    return x * F.ln(y)
+
+
+def _kept(df: DataFrame, folder: str | None, name: str) -> DataFrame:
+    """df, written to a folder and read again if there is one: computed once, and not lost with an executor."""
+    if folder is None:
+        return df
+    df.write.parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
+def fit(tokens: DataFrame, folder: str | None = None, mix: float = MIX, second: float = SECOND_MIX, alpha: float = ALPHA) -> Model:
+    """The model of tokens; its tables are written to a folder that driver and executors share, or computed where they are used without one."""
+    counts = _kept(tokens.groupBy("h", "t").agg(F.count("*").alias("c")), folder, "counts")
+    single = counts.groupBy("t").agg(F.sum("c").alias("c"))
+    total = single.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    n, v = total.n or 0, total.v
+    unigrams = _kept(single.select("t", ((F.col("c") + alpha) / (n + alpha * v)).alias("q")), folder, "unigrams")
+    q, p = F.col("q"), F.col("p")
+    b1, b2 = (1 - mix) * q, (1 - second) * q
+    whole = unigrams.agg(F.sum(_xlogy(b1, b1)).alias("e0"), F.sum(b1 * F.ln(b1) * F.ln(b1)).alias("s0"), F.sum(_xlogy(b1, b2)).alias("x0"), F.sum(_xlogy(q, q)).alias("u0"), F.sum(q * F.ln(q) * F.ln(q)).alias("us0"), F.max("q").alias("top_q")).first()
+    whole = {k: x or 0.0 for k, x in whole.asDict().items()} | {"no_q": alpha / (n + alpha * v) if n else 0.0}
+    history = counts.groupBy("h").agg(F.sum("c").alias("ch"))
+    pairs = counts.join(history, "h").join(unigrams, "t").select("h", "t", "c", "ch", "q", (mix * F.col("c") / F.col("ch") + b1).alias("p"), (second * F.col("c") / F.col("ch") + b2).alias("p2"))
+    pairs = _kept(pairs, folder, "pairs")
+    moments = pairs.groupBy("h").agg(F.max("ch").alias("ch"), F.sum(_xlogy(p, p) - _xlogy(b1, b1)).alias("e1"), F.sum(p * F.ln(p) * F.ln(p) - b1 * F.ln(b1) * F.ln(b1)).alias("s1"), F.sum(_xlogy(p, F.col("p2")) - _xlogy(b1, b2)).alias("x1"), F.max("p").alias("top"))
+    entropy = -(F.lit(whole["e0"]) + F.col("e1"))
+    histories = moments.select("h", "ch", entropy.alias("entropy"), (whole["s0"] + F.col("s1") - entropy * entropy).alias("variance"), (whole["x0"] + F.col("x1")).alias("cross"), F.greatest(F.col("top"), F.lit((1 - mix) * whole["top_q"])).alias("best"))
+    return Model(pairs.drop("ch"), _kept(histories, folder, "histories"), unigrams, whole, mix, second)
+
+
+def scored_pairs(model: Model, needed: DataFrame | None = None) -> DataFrame:
+    """(h, t, q, p, p2, known, entropy, variance, cross, best) of the model's pairs, or of different pairs (h, t) that it may not have seen."""
+    if needed is None:
+        return model.pairs.join(model.histories.drop("ch"), "h").withColumn("known", F.lit(True)).drop("c")
+    rows = needed.join(model.pairs.select("h", "t", "c"), ["h", "t"], "left").join(model.histories, "h", "left").join(model.unigrams, "t", "left")
+    none = {k: F.lit(x) for k, x in model.whole.items()}
+    known, c, q = F.col("ch").isNotNull(), F.coalesce("c", F.lit(0)), F.coalesce("q", none["no_q"])
+    share = lambda mix: F.when(known, mix * c / F.col("ch") + (1 - mix) * q).otherwise(q)
+    return rows.select("h", "t", q.alias("q"), share(model.mix).alias("p"), share(model.second).alias("p2"), known.alias("known"), F.coalesce("entropy", -none["u0"]).alias("entropy"), F.coalesce("variance", none["us0"] - none["u0"] * none["u0"]).alias("variance"), F.coalesce("cross", none["u0"]).alias("cross"), F.coalesce("best", none["top_q"]).alias("best"))
+
+
+def ranks(pairs: DataFrame, model: Model) -> DataFrame:
+    """(h, t, rank) of scored pairs: 1 and the tokens that are more probable after h.
+
+    Tokens above p by their unigram part, from its spectrum; less those of them that h has been seen with, and with those by their own p: a
+    running sum over the values of each history.
+    """
+    import numpy as np
 
-    rows = tokens.join(F.broadcast(words.withColumn("known", F.lit(True))), "raw", "left")
-    rows = rows.select(key, "pos", F.when(F.col("known"), F.col("raw")).otherwise(UNKNOWN).alias("t"))
-    return rows.withColumn("h", F.lag("t", 1, START).over(W.partitionBy(key).orderBy("pos")))
+    spectrum = model.unigrams.groupBy("q").count().toPandas().sort_values("q")  # the different counts of tokens: some square root of all tokens
+    values, above = (1 - model.mix) * spectrum["q"].to_numpy(), np.append(np.cumsum(spectrum["count"].to_numpy()[::-1])[::-1], 0)
+    sent = pairs.sparkSession.sparkContext.broadcast((values, above))
 
+    @F.pandas_udf("long")
+    def more(x: pd.Series) -> pd.Series:
+        values, above = sent.value
+        return pd.Series(above[np.searchsorted(values, x.to_numpy(), side="right")])
 
-def _xlogy(x: Column, y: Column) -> Column:
-    return x * F.ln(y)
+    own = lambda value, w: model.pairs.select("h", F.lit(None).cast("string").alias("t"), value.alias("x"), F.lit(w).alias("w"), F.lit(1).alias("kind"), F.lit(None).cast("double").alias("limit"))
+    asked = pairs.select("h", "t", F.col("p").alias("x"), F.lit(0).alias("w"), F.lit(0).alias("kind"), F.when(F.col("known"), F.col("p")).otherwise((1 - model.mix) * F.col("q")).alias("limit"))
+    events = asked.unionByName(own(F.col("p"), 1)).unionByName(own((1 - model.mix) * F.col("q"), -1))
+    so_far = F.sum("w").over(W.partitionBy("h").orderBy(F.desc("x"), "kind").rowsBetween(W.unboundedPreceding, 0))
+    return events.withColumn("more", so_far).where("kind = 0").select("h", "t", (1 + F.col("more") + more("limit")).cast("int").alias("rank"))
 
 
-def fit(coded_tokens: DataFrame, size: int = VOCABULARY, mix: float = MIX, second: float = SECOND_MIX, alpha: float = ALPHA) -> Model:
-    pairs = coded_tokens.groupBy("h", "t").agg(F.count("*").alias("c"))
-    single = pairs.groupBy("t").agg(F.sum("c").alias("c"))
-    total = single.agg(F.sum("c").alias("n"), F.count("*").alias("v"))
-    unigrams = single.crossJoin(F.broadcast(total)).select("t", ((F.col("c") + alpha) / (F.col("n") + alpha * F.col("v"))).alias("q"))
-    b1, b2 = (1 - mix) * F.col("q"), (1 - second) * F.col("q")
-    whole = unigrams.agg(F.sum(_xlogy(b1, b1)).alias("e0"), F.sum(b1 * F.ln(b1) * F.ln(b1)).alias("s0"), F.sum(_xlogy(b1, b2)).alias("x0"), F.collect_list("q").alias("qs"))
-    history = pairs.groupBy("h").agg(F.sum("c").alias("ch"))
-    rows = pairs.join(history, "h").join(F.broadcast(unigrams), "t").select("h", "t", "c", "q", (mix * F.col("c") / F.col("ch") + b1).alias("p"), (second * F.col("c") / F.col("ch") + b2).alias("p2"))
-    moments = rows.groupBy("h").agg(
-        F.sum(_xlogy(F.col("p"), F.col("p")) - _xlogy(b1, b1)).alias("e1"),
-        F.sum(F.col("p") * F.ln("p") * F.ln("p") - b1 * F.ln(b1) * F.ln(b1)).alias("s1"),
-        F.sum(_xlogy(F.col("p"), F.col("p2")) - _xlogy(b1, b2)).alias("x1"),
-        F.max("p").alias("top"),
-        F.collect_list(F.struct("p", "q")).alias("seen"),
-    )
-    moments = moments.crossJoin(F.broadcast(whole)).select("h", "top", "seen", "qs", (-(F.col("e0") + F.col("e1"))).alias("entropy"), (F.col("s0") + F.col("s1")).alias("square"), (F.col("x0") + F.col("x1")).alias("cross"))
-    above = lambda items, value, p: F.size(F.filter(items, lambda x: value(x) > p))
-    # Tokens above p: of the whole vocabulary by their unigram part, less the seen ones counted so, plus those by their own.
-    rank = 1 + above(F.col("qs"), lambda x: (1 - mix) * x, F.col("p")) - above(F.col("seen"), lambda x: (1 - mix) * x["q"], F.col("p")) + above(F.col("seen"), lambda x: x["p"], F.col("p"))
-    best = F.greatest(F.col("top"), (1 - mix) * F.array_max("qs"))
-    bigrams = rows.join(moments, "h").select("h", "t", "p", rank.alias("rank"), "entropy", (F.col("square") - F.col("entropy") * F.col("entropy")).alias("variance"), "p2", "cross", best.alias("best"))
-    return Model(unigrams, bigrams)
-
-
-def statistics(coded_tokens: DataFrame, model: Model, key: str, mix: float = MIX, second: float = SECOND_MIX) -> DataFrame:
-    """(key, pos, lp, rank, entropy, variance, lp2, cross, best) of each token; a pair that the model has not seen gets its unigram part."""
-    rows = coded_tokens.join(model.bigrams, ["h", "t"], "left").join(F.broadcast(model.unigrams), "t", "left")
-    q = F.coalesce(F.col("q"), F.lit(1e-9))
-    fallback = lambda c, v: F.coalesce(F.col(c), v)
-    return rows.select(key, "pos", F.ln(fallback("p", (1 - mix) * q)).alias("lp"), fallback("rank", F.lit(VOCABULARY)).alias("rank"), fallback("entropy", -F.ln(q)).alias("entropy"), fallback("variance", F.lit(0.0)).alias("variance"), F.ln(fallback("p2", (1 - second) * q)).alias("lp2"), fallback("cross", F.ln(q)).alias("cross"), F.ln(fallback("best", q)).alias("best"))
+def statistics(tokens: DataFrame, model: Model, key: str, fitted: bool = False, rank: bool = True) -> DataFrame:
+    """(key, pos, lp, entropy, variance, lp2, cross, best, and rank if asked for) of each token; fitted: they are those that the model is made of."""
+    pairs = scored_pairs(model, None if fitted else tokens.select("h", "t").distinct())
+    told = pairs.select("h", "t", F.ln("p").alias("lp"), "entropy", "variance", F.ln("p2").alias("lp2"), "cross", F.ln("best").alias("best"))
+    if rank:
+        told = told.join(ranks(pairs, model), ["h", "t"])
+    return tokens.join(told, ["h", "t"]).drop("h", "t")
 
 
 # Detector scores: aggregates of the token statistics of a document.
@@ -105,8 +147,14 @@ def scores() -> dict[str, Column]:
     }
 
 
+def ranked(names: list[str]) -> bool:
+    """Whether any of these scores needs ranks."""
+    return bool({"rank", "logrank", "lrr", "gltr_10", "gltr_100", "gltr_1000", "gltr_rest"} & set(names))
+
+
 def detector_scores(stats: DataFrame, key: str, names: list[str]) -> DataFrame:
     own = scores()
+    stats = stats if "rank" in stats.columns else stats.withColumn("rank", F.lit(None).cast("int"))
     return stats.groupBy(key).agg(*[F.round(own[n], 6).alias(n) for n in names])
 
 
@@ -118,8 +166,6 @@ def strided_perplexity(stats: DataFrame, key: str, stride: int = 256) -> DataFra
 
 def repair_curve(stats: DataFrame, key: str, order: str = "s") -> DataFrame:
     """Mean perplexity while tokens are replaced one by one by their best: in sequence (s), or by gain, high to low (h2l) or low to high (l2h)."""
-    from pyspark.sql import Window as W
-
     gain = F.col("best") - F.col("lp")
     by = {"s": [F.col("pos")], "h2l": [F.desc(F.round(gain, 9)), F.col("pos")], "l2h": [F.round(gain, 9), F.col("pos")]}[order]
     done = F.sum(gain).over(W.partitionBy(key).orderBy(*by).rowsBetween(W.unboundedPreceding, 0))
@@ -129,7 +175,7 @@ def repair_curve(stats: DataFrame, key: str, order: str = "s") -> DataFrame:
 
 
 def multiscale_entropy(lps: list[float], embed: int = 3, factor: int = 10, scales: int = 5) -> float:
-    """Mean log-probability over the deviation, across scales, of the entropy of consecutive windows' cosines."""
+    """Mean log-probability over the sample deviation, across scales, of the entropy of consecutive windows' cosines; 0 with one scale or none."""
     import numpy as np
 
     x, out = np.asarray(lps, float), []
@@ -145,14 +191,12 @@ def multiscale_entropy(lps: list[float], embed: int = 3, factor: int = 10, scale
         bins = max(2, factor * len(x))
         p = np.unique(np.minimum(((np.clip(cos, -1, 1) + 1) / 2 * bins).astype(int), bins - 1), return_counts=True)[1] / len(cos)
         out.append(float(-(p * np.log(p)).sum() / np.log(bins)))
-    sd = float(np.std(out)) if len(out) > 1 else 0.0
+    sd = float(np.std(out, ddof=1)) if len(out) > 1 else 0.0
     return float(np.mean(x)) / sd if len(x) and sd > 0 else 0.0
 
 
 def lastde(stats: DataFrame, key: str, embed: int = 3, factor: int = 10, scales: int = 5) -> DataFrame:
     """The multiscale score of each document's sequence of log-probabilities."""
-    import pandas as pd
-
     kind = stats.schema[key].dataType.simpleString()
     rows = stats.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "lp"))), lambda x: x["lp"]).alias("lps"))
 
@@ -183,29 +227,28 @@ def multiscale_entropies(x, embed: int, factor: int, scales: int):
         found, counts = np.unique(cell, return_counts=True)
         p = counts / (n - 1)
         out.append(np.bincount(found // bins, -p * np.log(p), width) / np.log(bins))
-    sd = np.std(out, axis=0) if len(out) > 1 else np.zeros(width)
+    sd = np.std(out, axis=0, ddof=1) if len(out) > 1 else np.zeros(width)
     return np.divide(x.mean(0) if length else np.zeros(width), sd, out=np.zeros(width), where=sd > 0)
 
 
-def lastdepp(coded_tokens: DataFrame, model: Model, key: str, embed: int = 4, factor: int = 8, scales: int = 15, samples: int = 100, mix: float = MIX) -> DataFrame:
+def lastdepp(tokens: DataFrame, model: Model, key: str, embed: int = 4, factor: int = 8, scales: int = 15, samples: int = 100) -> DataFrame:
     """The multiscale score of each document, less the mean and over the deviation of those of sequences sampled from the model.
 
     Every position of a sampled sequence is drawn given the document's own token before it. The draws come from the document's key. The
-    workers get the model as a table of histories by vocabulary, so the vocabulary must be a bounded one.
+    workers get the model as a table of histories by vocabulary, so the vocabulary must be a bounded() one.
     """
     import numpy as np
-    import pandas as pd
 
     from ..functions import rng
 
     words = model.unigrams.orderBy("t").toPandas()
-    pairs = model.bigrams.select("h", "t", "p").toPandas()
+    pairs = model.pairs.select("h", "t", "p").toPandas()
     at = {t: k for k, t in enumerate(words.t)}
-    table = np.tile((1 - mix) * words.q.to_numpy(), (len(at) + 1, 1))  # the last row is that of the start
+    table = np.tile((1 - model.mix) * words.q.to_numpy(), (len(at) + 1, 1))  # the last row is that of the start
     table[pairs.h.map(lambda h: at.get(h, len(at))).to_numpy(int), pairs.t.map(at).to_numpy(int)] = pairs.p
     logs, sums = np.log(table), np.cumsum(table, 1) / table.sum(1, keepdims=True)
-    kind = coded_tokens.schema[key].dataType.simpleString()
-    rows = coded_tokens.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]).alias("ts"))
+    kind = tokens.schema[key].dataType.simpleString()
+    rows = tokens.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]).alias("ts"))
     rows = rows.withColumn("seed", F.substring(rng.digest(rng.SEED, F.col(key), "lastdepp"), 1, 32))
 
     def score(tokens, seed: str) -> float:
@@ -238,6 +281,26 @@ def perturbation_score(original: DataFrame, perturbed: DataFrame, key: str, valu
     return original.join(per, key).select(key, "variants", F.round((F.col(value) - F.col("m")) / (F.col("sd") + 1e-8), 6).alias("difference"), F.round(F.when(F.col(value) != 0, F.col("m") / F.col(value)).otherwise(1.0), 6).alias("ratio"))
 
 
+def continued(model: Model, steps: int, ways: int) -> DataFrame:
+    """(h, way, lp): the summed log-probability of steps tokens after h, of which the first is one of the ways most probable after h and each
+    next one the most probable after the one before; (lp, ties by token). After a token that nothing follows comes the most frequent one.
+
+    Paths of 1, 2, 4, ... steps are joined to longer ones, so the joins grow with the logarithm of the steps.
+    """
+    place = F.row_number().over(W.partitionBy("h").orderBy(F.desc("p"), "t"))
+    first = model.pairs.withColumn("way", place - 1).where(F.col("way") < ways).select("h", "way", F.col("t").alias("last"), F.ln("p").alias("lp"))
+    usual = model.unigrams.agg(F.max_by("t", F.struct("q", "t")).alias("u"), F.ln(F.max("q")).alias("lu"))  # one row
+    step = model.unigrams.select(F.col("t").alias("h")).join(first.where("way = 0"), "h", "left").crossJoin(F.broadcast(usual)).select("h", F.coalesce("last", "u").alias("last"), F.coalesce("lp", "lu").alias("lp"))
+    then = lambda a, b: a.join(b.select(F.col("h").alias("last"), F.col("last").alias("end"), F.col("lp").alias("more")), "last").withColumn("lp", F.col("lp") + F.col("more")).select(*[F.col("end").alias("last") if c == "last" else c for c in a.columns])
+    out, left = first, steps - 1
+    while left:
+        if left % 2:
+            out = then(out, step)
+        left //= 2
+        step = then(step, step) if left else step
+    return out.select("h", "way", "lp")
+
+
 def divergence(tokens: DataFrame, token: str, side: str) -> DataFrame:
     """Jensen-Shannon divergence (in nats) of the token frequencies of two sides, 0 and 1."""
     c = tokens.groupBy(token).agg(*[F.sum((F.col(side) == y).cast("double")).alias(f"c{y}") for y in (0, 1)])

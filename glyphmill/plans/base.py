@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +32,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(spark: SparkSession, name: str) -> str:
+    """A path for files that a query writes and reads: in the shared folder where the cluster names one, on this machine if all runs here."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = f"file://{tempfile.gettempdir()}/glyphmill-written"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents with a probability made of their id, length and label: (id, text, lang, source, model, y, prob)."""
     d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")

@@ -12,29 +12,47 @@ from ..functions import fuzz, rng, text
 from ..operators import attacks, graph, neighbours
 from ..operators import language_model as lm
 from ..streaming import monitors
-from .base import query, table
+from .base import query, table, uniform_sql, written
 from .text_queries import SENT, WORDS, docs
 
-V = 300
+#: Words of the bounded model that lastdepp samples from.
+SAMPLED = 300
 
 
-def statistics(spark, d):
-    rows = docs(spark, d).select("doc_id", "text")
-    tokens = lm.token_table(rows, "doc_id")
-    words = lm.vocabulary(tokens, V)
-    coded = lm.coded(tokens, "doc_id", words)
-    return lm.statistics(coded, lm.fit(coded, V), "doc_id")
+def fitted(spark, tokens):
+    return lm.fit(tokens, written(spark, "model"))
+
+
+def statistics(spark, d, rank: bool = True):
+    tokens = lm.token_table(docs(spark, d).select("doc_id", "text"), "doc_id")
+    return lm.statistics(tokens, fitted(spark, tokens), "doc_id", fitted=True, rank=rank)
+
+
+def _tokens(name: str, source: str, key: str = "doc_id") -> str:
+    return f"{name} AS (SELECT {key}, i - 1 AS pos, lower(w[i]) AS t, CASE WHEN i = 1 THEN '<s>' ELSE lower(w[i - 1]) END AS h FROM (SELECT {key}, w, unnest(generate_series(1, len(w))) AS i FROM (SELECT {key}, {WORDS} AS w FROM {source})))"
 
 
-_LM = f"""tk AS (SELECT doc_id, i - 1 AS pos, lower(w[i]) AS raw FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM (SELECT doc_id, {WORDS} AS w FROM documents))),
-vo AS (SELECT raw FROM tk GROUP BY raw ORDER BY count(*) DESC, raw LIMIT {V}),
-cd AS (SELECT doc_id, pos, t, lag(t, 1, '<s>') OVER (PARTITION BY doc_id ORDER BY pos) AS h FROM (SELECT doc_id, pos, CASE WHEN vo.raw IS NULL THEN '<unk>' ELSE tk.raw END AS t FROM tk LEFT JOIN vo USING (raw))),
-pr AS (SELECT h, t, count(*) AS c FROM cd GROUP BY h, t), un AS (SELECT t, sum(c) AS c FROM pr GROUP BY t), q AS (SELECT t, (c + CAST(0.5 AS DOUBLE)) / ((SELECT sum(c) FROM un) + CAST(0.5 AS DOUBLE) * (SELECT count(*) FROM un)) AS q FROM un),
+_B1, _B2 = "(1 - CAST(0.9 AS DOUBLE)) * q", "(1 - CAST(0.5 AS DOUBLE)) * q"
+_MODEL = f"""pr AS (SELECT h, t, count(*) AS c FROM cd GROUP BY h, t), un AS (SELECT t, sum(c) AS c FROM pr GROUP BY t), tot AS (SELECT sum(c) AS n, count(*) AS v FROM un),
+q AS (SELECT t, (c + CAST(0.5 AS DOUBLE)) / (n + CAST(0.5 AS DOUBLE) * v) AS q FROM un, tot),
+wh AS (SELECT sum({_B1} * ln({_B1})) AS e0, sum({_B1} * ln({_B1}) * ln({_B1})) AS s0, sum({_B1} * ln({_B2})) AS x0, sum(q * ln(q)) AS u0, sum(q * ln(q) * ln(q)) AS us0, max(q) AS top_q, (SELECT CAST(0.5 AS DOUBLE) / (n + CAST(0.5 AS DOUBLE) * v) FROM tot) AS no_q FROM q),
 hs AS (SELECT h, sum(c) AS ch FROM pr GROUP BY h),
-fu AS (SELECT h, q.t, CAST(0.9 AS DOUBLE) * coalesce(c, 0) / ch + (1 - CAST(0.9 AS DOUBLE)) * q AS p, CAST(0.5 AS DOUBLE) * coalesce(c, 0) / ch + CAST(0.5 AS DOUBLE) * q AS p2, c IS NOT NULL AS seen FROM hs CROSS JOIN q LEFT JOIN pr USING (h, t)),
-mo AS (SELECT h, -sum(p * ln(p)) AS entropy, sum(p * ln(p) * ln(p)) - sum(p * ln(p)) * sum(p * ln(p)) AS variance, sum(p * ln(p2)) AS crossed, max(p) AS best FROM fu GROUP BY h),
-rk AS (SELECT h, t, p, p2, seen, rank() OVER (PARTITION BY h ORDER BY p DESC) AS rk FROM fu),
-st AS (SELECT doc_id, pos, ln(p) AS lp, rk, entropy, variance, ln(p2) AS lp2, crossed, ln(best) AS best FROM cd JOIN rk USING (h, t) JOIN mo USING (h))"""
+se AS (SELECT h, t, c, ch, q, CAST(0.9 AS DOUBLE) * c / ch + {_B1} AS p, CAST(0.5 AS DOUBLE) * c / ch + {_B2} AS p2 FROM pr JOIN hs USING (h) JOIN q USING (t)),
+mo AS (SELECT h, ch, entropy, sq - entropy * entropy AS variance, crossed, greatest(top, (1 - CAST(0.9 AS DOUBLE)) * top_q) AS best FROM (SELECT h, any_value(ch) AS ch, any_value(top_q) AS top_q, -(any_value(e0) + sum(p * ln(p) - {_B1} * ln({_B1}))) AS entropy, any_value(s0) + sum(p * ln(p) * ln(p) - {_B1} * ln({_B1}) * ln({_B1})) AS sq, any_value(x0) + sum(p * ln(p2) - {_B1} * ln({_B2})) AS crossed, max(p) AS top FROM se, wh GROUP BY h)),
+sp AS (SELECT b, sum(k) OVER (ORDER BY b DESC) AS above FROM (SELECT {_B1} AS b, count(*) AS k FROM q GROUP BY 1))"""
+
+
+def _scores(tokens: str, key: str = "doc_id") -> str:
+    return f"""nd AS (SELECT DISTINCT h, t FROM {tokens}),
+nq AS (SELECT nd.h, nd.t, coalesce(c, 0) AS c, ch, coalesce(q.q, no_q) AS q, coalesce(entropy, -u0) AS entropy, coalesce(variance, us0 - u0 * u0) AS variance, coalesce(crossed, u0) AS crossed, coalesce(best, top_q) AS best FROM nd LEFT JOIN pr ON nd.h = pr.h AND nd.t = pr.t LEFT JOIN mo ON nd.h = mo.h LEFT JOIN q ON nd.t = q.t, wh),
+np AS (SELECT *, CASE WHEN ch IS NULL THEN q ELSE CAST(0.9 AS DOUBLE) * c / ch + {_B1} END AS p, CASE WHEN ch IS NULL THEN q ELSE CAST(0.5 AS DOUBLE) * c / ch + {_B2} END AS p2 FROM nq),
+ev AS (SELECT h, t, p AS x, 0 AS w, 0 AS kind FROM np UNION ALL SELECT h, NULL, p, 1, 1 FROM se UNION ALL SELECT h, NULL, {_B1}, -1, 1 FROM se),
+dr AS (SELECT h, t, d FROM (SELECT h, t, kind, sum(w) OVER (PARTITION BY h ORDER BY x DESC, kind ROWS UNBOUNDED PRECEDING) AS d FROM ev) WHERE kind = 0),
+ab AS (SELECT l.h, l.t, coalesce(above, 0) AS above FROM (SELECT h, t, CASE WHEN ch IS NULL THEN {_B1} ELSE p END AS l FROM np) l ASOF LEFT JOIN sp ON l.l < sp.b),
+st AS (SELECT {key}, pos, ln(p) AS lp, 1 + above + d AS rk, entropy, variance, ln(p2) AS lp2, crossed, ln(best) AS best FROM {tokens} JOIN np USING (h, t) JOIN dr USING (h, t) JOIN ab USING (h, t))"""
+
+
+_LM = f"{_tokens('cd', 'documents')}, {_MODEL}, {_scores('cd')}"
 _FORMS = {
     "likelihood": {"likelihood": "avg(lp)"},
     "rank": {"rank": "-avg(rk)"},
@@ -49,41 +67,57 @@ _FORMS = {
     "causal": {"causal": "1 / (1 - avg(lp))"},
 }
 for _name, _forms in _FORMS.items():
-    query(f"detector_{_name}", f"WITH {_LM} SELECT doc_id, " + ", ".join(f"round({f}, 6) AS {n}" for n, f in _forms.items()) + " FROM st GROUP BY doc_id")(lambda s, d, n=list(_forms): lm.detector_scores(statistics(s, d), "doc_id", n))
+    query(f"detector_{_name}", f"WITH {_LM} SELECT doc_id, " + ", ".join(f"round({f}, 6) AS {n}" for n, f in _forms.items()) + " FROM st GROUP BY doc_id")(lambda s, d, n=list(_forms): lm.detector_scores(statistics(s, d, lm.ranked(n)), "doc_id", n))
 query("token_statistics", f"WITH {_LM} SELECT doc_id, CAST(pos AS INT) AS pos, round(lp, 6) AS lp, CAST(rk AS INT) AS rank FROM st")(lambda s, d: statistics(s, d).select("doc_id", "pos", F.round("lp", 6).alias("lp"), F.col("rank").cast("int").alias("rank")))
-query("ppl_strided", f"WITH {_LM} SELECT doc_id, round(exp(-sum(lp) / count(*)), 6) AS perplexity, count(DISTINCT pos // 256) AS windows FROM st GROUP BY doc_id")(lambda s, d: lm.strided_perplexity(statistics(s, d), "doc_id"))
+query("ppl_strided", f"WITH {_LM} SELECT doc_id, round(exp(-sum(lp) / count(*)), 6) AS perplexity, count(DISTINCT pos // 256) AS windows FROM st GROUP BY doc_id")(lambda s, d: lm.strided_perplexity(statistics(s, d, False), "doc_id"))
 for _order, _by in (("s", "pos"), ("h2l", "round(best - lp, 9) DESC, pos"), ("l2h", "round(best - lp, 9), pos")):
-    query(f"repair_auc_{_order}", f"WITH {_LM} SELECT doc_id, round(avg(ppl), 6) AS mean_ppl FROM (SELECT doc_id, exp(-(sum(lp) OVER (PARTITION BY doc_id) + sum(best - lp) OVER (PARTITION BY doc_id ORDER BY {_by} ROWS UNBOUNDED PRECEDING)) / count(*) OVER (PARTITION BY doc_id)) AS ppl FROM st) GROUP BY doc_id")(lambda s, d, o=_order: lm.repair_curve(statistics(s, d), "doc_id", o))
-query("lastde")(lambda s, d: lm.lastde(statistics(s, d), "doc_id"))
+    query(f"repair_auc_{_order}", f"WITH {_LM} SELECT doc_id, round(avg(ppl), 6) AS mean_ppl FROM (SELECT doc_id, exp(-(sum(lp) OVER (PARTITION BY doc_id) + sum(best - lp) OVER (PARTITION BY doc_id ORDER BY {_by} ROWS UNBOUNDED PRECEDING)) / count(*) OVER (PARTITION BY doc_id)) AS ppl FROM st) GROUP BY doc_id")(lambda s, d, o=_order: lm.repair_curve(statistics(s, d, False), "doc_id", o))
+# Scale by scale: means of runs of tokens, the cosines of consecutive windows of three, their histogram and its entropy.
+_COS = "(a * b + b * c + c * e) / (sqrt(a * a + b * b + c * c) * sqrt(b * b + c * c + e * e))"
+_LASTDE = f"""m AS (SELECT doc_id, pos, lp, scale, count(*) OVER w AS held, sum(lp) OVER w / scale AS x, count(*) OVER (PARTITION BY doc_id, scale) AS n FROM st, (SELECT unnest([1, 2, 3, 4, 5]) AS scale) WINDOW w AS (PARTITION BY doc_id, scale ORDER BY pos ROWS BETWEEN CURRENT ROW AND scale - 1 FOLLOWING)),
+o AS (SELECT doc_id, scale, n, x AS a, lead(x, 1) OVER v AS b, lead(x, 2) OVER v AS c, lead(x, 3) OVER v AS e FROM m WHERE held = scale WINDOW v AS (PARTITION BY doc_id, scale ORDER BY pos)),
+b AS (SELECT doc_id, scale, n, least(floor((greatest(-1, least(1, {_COS})) + 1) / 2 * greatest(2, 10 * n)), greatest(2, 10 * n) - 1) AS bin FROM o WHERE e IS NOT NULL),
+h AS (SELECT doc_id, scale, any_value(n) AS n, count(*) AS k FROM b GROUP BY doc_id, scale, bin),
+en AS (SELECT doc_id, scale, -sum(k / t * ln(k / t)) / ln(greatest(2, 10 * any_value(n))) AS entropy FROM (SELECT *, sum(k) OVER (PARTITION BY doc_id, scale) AS t FROM h) GROUP BY doc_id, scale),
+sd AS (SELECT doc_id, stddev_samp(entropy) AS sd FROM en GROUP BY doc_id)"""
+query("lastde", f"WITH {_LM}, {_LASTDE} SELECT doc_id, round(CASE WHEN sd > 0 THEN lp / sd ELSE 0 END, 6) AS lastde FROM (SELECT doc_id, avg(lp) AS lp FROM st GROUP BY doc_id) LEFT JOIN sd USING (doc_id)")(lambda s, d: lm.lastde(statistics(s, d, False), "doc_id"))
 query("lastdepp")(lambda s, d: _lastdepp(s, d))
 
 
 def _lastdepp(spark, d):
-    tokens = lm.token_table(docs(spark, d).select("doc_id", "text"), "doc_id")
-    coded = lm.coded(tokens, "doc_id", lm.vocabulary(tokens, V))
-    return lm.lastdepp(coded, lm.fit(coded, V), "doc_id")
+    tokens = lm.bounded(lm.token_table(docs(spark, d).select("doc_id", "text"), "doc_id"), SAMPLED)
+    return lm.lastdepp(tokens, fitted(spark, tokens), "doc_id")
 
 
-def perturbed(spark, d, variants: int = 3):
-    """Scores of the documents and of variants without some words, under the model of the documents."""
+VARIANTS = 3
+
+
+def perturbed(spark, d, value: str):
+    """A score of the documents and of variants without some words, under the model of the documents."""
     rows = docs(spark, d).select("doc_id", "text")
-    made = rows.select("doc_id", F.posexplode(F.array(F.col("text"), *[F.coalesce(attacks.word_drop(F.col("text"), F.col("doc_id").cast("string"), 0.1, seed=k), F.col("text")) for k in range(variants)])).alias("variant", "text"))
-    keyed = made.withColumn("k", F.concat_ws("/", "doc_id", "variant"))
-    words = lm.vocabulary(lm.token_table(rows, "doc_id"), V)
-    model = lm.fit(lm.coded(lm.token_table(rows, "doc_id"), "doc_id", words), V)
-    stats = lm.statistics(lm.coded(lm.token_table(keyed, "k"), "k", words), model, "k")
-    out = stats.groupBy("k").agg(F.avg("lp").alias("likelihood"), F.avg(F.ln("rank")).alias("logrank"))
-    return out.select(F.split("k", "/")[0].cast("long").alias("doc_id"), F.split("k", "/")[1].cast("int").alias("variant"), "likelihood", "logrank")
+    dropped = [F.coalesce(attacks.word_drop(F.col("text"), F.col("doc_id").cast("string"), 0.1, seed=k), F.col("text")) for k in range(VARIANTS)]
+    made = rows.select("doc_id", F.posexplode(F.array(F.col("text"), *dropped)).alias("variant", "text"))
+    tokens = lm.token_table(made.select(F.struct("doc_id", "variant").alias("k"), "text"), "k")
+    stats = lm.statistics(tokens, fitted(spark, lm.token_table(rows, "doc_id")), "k", rank=value == "logrank")
+    score = F.avg("lp") if value == "likelihood" else F.avg(F.ln("rank"))
+    return stats.groupBy("k").agg(score.alias(value)).select("k.*", value)
 
 
 def _against(spark, d, value):
-    rows = perturbed(spark, d)
+    rows = perturbed(spark, d, value)
     return lm.perturbation_score(rows.where("variant = 0").select("doc_id", value), rows.where("variant > 0"), "doc_id", value)
 
 
-query("detector_detectgpt")(lambda s, d: _against(s, d, "likelihood").select("doc_id", "variants", F.col("difference").alias("detectgpt")))
-query("detector_npr")(lambda s, d: _against(s, d, "logrank").select("doc_id", "variants", F.col("ratio").alias("npr")))
-query("detector_tocsin")(lambda s, d: _tocsin(docs(s, d), lm.detector_scores(statistics(s, d), "doc_id", ["likelihood"])))
+def _dropped(seed: int) -> str:
+    u = uniform_sql(f"'{seed}'", "CAST(doc_id AS VARCHAR)", "'drop'", "CAST(i - 1 AS VARCHAR)")
+    return f"SELECT doc_id, {seed + 1} AS variant, CASE WHEN len(w) > 5 AND len(k) >= 5 AND array_to_string(k, ' ') <> text THEN array_to_string(k, ' ') ELSE text END AS text FROM (SELECT doc_id, text, w, list_transform(list_filter(list_transform(w, lambda x, i: {{'x': x, 'u': {u}}}), lambda s: s.u >= 0.1), lambda s: s.x) AS k FROM (SELECT doc_id, text, {WORDS} AS w FROM documents))"
+
+
+_PERTURBED = f"{_tokens('cd', 'documents')}, {_MODEL}, va AS (SELECT doc_id, 0 AS variant, text FROM documents UNION ALL {' UNION ALL '.join(map(_dropped, range(VARIANTS)))}), {_tokens('vt', 'va', 'doc_id, variant')}, {_scores('vt', 'doc_id, variant')}"
+_AGAINST = "sc AS (SELECT doc_id, variant, {0} AS s FROM st GROUP BY doc_id, variant), ag AS (SELECT doc_id, avg(s) AS m, stddev_pop(s) AS sd, count(*) AS variants FROM sc WHERE variant > 0 GROUP BY doc_id), ow AS (SELECT doc_id, s FROM sc WHERE variant = 0)"
+query("detector_detectgpt", f"WITH {_PERTURBED}, {_AGAINST.format('avg(lp)')} SELECT doc_id, variants, round((s - m) / (sd + 1e-8), 6) AS detectgpt FROM ow JOIN ag USING (doc_id)")(lambda s, d: _against(s, d, "likelihood").select("doc_id", "variants", F.col("difference").alias("detectgpt")))
+query("detector_npr", f"WITH {_PERTURBED}, {_AGAINST.format('avg(ln(rk))')} SELECT doc_id, variants, round(CASE WHEN s <> 0 THEN m / s ELSE 1 END, 6) AS npr FROM ow JOIN ag USING (doc_id)")(lambda s, d: _against(s, d, "logrank").select("doc_id", "variants", F.col("ratio").alias("npr")))
+query("detector_tocsin")(lambda s, d: _tocsin(docs(s, d), lm.detector_scores(statistics(s, d, False), "doc_id", ["likelihood"])))
 query("detector_raidar")(lambda s, d: _raidar(docs(s, d)))
 
 
@@ -117,27 +151,27 @@ def _raidar(df):
     return _rewrites(df).mapInPandas(run, "doc_id long, " + ", ".join(f"{n} double" for n in names))
 
 
-@query("detector_dnagpt")
+REGENERATIONS, CONTINUED = 3, 20
+_DNA = f"""pl AS (SELECT h, t, p, row_number() OVER (PARTITION BY h ORDER BY p DESC, t) - 1 AS way FROM se), us AS (SELECT t AS u, q AS uq FROM q ORDER BY q DESC, t DESC LIMIT 1),
+nx AS (SELECT q.t AS h, coalesce(pl.t, u) AS nt, ln(coalesce(p, uq)) AS lp FROM q LEFT JOIN pl ON q.t = pl.h AND way = 0, us),
+ch(h, way, last, lp, k) AS (SELECT h, way, t, ln(p), 1 FROM pl WHERE way < {REGENERATIONS} UNION ALL SELECT ch.h, way, nt, ch.lp + nx.lp, k + 1 FROM ch JOIN nx ON ch.last = nx.h WHERE k < {CONTINUED}),
+hf AS (SELECT doc_id, n // 2 AS half, avg(lp) AS own, sum(CASE WHEN pos < n // 2 THEN lp END) AS kept, max(CASE WHEN pos = n // 2 - 1 THEN t END) AS h FROM (SELECT doc_id, pos, cd.t, lp, count(*) OVER (PARTITION BY doc_id) AS n FROM cd JOIN st USING (doc_id, pos)) WHERE n >= 20 GROUP BY doc_id, n)"""
+query("detector_dnagpt", f"WITH RECURSIVE {_LM}, {_DNA} SELECT doc_id, round(any_value(own) - avg((kept + lp) / (half + {CONTINUED})), 6) AS dnagpt FROM hf JOIN ch USING (h) WHERE k = {CONTINUED} GROUP BY doc_id")(lambda s, d: dnagpt(s, d))
+
+
 def dnagpt(spark, d):
-    """Likelihood of a text less that of its first half continued with each token's most frequent successor (20 tokens at least)."""
-    rows = docs(spark, d).select("doc_id", "text")
-    tokens = lm.token_table(rows, "doc_id")
-    words = lm.vocabulary(tokens, V)
-    coded = lm.coded(tokens, "doc_id", words)
-    model = lm.fit(coded, V)
-    successors = model.bigrams.groupBy("h").agg(F.max_by("t", F.struct("p", "t")).alias("t"))
-    chain = {r.h: r.t for r in successors.collect()}  # a row for each of at most V + 2 histories
-    mapped = F.create_map(*[F.lit(x) for kv in chain.items() for x in kv])
-    half = coded.groupBy("doc_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("pos", "t"))).alias("s")).where("n >= 20")
-    start = F.transform(F.slice("s", 1, F.floor(F.col("n") / 2).cast("int")), lambda x: x["t"])
-    whole = F.aggregate(F.sequence(F.lit(1), F.lit(20)), start, lambda a, i: F.concat(a, F.array(F.coalesce(F.try_element_at(mapped, F.element_at(a, -1)), F.lit(lm.UNKNOWN)))))
-    made = half.select("doc_id", F.posexplode(whole).alias("pos", "raw"))
-    again = lm.statistics(lm.coded(made, "doc_id", words), model, "doc_id")
-    own = lm.statistics(coded, model, "doc_id").groupBy("doc_id").agg(F.avg("lp").alias("a"))
-    return own.join(again.groupBy("doc_id").agg(F.avg("lp").alias("b")), "doc_id").select("doc_id", F.round(F.col("a") - F.col("b"), 6).alias("dnagpt"))
-
-
-query("token_jsd", f"WITH c AS (SELECT raw, sum(1 - quality) AS a, sum(quality) AS b FROM (SELECT doc_id, lower(unnest({WORDS})) AS raw FROM documents) JOIN labels USING (doc_id) GROUP BY raw), p AS (SELECT a / (SELECT sum(a) FROM c) AS p, b / (SELECT sum(b) FROM c) AS r FROM c) SELECT round(sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + r)) ELSE 0 END + CASE WHEN r > 0 THEN r * ln(2 * r / (p + r)) ELSE 0 END) / 2, 6) AS jsd FROM p")(lambda s, d: lm.divergence(lm.token_table(docs(s, d), "doc_id").join(table(s, d, "labels"), "doc_id"), "raw", "quality"))
+    """Likelihood of a text (20 tokens at least) less the mean over regenerations of that of its first half and what the model goes on with."""
+    tokens = lm.token_table(docs(spark, d).select("doc_id", "text"), "doc_id")
+    model = fitted(spark, tokens)
+    told = model.pairs.select("h", "t", F.ln("p").alias("lp"))
+    sizes = tokens.groupBy("doc_id").agg(F.count("*").alias("n")).where("n >= 20").withColumn("half", F.floor(F.col("n") / 2))
+    rows = tokens.join(told, ["h", "t"]).join(sizes, "doc_id")
+    own = rows.groupBy("doc_id", "half").agg(F.avg("lp").alias("own"), F.sum(F.when(F.col("pos") < F.col("half"), F.col("lp"))).alias("kept"), F.max(F.when(F.col("pos") == F.col("half") - 1, F.col("t"))).alias("h"))
+    again = own.join(lm.continued(model, CONTINUED, REGENERATIONS), "h")
+    return again.groupBy("doc_id").agg(F.round(F.max("own") - F.avg((F.col("kept") + F.col("lp")) / (F.col("half") + CONTINUED)), 6).alias("dnagpt"))
+
+
+query("token_jsd", f"WITH c AS (SELECT raw, sum(1 - quality) AS a, sum(quality) AS b FROM (SELECT doc_id, lower(unnest({WORDS})) AS raw FROM documents) JOIN labels USING (doc_id) GROUP BY raw), p AS (SELECT a / (SELECT sum(a) FROM c) AS p, b / (SELECT sum(b) FROM c) AS r FROM c) SELECT round(sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + r)) ELSE 0 END + CASE WHEN r > 0 THEN r * ln(2 * r / (p + r)) ELSE 0 END) / 2, 6) AS jsd FROM p")(lambda s, d: lm.divergence(lm.token_table(docs(s, d), "doc_id").join(table(s, d, "labels"), "doc_id"), "t", "quality"))
 query("trim_to_shorter", "WITH p AS (SELECT a.doc_id, string_split(a.text, ' ') AS x, string_split(b.text, ' ') AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 2 = 0) SELECT doc_id, array_to_string(x[1:least(len(x), len(y))], ' ') AS a, array_to_string(y[1:least(len(x), len(y))], ' ') AS b FROM p")(lambda s, d: _trim(docs(s, d)))
 
 
@@ -230,7 +264,7 @@ def pu_prior_by_length(spark, d):
 def text_quality(spark, d):
     """Readability with perplexity; a text without tokens has no perplexity."""
     read = docs(spark, d).select("doc_id", text.readability(F.col("text")).alias("r")).select("doc_id", "r.*")
-    return read.join(lm.strided_perplexity(statistics(spark, d), "doc_id").select("doc_id", "perplexity"), "doc_id", "left")
+    return read.join(lm.strided_perplexity(statistics(spark, d, False), "doc_id").select("doc_id", "perplexity"), "doc_id", "left")
 
 
 class _Shuffler:

@@ -3,25 +3,16 @@
 from __future__ import annotations
 
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import normalize as norm
 from ..functions import rng
 from ..operators import alignment, sampling
 from ..sources import readers, sinks
-from .base import SCORED, query, scored, table, uniform_sql
+from .base import SCORED, query, scored, table, uniform_sql, written
 from .text_queries import STRIP, docs
 
 
-def written(spark, name: str) -> str:
-    """A path for files that a query writes and scans: in the shared folder where the cluster names one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/glyphmill-scan"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def flat(spark, d):
     """documents as flat example records."""
     return docs(spark, d).select(F.col("doc_id").alias("id"), "text", F.when(F.col("doc_id") % 3 == 0, "human").when(F.col("doc_id") % 3 == 1, "gpt").otherwise("?").alias("label"), "lang", "source")
@@ -39,10 +30,13 @@ def scan_jsonl(spark, d):
 
 @query("scan_json", "SELECT CAST(item_id AS VARCHAR) AS id, text, CAST(item_id % 2 AS INT) AS label FROM benchmark")
 def scan_json(spark, d):
+    """A file for each hash of the ids, each with a list of a bounded share of the items."""
     path = written(spark, "json")
     rows = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text", (F.col("item_id") % 2).alias("label"))
-    rows.agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct("id", "text", "label"))).alias("examples"))).alias("value")).coalesce(1).write.text(path)
-    return readers.examples(readers.scan_json(spark, path)).select("id", "text", "label")
+    files = max(1, rows.count() // 1000)
+    lists = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(files)).alias("file")).agg(F.to_json(F.struct(F.collect_list(F.struct("id", "text", "label")).alias("examples"))).alias("value"))
+    lists.write.partitionBy("file").text(path)
+    return readers.examples(readers.scan_json(spark, f"{path}/*/*")).select("id", "text", "label")
 
 
 @query("scan_csv", "SELECT CAST(item_id AS VARCHAR) AS id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text, CAST(item_id % 2 AS INT) AS label, 'bench' AS source FROM benchmark")

@@ -184,12 +184,12 @@ def test_lastdepp_is_normalised_by_sampled_sequences(spark):
 
     texts = {1: "a b c a b d a c c b a d " * 3, 2: "b a d c " * 8, 3: "a b"}
     tokens = lm.token_table(spark.createDataFrame(list(texts.items()), "id long, text string"), "id")
-    coded = lm.coded(tokens, "id", lm.vocabulary(tokens, 9)).persist()
-    model = lm.fit(coded, 9)
-    got = {r.id: r.lastdepp for r in lm.lastdepp(coded, model, "id").collect()}
-    assert got == {r.id: r.lastdepp for r in lm.lastdepp(coded.repartition(7), model, "id").collect()}
+    tokens = lm.bounded(tokens, 9)
+    model = lm.fit(tokens)
+    got = {r.id: r.lastdepp for r in lm.lastdepp(tokens, model, "id").collect()}
+    assert got == {r.id: r.lastdepp for r in lm.lastdepp(tokens.repartition(7), model, "id").collect()}
     q = {r.t: r.q for r in model.unigrams.collect()}
-    p = {(r.h, r.t): r.p for r in model.bigrams.collect()}
+    p = {(r.h, r.t): r.p for r in model.pairs.collect()}
     words = sorted(q)
     for key, whole in texts.items():
         t = whole.split()
@@ -202,6 +202,44 @@ def test_lastdepp_is_normalised_by_sampled_sequences(spark):
         assert got[key] == pytest.approx((own - np.mean(sampled)) / (np.std(sampled, ddof=1) or 1), abs=0.02)
 
 
+def test_statistics_of_unseen_texts_by_brute_force(spark):
+    """Every statistic over the whole vocabulary, for seen and unseen pairs, words and histories."""
+    from glyphmill.operators import language_model as lm
+
+    rnd = np.random.default_rng(1)
+    train = {k: " ".join(rnd.choice(list("aaabbcdefg"), 40)) for k in range(6)} | {9: "z"}
+    held = {1: "a b c g z a new a z new new b", 2: "g f e d c b a", 3: "unseen"}
+    frame = lambda texts: lm.token_table(spark.createDataFrame(list(texts.items()), "id long, text string"), "id")
+    tokens = frame(train)
+    model = lm.fit(tokens)
+    pairs, single, history = {}, {}, {}
+    for t in train.values():
+        w = t.split()
+        for h, x in zip([lm.START, *w], w, strict=False):
+            pairs[h, x] = pairs.get((h, x), 0) + 1
+            single[x], history[h] = single.get(x, 0) + 1, history.get(h, 0) + 1
+    n, v = sum(single.values()), len(single)
+    q = lambda x: (single.get(x, 0) + lm.ALPHA) / (n + lm.ALPHA * v)
+
+    def p(x, h, mix):
+        return mix * pairs.get((h, x), 0) / history[h] + (1 - mix) * q(x) if h in history else q(x)
+
+    for texts, fitted in ((train, True), (train, False), (held, False)):
+        rows = {(r.id, r.pos): r for r in lm.statistics(frame(texts), model, "id", fitted).collect()}
+        assert len(rows) == sum(len(t.split()) for t in texts.values())
+        for k, t in texts.items():
+            w = t.split()
+            for pos, (h, x) in enumerate(zip([lm.START, *w], w, strict=False)):
+                all_p = np.array([p(y, h, lm.MIX) for y in single])
+                all_p2 = np.array([p(y, h, lm.SECOND_MIX) for y in single])
+                entropy = -(all_p * np.log(all_p)).sum()
+                own = p(x, h, lm.MIX)
+                want = (np.log(own), entropy, (all_p * np.log(all_p) ** 2).sum() - entropy**2, np.log(p(x, h, lm.SECOND_MIX)), (all_p * np.log(all_p2)).sum(), np.log(all_p.max()))
+                r = rows[k, pos]
+                assert (r.lp, r.entropy, r.variance, r.lp2, r.cross, r.best) == pytest.approx(want, abs=1e-9)
+                assert r["rank"] == 1 + (all_p > own).sum()
+
+
 def test_fuzz_and_rewrite_features(spark):
     from glyphmill.functions import fuzz
     from glyphmill.plans import model_queries as mq

@@ -50,21 +50,34 @@ def syllables(word: Column) -> Column:
 
 def readability(text: Column) -> Column:
     """Counts, averages, Flesch reading ease and Flesch-Kincaid grade; without words the measures are null."""
-    own = F.when(strip(text) == "", F.array().cast("array<string>")).otherwise(words(text))
-    n_words, n_sentences = F.size(own), F.when(strip(text) == "", 0).otherwise(F.size(sentences(text)))
-    n_syllables = F.aggregate(own, F.lit(0), lambda a, w: a + syllables(w))
-    per_sentence, per_word = n_words / n_sentences, n_syllables / n_words
-    measure = lambda c: F.when(n_words > 0, F.round(c, 6))
-    return F.struct(
-        n_sentences.alias("n_sentences"),
-        n_words.alias("n_words"),
-        F.length(text).alias("n_chars"),
-        F.when(n_words > 0, n_syllables).alias("n_syllables"),
-        measure(per_sentence).alias("words_per_sentence"),
-        measure(per_word).alias("syllables_per_word"),
-        measure(206.835 - 1.015 * per_sentence - 84.6 * per_word).alias("reading_ease"),
-        measure(0.39 * per_sentence + 11.8 * per_word - 15.59).alias("grade"),
-    )
+    latin = F.regexp_extract_all(text, F.lit(r"[A-Za-z]+(?:'[A-Za-z]+)?"), F.lit(0))
+
+    def counted(s: Column) -> Column:
+        # Silent final e's go, then words count their runs of vowels, or one; words that are not Latin have one each.
+        letters = F.regexp_replace(F.lower(F.replace(F.array_join(s["latin"], " "), F.lit("'"), F.lit(""))), "(?<=[a-z]{2})e(?![a-z])", "")
+        spoken = lambda x: F.regexp_count(x["letters"], F.lit("[aeiouy]+")) + F.regexp_count(x["letters"], F.lit("(?<![a-z])[b-df-hj-np-tv-xz]+(?![a-z])"))
+        other = F.when(s["blank"], 0).otherwise(F.size(split_words(text)))
+        return F.struct(
+            F.when(s["blank"], 0).otherwise(F.size(sentences(text))).alias("sentences"),
+            F.when(F.size(s["latin"]) > 0, F.size(s["latin"])).otherwise(other).alias("words"),
+            F.when(F.size(s["latin"]) > 0, let(spoken, letters=letters)).otherwise(other).alias("syllables"),
+        )
+
+    def measures(s: Column) -> Column:
+        per_sentence, per_word = s["c"]["words"] / s["c"]["sentences"], s["c"]["syllables"] / s["c"]["words"]
+        measure = lambda c: F.when(s["c"]["words"] > 0, F.round(c, 6))
+        return F.struct(
+            s["c"]["sentences"].alias("n_sentences"),
+            s["c"]["words"].alias("n_words"),
+            F.length(text).alias("n_chars"),
+            F.when(s["c"]["words"] > 0, s["c"]["syllables"]).alias("n_syllables"),
+            measure(per_sentence).alias("words_per_sentence"),
+            measure(per_word).alias("syllables_per_word"),
+            measure(206.835 - 1.015 * per_sentence - 84.6 * per_word).alias("reading_ease"),
+            measure(0.39 * per_sentence + 11.8 * per_word - 15.59).alias("grade"),
+        )
+
+    return let(measures, c=let(counted, latin=latin, blank=strip(text) == ""))
 
 
 def unicode_word_count(text: Column) -> Column:

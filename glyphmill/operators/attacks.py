@@ -14,20 +14,28 @@ from pyspark.sql import functions as F
 
 from ..functions import rng, text
 
-# Shares of the kinds of typing error, marks for punctuation noise, and look-alikes of letters.
+# Shares of the kinds of typing error, marks for punctuation noise, look-alikes of letters, and stop words.
 TYPO_MIX = (("transpose", 0.011), ("delete", 0.23), ("substitute", 0.556), ("insert", 0.203))
 MARKS = (",", ".", ";", ":", "!", "?")
-HOMOGLYPHS = dict(zip("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "âḃĉḑêḟǵĥîĵǩᶅḿňôṕʠřŝẗǔṽẘẍŷẑÂḂĈĎÊḞǴĤÎĴǨĹḾŇÔṔQŘŜṪÛṼẘẌŶẐ", strict=True))
+HOMOGLYPHS = {
+    "a": "â", "b": "ḃ", "c": "ĉ", "d": "ḑ", "e": "ê", "f": "ḟ", "g": "ǵ", "h": "ĥ", "i": "î", "j": "ĵ", "k": "ǩ", "l": "ᶅ", "m": "ḿ",
+    "n": "ň", "o": "ô", "p": "ṕ", "q": "ʠ", "r": "ř", "s": "ŝ", "t": "ẗ", "u": "ǔ", "v": "ṽ", "w": "ẘ", "x": "ẍ", "y": "ŷ", "z": "ẑ",
+    "A": "Â", "B": "Ḃ", "C": "Ĉ", "D": "Ď", "E": "Ê", "F": "Ḟ", "G": "Ǵ", "H": "Ĥ", "I": "Î", "J": "Ĵ", "K": "Ǩ", "L": "Ĺ", "M": "Ḿ",
+    "N": "Ň", "O": "Ô", "P": "Ṕ", "Q": "Q", "R": "Ř", "S": "Ŝ", "T": "Ṫ", "U": "Û", "V": "Ṽ", "W": "ẘ", "X": "Ẍ", "Y": "Ŷ", "Z": "Ẑ",
+}
 STOP_WORDS = (
-    "i me you he him she her it we us they them my your his its our their mine yours hers ours theirs this that these those who whom whose which what "
-    "myself yourself himself herself itself ourselves yourselves themselves a an the and but or nor for yet so as if is are be was were being been"
-).split()
+    "i", "me", "you", "he", "him", "she", "her", "it", "we", "us", "they", "them", "my", "your", "his", "its", "our", "their", "mine",
+    "yours", "hers", "ours", "theirs", "this", "that", "these", "those", "who", "whom", "whose", "which", "what", "myself", "yourself",
+    "himself", "herself", "itself", "ourselves", "yourselves", "themselves", "a", "an", "the", "and", "but", "or", "nor", "for", "yet",
+    "so", "as", "if", "is", "are", "be", "was", "were", "being", "been",
+)
+# End of fixed values.
 ZERO_WIDTH, SHIFT = "​", "\u000b\u000b"
 
 
 def changed(new: Column, old: Column) -> Column:
     """new, or null if nothing has changed or nothing is left."""
-    return F.when((text.strip(new) != "") & (new != old), new)
+    return text.let(lambda s: F.when(s["n"].rlike(r"\S") & (s["n"] != old), s["n"]), n=new)
 
 
 def word_drop(t: Column, key: Column, p: float = 0.05, least: int = 5, seed: int = rng.SEED) -> Column:
@@ -87,36 +95,40 @@ def dict_subst(t: Column, key: Column, table: dict[str, str], p: float = 0.2, se
 
 def in_places(items: Column, key: Column, share: float, salt: str, seed: int, one: Callable[[Column, Column], Column]) -> Column:
     """items, of which max(1, round(share n)) are replaced by one(item, position): those whose digests come first."""
-    mark = lambda i: F.struct(rng.digest(seed, key, salt, i).alias("h"), i.alias("i"))
 
-    def last(s: Column) -> Column:
-        k = F.greatest(F.lit(1), F.bround(F.size(s["w"]) * share).cast("int"))
-        return F.get(F.array_sort(F.transform(s["w"], lambda w, i: mark(i))), k - 1)
+    def last(m: Column) -> Column:
+        k = F.greatest(F.lit(1), F.bround(F.size(m) * share).cast("int"))
+        return F.get(F.array_sort(F.transform(m, lambda x: F.struct(x["h"], x["i"]))), k - 1)
 
-    replaced = lambda s: F.transform(s["w"], lambda w, i: F.when(mark(i) <= s["last"], one(w, i)).otherwise(w))
-    return text.let(lambda s: text.let(replaced, w=s["w"], last=last(s)), w=items)
+    replaced = lambda s: F.transform(s["m"], lambda x: F.when(F.struct(x["h"], x["i"]) <= s["last"], one(x["x"], x["i"])).otherwise(x["x"]))
+    marks = F.transform(items, lambda x, i: F.struct(rng.digest(seed, key, salt, i).alias("h"), i.alias("i"), x.alias("x")))  # one digest each
+    return text.let(lambda s: text.let(replaced, m=s["m"], last=last(s["m"])), m=marks)
 
 
 def mistyped(w: Column, mode: str, *parts: Column | str | int) -> Column:
     """A word with one typing error; words of one character are left."""
-    n = F.length(w)
-    at = rng.below(n, *parts, "at") + 1
-    letter = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), rng.below(26, *parts, "letter") + 1, F.lit(1))
-    head, tail = (lambda k: F.substring(w, F.lit(1), k)), (lambda k: F.substring(w, k, n))
-    pair = rng.below(n - 1, *parts, "at") + 1
-    forms = {
-        "delete": F.concat(head(at - 1), tail(at + 1)),
-        "insert": F.concat(head(at), letter, tail(at + 1)),
-        "substitute": F.concat(head(at - 1), letter, tail(at + 1)),
-        "transpose": F.concat(head(pair - 1), F.substring(w, pair + 1, F.lit(1)), F.substring(w, pair, F.lit(1)), tail(pair + 2)),
-    }
-    if mode != "mix":
-        return F.when(n > 1, forms[mode]).otherwise(w)
-    u, low, out = rng.uniform(*parts, "mode"), 0.0, w
-    for name, share in TYPO_MIX:
-        out = F.when((u >= low) & (u < low + share), forms[name]).otherwise(out)
-        low += share
-    return F.when(n > 1, out).otherwise(w)
+
+    def form(s: Column) -> Column:
+        w, n = s["w"], F.length(s["w"])
+        at, pair = F.floor(s["at"] * n).cast("int") + 1, F.floor(s["at"] * (n - 1)).cast("int") + 1
+        letter = F.substring(F.lit("abcdefghijklmnopqrstuvwxyz"), rng.below(26, *parts, "letter") + 1, F.lit(1))
+        head, tail = (lambda k: F.substring(w, F.lit(1), k)), (lambda k: F.substring(w, k, n))
+        forms = {
+            "delete": lambda: F.concat(head(at - 1), tail(at + 1)),
+            "insert": lambda: F.concat(head(at), letter, tail(at + 1)),
+            "substitute": lambda: F.concat(head(at - 1), letter, tail(at + 1)),
+            "transpose": lambda: F.concat(head(pair - 1), F.substring(w, pair + 1, F.lit(1)), F.substring(w, pair, F.lit(1)), tail(pair + 2)),
+        }
+        if mode != "mix":
+            return forms[mode]()
+        low, out = 0.0, F
+        for name, share in TYPO_MIX:
+            low += share
+            out = out.when(s["mode"] < low, forms[name]())
+        return out.otherwise(w)
+
+    made = text.let(form, w=w, at=rng.uniform(*parts, "at"), mode=rng.uniform(*parts, "mode") if mode == "mix" else F.lit(0.0))
+    return F.when(F.length(w) > 1, made).otherwise(w)
 
 
 def typo(t: Column, key: Column, mode: str = "mix", share: float = 0.2, seed: int = rng.SEED) -> Column:

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Queries sent to the tasks at once; more go in further blocks.
-QUERY_BLOCK = 20_000
+#: Queries sent to the tasks at once; more go in further blocks. A task compares so many of them with so many rows at a time.
+QUERY_BLOCK, QUERIES, ROWS = 20_000, 500, 2_000
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -19,6 +19,22 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0)
 
 
+Best = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def first(old: Best | None, new: Best, k: int) -> Best:
+    """The k most similar of each row of (similarity, id, label), of equal ones those of the smallest ids."""
+    if new[0].shape[1] > k:  # what is less similar than the k-th cannot be among them
+        kth = -np.partition(-new[0], k - 1, axis=1)[:, k - 1 : k]
+        width = int((new[0] >= kth).sum(1).max())
+        if width < new[0].shape[1]:
+            order = np.argsort(-new[0], axis=1, kind="stable")[:, :width]
+            new = tuple(np.take_along_axis(x, order, 1) for x in new)
+    both = new if old is None else tuple(np.concatenate([a, b], 1) for a, b in zip(old, new, strict=True))
+    order = np.lexsort((both[1], -both[0]))[:, :k]
+    return tuple(np.take_along_axis(x, order, 1) for x in both)
+
+
 def nearest(queries: DataFrame, base: DataFrame, k: int, key: str = "id", vector: str = "v", label: str = "y") -> DataFrame:
     """(query, id, similarity, y, place) of the k most similar base rows of each query, ties by id. Base rows do not move: k a task and query do."""
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
@@ -31,18 +47,18 @@ def nearest(queries: DataFrame, base: DataFrame, k: int, key: str = "id", vector
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             names, q = sent.value
-            best = None
+            best: list[Best | None] = [None] * -(-len(names) // QUERIES)
             for batch in batches:
-                if not len(batch):
-                    continue
-                sim = np.round(q @ unit(np.stack(batch[vector].to_numpy()).astype(float)).T, 6)
-                ids, y = batch[key].to_numpy(), batch[label].to_numpy()
-                order = np.lexsort((np.broadcast_to(ids, sim.shape), -sim))[:, :k]
-                rows_ = pd.DataFrame({"query": np.repeat(names, order.shape[1]), "id": ids[order].ravel(), "similarity": np.take_along_axis(sim, order, 1).ravel(), "y": y[order].ravel()})
-                best = rows_ if best is None else pd.concat([best, rows_])
-                best = best.sort_values(["query", "similarity", "id"], ascending=[True, False, True]).groupby("query").head(k)
-            if best is not None:
-                yield best
+                for at in range(0, len(batch), ROWS):
+                    rows = batch.iloc[at : at + ROWS]
+                    base_, ids, y = unit(np.stack(rows[vector].to_numpy()).astype(float)), rows[key].to_numpy(), rows[label].to_numpy()
+                    for j in range(len(best)):
+                        sim = np.round(q[j * QUERIES : (j + 1) * QUERIES] @ base_.T, 6)
+                        best[j] = first(best[j], (sim, np.broadcast_to(ids, sim.shape), np.broadcast_to(y, sim.shape)), k)
+            for j, found in enumerate(best):
+                if found:
+                    sim, ids, y = found
+                    yield pd.DataFrame({"query": np.repeat(names[j * QUERIES : (j + 1) * QUERIES], sim.shape[1]), "id": ids.ravel(), "similarity": sim.ravel(), "y": y.ravel()})
 
         parts.append(base.select(key, vector, label).mapInPandas(run, "query long, id long, similarity double, y int"))
     if not parts:

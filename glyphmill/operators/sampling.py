@@ -46,31 +46,28 @@ def quotas(n: int, weights: tuple[float, ...] = (8, 1, 1)) -> list[int]:
     return whole
 
 
-def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """df with each row's place, from 1, in a total order: rows are ranged by the order's first column, and ranked in each range from its base.
+def ranked(df: DataFrame, order: list[Column], name: str = "rank", within: str | None = None) -> DataFrame:
+    """df with each row's place, from 1, in a total order whose first column is a digest; with within, among the rows that agree in it.
 
-    Only the ranges' sizes are gathered.
+    Rows are ranged by the digest, and ranked in each range from its base, so that no label is one task. Only the ranges' sizes are gathered.
     """
     spark = df.sparkSession
     parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keyed = df.withColumn("__first", order[0])
     # Digests are even over their first digits, so ranges need no sample.
-    part = F.floor(F.conv(F.substring("__first", 1, 8), 16, 10).cast("long") * parts / 4294967296).cast("int")
-    keyed = keyed.withColumn("__part", part)
-    base = {r["__part"]: r["count"] for r in keyed.groupBy("__part").count().collect()}
-    start, offsets = 0, []
-    for p in sorted(base):
-        offsets.append((p, start))
-        start += base[p]
-    told = spark.createDataFrame(offsets, "__part int, __base long")
-    own = F.row_number().over(W.partitionBy("__part").orderBy("__first", *order[1:]))
-    return keyed.join(F.broadcast(told), "__part").withColumn(name, own + F.col("__base")).drop("__part", "__first", "__base")
+    keyed = df.withColumn("__first", order[0]).withColumn("__label", F.col(within) if within else F.lit(0))
+    keyed = keyed.withColumn("__part", F.floor(F.conv(F.substring("__first", 1, 8), 16, 10).cast("long") * parts / 4294967296).cast("int"))
+    sizes = keyed.groupBy("__label", "__part").count()  # a row for each label and range
+    before = F.sum("count").over(W.partitionBy("__label").orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
+    base = sizes.select(F.col("__label").alias("__l"), F.col("__part").alias("__p"), F.coalesce(before, F.lit(0)).alias("__base"))
+    own = F.row_number().over(W.partitionBy("__label", "__part").orderBy("__first", *order[1:]))
+    rows = keyed.join(F.broadcast(base), F.col("__label").eqNullSafe(F.col("__l")) & (F.col("__part") == F.col("__p")))
+    return rows.withColumn(name, own + F.col("__base")).drop("__part", "__first", "__base", "__label", "__l", "__p")
 
 
 def split(df: DataFrame, group: str, seed: int = 42, weights: tuple[float, ...] = (8, 1, 1), names: tuple[str, ...] = ("train", "dev", "test")) -> DataFrame:
     """df with a column split that keeps groups together: groups in the order of sha1(seed:group), cut at the quotas."""
-    groups = ranked(df.select(F.col(group).alias("__group")).distinct(), [rng.digest(seed, F.col("__group")), F.col("__group")], "__rank").persist()
-    limits = quotas(groups.count(), weights)
+    groups = ranked(df.select(F.col(group).alias("__group")).distinct(), [rng.digest(seed, F.col("__group")), F.col("__group")], "__rank")
+    limits = quotas(df.select(group).distinct().count(), weights)
     name, upto = F.lit(names[-1]), sum(limits)
     for k in reversed(range(len(limits) - 1)):
         upto -= limits[k + 1]
@@ -81,8 +78,8 @@ def split(df: DataFrame, group: str, seed: int = 42, weights: tuple[float, ...]
 def stratified(df: DataFrame, key: str, label: str, share: float, seed: int = rng.SEED) -> DataFrame:
     """df with split: of each label, the first round(share * n) rows in hashed order are train, the others val."""
     sizes = df.groupBy(F.col(label).alias("__label")).agg(F.bround(F.count("*") * share).cast("long").alias("__quota"))
-    own = F.row_number().over(W.partitionBy(label).orderBy(*_order(F.col(key), seed)))
-    rows = df.withColumn("__rank", own).join(F.broadcast(sizes), df[label].eqNullSafe(sizes["__label"]))
+    ranks = ranked(df, _order(F.col(key), seed), "__rank", label)
+    rows = ranks.join(F.broadcast(sizes), F.col(label).eqNullSafe(sizes["__label"]))
     return rows.withColumn("split", F.when(F.col("__rank") <= F.col("__quota"), "train").otherwise("val")).drop("__rank", "__quota", "__label")
 
 
@@ -92,11 +89,10 @@ def stratified_exact(df: DataFrame, key: str, label: str, train: int, val: int,
     labels = sorted(n)
     first = dict(zip(labels, quotas(min(train, sum(n.values())), tuple(n[x] for x in labels)), strict=True))
     second = dict(zip(labels, quotas(min(val, sum(n.values()) - sum(first.values())), tuple(n[x] for x in labels)), strict=True))
-    own = F.row_number().over(W.partitionBy(label).orderBy(*_order(F.col(key), seed)))
     take = F.lit(None).cast("string")
     for x in labels:
         take = F.when((F.col(label) == x) & (F.col("__rank") <= first[x]), "train").when((F.col(label) == x) & (F.col("__rank") <= first[x] + second[x]), "val").otherwise(take)
-    return df.withColumn("__rank", own).withColumn("split", take).where("split IS NOT NULL").drop("__rank")
+    return ranked(df, _order(F.col(key), seed), "__rank", label).withColumn("split", take).where("split IS NOT NULL").drop("__rank")
 
 
 def first_of(df: DataFrame, by: list[str], order: str) -> DataFrame:

@@ -122,7 +122,8 @@ query("split_counts", f"WITH {_SPLIT} SELECT split, count(*) AS records, count(D
 query("split_quotas", "SELECT * FROM (VALUES (CAST(10 AS BIGINT), CAST(8 AS BIGINT), CAST(1 AS BIGINT), CAST(1 AS BIGINT)), (7, 5, 1, 1), (3, 3, 0, 0)) t(n, train, dev, test)")(lambda s, d: s.createDataFrame([(n, *sampling.quotas(n)) for n in (10, 7, 3)], "n long, train long, dev long, test long"))
 query("stratified_split", f"SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY quality ORDER BY {_H}, doc_id) <= round_even(count(*) OVER (PARTITION BY quality) * 0.8, 0) THEN 'train' ELSE 'val' END AS split FROM labels")(lambda s, d: sampling.stratified(table(s, d, "labels"), "doc_id", "quality", 0.8).select("doc_id", "split"))
 query("split_simple", f"SELECT doc_id, CASE WHEN {uniform_sql(chr(39) + '7' + chr(39), 'CAST(doc_id AS VARCHAR)')} < 0.9 THEN 'train' ELSE 'test' END AS split FROM documents")(lambda s, d: docs(s, d).select("doc_id", F.when(rng.uniform(7, F.col("doc_id")) < 0.9, "train").otherwise("test").alias("split")))
-query("stratified_exact")(lambda s, d: sampling.stratified_exact(table(s, d, "labels"), "doc_id", "quality", 100, 40).groupBy("quality", "split").agg(F.count("*").alias("n")))
+_QUOTA = "SELECT quality, floor({0} * n / total) + CASE WHEN row_number() OVER (ORDER BY {0} * n / total - floor({0} * n / total) DESC, n DESC, quality) <= {0} - sum(floor({0} * n / total)) OVER () THEN 1 ELSE 0 END AS k FROM z"
+query("stratified_exact", f"WITH z AS (SELECT quality, count(*) AS n, (SELECT CAST(count(*) AS DOUBLE) FROM labels) AS total FROM labels GROUP BY quality), a AS ({_QUOTA.format('least(100, total)')}), b AS ({_QUOTA.format('least(40, total - least(100, total))')}), r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY {_H}, doc_id) AS r FROM labels) SELECT doc_id, quality, CASE WHEN r <= a.k THEN 'train' ELSE 'val' END AS split FROM r JOIN a USING (quality) JOIN b USING (quality) WHERE r <= a.k + b.k")(lambda s, d: sampling.stratified_exact(table(s, d, "labels").select("doc_id", "quality"), "doc_id", "quality", 100, 40))
 query("dedup_first", "SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text")(lambda s, d: sampling.first_of(docs(s, d).select("doc_id", "text"), ["text"], "doc_id"))
 query("set_difference", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")(lambda s, d: sampling.difference(docs(s, d).select("doc_id"), table(s, d, "labels"), "doc_id"))
 _PREVIEW = f"array_to_string(w[1:10], ' ') || CASE WHEN len(w) > 10 THEN '...' ELSE '' END"

@@ -32,8 +32,8 @@ from .bpe import Kept, Vocabulary, in_bytes, public_path
 CAPACITY = 2048
 #: Rounds of multiplicative weights, their rate, and how near the best a pattern of a round must be.
 ROUNDS, RATE, NEAR = 40, 0.5, 0.02
-#: Pieces of one length that one task ranks, about.
-RANKED = 200_000
+#: Pieces of one length that are ranked together, about; fewer where that evens the tasks: so many parts for each of them.
+RANKED, PARTS = 200_000, 4
 
 PIECE = "doc_id {kind}, piece int, start long, length long, ids_crc32 long"
 
@@ -194,9 +194,10 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = pieces.sparkSession
     part, rank_in = common.unused(pieces, "__part", "__rank")
     histogram = {int(r.length): r["count"] for r in pieces.groupBy("length").count().collect()}  # a row for each of capacity lengths
-    own = spark.createDataFrame([(x, -(-n // RANKED)) for x, n in histogram.items()] or [(0, 1)], "length long, __parts long")
+    share = max(1, sum(histogram.values()) // (PARTS * common.shuffle_parts(spark)))
+    own = spark.createDataFrame([(x, -(-n // min(RANKED, share))) for x, n in histogram.items()] or [(0, 1)], "length long, __parts long")
     dealt = pieces.join(F.broadcast(own), "length").select(*pieces.columns, F.pmod(F.xxhash64(*pieces.columns), "__parts").cast("int").alias(part))
-    # A row for each length and RANKED pieces of it: where the part's ranks begin.
+    # A row for each length and part of it, which are some PARTS a task or one for RANKED pieces: where the part's ranks begin.
     counts = dealt.groupBy("length", part).count().toPandas().sort_values(["length", part])
     code = (counts["length"].to_numpy(np.int64) << 32) | counts[part].to_numpy(np.int64)
     base = (counts.groupby("length")["count"].cumsum() - counts["count"]).to_numpy(np.int64)

@@ -270,3 +270,30 @@ def test_fuzz_and_rewrite_features(spark):
     own = texts[1].lower().split()
     assert rows[1][32:36] == pytest.approx([len({tuple(own[i : i + n]) for i in range(len(own) - n + 1)} & {tuple(w[i : i + n]) for w in [" ".join(made[1]).lower().split()] for i in range(len(w) - n + 1)}) / len(own) for n in (1, 2, 3, 4)], abs=1e-6)
     assert rows[1][:4] == pytest.approx(np.reshape(rows[1][4:32], (7, 4)).mean(0), abs=1e-6)
+
+
+def test_artifacts(spark, tmp_path):
+    import json
+    import os
+
+    from glyphmill.operators import calibration as cal
+    from glyphmill.sources import artifacts
+
+    root = f"file://{tmp_path}"
+    (tmp_path / "in/deep").mkdir(parents=True)
+    (tmp_path / "in/a.jsonl").write_text('{"id": 1, "text": "one", "label": "human"}\n\n{"id": 2, "text": "two", "label": 1}\n')
+    (tmp_path / "in/deep/b.json").write_text(json.dumps({"examples": [{"id": 3, "text": "three", "label": "gpt"}]}))
+    (tmp_path / "in/deep/c.csv").write_text("ID,Answer,Label\n4,four,0\n")
+    (tmp_path / "in/d.txt").write_text("no")
+    rows = artifacts.scan_folder(spark, f"{root}/in").collect()
+    assert sorted((r.id, r.text, r.label) for r in rows) == [("1", "one", 0), ("2", "two", 1), ("3", "three", 1), ("4", "four", 0)]
+    assert artifacts.scan_folder(spark, f"{root}/none") is None and artifacts.latest(spark, f"{root}/none", ".json") is None
+    os.environ["GLYPHMILL_T"] = str(tmp_path)
+    assert artifacts.resolved("$GLYPHMILL_T/in") == f"{tmp_path}/in" and artifacts.resolved("in/a.jsonl", (str(tmp_path),)) == f"{tmp_path}/in/a.jsonl"
+    assert artifacts.resolved("s3://b/k") == "s3://b/k" and artifacts.tag("a b/c:1.0") == "a_b_c_1.0"
+    first, other = (artifacts.saved(spark, m, f"{root}/user", d, x).replace("file:///", "file:/") for m, d, x in ((cal.Platt(1.0, 2.0), "rank", "gpt"), (cal.Linear([1.0, 2.0]), "lrr", "m")))
+    os.utime(first.removeprefix("file:"), (1, 1))
+    find = lambda d, m, **k: artifacts.discovered(spark, d, m, (f"{root}/empty", f"{root}/user"), **k)
+    assert find("rank", "none") == (first, cal.Platt(1.0, 2.0)) and find("lrr", "gpt")[1] == cal.Linear([1.0, 2.0])
+    assert find("x", "y") is None and find("x", "y", explicit=other)[1] == cal.Linear([1.0, 2.0])
+    assert artifacts.latest(spark, f"{root}/user", ".json") == other

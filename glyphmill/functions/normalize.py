@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Words for labels and roles, and keys in order of priority.
 HUMAN_WORDS = ("human", "hum", "real", "reference", "gold", "ref")
+HUMAN_ROLES = ("human", "user", "person")
+MACHINE_ROLES = ("assistant", "machine", "model", "bot", "ai", "gpt")
 MACHINE_WORDS = ("machine", "ai", "model", "generated", "gen", "chatgpt", "gpt", "bot", "fake")
 TEXT_KEYS = ("text", "article")
 EVAL_TEXT_KEYS = ("text", "content", "response", "output", "generation", "gen", "final_text")
@@ -24,7 +26,7 @@ def label(value: Column) -> Column:
 def role_label(role: Column) -> Column:
     """0 for the roles of people, 1 for those of machines."""
     name = F.lower(F.trim(role))
-    return F.when(name.isin("human", "user", "person"), 0).when(name.isin("assistant", "machine", "model", "bot", "ai", "gpt"), 1)
+    return F.when(name.isin(*HUMAN_ROLES), 0).when(name.isin(*MACHINE_ROLES), 1)
 
 
 def text_of(*columns: Column) -> Column:

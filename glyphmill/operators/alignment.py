@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rng
+from . import ranges
 from .sampling import first_of
 
 
@@ -22,13 +23,9 @@ def pairs_by_order(base: DataFrame, attack: DataFrame, order: str = "seq") -> Da
 
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     """df with the place of each row (from 1) by a numeric column: ranges of it are ranked apart and shifted by the sizes of those below."""
-    cuts = df.select(F.percentile_approx(order, [k / 32 for k in range(1, 32)], 1000)).first()[0] or []
-    part = F.lit(0)
-    for c in sorted(set(cuts)):
-        part = part + (F.col(order) > c).cast("int")
-    rows = df.withColumn("__part", part)
+    rows = ranges.ranged(df, order, ranges.cuts(df, order), "__part")
     sizes = rows.groupBy("__part").count()
-    base = sizes.select("__part", F.coalesce(F.sum("count").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))  # 32 rows
+    base = sizes.select("__part", F.coalesce(F.sum("count").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))  # a row for each range
     return rows.join(F.broadcast(base), "__part").withColumn(name, F.col("__base") + F.row_number().over(W.partitionBy("__part").orderBy(order))).drop("__part", "__base", order)
 
 

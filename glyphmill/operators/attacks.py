@@ -250,11 +250,20 @@ ATTACKS: dict[str, Callable[..., Column]] = {
 }
 
 
-def attacked(df: DataFrame, configs: list[dict], text_column: str = "text", key: str = "id") -> DataFrame:
-    """(df's columns, attack, attacked) for each configuration {"type": name, ...parameters}, in one pass over df; unchanged texts are left out."""
+def variants(df: DataFrame, configs: list[dict], text_column: str = "text", key: str = "id") -> DataFrame:
+    """(df's columns, attack, variant, attacked) for each configuration {"type": name, "variants": n, ...parameters}, in one pass over df.
+
+    The variants of a configuration, one unless it says more, have seeds that count up from its own; unchanged texts are left out.
+    """
     made = []
     for config in configs:
         own = dict(config)
-        name = own.pop("type")
-        made.append(F.struct(F.lit(name).alias("attack"), ATTACKS[name](F.col(text_column), F.col(key).cast("string"), **own).alias("attacked")))
+        name, n, seed = own.pop("type"), own.pop("variants", 1), own.pop("seed", rng.SEED)
+        for k in range(n):
+            made.append(F.struct(F.lit(name).alias("attack"), F.lit(k).alias("variant"), ATTACKS[name](F.col(text_column), F.col(key).cast("string"), seed=seed + k, **own).alias("attacked")))
     return df.select("*", F.inline(F.array(*made))).where("attacked IS NOT NULL")
+
+
+def attacked(df: DataFrame, configs: list[dict], text_column: str = "text", key: str = "id") -> DataFrame:
+    """The same without the numbers of the variants."""
+    return variants(df, configs, text_column, key).drop("variant")

@@ -1,31 +1,29 @@
 """Threshold curves: ROC, precision-recall, operating points, risk and coverage.
 
 Rows are first counted by score where ties may be merged. Running sums have two levels: inside ranges of the
-score, each a partition of its own, and over the ranges' totals, so that no window holds the whole table.
+score, each a partition of its own, and over the ranges' totals, so that no window holds the whole table. A score that fills
+ranges alone is cut by the tie's order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RANGES = 64
+from . import ranges
+
 TARGETS = (0.0001, 0.001, 0.01, 0.05, 0.1)
 
 
-def running(df: DataFrame, score: str, sums: list[str], *ties: Column) -> DataFrame:
-    """df with run_<c> for each c of sums: its sum over the rows of higher scores up to the row itself, ties in the order given."""
-    cuts = df.select(F.percentile_approx(score, [k / RANGES for k in range(1, RANGES)], 1000)).first()[0] or []
-    part = F.lit(0)
-    for c in sorted(set(cuts)):
-        part = part + (F.col(score) > c).cast("int")
-    rows = df.withColumn("__part", part)
-    total = rows.groupBy("__part").agg(*[F.sum(c).alias(f"__sum_{c}") for c in sums])
-    above = W.orderBy(F.desc("__part")).rowsBetween(W.unboundedPreceding, -1)  # over RANGES rows at most
-    total = total.select("__part", *[F.coalesce(F.sum(f"__sum_{c}").over(above), F.lit(0)).alias(f"__before_{c}") for c in sums])
-    own = W.partitionBy("__part").orderBy(F.desc(score), *ties).rowsBetween(W.unboundedPreceding, 0)
-    rows = rows.withColumns({f"__run_{c}": F.sum(c).over(own) for c in sums}).join(F.broadcast(total), "__part")
+def running(df: DataFrame, score: str, sums: list[str], tie: str | None = None) -> DataFrame:
+    """df with run_<c> for each c of sums: its sum over the rows of higher scores up to the row itself, equal scores in the order of tie."""
+    rows = ranges.parted(df, score, tie, "__part", "__sub")
+    total = rows.groupBy("__part", "__sub").agg(*[F.sum(c).alias(f"__sum_{c}") for c in sums])
+    above = W.orderBy(F.desc("__part"), "__sub").rowsBetween(W.unboundedPreceding, -1)  # over the ranges only
+    total = total.select("__part", "__sub", *[F.coalesce(F.sum(f"__sum_{c}").over(above), F.lit(0)).alias(f"__before_{c}") for c in sums])
+    own = W.partitionBy("__part", "__sub").orderBy(F.desc(score), *([tie] if tie else [])).rowsBetween(W.unboundedPreceding, 0)
+    rows = rows.withColumns({f"__run_{c}": F.sum(c).over(own) for c in sums}).join(F.broadcast(total), ["__part", "__sub"])
     return rows.select(*df.columns, *[(F.col(f"__run_{c}") + F.col(f"__before_{c}")).alias(f"run_{c}") for c in sums])
 
 
@@ -54,7 +52,7 @@ def roc_auc_ranks(df: DataFrame, score: str = "prob", y: str = "y") -> DataFrame
 def points(df: DataFrame, score: str = "prob", y: str = "y", seq: str = "id") -> DataFrame:
     """A row for each example in descending score (ties in input order): tp and fp so far."""
     rows = df.select(F.col(score).alias("score"), F.col(seq).alias("seq"), F.col(y).cast("long").alias("tp"), (1 - F.col(y)).cast("long").alias("fp"))
-    return running(rows, "score", ["tp", "fp"], F.col("seq"))
+    return running(rows, "score", ["tp", "fp"], "seq")
 
 
 def _with_totals(rows: DataFrame) -> DataFrame:
@@ -128,7 +126,7 @@ def risk_coverage(df: DataFrame, score: str = "prob", y: str = "y", seq: str = "
     """Share of errors among the examples of the highest confidence max(p, 1 - p), as more and more are covered."""
     wrong = ((F.col(score) >= threshold).cast("int") != F.col(y)).cast("long")
     rows = df.select(F.round(F.greatest(F.col(score), 1 - F.col(score)), 9).alias("score"), F.col(seq).alias("seq"), wrong.alias("wrong"), F.lit(1).cast("long").alias("k"))
-    rows = running(rows, "score", ["wrong", "k"], F.col("seq"))
+    rows = running(rows, "score", ["wrong", "k"], "seq")
     total = rows.agg(F.count("*").alias("n"))
     return rows.crossJoin(F.broadcast(total)).select("seq", F.round(F.col("run_k") / F.col("n"), 6).alias("coverage"), F.round(F.col("run_wrong") / F.col("run_k"), 6).alias("risk"))
 

@@ -95,10 +95,16 @@ class Evaluation:
     """The relations of an evaluation by name, and how to write them."""
 
     relations: dict[str, DataFrame]
+    held: DataFrame | None = None
 
     def write(self, path: str) -> None:
         sinks.write_results(self.relations, path)
 
+    def release(self) -> None:
+        """Gives back the storage of the scored rows; the relations stay usable and compute them anew."""
+        if self.held is not None:
+            self.held.unpersist()
+
 
 def detect(df: DataFrame, model: cal.Platt, score: Column | str = "score", label: str = "label", groups: tuple[str, ...] = ("lang", "source", "model"), variants: DataFrame | None = None) -> Evaluation:
     """Evaluates scores (id, score, label, group columns): summary, curves, operating points, bins, groups, and attack success on variants (k, method, y, score)."""
@@ -124,4 +130,4 @@ def detect(df: DataFrame, model: cal.Platt, score: Column | str = "score", label
         base = rows.select(F.col("id").alias("k"), "y", "prob")
         by = alignment.attack_success(base, variants.select("k", "method", "y", cal.platt(F.col("score"), model).alias("prob")), t)
         out |= {"asr_by_method": by, "asr_summary": alignment.success_summary(by)}
-    return Evaluation(out)
+    return Evaluation(out, rows)

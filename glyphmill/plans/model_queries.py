@@ -9,10 +9,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import fuzz, rng, text
-from ..operators import attacks, graph, neighbours
+from ..operators import attacks, calibration, graph, neighbours, similarity
 from ..operators import language_model as lm
 from ..streaming import monitors
-from .base import query, table, uniform_sql, written
+from .base import ORACLES, SCORED, query, scored, table, uniform_sql, written
 from .text_queries import SENT, WORDS, docs
 
 #: Words of the bounded model that lastdepp samples from.
@@ -117,16 +117,25 @@ _PERTURBED = f"{_tokens('cd', 'documents')}, {_MODEL}, va AS (SELECT doc_id, 0 A
 _AGAINST = "sc AS (SELECT doc_id, variant, {0} AS s FROM st GROUP BY doc_id, variant), ag AS (SELECT doc_id, avg(s) AS m, stddev_pop(s) AS sd, count(*) AS variants FROM sc WHERE variant > 0 GROUP BY doc_id), ow AS (SELECT doc_id, s FROM sc WHERE variant = 0)"
 query("detector_detectgpt", f"WITH {_PERTURBED}, {_AGAINST.format('avg(lp)')} SELECT doc_id, variants, round((s - m) / (sd + 1e-8), 6) AS detectgpt FROM ow JOIN ag USING (doc_id)")(lambda s, d: _against(s, d, "likelihood").select("doc_id", "variants", F.col("difference").alias("detectgpt")))
 query("detector_npr", f"WITH {_PERTURBED}, {_AGAINST.format('avg(ln(rk))')} SELECT doc_id, variants, round(CASE WHEN s <> 0 THEN m / s ELSE 1 END, 6) AS npr FROM ow JOIN ag USING (doc_id)")(lambda s, d: _against(s, d, "logrank").select("doc_id", "variants", F.col("ratio").alias("npr")))
-query("detector_tocsin")(lambda s, d: _tocsin(docs(s, d), lm.detector_scores(statistics(s, d, False), "doc_id", ["likelihood"])))
+_BLANKS = " + ".join("1 - len(list_distinct(list_transform(generate_series(1, CAST(greatest(1, round_even(n * 0.015, 0)) AS BIGINT)), lambda k: CAST(floor(" + uniform_sql(f"'{k}'", "CAST(doc_id AS VARCHAR)", "'blank'", "CAST(k AS VARCHAR)") + " * n) AS INT)))) / n" for k in range(3))
+_TOCSIN = {
+    "tocsin": "lp * exp(same - 1)",
+    "tocsin_fast": "fast * exp(1 - same)",
+    "tocsin_lrr": "lp / least(logrank, -CAST(1e-12 AS DOUBLE)) * exp(1 - same)",
+    "tocsin_logrank": "least(logrank, -CAST(1e-12 AS DOUBLE)) * exp(same - 1)",
+    "tocsin_standalone": "1 - same",
+}
+query("detector_tocsin", f"WITH {_LM}, sa AS (SELECT doc_id, ({_BLANKS}) / 3 AS same FROM (SELECT doc_id, len({WORDS}) AS n FROM documents) WHERE n > 0), sc AS (SELECT doc_id, avg(lp) AS lp, -avg(ln(rk)) AS logrank, {_FORMS['fastdetectgpt']['fastdetectgpt']} AS fast FROM st GROUP BY doc_id) SELECT doc_id, " + ", ".join(f"round({f}, 6) AS {n}" for n, f in _TOCSIN.items()) + " FROM sc JOIN sa USING (doc_id)")(lambda s, d: _tocsin(docs(s, d), statistics(s, d)))
 query("detector_raidar")(lambda s, d: _raidar(docs(s, d)))
 
 
-def _tocsin(df, base):
-    """The likelihood scaled by how much of the words survives deletions."""
-    key = F.col("doc_id").cast("string")
+def _tocsin(df, stats):
+    """Scores by the mode of the base score, scaled by how much of the words survives deletions (the likeness, less one, is at most 0)."""
+    key, own = F.col("doc_id").cast("string"), lm.scores()
     cut = df.select("doc_id", text.split_words(F.col("text")).alias("w"), *[text.split_words(attacks.blank_words(F.col("text"), key, seed=k)).alias(f"v{k}") for k in range(3)])
     same = sum(F.size(f"v{k}") / F.greatest(F.size("w"), F.lit(1)) for k in range(3)) / 3
-    return base.join(cut.select("doc_id", same.alias("same")), "doc_id").select("doc_id", F.round(F.col("likelihood") * F.exp(-(1 - F.col("same"))), 6).alias("tocsin"))
+    base = stats.groupBy("doc_id").agg(own["likelihood"].alias("lp"), own["logrank"].alias("logrank"), own["fastdetectgpt"].alias("fast"))
+    return base.join(cut.select("doc_id", same.alias("same")), "doc_id").select("doc_id", *[F.round(F.expr(f), 6).alias(n) for n, f in _TOCSIN.items()])
 
 
 REWRITES = ("drop", "swap", "chars", "punct", "typo", "sentences", "blanks")
@@ -224,15 +233,17 @@ def fuzz_ratio(spark, d):
     return each.select("doc_id", "r.rewrite", fuzzy()("text", "r.t").alias("f")).select("doc_id", "rewrite", "f.*")
 
 
-@query("threshold_presets")
+_PRESETS = (("tpr@fpr<=0.01", "high", 1), ("tpr@fpr<=0.05", "mean", 1), ("acc", "mean", 2), ("f1", "low", 2), ("decision", "low", 3))
+
+
+@query("threshold_presets", f"WITH {SCORED}, g AS (SELECT lang || '/' || source AS file, round(min(prob), 6) AS low, round(avg(prob), 6) AS mean, round(max(prob), 6) AS high FROM scored GROUP BY lang, source) " + " UNION ALL ".join(f"SELECT file, '{n}' AS preset, {c} AS threshold, {p} AS priority FROM g" for n, c, p in _PRESETS))
 def threshold_presets(spark, d):
-    """Thresholds from calibrator documents of two layouts: the calibrator's own, and a table by target rate."""
-    rows = spark.createDataFrame([('{"calibrator": {"decision_threshold": 0.42}, "meta": {"dev": {"tpr_at_fpr": {"0.01": {"threshold": 0.9}, "0.05": {"threshold": 0.7}}}}}',), ('{"calibrator": {"threshold_raw_p05": -1.5}}',)], "value string")
-    v = rows.select(F.monotonically_increasing_id().alias("file"), F.parse_json("value").alias("v"))
-    v.createOrReplaceTempView("__presets")
-    own = v.select("file", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.try_variant_get("v", f"$.calibrator.{n}", "double").alias("threshold")) for n in ("decision_threshold", "threshold_raw_p05")])).alias("p")).select("file", "p.*")
-    table_ = spark.sql("SELECT file, concat('tpr_at_fpr_', key) AS name, try_variant_get(value, '$.threshold', 'double') AS threshold FROM __presets, LATERAL variant_explode(try_variant_get(v, '$.meta.dev.tpr_at_fpr', 'variant'))")
-    return own.unionByName(table_).where("threshold IS NOT NULL")
+    """Thresholds from a calibrator's document for each language and source of the scored documents."""
+    g = scored(spark, d).groupBy("lang", "source").agg(*[F.round(f("prob"), 6).alias(n) for n, f in (("low", F.min), ("mean", F.avg), ("high", F.max))])
+    at = F.create_map(F.lit("0.01"), F.struct(F.col("high").alias("threshold")), F.lit("0.05"), F.struct(F.col("mean").alias("threshold")))
+    decision = F.struct(F.struct(F.col("mean").alias("acc"), F.struct(F.col("low").alias("thr")).alias("f1")).alias("thresholds"), F.col("low").alias("threshold"))
+    files = g.select(F.concat_ws("/", "lang", "source").alias("file"), F.to_json(F.struct(F.struct(F.struct(at.alias("tpr_at_fpr"), decision.alias("decision")).alias("dev")).alias("meta"))).alias("value"))
+    return calibration.presets(files)
 
 
 query("build_dataset")(lambda s, d: _built(s, d))
@@ -260,11 +271,18 @@ def pu_prior_by_length(spark, d):
     return rows.join(lm.length_priors(rows.select("n").distinct(), 0.2), "n").select("doc_id", "n", "prior")
 
 
-@query("text_quality")
+_BAGS = f"SELECT doc_id, t, sum(x) AS x, sum(y) AS y FROM (SELECT doc_id, lower(unnest({WORDS})) AS t, 1 AS x, 0 AS y FROM documents UNION ALL SELECT doc_id, lower(unnest({WORDS})), 0, 1 FROM ({_dropped(0)})) GROUP BY doc_id, t"
+_LIKE = f"SELECT doc_id, round(CASE WHEN sum(y) > 0 THEN sum(least(x, y)) / sum(y) ELSE 0 END, 6) AS precision, round(CASE WHEN sum(x) > 0 THEN sum(least(x, y)) / sum(x) ELSE 0 END, 6) AS recall, round(2 * sum(least(x, y)) / sum(x + y), 6) AS f1, round(CASE WHEN sum(x) * sum(y) > 0 THEN sum(x * y) / sqrt(CAST(sum(x * x) AS DOUBLE) * sum(y * y)) ELSE 0 END, 6) AS cosine FROM ({_BAGS}) GROUP BY doc_id"
+
+
+@query("text_quality", f"WITH {_LM}, rd AS ({ORACLES['readability']}), pp AS (SELECT doc_id, round(exp(-sum(lp) / count(*)), 6) AS perplexity FROM st GROUP BY doc_id), li AS ({_LIKE}) SELECT * FROM rd LEFT JOIN pp USING (doc_id) LEFT JOIN li USING (doc_id)")
 def text_quality(spark, d):
-    """Readability with perplexity; a text without tokens has no perplexity."""
-    read = docs(spark, d).select("doc_id", text.readability(F.col("text")).alias("r")).select("doc_id", "r.*")
-    return read.join(lm.strided_perplexity(statistics(spark, d, False), "doc_id").select("doc_id", "perplexity"), "doc_id", "left")
+    """Readability, perplexity, and likeness to a text made from it (here without some words); what a text has no value of is null."""
+    rows = docs(spark, d)
+    read = rows.select("doc_id", text.readability(F.col("text")).alias("r")).select("doc_id", "r.*")
+    made = rows.select("doc_id", "text", F.coalesce(attacks.word_drop(F.col("text"), F.col("doc_id").cast("string"), 0.1, seed=0), F.col("text")).alias("made"))
+    perplexity = lm.strided_perplexity(statistics(spark, d, False), "doc_id").select("doc_id", "perplexity")
+    return read.join(perplexity, "doc_id", "left").join(similarity.shared_tokens(made, "doc_id", "text", "made"), "doc_id", "left")
 
 
 class _Shuffler:
@@ -274,7 +292,7 @@ class _Shuffler:
         return [" ".join(p.split(". ")[::-1]) for p in prompts]
 
 
-@query("attack_paraphrase")
+@query("attack_paraphrase", "SELECT doc_id, attacked FROM (SELECT doc_id, text, array_to_string(list_reverse(string_split(text, '. ')), ' ') AS attacked FROM documents) WHERE attacked <> text")
 def attack_paraphrase(spark, d):
     from .api import generated
 

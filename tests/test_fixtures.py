@@ -297,3 +297,84 @@ def test_artifacts(spark, tmp_path):
     assert find("rank", "none") == (first, cal.Platt(1.0, 2.0)) and find("lrr", "gpt")[1] == cal.Linear([1.0, 2.0])
     assert find("x", "y") is None and find("x", "y", explicit=other)[1] == cal.Linear([1.0, 2.0])
     assert artifacts.latest(spark, f"{root}/user", ".json") == other
+
+
+def test_curves_cut_a_score_that_most_rows_share(spark):
+    import random
+
+    from glyphmill.operators import ranges
+
+    r = random.Random(3)
+    rows = [(k, 0.5 if r.random() < 0.7 else round(r.random(), 3), r.randint(0, 1)) for k in range(4000)]
+    df = spark.createDataFrame(rows, "id long, prob double, y int").repartition(5)
+    parted = ranges.parted(df, "prob", "id", "part", "sub")
+    assert parted.where("prob = 0.5").groupBy("part", "sub").count().agg({"count": "max"}).first()[0] < 400
+    want, tp, fp = {}, 0, 0
+    for k, p, y in sorted(rows, key=lambda x: (-x[1], x[0])):
+        tp, fp = tp + y, fp + 1 - y
+        want[k] = (tp, fp)
+    got = {x.seq: (x.run_tp, x.run_fp) for x in curves.points(df).collect()}
+    assert got == want
+    places = {x.seq: x.n for x in alignment.numbered(df.select(F.col("id").alias("o"), F.col("id").alias("seq")), "o", "n").collect()}
+    assert places == {k: k + 1 for k in range(4000)}
+
+
+def test_presets_of_mixed_layouts(spark):
+    files = [
+        ("a", '{"meta": {"dev": {"tpr_at_fpr": {"0.01": {"threshold": 0.9}, "0.05": {"tpr": 1}}, "decision": {"threshold": 0.4, "thresholds": {"acc": 0.3, "f1": {"thr": 0.2}, "tpr": {"threshold": 0.1, "thr": 7}, "odd": "none"}}}}}'),
+        ("b", '{"meta": {"dev": {"decision": {"threshold": "0.7"}}}}'),
+        ("c", "no document"),
+        ("d", None),
+        ("e", '{"meta": []}'),
+    ]
+    got = {(r.file, r.preset): (r.threshold, r.priority) for r in cal.presets(spark.createDataFrame(files, "file string, value string")).collect()}
+    assert got == {("a", "tpr@fpr<=0.01"): (0.9, 1), ("a", "acc"): (0.3, 2), ("a", "f1"): (0.2, 2), ("a", "tpr"): (0.1, 2), ("a", "decision"): (0.4, 3), ("b", "decision"): (0.7, 3)}
+
+
+def test_variants_of_an_attack(spark):
+    df = spark.createDataFrame([(1, "some words of a text that is long enough to lose some of its many words"), (2, None), (3, "")], "id long, text string")
+    rows = attacks.variants(df, [{"type": "word_drop", "p": 0.3, "variants": 3}, {"type": "homo"}]).collect()
+    assert sorted((r.id, r.attack, r.variant) for r in rows) == [(1, "homo", 0), (1, "word_drop", 0), (1, "word_drop", 1), (1, "word_drop", 2)]
+    assert len({r.attacked for r in rows}) == 4
+    assert attacks.attacked(df, [{"type": "homo"}]).columns == ["id", "text", "attack", "attacked"]
+
+
+def test_names(spark):
+    from glyphmill.plans import names
+
+    assert names.DETECTORS.get("FastDetectGPTDetector") is names.DETECTORS.get("fast_detect_gpt") is names.DETECTORS.get("fastdetectgpt")
+    with pytest.raises(KeyError, match="likelihood"):
+        names.DETECTORS.get("nothing")
+    with pytest.raises(KeyError):
+        names.CALIBRATORS.get("")
+    names.DETECTORS.register("own")(lambda stats, key: stats.groupBy(key).agg(F.count("*").alias("score")))
+    docs = spark.createDataFrame([(1, "a b a b a"), (2, "b a c"), (3, ""), (4, None)], "id long, text string")
+    model = names.TRAINERS.get("NGram")(docs)
+    assert {r.id: r.score for r in names.scores(docs, "own", model).collect()} == {1: 5, 2: 3}
+    likely = {r.id: r.score for r in names.scores(docs, "likelihood", model).collect()}
+    assert set(likely) == {1, 2} and likely[1] > likely[2]
+    fit, apply = names.CALIBRATORS.get("platt")
+    assert fit is cal.fit_platt and apply is cal.platt
+
+
+def test_shared_tokens(spark):
+    from glyphmill.operators import similarity
+
+    df = spark.createDataFrame([(1, "a b B c", "b a d"), (2, "x", ""), (3, None, None), (4, "Same text", "same TEXT")], "id long, a string, b string")
+    got = {r.id: tuple(r)[1:] for r in similarity.shared_tokens(df, "id", "a", "b").collect()}
+    assert got == {1: (round(2 / 3, 6), 0.5, round(4 / 7, 6), round(3 / 18**0.5, 6)), 2: (0, 0, 0, 0), 4: (1, 1, 1, 1)}
+
+
+def test_buffered_log_holds_the_last_lines(spark, tmp_path):
+    log = spark.range(60).select((F.col("id") * 7 % 60).alias("n"), F.concat(F.lit("job"), (F.col("id") * 7 % 3).cast("string")).alias("job")).withColumn("line", F.when(F.col("n") != 59, F.concat(F.lit("line "), F.col("n").cast("string"))))
+    log = log.withColumn("at", F.timestamp_seconds(F.col("n") + 1.7e9))
+    log.repartition(3).write.parquet(f"file://{tmp_path}/log")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/log")
+    q = monitors.buffered(stream, "job", "n", "line", "at", keep=5).writeStream.outputMode("update").format("memory").queryName("buffers").trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
+    last = {r.job: r for r in spark.table("buffers").orderBy("seen").collect()}
+    want = {}
+    for r in monitors.replay(log, "job", "n", 5).orderBy("n").collect():
+        want.setdefault(r.job, []).append(r.line or "")
+    assert {j: r.lines for j, r in last.items()} == want
+    assert {j: r.seen for j, r in last.items()} == dict.fromkeys(want, 20)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, fingerprints, html_text, jaccard_join, line_templates, packing, quality, sharding, toxicity
+from . import bpe, byte_tries, decontamination, exact_dedup, fingerprints, html_text, jaccard_join, line_templates, packing, quality, sharding, toxicity, whitening
 
 QUERIES = {
     "op1_fingerprints": fingerprints.op1_fingerprints,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_quality": quality.op9_quality,
     "op10_decontamination": decontamination.op10_decontamination,
+    "op11_exact_dedup": exact_dedup.op11_exact_dedup,
+    "op12_divergence": byte_tries.op12_divergence,
+    "op13_whitening": whitening.op13_whitening,
 }
 
 ORACLES = {
     "op3_line_dedup": line_templates.ORACLE,
     "op8_jaccard_join": jaccard_join.ORACLE,
     "op10_decontamination": decontamination.ORACLE,
+    "op11_exact_dedup": exact_dedup.ORACLE,
+    "op12_divergence": byte_tries.ORACLE,
 }

@@ -47,10 +47,12 @@ def edge_dir(spark, edge, folder):
     benchmark = spark.createDataFrame([(1, "line one of the shared text here"), (2, None), (3, ""), (4, " ".join(f"word{k % 977} of" for k in range(40))), (4, "word3 of")], "item_id long, text string")
     labels = spark.createDataFrame([(0, 1, 0), (3, 0, 1), (4, 1, 0), (4, 1, 0), (5, None, None), (99, 1, 1)], "doc_id long, quality int, toxic int")
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "<p>" + "long text " * 20_000)], "page_id long, url string, html string")
-    return folder("edge", documents=edge, benchmark=benchmark, labels=labels, pages=pages)
+    vectors = [(1, [0.5, 1.0, -0.25]), (1, [0.5, 1.0, -0.25]), (2, None), (3, [None, 1.0, 1.0]), (4, [float("nan"), 0.0, 0.0]), (5, [float("inf"), 0.0, 0.0]), (6, [1.0, 2.0, 3.0]), (7, [0.0, 0.0, 0.0]), (8, [1.0]), (9, []), (None, [3.0, -1.0, 1.0])]
+    embeddings = spark.createDataFrame([(*v, "x", 1, 2.0) for v in vectors], "vec_id long, embedding array<float>, key string, n long, whitened double")
+    return folder("edge", documents=edge, benchmark=benchmark, labels=labels, pages=pages, embeddings=embeddings)
 
 
 @pytest.fixture(scope="session")
 def empty_dir(spark, edge, folder):
     none = lambda schema: spark.createDataFrame([], schema)
-    return folder("empty", documents=edge.limit(0), benchmark=none("item_id long, text string"), labels=none("doc_id long, quality int, toxic int"), pages=none("page_id long, url string, html string"))
+    return folder("empty", documents=edge.limit(0), benchmark=none("item_id long, text string"), labels=none("doc_id long, quality int, toxic int"), pages=none("page_id long, url string, html string"), embeddings=none("vec_id long, embedding array<float>"))

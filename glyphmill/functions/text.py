@@ -135,13 +135,6 @@ def clean_for_language(text: Column) -> Column:
     return F.trim(out)
 
 
-def script_language(text: Column, hint: Column) -> Column:
-    """The hint where there is one; else the script's language from a share of 0.2 on; short texts are und."""
-    share = script_shares(text)
-    by_script = F.when(share["cjk"] >= 0.2, "zh").when(share["arabic"] >= 0.2, "ar").when(share["cyrillic"] >= 0.2, "ru")
-    return F.coalesce(F.nullif(F.trim(hint), F.lit("")), by_script, F.when(F.length(clean_for_language(text)) < 40, "und").otherwise("en"))
-
-
 def stable_hash(text: Column) -> Column:
     return F.substring(F.sha1(text.cast("binary")), 1, 16)
 

@@ -26,14 +26,12 @@ def keep_order(df: DataFrame, key: str, k: int, seed: int = rng.SEED) -> DataFra
 
 
 def balanced(df: DataFrame, key: str, label: str, k: int, seed: int = rng.SEED) -> DataFrame:
-    """min(k, size of the smaller class) rows of either class; if one is missing, 2 k of the other."""
-    sizes = df.groupBy(F.col(label).alias("__label")).count().collect()  # two rows
-    n = {r["__label"]: r["count"] for r in sizes}
-    if len(n) < 2:
-        return exact(df, key, 2 * k, seed)
-    k = min(k, *n.values())
-    parts = [exact(df.where(F.col(label) == value), key, k, seed) for value in sorted(n)]
-    return parts[0].unionByName(parts[1])
+    """min(k, size of the smallest class) rows of every class; if there is one class only, 2 k of it. Rows without a label are of no class."""
+    rows = df.where(F.col(label).isNotNull())
+    sizes = rows.groupBy(label).count().agg(F.count("*").alias("classes"), F.min("count").alias("least")).first()
+    if sizes.classes < 2:
+        return exact(rows, key, 2 * k, seed)
+    return ranked(rows, _order(F.col(key), seed), "__rank", label).where(F.col("__rank") <= min(k, sizes.least)).drop("__rank")
 
 
 def quotas(n: int, weights: tuple[float, ...] = (8, 1, 1)) -> list[int]:
@@ -46,6 +44,18 @@ def quotas(n: int, weights: tuple[float, ...] = (8, 1, 1)) -> list[int]:
     return whole
 
 
+def quota_table(df: DataFrame, by: str, weights: tuple[int, ...] = (8, 1, 1), names: tuple[str, ...] = ("train", "dev", "test")) -> DataFrame:
+    """(by, n, and a column for each name): quotas() of the rows of each group, for any number of groups, in whole numbers."""
+    counts, total = df.groupBy(by).agg(F.count("*").alias("n")), sum(weights)
+    parts = counts.select(by, "n", F.posexplode(F.array(*map(F.lit, weights))).alias("part", "weight"))
+    parts = parts.withColumns({"whole": F.floor(F.col("n") * F.col("weight") / total).cast("long"), "rest": F.col("n") * F.col("weight") % total})
+    group = W.partitionBy(by)
+    place = F.row_number().over(group.orderBy(F.desc("rest"), F.desc("weight"), "part"))
+    more = F.when(place <= F.col("n") - F.sum("whole").over(group), 1).otherwise(0)
+    dealt = parts.withColumn("quota", F.col("whole") + more)
+    return dealt.groupBy(by, "n").agg(*[F.max(F.when(F.col("part") == k, F.col("quota"))).alias(name) for k, name in enumerate(names)])
+
+
 def ranked(df: DataFrame, order: list[Column], name: str = "rank", within: str | None = None) -> DataFrame:
     """df with each row's place, from 1, in a total order whose first column is a digest; with within, among the rows that agree in it.
 
@@ -84,7 +94,8 @@ def stratified(df: DataFrame, key: str, label: str, share: float, seed: int = rn
 
 
 def stratified_exact(df: DataFrame, key: str, label: str, train: int, val: int, seed: int = rng.SEED) -> DataFrame:
-    """train and val rows exactly, each dealt to the labels by largest remainder of their shares; other rows are left out."""
+    """train and val rows exactly, each dealt to the labels by largest remainder of their shares; other rows, and those without a label, are left out."""
+    df = df.where(F.col(label).isNotNull())
     n = {r[0]: r[1] for r in df.groupBy(label).count().orderBy(label).collect()}  # a row per label
     labels = sorted(n)
     first = dict(zip(labels, quotas(min(train, sum(n.values())), tuple(n[x] for x in labels)), strict=True))

@@ -33,18 +33,40 @@ class TokenScorer(Protocol):
     def score(self, texts: list[str]) -> list[float]: ...
 
 
-def generated(df: DataFrame, make: Callable[[], TextGenerator], prompt: str = "prompt", to: str = "generated") -> DataFrame:
-    """df with generated texts; a failing batch falls back to its prompts, so that one bad row does not end a long job."""
-    schema = df.select("*", F.lit("").alias(to)).schema
+class GenerationError(RuntimeError):
+    """A generator that failed on a prompt, alone."""
+
+
+def generated(df: DataFrame, make: Callable[[], TextGenerator], prompt: str = "prompt", to: str = "generated", errors: str | None = None) -> DataFrame:
+    """df with generated texts. A failing batch is tried again prompt by prompt.
+
+    A prompt that fails by itself ends the job with GenerationError; with errors, the name of a further column, its text is null and the
+    column says why (null for all others).
+    """
+    schema = df.select("*", F.lit("").cast("string").alias(to), *([F.lit("").alias(errors)] if errors else [])).schema
+    for name in (to, errors):
+        if name:
+            schema[name].nullable = True
+
+    def one(model: TextGenerator, p: str) -> tuple[str | None, str | None]:
+        try:
+            return model.generate([p])[0], None
+        except Exception as e:
+            if not errors:
+                raise GenerationError(f"{type(e).__name__}: {e}") from e
+            return None, f"{type(e).__name__}: {e}"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = make()
         for b in batches:
+            prompts = b[prompt].tolist()
             try:
-                out = model.generate(b[prompt].tolist())
-            except RuntimeError:
-                out = b[prompt].tolist()
-            yield b.assign(**{to: out})
+                out = [(x, None) for x in model.generate(prompts)]
+                if len(out) != len(prompts):
+                    raise GenerationError(f"{len(out)} texts for {len(prompts)} prompts")
+            except Exception:
+                out = [one(model, p) for p in prompts]
+            yield b.assign(**{to: [x for x, _ in out]}, **({errors: [e for _, e in out]} if errors else {}))
 
     return df.mapInPandas(run, schema)
 
@@ -61,13 +83,19 @@ def scored_by(df: DataFrame, make: Callable[[], TokenScorer], column: str = "tex
     return df.mapInPandas(run, schema)
 
 
-def build(df: DataFrame, make: Callable[[], TextGenerator], prefix_words: int = 64, template: str = "{prefix}", weights: tuple[float, ...] = (8, 1, 1)) -> DataFrame:
-    """Human rows (id, text, ...) and a machine row for each, with df's other columns, split so that a pair stays together."""
-    more = [c for c in df.columns if c not in ("id", "group", "text", "label", "role")]
+def build(df: DataFrame, make: Callable[[], TextGenerator], prefix_words: int = 64, template: str = "{prefix}", weights: tuple[float, ...] = (8, 1, 1), errors: str | None = None) -> DataFrame:
+    """Human rows (id, text, ...) and a machine row for each, with df's other columns, split so that a pair stays together.
+
+    A text that could not be generated ends the job; with errors, its machine row has no text and label, and the reason in that column.
+    """
+    more = [c for c in df.columns if c not in ("id", "group", "text", "label", "role", errors)]
     prompt = F.replace(F.lit(template), F.lit("{prefix}"), text.take_first(F.col("text"), prefix_words))
-    human = df.select(F.concat(F.col("id").cast("string"), F.lit("-human")).alias("id"), F.col("id").cast("string").alias("group"), "text", F.lit(0).alias("label"), F.lit("human").alias("role"), *more)
+    none = [F.lit(None).cast("string").alias(errors)] if errors else []
+    human = df.select(F.concat(F.col("id").cast("string"), F.lit("-human")).alias("id"), F.col("id").cast("string").alias("group"), "text", F.lit(0).alias("label"), F.lit("human").alias("role"), *more, *none)
     asked = df.select("id", prompt.alias("prompt"), *more)
-    machine = generated(asked, make).select(F.concat(F.col("id").cast("string"), F.lit("-gen")).alias("id"), F.col("id").cast("string").alias("group"), F.col("generated").alias("text"), F.lit(1).alias("label"), F.lit("machine").alias("role"), *more)
+    made = generated(asked, make, errors=errors)
+    label = F.when(F.col(errors).isNull(), 1) if errors else F.lit(1)
+    machine = made.select(F.concat(F.col("id").cast("string"), F.lit("-gen")).alias("id"), F.col("id").cast("string").alias("group"), F.col("generated").alias("text"), label.alias("label"), F.lit("machine").alias("role"), *more, *([errors] if errors else []))
     return sampling.split(human.unionByName(machine), "group", weights=weights)
 
 
@@ -98,7 +126,9 @@ class Evaluation:
     held: DataFrame | None = None
 
     def write(self, path: str) -> None:
+        """Writes all relations, and gives back the storage of the scored rows."""
         sinks.write_results(self.relations, path)
+        self.release()
 
     def release(self) -> None:
         """Gives back the storage of the scored rows; the relations stay usable and compute them anew."""

@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import normalize as norm
 from ..functions import rng, text
-from ..operators import sampling
-from .base import query, table, uniform_sql
+from ..operators import languages, sampling
+from .base import query, table, uniform_sql, written
 
 
 def docs(spark, d):
@@ -36,7 +36,25 @@ _SHARES = {"latin": "[A-Za-zÀ-ɏ]", "cyrillic": "[Ѐ-ӿ]", "arabic": "[؀-ۿ]",
 query("script_stats", "SELECT doc_id, " + ", ".join(f"round(len(regexp_extract_all(text, '{r}')) / greatest(length(text), 1), 6) AS {k}" for k, r in _SHARES.items()) + " FROM documents")(lambda s, d: docs(s, d).select("doc_id", *[F.round(c, 6).alias(k) for k, c in text.script_shares(F.col("text")).items()]))
 _CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, 'https?://[^\s\x0b]+|www\.[^\s\x0b]+', ' ', 'g'), '[^\s\x0b]+@[^\s\x0b]+\.[^\s\x0b]+', ' ', 'g'), '[0-9]+', ' ', 'g'), '[^\p{L}\s\x0b]+', ' ', 'g'), '[\s\x0b]+', ' ', 'g'))"
 query("clean_for_lid", f"SELECT doc_id, {_CLEAN} AS cleaned FROM documents")(lambda s, d: docs(s, d).select("doc_id", text.clean_for_language(F.col("text")).alias("cleaned")))
-query("infer_lang_script", f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN lang WHEN length({_CLEAN}) < 40 THEN 'und' ELSE 'en' END AS inferred FROM documents")(lambda s, d: docs(s, d).select("doc_id", text.script_language(F.col("text"), F.when(F.col("doc_id") % 3 == 0, F.col("lang"))).alias("inferred")))
+# Trigrams of letters by language, as millionths of logarithms; then script, length and likelihood decide.
+_LETTERS = "greatest(len(regexp_extract_all(text, '\\p{L}')), 1)"
+_GRAMS = f"SELECT doc_id, lang, substr(g, k, 3) AS gram FROM (SELECT doc_id, lang, g, unnest(generate_series(1, length(g) - 2)) AS k FROM (SELECT doc_id, nullif(lower(trim(lang)), '') AS lang, ' ' || lower({_CLEAN}) || ' ' AS g FROM documents))"
+_LOG = "CAST(round(ln((coalesce(n, 0) + 1) / CAST(total + v AS DOUBLE)) * 1000000) AS BIGINT)"
+_LANGUAGE = f"""g AS ({_GRAMS}), c AS (SELECT gram, lang, count(*) AS n FROM g WHERE lang IS NOT NULL GROUP BY ALL), l AS (SELECT lang, sum(n) AS total, (SELECT count(DISTINCT gram) FROM c) AS v FROM c GROUP BY lang),
+own AS (SELECT doc_id, gram, count(*) AS k FROM g GROUP BY ALL), s AS (SELECT doc_id, l.lang, sum(k) AS grams, sum(k * {_LOG}) AS ll FROM own CROSS JOIN l LEFT JOIN c ON c.gram = own.gram AND c.lang = l.lang GROUP BY ALL),
+b AS (SELECT doc_id, any_value(grams) AS grams, list(lang ORDER BY ll DESC, lang)[1] AS best, list(ll ORDER BY ll DESC, lang) AS lls FROM s GROUP BY doc_id)"""
+query("infer_lang_script", f"""WITH {_LANGUAGE} SELECT doc_id, CASE WHEN cjk >= 0.2 THEN 'zh' WHEN arabic >= 0.2 THEN 'ar' WHEN cyrillic >= 0.2 THEN 'ru' WHEN chars < 40 OR best IS NULL THEN CASE WHEN latin >= 0.5 THEN 'en' ELSE 'und' END WHEN best = 'zh' AND cjk < 0.05 OR best = 'ar' AND arabic < 0.05 OR best = 'ru' AND cyrillic < 0.05 THEN 'en' ELSE best END AS inferred, round((lls[1] - lls[2]) / grams / 1000000, 6) AS margin
+FROM (SELECT doc_id, length({_CLEAN}) AS chars, len(regexp_extract_all(text, '[A-Za-z]')) / {_LETTERS} AS latin, len(regexp_extract_all(text, '[一-鿿㐀-䶿぀-ヿ]')) / {_LETTERS} AS cjk, len(regexp_extract_all(text, '[؀-ۿ]')) / {_LETTERS} AS arabic, len(regexp_extract_all(text, '[Ѐ-ӿ]')) / {_LETTERS} AS cyrillic FROM documents) LEFT JOIN b USING (doc_id)""")(lambda s, d: infer_languages(docs(s, d)))
+
+
+def infer_languages(df):
+    """Language and margin of every whole document, from profiles of the languages that the documents name."""
+    spark = df.sparkSession
+    path = written(spark, "profiles")
+    languages.counted(df).write.parquet(path)
+    return languages.identified(df.select("doc_id", "text"), languages.Profiles(spark.read.parquet(path)), "doc_id").select("doc_id", "inferred", "margin")
+
+
 query("take_first_k", f"SELECT doc_id, CASE WHEN len(w) <= 64 THEN text ELSE array_to_string(w[1:64], ' ') END AS prefix FROM (SELECT doc_id, text, {WORDS} AS w FROM documents)")(lambda s, d: docs(s, d).select("doc_id", text.take_first(F.col("text"), 64).alias("prefix")))
 _PAIR = "d1 AS (SELECT doc_id, {0} AS w FROM documents WHERE doc_id % 2 = 0), d2 AS (SELECT doc_id - 1 AS doc_id, {0} AS w FROM documents WHERE doc_id % 2 = 1)".format(WORDS)
 
@@ -119,7 +137,9 @@ query("split_group_key", f"SELECT doc_id, {_GROUP} AS grp FROM documents")(lambd
 _SPLIT = f"g AS (SELECT doc_id, {_GROUP} AS grp FROM documents), u AS (SELECT grp, row_number() OVER (ORDER BY sha1('42:' || grp), grp) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT grp FROM g)), q AS (SELECT n, [n * 8 // 10, n // 10, n // 10] AS w, [n * 8 % 10, n % 10, n % 10] AS f FROM (SELECT max(n) AS n FROM u)), q2 AS (SELECT n, w[1] + CASE WHEN n - w[1] - w[2] - w[3] >= CASE WHEN f[1] >= f[2] THEN 1 ELSE 3 END THEN 1 ELSE 0 END AS a, w[2] + CASE WHEN n - w[1] - w[2] - w[3] >= CASE WHEN f[1] >= f[2] THEN 2 ELSE 1 END THEN 1 ELSE 0 END AS b FROM q), sp AS (SELECT g.doc_id, g.grp, CASE WHEN r <= a THEN 'train' WHEN r <= a + b THEN 'dev' ELSE 'test' END AS split FROM g JOIN u USING (grp), q2)"
 query("dataset_split", f"WITH {_SPLIT} SELECT doc_id, split FROM sp")(lambda s, d: sampling.split(grouped(s, d).select("doc_id", "grp"), "grp").select("doc_id", "split"))
 query("split_counts", f"WITH {_SPLIT} SELECT split, count(*) AS records, count(DISTINCT grp) AS groups FROM sp GROUP BY split")(lambda s, d: sampling.split(grouped(s, d).select("doc_id", "grp"), "grp").groupBy("split").agg(F.count("*").alias("records"), F.countDistinct("grp").alias("groups")))
-query("split_quotas", "SELECT * FROM (VALUES (CAST(10 AS BIGINT), CAST(8 AS BIGINT), CAST(1 AS BIGINT), CAST(1 AS BIGINT)), (7, 5, 1, 1), (3, 3, 0, 0)) t(n, train, dev, test)")(lambda s, d: s.createDataFrame([(n, *sampling.quotas(n)) for n in (10, 7, 3)], "n long, train long, dev long, test long"))
+query("split_quotas", """WITH g AS (SELECT source, count(*) AS n FROM documents GROUP BY source), p AS (SELECT source, n, part, weight, n * weight // 10 AS whole, n - n * 8 // 10 - 2 * (n // 10) AS left_over FROM g, (VALUES (0, 8), (1, 1), (2, 1)) t(part, weight)),
+d AS (SELECT *, whole + CASE WHEN row_number() OVER (PARTITION BY source ORDER BY n * weight % 10 DESC, weight DESC, part) <= left_over THEN 1 ELSE 0 END AS quota FROM p)
+SELECT source, n, max(CASE WHEN part = 0 THEN quota END) AS train, max(CASE WHEN part = 1 THEN quota END) AS dev, max(CASE WHEN part = 2 THEN quota END) AS test FROM d GROUP BY source, n""")(lambda s, d: sampling.quota_table(docs(s, d), "source"))
 query("stratified_split", f"SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY quality ORDER BY {_H}, doc_id) <= round_even(count(*) OVER (PARTITION BY quality) * 0.8, 0) THEN 'train' ELSE 'val' END AS split FROM labels")(lambda s, d: sampling.stratified(table(s, d, "labels"), "doc_id", "quality", 0.8).select("doc_id", "split"))
 query("split_simple", f"SELECT doc_id, CASE WHEN {uniform_sql(chr(39) + '7' + chr(39), 'CAST(doc_id AS VARCHAR)')} < 0.9 THEN 'train' ELSE 'test' END AS split FROM documents")(lambda s, d: docs(s, d).select("doc_id", F.when(rng.uniform(7, F.col("doc_id")) < 0.9, "train").otherwise("test").alias("split")))
 _QUOTA = "SELECT quality, floor({0} * n / total) + CASE WHEN row_number() OVER (ORDER BY {0} * n / total - floor({0} * n / total) DESC, n DESC, quality) <= {0} - sum(floor({0} * n / total)) OVER () THEN 1 ELSE 0 END AS k FROM z"

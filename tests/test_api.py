@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.plans import api
@@ -40,9 +41,29 @@ def test_verbs(spark, tmp_path):
     assert spark.read.json(f"file://{tmp_path}/out/summary").count() == 1
 
 
-def test_failing_generator_gives_the_prompt(spark):
-    df = spark.createDataFrame([(1, "p")], "id int, prompt string")
-    assert api.generated(df, Failing).first().generated == "p"
+class Picky:
+    """Fails on a batch that has a bad prompt."""
+
+    def generate(self, prompts):
+        if any("bad" in p for p in prompts):
+            raise RuntimeError("no text")
+        return [p + " again" for p in prompts]
+
+
+def test_failing_generator_never_gives_a_prompt(spark):
+    df = spark.createDataFrame([(1, "good"), (2, "bad"), (3, "fine")], "id int, prompt string").coalesce(1)
+    with pytest.raises(Exception, match="GenerationError"):
+        api.generated(df, Picky).collect()
+    got = {r.id: (r.generated, r.why) for r in api.generated(df, Picky, errors="why").collect()}
+    assert got == {1: ("good again", None), 2: (None, "RuntimeError: no text"), 3: ("fine again", None)}
+
+
+def test_build_labels_no_prompt_as_machine(spark):
+    docs = spark.createDataFrame([(1, "good words here"), (2, "bad words here")], "id int, text string")
+    with pytest.raises(Exception, match="GenerationError"):
+        api.build(docs, Failing).collect()
+    rows = {r.id: (r.text, r.label, r.why) for r in api.build(docs, Picky, errors="why").collect()}
+    assert rows == {"1-human": ("good words here", 0, None), "2-human": ("bad words here", 0, None), "1-gen": ("good words here again", 1, None), "2-gen": (None, None, "RuntimeError: no text")}
 
 
 def test_built_dataset_holds_every_document(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -299,6 +301,61 @@ def test_artifacts(spark, tmp_path):
     assert artifacts.latest(spark, f"{root}/user", ".json") == other
 
 
+def test_calibrators_of_older_layouts(spark, tmp_path):
+    """Platt documents with and without a decision, linear ones, and a folder that holds other JSON as well."""
+    import json
+
+    from glyphmill.operators import calibration as cal
+    from glyphmill.sources import artifacts
+
+    put = lambda name, doc: (tmp_path / name).write_text(doc if isinstance(doc, str) else json.dumps(doc))
+    one = {"name": "platt_lr", "beta0": 8.4, "beta1": -14.9, "standardize": True, "mean": -6.2, "std": 3.4, "threshold_raw_p05": -4.2}
+    put("rank_gpt-neo-125m_some.train_10000.json", {"calibrator": one | {"decision_mode": "acc", "decision_threshold": 0.13}, "meta": {"detector": "RankDetector[gpt-neo-125m]", "dev": {"num_samples": 4}}})
+    put("calibrator_binoculars_GPT-Neo-2.7B_all.jsonl.json", {"calibrator": one | {"std": 0, "decision_boundary_raw_at_prob_0.5": 0.48}, "meta": {"detector": "Binoculars[GPT-Neo-2.7B|GPT-Neo-2.7B]", "dev_eval": {"threshold_prob": 0.4}, "models": {"model1": "/home/x/GPT-Neo-2.7B"}}})
+    put("gltr_m.json", {"calibrator": {"name": "linear_lr", "beta": [1, 2, 3], "standardize": True, "mean": [0.5, 0.25], "std": [2, 0], "threshold_raw_p05": None}, "meta": {"detector": "GLTR[m]"}})
+    put("plain_m.json", {"calibrator": {"beta": [1.0, 2.0], "standardize": False, "mean": None, "std": None}})
+    for name, doc in (("summary.json", {"acc": 1}), ("list.json", [1]), ("broken.json", "{no"), ("empty.json", ""), ("text.json", {"calibrator": "x"}), ("half.json", {"calibrator": {"beta0": 1}, "detector": "rank"})):
+        put(name, doc)
+    root = f"file://{tmp_path}"
+    find = lambda d, m: artifacts.discovered(spark, d, m, (root,))
+    assert find("rank", "x")[1] == cal.Platt(8.4, -14.9, -6.2, 3.4, "platt_lr", 0.13)
+    assert find("BinocularsDetector", "EleutherAI/GPT-Neo-2.7B")[1] == cal.Platt(8.4, -14.9, -6.2, 1.0, "platt_lr", 0.4)
+    assert find("none", "GPT-Neo-2.7B")[0].endswith("all.jsonl.json") and find("gltr", "none")[1] == cal.Linear([1, 2, 3], [0.5, 0.25], [2, 1])
+    assert find("plain", "none")[1] == cal.Linear([1.0, 2.0], [0.0], [1.0]) and find("other", "none") is None
+    with pytest.raises(ValueError, match="no calibrator"):
+        artifacts.loaded(spark, f"{root}/summary.json")
+    scored = spark.createDataFrame([(-6.2,)], "s double").select(cal.platt(F.col("s"), find("rank", "x")[1]).alias("p")).first().p
+    assert scored == pytest.approx(1 / (1 + math.exp(-8.4)))
+
+
+def test_parquet_in_folders(spark, tmp_path):
+    from glyphmill.sources import artifacts
+
+    spark.createDataFrame([(5, "five", "human", 1.5), (6, "six", "gpt", 2.0)], "id long, text string, label string, more double").coalesce(1).write.parquet(f"file://{tmp_path}/deep/p.parquet")
+    (tmp_path / "a.jsonl").write_text('{"id": 1, "text": "one", "label": "human"}\n')
+    rows = artifacts.scan_folder(spark, f"file://{tmp_path}").collect()
+    assert sorted((r.id, r.text, r.label) for r in rows) == [("1", "one", 0), ("5", "five", 0), ("6", "six", 1)]
+
+
+def test_samples_with_odd_labels(spark):
+    """Null labels are of no class; a third class is as good as the others."""
+    rows = [(k, [0, 1, 2, None][k % 4]) for k in range(40)] + [(100, 3), (101, 3)]
+    df = spark.createDataFrame(rows, "id long, y int")
+    counts = lambda d: dict(sorted((r.y, r["count"]) for r in d.groupBy("y").count().collect()))
+    assert counts(sampling.balanced(df, "id", "y", 5)) == {0: 2, 1: 2, 2: 2, 3: 2}
+    assert counts(sampling.balanced(df.where("y IS NULL OR y = 1"), "id", "y", 3)) == {1: 6}
+    assert sampling.balanced(df.where("y IS NULL"), "id", "y", 3).count() == 0
+    dealt = sampling.stratified_exact(df.where("y IS NULL OR y < 2"), "id", "y", 8, 4)
+    assert counts(dealt) == {0: 6, 1: 6} and dealt.where("split = 'train'").count() == 8
+    empty = sampling.stratified_exact(df.where("y IS NULL"), "id", "y", 8, 4)
+    assert empty.count() == 0
+
+
+def test_quota_table(spark):
+    df = spark.createDataFrame([(g,) for g, n in (("a", 10), ("b", 7), ("c", 3), (None, 1)) for _ in range(n)], "g string")
+    assert {r.g: [r.train, r.dev, r.test] for r in sampling.quota_table(df, "g").collect()} == {g: sampling.quotas(n) for g, n in (("a", 10), ("b", 7), ("c", 3), (None, 1))}
+
+
 def test_curves_cut_a_score_that_most_rows_share(spark):
     import random
 

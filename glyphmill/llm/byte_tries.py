@@ -1,14 +1,15 @@
 """Operator 12: an audit of how sources diverge in their words, by mergeable radix tries.
 
-Every task counts the terms of its documents in one radix trie over UTF-8 bytes for each language; a leaf has the number of documents and
-a counter for each source. A trie that is full is traversed in byte order and written as runs: leaves in order, each by the bytes it
-shares with the one before and the rest. The first terms of the runs are a sample of all leaves, spaced evenly; quantiles of them cut
-(language, term) into ranges, more where there are more leaves, so that a frequent language or prefix is many ranges. Runs are cut there, and the
-runs of a range meet in one task, which inserts them into one trie and traverses it: these are the kept terms with their counts.
-A second pass over the kept terms sums the divergences of all pairs of sources and keeps each group's best candidates.
+Every task counts the terms of its documents, source by source, and puts them into one radix trie over UTF-8 bytes for each language; a
+leaf has the number of documents and a counter for each source. A node below which there are few terms is a bucket of their ends; one that is
+full forks by the next byte, below the bytes that all its terms share. A trie is traversed in byte order and written bucket by bucket. The
+buckets' first terms are a sample of all leaves, and its quantiles cut (language, term) into ranges, more where there are more leaves, so that a
+frequent language or prefix is many ranges. Buckets are cut there, and those of a range meet in one task, which merges them into one trie
+and traverses it: these are the kept terms with their counts. A second pass over the kept terms sums the divergences of all pairs of
+sources and keeps each group's best candidates, ties by UTF-8.
 
 All arithmetic is in whole numbers. The sources of a language, whose pairs are the result, are sent to every task (MOST_GROUPS at most,
-beyond that it is an error); nothing else that grows is.
+beyond that it is an error); nothing else that grows is, but for the cuts, SAMPLE at most.
 
 Defined results: null text, lang and source count as ''; every row is a document of its own, repeated ids and rows too; ids and
 other columns are not read; a language whose only source it is has no pairs; a group without terms diverges by its smoothed shares;
@@ -19,10 +20,10 @@ from __future__ import annotations
 
 import bisect
 import pickle
-from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from itertools import accumulate, islice
+from os.path import commonprefix
 from typing import Any
 
 import numpy as np
@@ -35,9 +36,9 @@ from pyspark.sql import functions as F
 from . import common
 from .exact_dedup import LOWER, UPPER
 
-#: Leaves and bytes of terms at which a task's tries are written and started anew; leaves of a run; leaves that a range is to have.
-LEAVES, TERM_BYTES, RUN, RANGE = 1 << 17, 64_000_000, 4096, 1 << 17
-#: First terms of runs that the cuts are taken from, and their bytes at most.
+#: Different terms, and bytes of texts, at which a task's tries are written and started anew; terms of a bucket; leaves that a range is to have.
+LEAVES, TEXT_BYTES, BUCKET, RANGE = 1 << 18, 64_000_000, 2048, 1 << 17
+#: Buckets that the cuts are taken from, and bytes of a cut at most.
 SAMPLE, CUT_BYTES = 1 << 20, 256
 #: Documents of a language that a term must be in; candidates of a group; groups of a language and source at most.
 LEAST_DOCS, TOP, MOST_GROUPS = 3, 200, 100_000
@@ -47,109 +48,116 @@ SHARE = 10**9
 
 #: Letters A-Z in lower case, all bytes that are in no term as spaces.
 _TERMS = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
-#: A term with the documents it is in and its occurrences by source.
-Leaf = tuple[bytes, int, dict[str, int]]
+#: Occurrences by source; under no name, the number of documents.
+Counts = dict[str | None, int]
+#: A prefix, and the ends of the terms that have it with their counts, in order.
+Run = tuple[bytes, list[tuple[bytes, Counts]]]
 
 
 def terms_of(text: bytes) -> list[bytes]:
-    return text.translate(_TERMS).split(b" ")
+    return text.translate(_TERMS).split()
 
 
-class Node:
-    __slots__ = ("label", "children", "docs", "counts")
+class Fork:
+    """Terms that go on with label; by the byte after it a bucket (of what comes after that byte) or another fork. own: the term that ends with label."""
 
-    def __init__(self, label: bytes):
-        self.label, self.children, self.docs, self.counts = label, None, 0, None
+    __slots__ = ("label", "below", "own")
+
+    def __init__(self, label: bytes, below: dict, own: Counts | None):
+        self.label, self.below, self.own = label, below, own
+
+
+def forked(bucket: dict[bytes, Counts]) -> Fork:
+    label = commonprefix([min(bucket), max(bucket)])
+    below, at = defaultdict(dict), len(label)
+    own = bucket.pop(label, None)
+    for end, counts in bucket.items():
+        below[end[at]][end[at + 1 :]] = counts
+    return Fork(label, dict(below), own)
+
+
+def added(to: Counts, counts: Counts) -> None:
+    for source, n in counts.items():
+        to[source] = to.get(source, 0) + n
 
 
 class Trie:
-    """A radix trie over bytes: an edge holds all bytes up to the next fork or term."""
+    """A radix trie over bytes whose lowest nodes are buckets."""
 
     def __init__(self) -> None:
-        self.root, self.leaves, self.bytes = Node(b""), 0, 0
-
-    def leaf(self, term: bytes) -> Node:
-        """The term's node, which has counts; it is made, and an edge split, where needed."""
-        node, at, end = self.root, 0, len(term)
-        while at < end:
-            if node.children is None:
-                node.children = {}
-            child = node.children.get(term[at])
-            if child is None:
-                child = node.children[term[at]] = Node(term[at:])
-                at = end
-            elif term.startswith(child.label, at):
-                at += len(child.label)
-            else:
-                label, k = child.label, 1
-                while at + k < end and label[k] == term[at + k]:
-                    k += 1
-                upper = node.children[term[at]] = Node(label[:k])
-                upper.children, child.label, child = {label[k]: child}, label[k:], upper
-                at += k
-            node = child
-        if node.counts is None:
-            node.counts = {}
-            self.leaves += 1
-            self.bytes += end
+        self.root: Fork | dict[bytes, Counts] = {}
+
+    def add(self, term: bytes, counts: Counts) -> None:
+        """Adds to the term's counts; the trie may keep the given ones as its own."""
+        node, at, above, byte = self.root, 0, None, 0
+        while type(node) is Fork:
+            label = node.label
+            if not term.startswith(label, at):
+                common_part = commonprefix([label, term[at:]])
+                k = len(common_part)
+                lower = Fork(label[k + 1 :], node.below, node.own)
+                node = self._put(above, byte, Fork(common_part, {label[k]: lower}, None))
+                label = common_part
+            at += len(label)
+            if at == len(term):
+                if node.own is None:
+                    node.own = counts
+                else:
+                    added(node.own, counts)
+                return
+            above, byte = node, term[at]
+            at += 1
+            node = node.below.get(byte)
+            if node is None:
+                node = above.below[byte] = {}
+        found = node.get(end := term[at:])
+        if found is not None:
+            added(found, counts)
+            return
+        node[end] = counts
+        if len(node) > BUCKET:
+            self._put(above, byte, forked(node))
+
+    def _put(self, above: Fork | None, byte: int, node: Fork) -> Fork:
+        if above is None:
+            self.root = node
+        else:
+            above.below[byte] = node
         return node
 
-    def merge(self, leaves: Iterable[Leaf]) -> None:
-        for term, docs, counts in leaves:
-            node = self.leaf(term)
-            node.docs += docs
-            own = node.counts
-            for source, n in counts.items():
-                own[source] = own.get(source, 0) + n
-
-    def __iter__(self) -> Iterator[Leaf]:
-        """The leaves in byte order of their terms, which is that of UTF-8 code points."""
-        stack = [(b"", self.root)]
+    def runs(self) -> Iterator[Run]:
+        """The leaves in byte order of their terms, which is that of UTF-8 code points, bucket by bucket."""
+        stack: list[tuple[bytes, Fork | dict[bytes, Counts]]] = [(b"", self.root)]
         while stack:
-            above, node = stack.pop()
-            term = above + node.label
-            if node.counts is not None:
-                yield term, node.docs, node.counts
-            if node.children:
-                stack += [(term, node.children[b]) for b in sorted(node.children, reverse=True)]
-
-
-def packed(leaves: list[Leaf]) -> bytes:
-    """A run of leaves in order: each term as the number of bytes shared with the one before and the rest."""
-    names: dict[str, int] = {}
-    shared, size, sources, which, counts, rest, before = array("q"), array("q"), array("q"), array("q"), array("q"), [], b""
-    for term, _, own in leaves:
-        k, most = 0, min(len(before), len(term))
-        while k < most and before[k] == term[k]:
-            k += 1
-        shared.append(k)
-        size.append(len(term) - k)
-        rest.append(term[k:])
-        sources.append(len(own))
-        for source, n in own.items():
-            which.append(names.setdefault(source, len(names)))
-            counts.append(n)
-        before = term
-    return pickle.dumps((list(names), shared, size, b"".join(rest), array("q", [docs for _, docs, _ in leaves]), sources, which, counts))
-
-
-def unpacked(body: bytes) -> Iterator[Leaf]:
-    names, shared, size, rest, docs, sources, which, counts = pickle.loads(body)
-    term, at, entry = b"", 0, 0
-    for k, n, d, s in zip(shared, size, docs, sources, strict=True):
-        term = term[:k] + rest[at : at + n]
-        at += n
-        yield term, d, {names[which[e]]: counts[e] for e in range(entry, entry + s)}
-        entry += s
-
-
-_RUNS = "lang string, first binary, leaves long, body binary"
-
-
-def runs(lang: str, leaves: Iterable[Leaf]) -> Iterator[tuple[str, bytes, int, bytes]]:
-    leaves = iter(leaves)
-    while some := list(islice(leaves, RUN)):
-        yield lang, some[0][0][:CUT_BYTES], len(some), packed(some)
+            prefix, node = stack.pop()
+            if type(node) is not Fork:
+                if node:
+                    yield prefix, sorted(node.items())
+                continue
+            prefix += node.label
+            if node.own is not None:
+                yield prefix, [(b"", node.own)]
+            stack += [(prefix + bytes([b]), node.below[b]) for b in sorted(node.below, reverse=True)]
+
+
+def small(numbers: list[int]) -> np.ndarray:
+    """In as few bytes each as the largest needs."""
+    return np.array(numbers, np.min_scalar_type(max(numbers, default=0)))
+
+
+def packed(run: Run) -> bytes:
+    prefix, leaves = run
+    names: dict[str | None, int] = {None: 0}
+    ends, counts = zip(*leaves, strict=True)
+    which = [names.setdefault(s, len(names)) for c in counts for s in c]
+    return pickle.dumps((prefix, list(names), b"".join(ends), small(list(map(len, ends))), small(list(map(len, counts))), small(which), small([n for c in counts for n in c.values()])))
+
+
+def unpacked(body: bytes) -> Run:
+    prefix, names, ends, sizes, entries, which, counts = pickle.loads(body)
+    upto = list(accumulate(sizes.tolist(), initial=0))
+    pairs = zip([names[k] for k in which.tolist()], counts.tolist(), strict=True)
+    return prefix, [(ends[a:b], dict(islice(pairs, n))) for a, b, n in zip(upto, upto[1:], entries.tolist(), strict=False)]
 
 
 def as_batch(rows: Iterable[tuple], **columns: pa.DataType) -> pa.RecordBatch:
@@ -158,52 +166,72 @@ def as_batch(rows: Iterable[tuple], **columns: pa.DataType) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, t) for c, t in zip(by_column, columns.values(), strict=True)], names=list(columns))
 
 
-def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of the tries of documents (lang, source, text in bytes). A term that a trie has already is found by a dictionary of its leaves."""
+_RUNS = "lang string, first binary, last binary, leaves long, body binary"
 
-    def full() -> pa.RecordBatch:
-        return as_batch((r for lang, trie in tries.items() for r in runs(lang, trie)), lang=pa.string(), first=pa.binary(), leaves=pa.int64(), body=pa.binary())
 
-    tries, known = defaultdict(Trie), defaultdict(dict)
+def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The buckets of the tries of documents (lang, source, text in bytes)."""
+
+    def full() -> Iterator[pa.RecordBatch]:
+        for lang, of_docs in docs.items():
+            leaves = {term: {None: n} for term, n in of_docs.items()}
+            for source, counts in terms[lang].items():
+                for term, n in counts.items():
+                    leaves[term][source] = n
+            trie = Trie()
+            for term, counts in leaves.items():
+                trie.add(term, counts)
+            rows = ((lang, p + leaf[0][0], p + leaf[-1][0], len(leaf), packed((p, leaf))) for p, leaf in trie.runs())
+            while some := list(islice(rows, common.BATCH_ROWS)):
+                yield as_batch(some, lang=pa.string(), first=pa.binary(), last=pa.binary(), leaves=pa.int64(), body=pa.binary())
+
+    docs, terms, size = defaultdict(Counter), defaultdict(lambda: defaultdict(Counter)), 0
     for batch in common.batches(batches):
         for lang, source, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            leaves, trie = known[lang], tries[lang]
-            found = Counter(terms_of(text))
-            del found[b""]
-            for term, n in found.items():
-                node = leaves.get(term)
-                if node is None:
-                    node = leaves[term] = trie.leaf(term)
-                node.docs += 1
-                node.counts[source] = node.counts.get(source, 0) + n
-        if sum(t.leaves for t in tries.values()) > LEAVES or sum(t.bytes for t in tries.values()) > TERM_BYTES:
-            yield full()
-            tries, known = defaultdict(Trie), defaultdict(dict)
-    yield full()
+            found = terms_of(text)
+            docs[lang].update(set(found))
+            terms[lang][source].update(found)
+            size += len(text)
+            if sum(map(len, docs.values())) > LEAVES or size > TEXT_BYTES:
+                yield from full()
+                docs.clear()
+                terms.clear()
+                size = 0
+    yield from full()
 
 
 def ranged(given: Iterable[pa.RecordBatch], cuts: list[tuple[str, bytes]]) -> Iterator[pa.RecordBatch]:
-    """(range, lang, body) of runs, cut where ranges end."""
-    for batch in given:
+    """(range, lang, body) of buckets, cut where ranges end."""
+    columns = {"range": pa.int64(), "lang": pa.string(), "body": pa.binary()}
+    for batch in common.batches(given):
         out = []
-        for lang, body in zip(batch.column("lang").to_pylist(), batch.column("body").to_pylist(), strict=True):
-            leaves = list(unpacked(body))
-            if (low := bisect.bisect(cuts, (lang, leaves[0][0]))) == bisect.bisect(cuts, (lang, leaves[-1][0])):
+        for lang, first, last, body in zip(*(batch.column(c).to_pylist() for c in ("lang", "first", "last", "body")), strict=True):
+            low = bisect.bisect(cuts, (lang, first))
+            if low == bisect.bisect(cuts, (lang, last)):
                 out.append((low, lang, body))
                 continue
+            prefix, leaves = unpacked(body)
             parts = defaultdict(list)
             for leaf in leaves:
-                parts[bisect.bisect(cuts, (lang, leaf[0]))].append(leaf)
-            out += [(k, lang, packed(part)) for k, part in parts.items()]
-        yield as_batch(out, range=pa.int64(), lang=pa.string(), body=pa.binary())
+                parts[bisect.bisect(cuts, (lang, prefix + leaf[0]))].append(leaf)
+            out += [(k, lang, packed((prefix, part))) for k, part in parts.items()]
+        yield as_batch(out, **columns)
 
 
 def merged(of_range: pd.DataFrame) -> pd.DataFrame:
     """The kept terms of a range, from one trie for each of its languages."""
     tries = defaultdict(Trie)
     for lang, body in zip(of_range["lang"], of_range["body"], strict=True):
-        tries[lang].merge(unpacked(body))
-    rows = [(lang, term, list(counts), list(counts.values())) for lang, trie in tries.items() for term, docs, counts in trie if docs >= LEAST_DOCS]
+        add = tries[lang].add
+        prefix, leaves = unpacked(body)
+        for end, counts in leaves:
+            add(prefix + end, counts)
+    rows = []
+    for lang, trie in tries.items():
+        for prefix, leaves in trie.runs():
+            for end, counts in leaves:
+                if counts.pop(None) >= LEAST_DOCS:
+                    rows.append((lang, prefix + end, list(counts), list(counts.values())))
     return pd.DataFrame(rows, columns=["lang", "term", "sources", "counts"])
 
 
@@ -212,9 +240,11 @@ def kept_terms(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     written = common.durable(docs.select("lang", "source", F.col("text").cast("binary")).mapInArrow(counted, _RUNS), "runs")
     total = written.agg(F.sum("leaves")).first()[0] or 0
-    sample = sorted((r.lang, bytes(r.first)) for r in written.select("lang", F.col("first")).orderBy(F.xxhash64("lang", "first")).limit(SAMPLE).collect())
+    some = written.select("lang", F.substring("first", 1, CUT_BYTES).alias("first"), "leaves").orderBy(F.xxhash64("lang", "first")).limit(SAMPLE)
+    sample = sorted((r.lang, bytes(r.first), r.leaves) for r in some.collect())
     n = max(4 * common.shuffle_parts(spark), -(-total // RANGE))
-    cuts = sorted({sample[k * len(sample) // n] for k in range(1, n)}) if sample else []
+    upto = list(accumulate(r[2] for r in sample))
+    cuts = sorted({sample[bisect.bisect(upto, k * upto[-1] // n)][:2] for k in range(1, n)}) if sample else []
     of_ranges = written.mapInArrow(lambda batches: ranged(batches, cuts), "range long, lang string, body binary")
     return common.durable(of_ranges.groupBy("range").applyInPandas(merged, "lang string, term binary, sources array<string>, counts array<long>"), "kept", up=1)
 

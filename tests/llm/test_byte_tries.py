@@ -45,19 +45,25 @@ def corpus(n=300, seed=1):
     return [*rows, rows[0], rows[0], ("xx", "alone", "one two"), ("yy", "p", None), ("yy", "q", "1 2 3"), ("en", "s1", "lang " * 5000)]
 
 
-@given(st.lists(st.binary(min_size=1, max_size=6)), st.lists(st.binary(min_size=1, max_size=6)))
-def test_trie_keeps_counts_in_byte_order(one, two):
-    """Two tries, written as runs, read and merged, are the sorted count of both."""
-    whole = byte_tries.Trie()
-    for source, terms in (("a", one), ("b", two)):
-        trie = byte_tries.Trie()
-        for t in terms:
-            node = trie.leaf(t)
-            node.docs += 1
-            node.counts[source] = node.counts.get(source, 0) + 1
-        whole.merge(byte_tries.unpacked(byte_tries.packed(list(trie))))
-    assert [t for t, _, _ in whole] == sorted({*one, *two}) and whole.leaves == len({*one, *two})
-    assert {t: (d, c.get("a", 0), c.get("b", 0)) for t, d, c in whole} == {t: ((one + two).count(t), one.count(t), two.count(t)) for t in {*one, *two}}
+@given(st.lists(st.binary(min_size=1, max_size=6)), st.lists(st.binary(min_size=1, max_size=6)), st.sampled_from([1, 2, 512]))
+def test_trie_keeps_counts_in_byte_order(one, two, bucket):
+    """Two tries, written as runs, read and merged, are the sorted count of both; with buckets that fork at once, too."""
+    held, byte_tries.BUCKET = byte_tries.BUCKET, bucket
+    try:
+        whole = byte_tries.Trie()
+        for source, terms in (("a", one), ("b", two)):
+            trie = byte_tries.Trie()
+            for t in terms:
+                trie.add(t, {None: 1, source: 1})
+            for run in trie.runs():
+                prefix, leaves = byte_tries.unpacked(byte_tries.packed(run))
+                for end, counts in leaves:
+                    whole.add(prefix + end, counts)
+        found = [(p + e, c) for p, leaves in whole.runs() for e, c in leaves]
+    finally:
+        byte_tries.BUCKET = held
+    assert [t for t, _ in found] == sorted({*one, *two})
+    assert {t: (c[None], c.get("a", 0), c.get("b", 0)) for t, c in found} == {t: ((one + two).count(t), one.count(t), two.count(t)) for t in {*one, *two}}
 
 
 def test_shares_are_exact():
@@ -68,9 +74,9 @@ def test_shares_are_exact():
         assert byte_tries.shares(np.array([c]), whole)[0] == 1 + 10**9 * (c + 1) // whole
 
 
-@pytest.mark.parametrize("settings", [{}, {"LEAVES": 20, "RUN": 7, "RANGE": 10, "ENTRIES": 8}, {"TERM_BYTES": 30, "TOP": 3}])
+@pytest.mark.parametrize("settings", [{}, {"LEAVES": 20, "BUCKET": 3, "RANGE": 10, "ENTRIES": 8}, {"TEXT_BYTES": 300, "TOP": 3}])
 def test_against_brute_force(spark, monkeypatch, folder, settings):
-    """Also with tries that are full after a few terms, short runs, many ranges, and ties at the last rank."""
+    """Also with tries that are full after a few terms, small buckets, many ranges, and ties at the last rank."""
     for k, v in settings.items():
         monkeypatch.setattr(byte_tries, k, v)
     monkeypatch.setattr(common, "BATCH_ROWS", 20)

@@ -1,4 +1,4 @@
-"""Effectiveness and calibration of scored examples: confusion counts, group metrics, bins, bootstrap.
+"""Effectiveness and calibration of scored examples: confusion counts, group metrics, bins.
 
 A scored table has a label y (0 human, 1 machine), a probability prob, and group columns. Each function is one
 aggregation over it; group metrics of several columns take one pass with grouping sets.
@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import rng
 
 BINS = 10
 
@@ -98,27 +97,6 @@ def ece_brier(df: DataFrame, bins: int = BINS, prob: str = "prob", y: str = "y")
     return part.agg(F.sum("n").alias("n"), F.round(F.sum(F.abs(F.col("p") - F.col("y"))) / F.sum("n"), 6).alias("ece"), F.round(F.sum("sq") / F.sum("n"), 6).alias("brier"))
 
 
-def bootstrap(df: DataFrame, iterations: int = 200, seed: int = rng.SEED, threshold: float = 0.5, id_column: str = "id", prob: str = "prob", y: str = "y") -> DataFrame:
-    """95 % intervals of accuracy and F1 from Poisson(1) replicates.
-
-    A row's weight in a replicate comes from its id and the replicate's number, so no row is moved and no resample
-    is collected; rows are first collapsed to the four cells of the confusion in each task and replicate.
-    """
-    u = rng.uniform(seed, F.col("replicate"), F.col(id_column))
-    weight, total, term = F.lit(0), 0.0, 2.718281828459045**-1
-    for k in range(1, 8):
-        total += term
-        weight = F.when(u >= total, k).otherwise(weight)
-        term /= k
-    rows = df.select(id_column, y, prob, F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("replicate")).withColumn("w", weight)
-    cell = lambda c: F.sum(F.when(c, F.col("w")).otherwise(0))
-    up, one = F.col(prob) >= threshold, F.col(y) == 1
-    per = with_rates(rows.groupBy("replicate").agg(cell(up & one).alias("tp"), cell(up & ~one).alias("fp"), cell(~up & ~one).alias("tn"), cell(~up & one).alias("fn")))
-    at = lambda v, q: F.element_at(F.array_sort(F.collect_list(v)), F.lit(round(q / 100 * (iterations - 1)) + 1))
-    stats = [s for v in ("acc", "f1") for s in (F.round(F.avg(v), 6).alias(f"{v}_mean"), at(v, 2.5).alias(f"{v}_lo"), at(v, 97.5).alias(f"{v}_hi"))]
-    return per.agg(*stats)
-
-
 def runs(df: DataFrame, run: str, values: list[str]) -> DataFrame:
     """Mean, sample deviation (0 for one run), least and largest of each metric over runs."""
     parts = F.explode(F.array(*[F.struct(F.lit(v).alias("metric"), F.col(v).cast("double").alias("value")) for v in values]))

@@ -21,6 +21,8 @@ def cuts(df: DataFrame, column: str) -> list[float]:
 
 def ranged(df: DataFrame, column: str, at: list[float], name: str) -> DataFrame:
     """df with the number of each row's range, from 0 in ascending order; nulls and NaN come last."""
+    if not at:  # an empty table, or one without a finite value
+        return df.withColumn(name, F.lit(0))
     splits = [-math.inf, *sorted(set(at)), math.inf]
     number, out = "__number", "__bucket"
     rows = Bucketizer(splits=splits, inputCol=number, outputCol=out, handleInvalid="keep").transform(df.withColumn(number, F.col(column).cast("double")))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import alignment, attacks, curves, metrics, sampling
+from ..operators import alignment, attacks, bootstrap, curves, metrics, sampling
 from ..operators import calibration as cal
 from ..sources import sinks
 
@@ -152,7 +152,7 @@ def detect(df: DataFrame, model: cal.Platt, score: Column | str = "score", label
         "curve_rc": curves.risk_coverage(rows, threshold=t),
         "reliability": metrics.reliability_bins(rows),
         "thresholds": metrics.threshold_table(rows, [t, 0.5]),
-        "ci95": metrics.bootstrap(rows, threshold=t),
+        "ci95": bootstrap.intervals(rows, threshold=t),
     }
     if own:
         out["group_metrics"] = metrics.all_groups(rows, own, t)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rng
 from ..operators import calibration as cal
-from ..operators import curves, metrics
+from ..operators import bootstrap, curves, metrics
 from .base import RATES, SCORED, counts, query, scored, table, uniform_sql
 
 C = counts()
@@ -30,10 +30,19 @@ _BIN = "least(9, CAST(floor(prob * 10) AS INT))"
 query("reliability_bins", _with(f"SELECT CAST(r.bin AS INT) AS bin, coalesce(n, 0) AS n, round(coalesce(conf, 0), 6) AS conf, round(coalesce(acc, 0), 6) AS acc, round(coalesce(abs(acc - conf), 0), 6) AS gap FROM range(10) r(bin) LEFT JOIN (SELECT {_BIN} AS bin, count(*) AS n, avg(prob) AS conf, avg(y) AS acc FROM scored GROUP BY 1) b ON r.bin = b.bin"))(lambda s, d: metrics.reliability_bins(scored(s, d)))
 query("ece_brier", _with(f"SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(abs(p - y)) / sum(n), 6) AS ece, round(sum(sq) / sum(n), 6) AS brier FROM (SELECT {_BIN} AS bin, count(*) AS n, sum(prob) AS p, sum(y) AS y, sum((prob - y) * (prob - y)) AS sq FROM scored GROUP BY 1)"))(lambda s, d: metrics.ece_brier(scored(s, d)))
 
-_U = uniform_sql("'114514'", "CAST(replicate AS VARCHAR)", "CAST(id AS VARCHAR)")
-_T = "[0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]"
-_BOOT = f"w AS (SELECT replicate, y, prob >= 0.5 AS up, len(list_filter({_T}, lambda t: u >= CAST(t AS DOUBLE))) AS w FROM (SELECT replicate, y, prob, {_U} AS u FROM scored, range(200) r(replicate))), per AS (SELECT replicate, {RATES} FROM (SELECT replicate, sum(CASE WHEN up AND y = 1 THEN w ELSE 0 END) AS tp, sum(CASE WHEN up AND y = 0 THEN w ELSE 0 END) AS fp, sum(CASE WHEN NOT up AND y = 0 THEN w ELSE 0 END) AS tn, sum(CASE WHEN NOT up AND y = 1 THEN w ELSE 0 END) AS fn FROM w GROUP BY replicate))"
-query("bootstrap_ci", _with("SELECT " + ", ".join(f"round(avg({v}), 6) AS {v}_mean, list_sort(list({v}))[6] AS {v}_lo, list_sort(list({v}))[195] AS {v}_hi" for v in ("acc", "f1")) + " FROM per", _BOOT))(lambda s, d: metrics.bootstrap(scored(s, d)))
+# Cells of (score, label); a cell's weight in a replicate is a sum of Poisson draws for the powers of two of its rows, from digests cut in five.
+_BITS = 7
+_TABLES = " ".join(f"WHEN {b} THEN [" + ", ".join(f"CAST('{x!r}' AS DOUBLE)" for x in bootstrap.poisson_table(b).tolist()) + "]" for b in range(_BITS))
+_BOOT = f"""ce AS (SELECT prob, y, count(*) AS n, min(id) AS k FROM scored GROUP BY prob, y),
+dg AS (SELECT prob, y, k, bit, block, sha1(concat_ws(':', '114514', CAST(block AS VARCHAR), CAST(k AS VARCHAR), CAST(bit AS VARCHAR))) AS h FROM ce, range({_BITS}) b(bit), range({bootstrap.ITERATIONS // 5}) r(block) WHERE n >> bit & 1 = 1),
+dr AS (SELECT prob, y, k, bit, block * 5 + piece AS r, CAST('0x' || substr(h, CAST(1 + 8 * piece AS INT), 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS u FROM dg, range(5) p(piece)),
+wt AS (SELECT r, prob, y, k, sum(len(list_filter(CASE bit {_TABLES} END, lambda t: t <= u))) AS w FROM dr GROUP BY ALL),
+co AS (SELECT r, sum(CASE WHEN prob >= 0.5 AND y = 1 THEN w ELSE 0 END) AS tp, sum(CASE WHEN prob >= 0.5 AND y = 0 THEN w ELSE 0 END) AS fp, sum(CASE WHEN prob < 0.5 AND y = 0 THEN w ELSE 0 END) AS tn, sum(CASE WHEN prob < 0.5 AND y = 1 THEN w ELSE 0 END) AS fn FROM wt GROUP BY r),
+ro AS (SELECT r, sum(neg * (above + pos / 2)) / nullif(sum(pos) * sum(neg), 0) AS auroc FROM (SELECT *, coalesce(sum(pos) OVER (PARTITION BY r ORDER BY prob DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM (SELECT r, prob, CAST(sum(CASE WHEN y = 1 THEN w ELSE 0 END) AS DOUBLE) AS pos, CAST(sum(CASE WHEN y = 0 THEN w ELSE 0 END) AS DOUBLE) AS neg FROM wt GROUP BY r, prob)) GROUP BY r),
+pe AS (SELECT r, sum(CASE WHEN y = 1 AND w > 0 THEN list_sum(list_transform(generate_series(1, CAST(w AS BIGINT)), lambda j: ((tp + j) / (n0 + j) + CASE WHEN n0 + j = 1 THEN 1 ELSE (tp + j - 1) / (n0 + j - 1) END) / 2)) ELSE 0 END) / nullif(sum(CASE WHEN y = 1 THEN w ELSE 0 END), 0) AS aupr FROM (SELECT *, coalesce(sum(CASE WHEN y = 1 THEN w ELSE 0 END) OVER o, 0) AS tp, coalesce(sum(w) OVER o, 0) AS n0 FROM wt WINDOW o AS (PARTITION BY r ORDER BY prob DESC, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) GROUP BY r),
+per AS (SELECT (tp + tn) / nullif(tp + fp + tn + fn, 0) AS acc, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1, auroc, aupr FROM co JOIN ro USING (r) JOIN pe USING (r))"""
+_AT = "round(list_sort(list({v}) FILTER ({v} IS NOT NULL))[CAST(round_even({q} * (count({v}) - 1), 0) AS INT) + 1], 6)"
+query("bootstrap_ci", _with("SELECT " + ", ".join(f"round(avg({v}), 6) AS {v}_mean, {_AT.format(v=v, q=0.025)} AS {v}_lo, {_AT.format(v=v, q=0.975)} AS {v}_hi" for v in ("acc", "f1", "auroc", "aupr")) + " FROM per", _BOOT))(lambda s, d: bootstrap.intervals(scored(s, d)))
 
 
 @query("k_runs_stats", _with(f"SELECT metric, count(*) AS n, round(avg(value), 6) AS mean, round(CASE WHEN count(*) > 1 THEN stddev_samp(value) ELSE 0 END, 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max FROM (SELECT unnest(['acc', 'f1']) AS metric, unnest([acc, f1]) AS value FROM (SELECT run, {RATES} FROM (SELECT id % 5 AS run, {C} FROM scored GROUP BY 1))) GROUP BY metric"))

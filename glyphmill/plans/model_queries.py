@@ -197,7 +197,7 @@ _KNN = "n AS (SELECT q.vec_id AS query, b.vec_id AS id, CAST(b.label >= 5 AS INT
 
 def knn(spark, d, k):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), (F.col("label") >= 5).cast("int").alias("y"))
-    return neighbours.nearest(e.where("id % 5 = 0"), e.where("id % 5 > 0"), k)
+    return neighbours.nearest(e.where("id % 5 = 0"), e.where("id % 5 > 0"), k, folder=written(spark, "neighbours"))
 
 
 query("knn_vote", f"WITH {_KNN} SELECT query, CAST(2 * sum(y) >= count(*) AS INT) AS vote FROM n WHERE place <= 10 GROUP BY query")(lambda s, d: neighbours.votes(knn(s, d, 10)).select("query", "vote"))

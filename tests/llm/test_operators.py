@@ -514,6 +514,41 @@ def test_ordinary_pages(page, text):
     assert html_text.extract(page) == text
 
 
+REST = "A second paragraph, in which the article says what is left to say."
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        *[(f'<nav><a href=a>Home</a></nav><article class="{c}"><p>{LEAD}</p></article>', LEAD) for c in ("post social-policy", "story sponsored-by-none", "comment", "search related")],
+        *[(f"<article><p>{LEAD}</p><{e}><h2>Head</h2><p>{REST}</p></{e.split()[0]}></article>", f"{LEAD}\n\nHead\n\n{REST}") for e in ('section id="discussion"', 'div id="related-work"', 'section id="search-algorithms"', 'div class="reply-to-critics"', 'div data-id="share-12"', 'div data-role="comment"', "div data-class=sidebar")],
+        (f'<article><p data-id="ad-1">{LEAD}</p><p data-role="comment">{REST}</p></article>', f"{LEAD}\n\n{REST}"),
+        (f'<div class="content sidebar-right"><h2>Head</h2><p>{LEAD}</p></div>', f"Head\n\n{LEAD}"),
+        (f'<div class="menu"><p>Home</p></div><div role="main" class="banner-page"><p>{LEAD}</p></div><p>Outside</p>', LEAD),
+        (f"<h1>On it</h1><p>By A.</p><p>5 May.</p><p>{LEAD}</p>", f"On it\n\nBy A.\n\n5 May.\n\n{LEAD}"),
+        (f"<h2>Hi</h2><p>Yes.</p><p>No.</p><p>So.</p><p>{LEAD}</p>", f"Hi\n\nYes.\n\nNo.\n\nSo.\n\n{LEAD}"),
+        (f"<p>My site</p>{'<p><a href=a>menu entry</a></p>' * 4}<h2>Head</h2><p>{LEAD}</p>", f"Head\n\n{LEAD}"),
+        *[(f"{a}<p>{LEAD}</p><{e}><li><p>{REST}</p></li></{e.split()[0]}>{b}", LEAD) for a, b in (("<main>", "</main>"), ("", ""), ("<article>", "</article>")) for e in ('ol class="commentlist"', 'div id="fbcomments"', 'div class="sitefooter"', "div class=leftsidebar", 'div class="comments-area"')],
+        (f'<article><p>{LEAD}</p><div class="share"><p>Share this.</p></div><div class="related"><a href=a>{REST}</a></div></article>', LEAD),
+        (f'<article><p>{LEAD}</p></article><div><article class="comment"><p>{REST}</p></article></div>', LEAD),
+        (f'<p>{LEAD}</p><div id="discussion"><p>Nice!</p><p>I agree.</p></div>', LEAD),
+        (f'<p>{LEAD}</p><div id="commentary"><p>{REST}</p></div>', f"{LEAD}\n\n{REST}"),
+    ],
+)
+def test_names_are_evidence(page, text):
+    assert html_text.extract(page) == text
+
+
+def test_pages_of_odd_tables(spark):
+    """Repeated rows, rows without an id, and columns that clash with the operator's."""
+    rows = [(1, "u", f"<p>{LEAD}</p>", "mine", 7), (1, "u", f"<p>{LEAD}</p>", "mine", 7), (None, None, f"<p>{REST}</p>", None, None), (None, None, None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")
+    got = sorted((tuple(r) for r in html_text.main_texts(pages).collect()), key=str)
+    assert got == sorted([(1, "u", LEAD, len(LEAD))] * 2 + [(None, None, REST, len(REST)), (None, None, "", 0)], key=str)
+    clash = pages.withColumnRenamed("url", "__html")
+    assert {tuple(r) for r in html_text.main_texts(clash, keep=("page_id", "__html")).collect()} == set(got)
+
+
 def test_given_pages():
     import html
 

@@ -281,26 +281,6 @@ def perturbation_score(original: DataFrame, perturbed: DataFrame, key: str, valu
     return original.join(per, key).select(key, "variants", F.round((F.col(value) - F.col("m")) / (F.col("sd") + 1e-8), 6).alias("difference"), F.round(F.when(F.col(value) != 0, F.col("m") / F.col(value)).otherwise(1.0), 6).alias("ratio"))
 
 
-def continued(model: Model, steps: int, ways: int) -> DataFrame:
-    """(h, way, lp): the summed log-probability of steps tokens after h, of which the first is one of the ways most probable after h and each
-    next one the most probable after the one before; (lp, ties by token). After a token that nothing follows comes the most frequent one.
-
-    Paths of 1, 2, 4, ... steps are joined to longer ones, so the joins grow with the logarithm of the steps.
-    """
-    place = F.row_number().over(W.partitionBy("h").orderBy(F.desc("p"), "t"))
-    first = model.pairs.withColumn("way", place - 1).where(F.col("way") < ways).select("h", "way", F.col("t").alias("last"), F.ln("p").alias("lp"))
-    usual = model.unigrams.agg(F.max_by("t", F.struct("q", "t")).alias("u"), F.ln(F.max("q")).alias("lu"))  # one row
-    step = model.unigrams.select(F.col("t").alias("h")).join(first.where("way = 0"), "h", "left").crossJoin(F.broadcast(usual)).select("h", F.coalesce("last", "u").alias("last"), F.coalesce("lp", "lu").alias("lp"))
-    then = lambda a, b: a.join(b.select(F.col("h").alias("last"), F.col("last").alias("end"), F.col("lp").alias("more")), "last").withColumn("lp", F.col("lp") + F.col("more")).select(*[F.col("end").alias("last") if c == "last" else c for c in a.columns])
-    out, left = first, steps - 1
-    while left:
-        if left % 2:
-            out = then(out, step)
-        left //= 2
-        step = then(step, step) if left else step
-    return out.select("h", "way", "lp")
-
-
 def divergence(tokens: DataFrame, token: str, side: str) -> DataFrame:
     """Jensen-Shannon divergence (in nats) of the token frequencies of two sides, 0 and 1."""
     c = tokens.groupBy(token).agg(*[F.sum((F.col(side) == y).cast("double")).alias(f"c{y}") for y in (0, 1)])

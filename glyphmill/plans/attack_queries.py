@@ -64,7 +64,6 @@ attack("attack_span_mask", f"WITH {_W}, c AS (SELECT doc_id, n, k, row_number()
 attack("attack_cohesiveness_deletion", f"WITH {_W}, b AS (SELECT DISTINCT doc_id, CAST(floor({u('blank', 'k')} * n) AS INT) AS i FROM (SELECT doc_id, len(w) AS n, unnest(generate_series(1, CAST(greatest(1, round_even(len(w) * 0.015, 0)) AS BIGINT))) AS k FROM w)) SELECT e.doc_id, string_agg(CASE WHEN b.i IS NULL THEN x ELSE '' END, ' ' ORDER BY e.i) AS attacked FROM e LEFT JOIN b ON e.doc_id = b.doc_id AND e.i = b.i GROUP BY e.doc_id", A.blank_words)
 attack("attack_selective_deletion", f"WITH {_W} " + _OUT.format(f"SELECT doc_id, text, array_to_string(list_transform(list_filter(list_zip(w, string_split(f, '')), lambda s: s[2] <> 'D'), lambda s: s[1]), ' ') AS t FROM (SELECT doc_id, any_value(text) AS text, list(x ORDER BY i) AS w, regexp_replace(string_agg(CASE WHEN lower(x) NOT IN ('the', 'of', 'and') AND {u('selective', 'i')} < 0.2 THEN '1' ELSE '0' END, '' ORDER BY i), '1([01]{{0,3}})', 'D\\1', 'g') AS f FROM e GROUP BY doc_id)") + " AND t <> ''", lambda t, k: A.selective_drop(t, k, ["the", "of", "and"]))
 query("attack_back_trans_pivot", "SELECT doc_id, CASE WHEN l = 'en' THEN 'de' WHEN l = 'ru' AND len(regexp_extract_all(text, '[Ѐ-ӿ]')) / greatest(length(text), 1) < 0.2 THEN 'de' ELSE 'en' END AS pivot FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'ru' ELSE lang END AS l, CASE WHEN doc_id % 2 = 0 THEN 'Съешь ещё этих мягких булок ' ELSE '' END || substr(text, 1, 60) AS text FROM documents)")(lambda s, d: docs(s, d).select("doc_id", A.pivot_language(F.when(F.col("doc_id") % 3 == 0, "ru").otherwise(F.col("lang")), F.concat(F.when(F.col("doc_id") % 2 == 0, "Съешь ещё этих мягких булок ").otherwise(""), F.substring("text", 1, 60))).alias("pivot")))
-query("regen_configs", "SELECT * FROM (VALUES (CAST(0.2 AS DOUBLE), CAST(0.95 AS DOUBLE)), (1.2, 0.95), (0.8, 0.5), (0.0, 1.0)) t(temperature, top_p)")(lambda s, d: s.createDataFrame([(c["temperature"], c["top_p"]) for c in A.regenerations([0.2, 0.8, 1.2, 1.20001], [0.5, 0.95])], "temperature double, top_p double"))
 _BATCH = {"typo": ORACLES["attack_typo_insert"], "homo": ORACLES["attack_homoglyph"].replace(">= 0.2", ">= 0.1"), "word_drop": ORACLES["attack_word_drop"]}
 query("attack_batch", " UNION ALL ".join(f"SELECT doc_id AS id, '{n}' AS attack, attacked FROM ({q})" for n, q in _BATCH.items()))(lambda s, d: A.attacked(docs(s, d).withColumnRenamed("doc_id", "id").select("id", "text"), json.loads('[{"type": "typo", "mode": "insert"}, {"type": "homo", "p": 0.1}, {"type": "word_drop"}]')).select("id", "attack", "attacked"))
 

@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import fuzz, rng, text
-from ..operators import attacks, calibration, graph, neighbours, similarity
+from ..operators import attacks, calibration, generation, graph, infilling, neighbours, similarity
 from ..operators import language_model as lm
+from ..operators.generation import Setting
 from ..streaming import monitors
 from .base import ORACLES, SCORED, query, scored, table, uniform_sql, written
 from .text_queries import SENT, WORDS, docs
@@ -92,13 +93,19 @@ def _lastdepp(spark, d):
 VARIANTS = 3
 
 
+def filled(spark, rows, model):
+    """(doc_id, variant, text): VARIANTS fillings of masked words of (doc_id, text)."""
+    drawn = infilling.fills(infilling.masked(rows, "doc_id", VARIANTS), model, "doc_id", written(spark, "fills"))
+    return infilling.filled(rows, drawn, "doc_id", VARIANTS)
+
+
 def perturbed(spark, d, value: str):
-    """A score of the documents and of variants without some words, under the model of the documents."""
+    """A score of the documents and of variants with words filled in anew, under the model of the documents."""
     rows = docs(spark, d).select("doc_id", "text")
-    dropped = [F.coalesce(attacks.word_drop(F.col("text"), F.col("doc_id").cast("string"), 0.1, seed=k), F.col("text")) for k in range(VARIANTS)]
-    made = rows.select("doc_id", F.posexplode(F.array(F.col("text"), *dropped)).alias("variant", "text"))
+    model = fitted(spark, lm.token_table(rows, "doc_id"))
+    made = filled(spark, rows, model).select("doc_id", (F.col("variant") + 1).alias("variant"), "text").unionByName(rows.select("doc_id", F.lit(0).alias("variant"), "text"))
     tokens = lm.token_table(made.select(F.struct("doc_id", "variant").alias("k"), "text"), "k")
-    stats = lm.statistics(tokens, fitted(spark, lm.token_table(rows, "doc_id")), "k", rank=value == "logrank")
+    stats = lm.statistics(tokens, model, "k", rank=value == "logrank")
     score = F.avg("lp") if value == "likelihood" else F.avg(F.ln("rank"))
     return stats.groupBy("k").agg(score.alias(value)).select("k.*", value)
 
@@ -113,10 +120,27 @@ def _dropped(seed: int) -> str:
     return f"SELECT doc_id, {seed + 1} AS variant, CASE WHEN len(w) > 5 AND len(k) >= 5 AND array_to_string(k, ' ') <> text THEN array_to_string(k, ' ') ELSE text END AS text FROM (SELECT doc_id, text, w, list_transform(list_filter(list_transform(w, lambda x, i: {{'x': x, 'u': {u}}}), lambda s: s.u >= 0.1), lambda s: s.x) AS k FROM (SELECT doc_id, text, {WORDS} AS w FROM documents))"
 
 
-_PERTURBED = f"{_tokens('cd', 'documents')}, {_MODEL}, va AS (SELECT doc_id, 0 AS variant, text FROM documents UNION ALL {' UNION ALL '.join(map(_dropped, range(VARIANTS)))}), {_tokens('vt', 'va', 'doc_id, variant')}, {_scores('vt', 'doc_id, variant')}"
+# Words in the middle of blocks of three, drawn from those seen between their neighbours.
+_FILLED = f"""bw AS (SELECT doc_id, w FROM (SELECT doc_id, {WORDS} AS w FROM documents) WHERE len(w) >= 3),
+mk AS (SELECT doc_id, variant, CAST(b * 3 + 1 AS INT) AS pos, lower(w[b * 3 + 1]) AS l, lower(w[b * 3 + 3]) AS r FROM (SELECT doc_id, w, unnest(generate_series(0, len(w) // 3 - 1)) AS b FROM bw), range({VARIANTS}) v(variant) WHERE {uniform_sql("'114514'", "CAST(doc_id AS VARCHAR)", "'mask'", "CAST(variant AS VARCHAR)", "CAST(b AS VARCHAR)")} < 0.3),
+ca AS (SELECT x.l, x.r, a.t AS v, greatest(CAST(round(a.c * b.c / ch * 1048576) AS BIGINT), 1) AS w FROM (SELECT DISTINCT l, r FROM mk) x JOIN pr a ON a.h = x.l JOIN pr b ON b.h = a.t AND b.t = x.r JOIN hs ON hs.h = a.t),
+ci AS (SELECT l, r, v, sum(w) OVER (PARTITION BY l, r ORDER BY v ROWS UNBOUNDED PRECEDING) AS hi, w, sum(w) OVER (PARTITION BY l, r) AS size FROM ca),
+fi AS (SELECT doc_id, variant, pos, v FROM (SELECT *, {uniform_sql("'114514'", "CAST(doc_id AS VARCHAR)", "'fill'", "CAST(variant AS VARCHAR)", "CAST(pos AS VARCHAR)")} AS u FROM mk) m JOIN ci USING (l, r) WHERE hi - w <= floor(u * size) AND floor(u * size) < hi),
+ft AS (SELECT doc_id, variant, string_agg(coalesce(v, x), ' ' ORDER BY pos) AS text FROM (SELECT doc_id, variant, unnest(w) AS x, CAST(generate_subscripts(w, 1) - 1 AS INT) AS pos FROM bw, range({VARIANTS}) v(variant) WHERE EXISTS (SELECT 1 FROM fi WHERE fi.doc_id = bw.doc_id AND fi.variant = v.variant)) LEFT JOIN fi USING (doc_id, variant, pos) GROUP BY doc_id, variant)"""
+_PERTURBED = f"{_tokens('cd', 'documents')}, {_MODEL}, {_FILLED}, va AS (SELECT doc_id, 0 AS variant, text FROM documents UNION ALL SELECT doc_id, n.variant + 1, coalesce(ft.text, documents.text) FROM documents CROSS JOIN range({VARIANTS}) n(variant) LEFT JOIN ft USING (doc_id, variant)), {_tokens('vt', 'va', 'doc_id, variant')}, {_scores('vt', 'doc_id, variant')}"
 _AGAINST = "sc AS (SELECT doc_id, variant, {0} AS s FROM st GROUP BY doc_id, variant), ag AS (SELECT doc_id, avg(s) AS m, stddev_pop(s) AS sd, count(*) AS variants FROM sc WHERE variant > 0 GROUP BY doc_id), ow AS (SELECT doc_id, s FROM sc WHERE variant = 0)"
 query("detector_detectgpt", f"WITH {_PERTURBED}, {_AGAINST.format('avg(lp)')} SELECT doc_id, variants, round((s - m) / (sd + 1e-8), 6) AS detectgpt FROM ow JOIN ag USING (doc_id)")(lambda s, d: _against(s, d, "likelihood").select("doc_id", "variants", F.col("difference").alias("detectgpt")))
 query("detector_npr", f"WITH {_PERTURBED}, {_AGAINST.format('avg(ln(rk))')} SELECT doc_id, variants, round(CASE WHEN s <> 0 THEN m / s ELSE 1 END, 6) AS npr FROM ow JOIN ag USING (doc_id)")(lambda s, d: _against(s, d, "logrank").select("doc_id", "variants", F.col("ratio").alias("npr")))
+query("attack_span_fill", f"WITH {_tokens('cd', 'documents')}, {_MODEL}, {_FILLED} SELECT doc_id, CAST(variant AS INT) AS variant, ft.text AS attacked FROM ft JOIN documents USING (doc_id) WHERE ft.text <> documents.text")(lambda s, d: span_fill(s, d))
+
+
+def span_fill(spark, d):
+    """Every document with masked words filled in from the model; unchanged ones are left out."""
+    rows = docs(spark, d).select("doc_id", "text")
+    made = filled(spark, rows, fitted(spark, lm.token_table(rows, "doc_id")))
+    return made.withColumnRenamed("text", "attacked").join(rows, "doc_id").where("attacked <> text").select("doc_id", "variant", "attacked")
+
+
 _BLANKS = " + ".join("1 - len(list_distinct(list_transform(generate_series(1, CAST(greatest(1, round_even(n * 0.015, 0)) AS BIGINT)), lambda k: CAST(floor(" + uniform_sql(f"'{k}'", "CAST(doc_id AS VARCHAR)", "'blank'", "CAST(k AS VARCHAR)") + " * n) AS INT)))) / n" for k in range(3))
 _TOCSIN = {
     "tocsin": "lp * exp(same - 1)",
@@ -160,23 +184,63 @@ def _raidar(df):
     return _rewrites(df).mapInPandas(run, "doc_id long, " + ", ".join(f"{n} double" for n in names))
 
 
-REGENERATIONS, CONTINUED = 3, 20
-_DNA = f"""pl AS (SELECT h, t, p, row_number() OVER (PARTITION BY h ORDER BY p DESC, t) - 1 AS way FROM se), us AS (SELECT t AS u, q AS uq FROM q ORDER BY q DESC, t DESC LIMIT 1),
-nx AS (SELECT q.t AS h, coalesce(pl.t, u) AS nt, ln(coalesce(p, uq)) AS lp FROM q LEFT JOIN pl ON q.t = pl.h AND way = 0, us),
-ch(h, way, last, lp, k) AS (SELECT h, way, t, ln(p), 1 FROM pl WHERE way < {REGENERATIONS} UNION ALL SELECT ch.h, way, nt, ch.lp + nx.lp, k + 1 FROM ch JOIN nx ON ch.last = nx.h WHERE k < {CONTINUED}),
-hf AS (SELECT doc_id, n // 2 AS half, avg(lp) AS own, sum(CASE WHEN pos < n // 2 THEN lp END) AS kept, max(CASE WHEN pos = n // 2 - 1 THEN t END) AS h FROM (SELECT doc_id, pos, cd.t, lp, count(*) OVER (PARTITION BY doc_id) AS n FROM cd JOIN st USING (doc_id, pos)) WHERE n >= 20 GROUP BY doc_id, n)"""
-query("detector_dnagpt", f"WITH RECURSIVE {_LM}, {_DNA} SELECT doc_id, round(any_value(own) - avg((kept + lp) / (half + {CONTINUED})), 6) AS dnagpt FROM hf JOIN ch USING (h) WHERE k = {CONTINUED} GROUP BY doc_id")(lambda s, d: dnagpt(s, d))
+# Texts from the model: kept candidates as intervals of whole numbers, and a keyed draw for each chain and step.
+def _nucleus(settings) -> str:
+    rows = ", ".join(f"('{s.name}', CAST('{float(s.temperature)!r}' AS DOUBLE), CAST('{float(s.top_p)!r}' AS DOUBLE))" for s in settings)
+    return f"""sg(setting, temperature, top_p) AS (VALUES {rows}), cm AS (SELECT h, max(c) AS most, first(t ORDER BY c DESC, t) AS best FROM se GROUP BY h),
+wn AS (SELECT setting, top_p, h, t, c, ln(p) AS lp, CASE WHEN temperature <= 0 THEN CASE WHEN t = best THEN 1 ELSE 0 END ELSE CAST(round(pow(c / most, 1 / nullif(temperature, 0)) * 4294967296) AS BIGINT) END AS w FROM se JOIN cm USING (h), sg),
+kn AS (SELECT setting, h, t, lp, hi - w AS lo, hi FROM (SELECT *, sum(w) OVER (PARTITION BY setting, h ORDER BY c DESC, t ROWS UNBOUNDED PRECEDING) AS hi, sum(w) OVER (PARTITION BY setting, h) AS whole FROM wn WHERE w > 0) WHERE hi - w < top_p * whole),
+zn AS (SELECT setting, h, max(hi) AS size FROM kn GROUP BY ALL)"""
+
+
+def _chains(start: str, steps: int, key: str) -> str:
+    """Recursive SQL: start gives (doc_id, way, setting, h)."""
+    u = uniform_sql("'114514'", key, "ch.setting", "CAST(k AS VARCHAR)")
+    return f"""ch(doc_id, way, setting, h, made, lp, k) AS (SELECT doc_id, way, b.setting, CASE WHEN zn.h IS NULL THEN '<s>' ELSE b.h END, '', CAST(0 AS DOUBLE), 0 FROM ({start}) b LEFT JOIN zn ON zn.setting = b.setting AND zn.h = b.h
+UNION ALL SELECT ch.doc_id, ch.way, ch.setting, CASE WHEN nx.h IS NULL THEN '<s>' ELSE kn.t END, ch.made || CASE WHEN k = 0 THEN '' ELSE ' ' END || kn.t, ch.lp + kn.lp, k + 1 FROM ch JOIN zn ON zn.setting = ch.setting AND zn.h = ch.h JOIN kn ON kn.setting = ch.setting AND kn.h = ch.h AND kn.lo <= floor({u} * zn.size) AND floor({u} * zn.size) < kn.hi LEFT JOIN zn nx ON nx.setting = kn.setting AND nx.h = kn.t WHERE k < {steps})"""
+
+
+#: Words of a document that generation goes on from, and tokens that it adds.
+PROMPT, ADDED = 32, 12
+REGENERATED = [Setting(f"t{c['temperature']}-p{c['top_p']}", c["temperature"], c["top_p"]) for c in attacks.regenerations([0.2, 0.8, 1.2, 1.20001], [0.5, 0.95])]
+
+
+@query("regen", f"""WITH RECURSIVE {_tokens('cd', 'documents')}, {_MODEL}, {_nucleus(REGENERATED)}, pm AS (SELECT doc_id, list_transform(w[1:{PROMPT}], lambda x: lower(x)) AS w FROM (SELECT doc_id, {WORDS} AS w FROM documents)),
+{_chains("SELECT doc_id, 0 AS way, setting, coalesce(w[len(w)], '<s>') AS h FROM pm, sg", ADDED, "CAST(doc_id AS VARCHAR)")}
+SELECT doc_id, temperature, top_p, array_to_string(w, ' ') || CASE WHEN len(w) > 0 THEN ' ' ELSE '' END || made AS text, round(lp, 6) AS lp FROM ch JOIN pm USING (doc_id) JOIN sg USING (setting) WHERE k = {ADDED}""")
+def regen(spark, d):
+    """Every document's first words, gone on from under every setting of a sweep over temperature and top-p."""
+    rows = docs(spark, d).select("doc_id", "text")
+    model = fitted(spark, lm.token_table(rows, "doc_id"))
+    table = generation.guide(model, REGENERATED, written(spark, "guide"))
+    settings = F.explode(F.array(*[F.struct(F.lit(s.name).alias("setting"), F.lit(float(s.temperature)).alias("temperature"), F.lit(float(s.top_p)).alias("top_p")) for s in REGENERATED]))
+    words = F.transform(F.slice(text.split_words(F.coalesce("text", F.lit(""))), 1, PROMPT), F.lower)
+    chains = rows.select("doc_id", words.alias("w"), settings.alias("s")).select("doc_id", "s.*", F.array_join("w", " ").alias("prompt"), F.coalesce(F.get("w", F.size("w") - 1), F.lit(lm.START)).alias("h"))
+    made = generation.generate(chains, table, ADDED, "doc_id")
+    return made.select("doc_id", "temperature", "top_p", F.concat_ws(" ", F.nullif("prompt", F.lit("")), "made").alias("text"), F.round("lp", 6).alias("lp"))
+
+
+#: Regenerations of a document's second half, their tokens, and how they are drawn.
+REGENERATIONS, CONTINUED, SAMPLED_AS = 3, 20, Setting("dna", 0.7, 0.95)
+_DNA = f"""hf AS (SELECT doc_id, n // 2 AS half, avg(lp) AS own, sum(CASE WHEN pos < n // 2 THEN lp END) AS kept, max(CASE WHEN pos = n // 2 - 1 THEN t END) AS h FROM (SELECT doc_id, pos, cd.t, lp, count(*) OVER (PARTITION BY doc_id) AS n FROM cd JOIN st USING (doc_id, pos)) WHERE n >= 20 GROUP BY doc_id, n)"""
+query("detector_dnagpt", f"""WITH RECURSIVE {_LM}, {_DNA}, {_nucleus([SAMPLED_AS])}, {_chains(f"SELECT doc_id, way, setting, h FROM hf, sg, range({REGENERATIONS}) w(way)", CONTINUED, "CAST(doc_id AS VARCHAR) || '-' || CAST(way AS VARCHAR)")}
+SELECT doc_id, round(any_value(own) - avg((kept + lp) / (half + {CONTINUED})), 6) AS dnagpt FROM hf JOIN ch USING (doc_id) WHERE k = {CONTINUED} GROUP BY doc_id""")(lambda s, d: dnagpt(s, d))
 
 
 def dnagpt(spark, d):
-    """Likelihood of a text (20 tokens at least) less the mean over regenerations of that of its first half and what the model goes on with."""
+    """Likelihood of a text (20 tokens at least) less the mean over regenerations of that of its first half and what is sampled after it."""
     tokens = lm.token_table(docs(spark, d).select("doc_id", "text"), "doc_id")
     model = fitted(spark, tokens)
     told = model.pairs.select("h", "t", F.ln("p").alias("lp"))
     sizes = tokens.groupBy("doc_id").agg(F.count("*").alias("n")).where("n >= 20").withColumn("half", F.floor(F.col("n") / 2))
     rows = tokens.join(told, ["h", "t"]).join(sizes, "doc_id")
     own = rows.groupBy("doc_id", "half").agg(F.avg("lp").alias("own"), F.sum(F.when(F.col("pos") < F.col("half"), F.col("lp"))).alias("kept"), F.max(F.when(F.col("pos") == F.col("half") - 1, F.col("t"))).alias("h"))
-    again = own.join(lm.continued(model, CONTINUED, REGENERATIONS), "h")
+    folder = written(spark, "dnagpt")
+    own.write.parquet(f"{folder}/own")
+    own = spark.read.parquet(f"{folder}/own")
+    ways = own.select("doc_id", "h", F.lit(SAMPLED_AS.name).alias("setting"), F.explode(F.sequence(F.lit(0), F.lit(REGENERATIONS - 1))).alias("way"))
+    chains = ways.select(F.concat_ws("-", "doc_id", "way").alias("chain"), "doc_id", "setting", "h")
+    again = generation.generate(chains, generation.guide(model, [SAMPLED_AS], folder), CONTINUED, "chain").select("doc_id", "lp").join(own, "doc_id")
     return again.groupBy("doc_id").agg(F.round(F.max("own") - F.avg((F.col("kept") + F.col("lp")) / (F.col("half") + CONTINUED)), 6).alias("dnagpt"))
 
 

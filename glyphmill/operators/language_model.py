@@ -231,50 +231,6 @@ def multiscale_entropies(x, embed: int, factor: int, scales: int):
     return np.divide(x.mean(0) if length else np.zeros(width), sd, out=np.zeros(width), where=sd > 0)
 
 
-def lastdepp(tokens: DataFrame, model: Model, key: str, embed: int = 4, factor: int = 8, scales: int = 15, samples: int = 100) -> DataFrame:
-    """The multiscale score of each document, less the mean and over the deviation of those of sequences sampled from the model.
-
-    Every position of a sampled sequence is drawn given the document's own token before it. The draws come from the document's key. The
-    workers get the model as a table of histories by vocabulary, so the vocabulary must be a bounded() one.
-    """
-    import numpy as np
-
-    from ..functions import rng
-
-    words = model.unigrams.orderBy("t").toPandas()
-    pairs = model.pairs.select("h", "t", "p").toPandas()
-    at = {t: k for k, t in enumerate(words.t)}
-    table = np.tile((1 - model.mix) * words.q.to_numpy(), (len(at) + 1, 1))  # the last row is that of the start
-    table[pairs.h.map(lambda h: at.get(h, len(at))).to_numpy(int), pairs.t.map(at).to_numpy(int)] = pairs.p
-    logs, sums = np.log(table), np.cumsum(table, 1) / table.sum(1, keepdims=True)
-    kind = tokens.schema[key].dataType.simpleString()
-    rows = tokens.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]).alias("ts"))
-    rows = rows.withColumn("seed", F.substring(rng.digest(rng.SEED, F.col(key), "lastdepp"), 1, 32))
-
-    def score(tokens, seed: str) -> float:
-        t = np.array([at[x] for x in tokens])
-        h = np.append(len(at), t[:-1])
-        own = multiscale_entropies(logs[h, t][:, None], embed, factor, scales)[0]
-        draw = np.random.Generator(np.random.Philox(key=int(seed, 16)))
-        order = np.argsort(h, kind="stable")
-        groups = np.split(order, np.flatnonzero(np.diff(h[order])) + 1)
-        step, made = max(1, 500_000 // len(t)), []  # samples at a time, so that memory is bounded by a document's length
-        for k in range(0, samples, step):
-            u, x = draw.random((len(t), min(step, samples - k))), np.empty((len(t), min(step, samples - k)))
-            for g in groups:
-                x[g] = logs[h[g[0]]][np.minimum(np.searchsorted(sums[h[g[0]]], u[g], side="right"), len(at) - 1)]
-            made.append(multiscale_entropies(x, embed, factor, scales))
-        made = np.concatenate(made)
-        sd = float(np.std(made, ddof=1))
-        return float(own - made.mean()) / (sd if sd > 0 else 1.0)
-
-    def run(batches):
-        for b in batches:
-            yield pd.DataFrame({key: b[key], "lastdepp": [round(score(t, s), 6) for t, s in zip(b.ts, b.seed, strict=True)]})
-
-    return rows.mapInPandas(run, f"`{key}` {kind}, lastdepp double")
-
-
 def perturbation_score(original: DataFrame, perturbed: DataFrame, key: str, value: str) -> DataFrame:
     """(own - mean of perturbed) / (deviation + 1e-8), and own over the mean."""
     per = perturbed.groupBy(key).agg(F.avg(value).alias("m"), F.stddev_pop(value).alias("sd"), F.count("*").alias("variants"))

@@ -9,17 +9,13 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import fuzz, rng, text
-from ..operators import attacks, calibration, generation, graph, infilling, neighbours, similarity
+from ..operators import attacks, calibration, generation, graph, infilling, neighbours, sampled_scores, similarity
 from ..operators import language_model as lm
 from ..operators.generation import Setting
 from ..streaming import monitors
 from .base import ORACLES, SCORED, query, scored, table, uniform_sql, written
 from .text_queries import SENT, WORDS, docs
 
-#: Words of the bounded model that lastdepp samples from.
-SAMPLED = 300
-
-
 def fitted(spark, tokens):
     return lm.fit(tokens, written(spark, "model"))
 
@@ -86,8 +82,8 @@ query("lastdepp")(lambda s, d: _lastdepp(s, d))
 
 
 def _lastdepp(spark, d):
-    tokens = lm.bounded(lm.token_table(docs(spark, d).select("doc_id", "text"), "doc_id"), SAMPLED)
-    return lm.lastdepp(tokens, fitted(spark, tokens), "doc_id")
+    tokens = lm.token_table(docs(spark, d).select("doc_id", "text"), "doc_id")
+    return sampled_scores.lastdepp(tokens, fitted(spark, tokens), "doc_id", fitted=True)
 
 
 VARIANTS = 3

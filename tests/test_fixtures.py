@@ -178,32 +178,42 @@ def test_priors_of_true_lengths(spark, tmp_path):
     assert {r.doc_id: r.n for r in QUERIES["pu_prior_by_length"](spark, f"file://{tmp_path}").collect()} == {n: n for n in lengths}
 
 
-def test_lastdepp_is_normalised_by_sampled_sequences(spark):
-    import hashlib
-
+@pytest.mark.parametrize("hot", [100_000, 3])
+def test_lastdepp_is_normalised_by_sampled_sequences(spark, monkeypatch, hot):
+    """Over the whole vocabulary, by the same draws; also with frequent histories that are cut."""
     from glyphmill.functions import rng
     from glyphmill.operators import language_model as lm
+    from glyphmill.operators import sampled_scores
 
-    texts = {1: "a b c a b d a c c b a d " * 3, 2: "b a d c " * 8, 3: "a b"}
-    tokens = lm.token_table(spark.createDataFrame(list(texts.items()), "id long, text string"), "id")
-    tokens = lm.bounded(tokens, 9)
+    monkeypatch.setattr(sampled_scores, "HOT", hot)
+    texts = {1: "a b c a b d a c c b a d " * 3 + "e f g", 2: "b a d c " * 8, 3: "a b", 4: "h"}
+    docs = spark.createDataFrame([*texts.items(), (5, ""), (6, None)], "id long, text string")
+    tokens = lm.token_table(docs, "id")
     model = lm.fit(tokens)
-    got = {r.id: r.lastdepp for r in lm.lastdepp(tokens, model, "id").collect()}
-    assert got == {r.id: r.lastdepp for r in lm.lastdepp(tokens.repartition(7), model, "id").collect()}
+    got = {r.id: r.lastdepp for r in sampled_scores.lastdepp(tokens, model, "id", fitted=True).collect()}
+    assert got == {r.id: r.lastdepp for r in sampled_scores.lastdepp(tokens.repartition(7), model, "id").collect()} and set(got) == set(texts)
     q = {r.t: r.q for r in model.unigrams.collect()}
     p = {(r.h, r.t): r.p for r in model.pairs.collect()}
-    words = sorted(q)
+    hashes = {r.id: r.k for r in docs.select("id", F.xxhash64(F.col("id").cast("string"), F.lit("lastdepp")).alias("k")).collect()}
     for key, whole in texts.items():
         t = whole.split()
         h = [lm.START, *t[:-1]]
-        rows = np.array([[p.get((x, y), (1 - lm.MIX) * q[y]) for y in words] for x in h])
-        assert rows.sum(1) == pytest.approx(1)
-        u = np.random.Generator(np.random.Philox(key=int(hashlib.sha1(f"{rng.SEED}:{key}:lastdepp".encode()).hexdigest()[:32], 16))).random((len(t), 100))
-        sampled = [lm.multiscale_entropy([np.log(r[np.searchsorted(np.cumsum(r), v, side="right")]) for r, v in zip(rows, u[:, k], strict=True)], 4, 8, 15) for k in range(100)]
-        own = lm.multiscale_entropy([np.log(r[words.index(x)]) for r, x in zip(rows, t, strict=True)], 4, 8, 15)
+        values = [sorted([x for (y, _), x in p.items() if y == b], reverse=True) + sorted([(1 - lm.MIX) * q[w] for w in q if (b, w) not in p], reverse=True) for b in h]
+        assert [sum(v) for v in values] == pytest.approx([1.0 if len(v) == len(q) else 0.0 for v in values])
+        u = sampled_scores.uniforms(np.full(len(t), hashes[key]), np.arange(len(t)), 100, rng.SEED)
+        drawn = np.array([[np.log(v[min(np.searchsorted(np.cumsum(v), x, side="right"), len(v) - 1)]) for x in row] for v, row in zip(values, u, strict=True)])
+        sampled = [lm.multiscale_entropy(drawn[:, k], 4, 8, 15) for k in range(100)]
+        own = lm.multiscale_entropy([np.log(p[x]) for x in zip(h, t, strict=True)], 4, 8, 15)
         assert got[key] == pytest.approx((own - np.mean(sampled)) / (np.std(sampled, ddof=1) or 1), abs=0.02)
 
 
+def test_draws_are_uniform():
+    from glyphmill.operators import sampled_scores
+
+    u = sampled_scores.uniforms(np.arange(200) * 7919, np.arange(200), 100, 1)
+    assert abs(u.mean() - 0.5) < 0.01 and abs(np.corrcoef(u[:, 0], u[:, 1])[0, 1]) < 0.25 and len(np.unique(u)) == u.size
+
+
 def test_statistics_of_unseen_texts_by_brute_force(spark):
     """Every statistic over the whole vocabulary, for seen and unseen pairs, words and histories."""
     from glyphmill.operators import language_model as lm

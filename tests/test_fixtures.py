@@ -284,6 +284,33 @@ def test_fuzz_and_rewrite_features(spark):
     assert rows[1][:4] == pytest.approx(np.reshape(rows[1][4:32], (7, 4)).mean(0), abs=1e-6)
 
 
+def test_likeness_of_long_texts(monkeypatch):
+    """Bands give what the whole table gives; a long text with few changes takes time like its length."""
+    import random
+    import time
+
+    from glyphmill.functions import fuzz
+
+    rnd = random.Random(5)
+    monkeypatch.setattr(fuzz, "WHOLE", 8)
+    for trial in range(300):
+        a = [rnd.choice("abcd") for _ in range(rnd.randrange(1, 120))]
+        b = list(a)
+        for _ in range(rnd.choice([0, 1, 3, 30, 100])):
+            k = rnd.randrange(len(b) + 1)
+            b[k : k + rnd.randrange(3)] = [rnd.choice("abcde")] * rnd.randrange(3)
+        a, b = "".join(a), "".join(b)
+        monkeypatch.setattr(fuzz, "BAND", 1 + trial % 9)
+        assert fuzz.common_subsequence(a, b) == fuzz.in_band(a, b, max(len(a), len(b), 1)) == fuzz.common_subsequence(b, a)
+    monkeypatch.undo()
+    words = [f"w{rnd.randrange(5000)}" for _ in range(60_000)]
+    other = [w if rnd.random() > 0.002 else "changed" for w in words]
+    a, b = " ".join(words), " ".join(other)
+    began = time.process_time()
+    near = fuzz.common_subsequence(a, b)
+    assert time.process_time() - began < 6 and near >= len(a) - 8 * sum(x != y for x, y in zip(words, other, strict=True))
+
+
 def test_artifacts(spark, tmp_path):
     import json
     import os

@@ -125,6 +125,10 @@ def statistics(tokens: DataFrame, model: Model, key: str, fitted: bool = False,
     return tokens.join(told, ["h", "t"]).drop("h", "t")
 
 
+#: Names of scores().
+SCORES = ("likelihood", "rank", "logrank", "entropy", "gltr_10", "gltr_100", "gltr_1000", "gltr_rest", "lrr", "fastdetectgpt", "binoculars", "dnadetectllm", "imbd", "causal")
+
+
 # Detector scores: aggregates of the token statistics of a document.
 def scores() -> dict[str, Column]:
     lp, lr = F.avg("lp"), F.avg(F.ln("rank"))

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import fuzz, rng, text
-from ..operators import attacks, calibration, generation, graph, infilling, neighbours, sampled_scores, similarity
+from ..operators import attacks, calibration, classifier, generation, graph, infilling, neighbours, sampled_scores, sampling, similarity
 from ..operators import language_model as lm
 from ..operators.generation import Setting
 from ..streaming import monitors
@@ -345,6 +345,14 @@ def text_quality(spark, d):
     return read.join(perplexity, "doc_id", "left").join(similarity.shared_tokens(made, "doc_id", "text", "made"), "doc_id", "left")
 
 
+@query("classifier_heldout")
+def classifier_heldout(spark, d):
+    """Probabilities of quality for the labelled documents that the classifier was not trained on."""
+    rows = sampling.split(docs(spark, d).join(table(spark, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id"), "doc_id")
+    model = classifier.fit(rows.where("split = 'train'"), folder=written(spark, "classifier"))
+    return model.score(rows.where("split <> 'train'")).select("doc_id", "split", "label", F.round(calibration.sigmoid(F.col("score")), 3).alias("prob"))
+
+
 class _Shuffler:
     """A stand-in for a paraphrasing model: each text with its sentences in reverse."""
 

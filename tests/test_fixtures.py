@@ -434,6 +434,7 @@ def test_variants_of_an_attack(spark):
 
 
 def test_names(spark):
+    from glyphmill.operators import language_model as lm
     from glyphmill.plans import names
 
     assert names.DETECTORS.get("FastDetectGPTDetector") is names.DETECTORS.get("fast_detect_gpt") is names.DETECTORS.get("fastdetectgpt")
@@ -447,6 +448,7 @@ def test_names(spark):
     assert {r.id: r.score for r in names.scores(docs, "own", model).collect()} == {1: 5, 2: 3}
     likely = {r.id: r.score for r in names.scores(docs, "likelihood", model).collect()}
     assert set(likely) == {1, 2} and likely[1] > likely[2]
+    assert tuple(lm.scores()) == lm.SCORES and set(lm.SCORES) <= set(names.DETECTORS.names())
     fit, apply = names.CALIBRATORS.get("platt")
     assert fit is cal.fit_platt and apply is cal.platt
 

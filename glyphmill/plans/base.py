@@ -32,6 +32,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes for each core up to which a table of few files is dealt out anew.
+SMALL = 64_000_000
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than cores, and small for so many, dealt out over the cores: one file is one task where it has one row group."""
+    context = df.sparkSession.sparkContext
+    cores, files = context.defaultParallelism, df.inputFiles()
+    if len(files) >= cores:
+        return df
+    path, configuration = context._jvm.org.apache.hadoop.fs.Path, context._jsc.hadoopConfiguration()
+    size = sum(path(f).getFileSystem(configuration).getFileStatus(path(f)).getLen() for f in files)
+    return df.repartition(cores) if size <= SMALL * cores else df
+
+
 def written(spark: SparkSession, name: str) -> str:
     """A path for files that a query writes and reads: in the shared folder where the cluster names one, on this machine if all runs here."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import normalize as norm
 from ..functions import rng, text
 from ..operators import languages, sampling
-from .base import query, table, uniform_sql, written
+from .base import query, spread, table, uniform_sql, written
 
 
 def docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "lang", "source", "n_chars"))
 
 
 WS = r"[\s\x0b]"

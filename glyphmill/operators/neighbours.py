@@ -13,7 +13,6 @@ a vector of zeros has similarity 0 to all; similarities are rounded to six digit
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rng
 from ..operators import calibration as cal
 from ..operators import bootstrap, curves, metrics
-from .base import RATES, SCORED, counts, query, scored, table, uniform_sql
+from .base import RATES, SCORED, counts, query, scored, table
 
 C = counts()
 GROUP = f"n, tp, fp, tn, fn, {RATES}"

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import fuzz, rng, text
-from ..operators import attacks, calibration, classifier, generation, graph, infilling, neighbours, sampled_scores, sampling, similarity
+from ..operators import attacks, calibration, classifier, detectors, generation, graph, neighbours, sampled_scores, sampling, similarity
 from ..operators import language_model as lm
 from ..operators.generation import Setting
 from ..streaming import monitors
@@ -86,34 +86,17 @@ def _lastdepp(spark, d):
     return sampled_scores.lastdepp(tokens, fitted(spark, tokens), "doc_id", fitted=True)
 
 
-VARIANTS = 3
+VARIANTS, REGENERATIONS, CONTINUED = detectors.VARIANTS, detectors.REGENERATIONS, detectors.CONTINUED
 
 
-def filled(spark, rows, model):
-    """(doc_id, variant, text): VARIANTS fillings of masked words of (doc_id, text)."""
-    drawn = infilling.fills(infilling.masked(rows, "doc_id", VARIANTS), model, "doc_id", written(spark, "fills"))
-    return infilling.filled(rows, drawn, "doc_id", VARIANTS)
+def _beside(f):
+    """A query of a detector of whole texts, f(texts, model, key, folder)."""
 
+    def run(spark, d):
+        rows = docs(spark, d).select("doc_id", "text")
+        return f(rows, fitted(spark, lm.token_table(rows, "doc_id")), "doc_id", written(spark, "detector"))
 
-def perturbed(spark, d, value: str):
-    """A score of the documents and of variants with words filled in anew, under the model of the documents."""
-    rows = docs(spark, d).select("doc_id", "text")
-    model = fitted(spark, lm.token_table(rows, "doc_id"))
-    made = filled(spark, rows, model).select("doc_id", (F.col("variant") + 1).alias("variant"), "text").unionByName(rows.select("doc_id", F.lit(0).alias("variant"), "text"))
-    tokens = lm.token_table(made.select(F.struct("doc_id", "variant").alias("k"), "text"), "k")
-    stats = lm.statistics(tokens, model, "k", rank=value == "logrank")
-    score = F.avg("lp") if value == "likelihood" else F.avg(F.ln("rank"))
-    return stats.groupBy("k").agg(score.alias(value)).select("k.*", value)
-
-
-def _against(spark, d, value):
-    rows = perturbed(spark, d, value)
-    return lm.perturbation_score(rows.where("variant = 0").select("doc_id", value), rows.where("variant > 0"), "doc_id", value)
-
-
-def _dropped(seed: int) -> str:
-    u = uniform_sql(f"'{seed}'", "CAST(doc_id AS VARCHAR)", "'drop'", "CAST(i - 1 AS VARCHAR)")
-    return f"SELECT doc_id, {seed + 1} AS variant, CASE WHEN len(w) > 5 AND len(k) >= 5 AND array_to_string(k, ' ') <> text THEN array_to_string(k, ' ') ELSE text END AS text FROM (SELECT doc_id, text, w, list_transform(list_filter(list_transform(w, lambda x, i: {{'x': x, 'u': {u}}}), lambda s: s.u >= 0.1), lambda s: s.x) AS k FROM (SELECT doc_id, text, {WORDS} AS w FROM documents))"
+    return run
 
 
 # Words in the middle of blocks of three, drawn from those seen between their neighbours.
@@ -125,59 +108,21 @@ fi AS (SELECT doc_id, variant, pos, v FROM (SELECT *, {uniform_sql("'114514'", "
 ft AS (SELECT doc_id, variant, string_agg(coalesce(v, x), ' ' ORDER BY pos) AS text FROM (SELECT doc_id, variant, unnest(w) AS x, CAST(generate_subscripts(w, 1) - 1 AS INT) AS pos FROM bw, range({VARIANTS}) v(variant) WHERE EXISTS (SELECT 1 FROM fi WHERE fi.doc_id = bw.doc_id AND fi.variant = v.variant)) LEFT JOIN fi USING (doc_id, variant, pos) GROUP BY doc_id, variant)"""
 _PERTURBED = f"{_tokens('cd', 'documents')}, {_MODEL}, {_FILLED}, va AS (SELECT doc_id, 0 AS variant, text FROM documents UNION ALL SELECT doc_id, n.variant + 1, coalesce(ft.text, documents.text) FROM documents CROSS JOIN range({VARIANTS}) n(variant) LEFT JOIN ft USING (doc_id, variant)), {_tokens('vt', 'va', 'doc_id, variant')}, {_scores('vt', 'doc_id, variant')}"
 _AGAINST = "sc AS (SELECT doc_id, variant, {0} AS s FROM st GROUP BY doc_id, variant), ag AS (SELECT doc_id, avg(s) AS m, stddev_pop(s) AS sd, count(*) AS variants FROM sc WHERE variant > 0 GROUP BY doc_id), ow AS (SELECT doc_id, s FROM sc WHERE variant = 0)"
-query("detector_detectgpt", f"WITH {_PERTURBED}, {_AGAINST.format('avg(lp)')} SELECT doc_id, variants, round((s - m) / (sd + 1e-8), 6) AS detectgpt FROM ow JOIN ag USING (doc_id)")(lambda s, d: _against(s, d, "likelihood").select("doc_id", "variants", F.col("difference").alias("detectgpt")))
-query("detector_npr", f"WITH {_PERTURBED}, {_AGAINST.format('avg(ln(rk))')} SELECT doc_id, variants, round(CASE WHEN s <> 0 THEN m / s ELSE 1 END, 6) AS npr FROM ow JOIN ag USING (doc_id)")(lambda s, d: _against(s, d, "logrank").select("doc_id", "variants", F.col("ratio").alias("npr")))
+query("detector_detectgpt", f"WITH {_PERTURBED}, {_AGAINST.format('avg(lp)')} SELECT doc_id, variants, round((s - m) / (sd + 1e-8), 6) AS detectgpt FROM ow JOIN ag USING (doc_id)")(_beside(lambda *a: detectors.perturbed(*a[:3], "likelihood", a[3]).select("doc_id", "variants", F.col("difference").alias("detectgpt"))))
+query("detector_npr", f"WITH {_PERTURBED}, {_AGAINST.format('avg(ln(rk))')} SELECT doc_id, variants, round(CASE WHEN s <> 0 THEN m / s ELSE 1 END, 6) AS npr FROM ow JOIN ag USING (doc_id)")(_beside(lambda *a: detectors.perturbed(*a[:3], "logrank", a[3]).select("doc_id", "variants", F.col("ratio").alias("npr"))))
 query("attack_span_fill", f"WITH {_tokens('cd', 'documents')}, {_MODEL}, {_FILLED} SELECT doc_id, CAST(variant AS INT) AS variant, ft.text AS attacked FROM ft JOIN documents USING (doc_id) WHERE ft.text <> documents.text")(lambda s, d: span_fill(s, d))
 
 
 def span_fill(spark, d):
     """Every document with masked words filled in from the model; unchanged ones are left out."""
     rows = docs(spark, d).select("doc_id", "text")
-    made = filled(spark, rows, fitted(spark, lm.token_table(rows, "doc_id")))
+    made = detectors.filled(rows, fitted(spark, lm.token_table(rows, "doc_id")), "doc_id", written(spark, "fills"))
     return made.withColumnRenamed("text", "attacked").join(rows, "doc_id").where("attacked <> text").select("doc_id", "variant", "attacked")
 
 
 _BLANKS = " + ".join("1 - len(list_distinct(list_transform(generate_series(1, CAST(greatest(1, round_even(n * 0.015, 0)) AS BIGINT)), lambda k: CAST(floor(" + uniform_sql(f"'{k}'", "CAST(doc_id AS VARCHAR)", "'blank'", "CAST(k AS VARCHAR)") + " * n) AS INT)))) / n" for k in range(3))
-_TOCSIN = {
-    "tocsin": "lp * exp(same - 1)",
-    "tocsin_fast": "fast * exp(1 - same)",
-    "tocsin_lrr": "lp / least(logrank, -CAST(1e-12 AS DOUBLE)) * exp(1 - same)",
-    "tocsin_logrank": "least(logrank, -CAST(1e-12 AS DOUBLE)) * exp(same - 1)",
-    "tocsin_standalone": "1 - same",
-}
-query("detector_tocsin", f"WITH {_LM}, sa AS (SELECT doc_id, ({_BLANKS}) / 3 AS same FROM (SELECT doc_id, len({WORDS}) AS n FROM documents) WHERE n > 0), sc AS (SELECT doc_id, avg(lp) AS lp, -avg(ln(rk)) AS logrank, {_FORMS['fastdetectgpt']['fastdetectgpt']} AS fast FROM st GROUP BY doc_id) SELECT doc_id, " + ", ".join(f"round({f}, 6) AS {n}" for n, f in _TOCSIN.items()) + " FROM sc JOIN sa USING (doc_id)")(lambda s, d: _tocsin(docs(s, d), statistics(s, d)))
-query("detector_raidar")(lambda s, d: _raidar(docs(s, d)))
-
-
-def _tocsin(df, stats):
-    """Scores by the mode of the base score, scaled by how much of the words survives deletions (the likeness, less one, is at most 0)."""
-    key, own = F.col("doc_id").cast("string"), lm.scores()
-    cut = df.select("doc_id", text.split_words(F.col("text")).alias("w"), *[text.split_words(attacks.blank_words(F.col("text"), key, seed=k)).alias(f"v{k}") for k in range(3)])
-    same = sum(F.size(f"v{k}") / F.greatest(F.size("w"), F.lit(1)) for k in range(3)) / 3
-    base = stats.groupBy("doc_id").agg(own["likelihood"].alias("lp"), own["logrank"].alias("logrank"), own["fastdetectgpt"].alias("fast"))
-    return base.join(cut.select("doc_id", same.alias("same")), "doc_id").select("doc_id", *[F.round(F.expr(f), 6).alias(n) for n, f in _TOCSIN.items()])
-
-
-REWRITES = ("drop", "swap", "chars", "punct", "typo", "sentences", "blanks")
-
-
-def _rewrites(df):
-    """(doc_id, text, and a column for each of REWRITES): seven rewrites of each whole text; one that does not apply gives the text."""
-    key, t = F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))
-    made = (attacks.word_drop(t, key), attacks.word_swap(t, key), attacks.char_swap(t, key), attacks.punct_noise(t, key), attacks.typo(t, key, "delete"), attacks.drop_sentences(t, key), attacks.blank_words(t, key))
-    return df.select("doc_id", t.alias("text"), *[F.coalesce(r, t).alias(n) for n, r in zip(REWRITES, made, strict=True)])
-
-
-def _raidar(df):
-    """The 50 features of a text beside its seven rewrites: n-gram overlaps per word (mean, each, all), and both fuzz ratios."""
-    names = [f"{r}_{k}" for r in ("mean", *REWRITES, "all") for k in (1, 2, 3, 4)] + [f"{r}_{f}" for r in REWRITES for f in ("ratio", "token_set")]
-
-    def run(batches):
-        for b in batches:
-            rows = [[round(x, 6) for x in fuzz.rewrite_features(t, list(r))] for t, *r in zip(b.text, *[b[r] for r in REWRITES], strict=True)]
-            yield pd.concat([b[["doc_id"]], pd.DataFrame(rows, columns=names, index=b.index, dtype=float)], axis=1)
-
-    return _rewrites(df).mapInPandas(run, "doc_id long, " + ", ".join(f"{n} double" for n in names))
+query("detector_tocsin", f"WITH {_LM}, sa AS (SELECT doc_id, ({_BLANKS}) / 3 AS same FROM (SELECT doc_id, len({WORDS}) AS n FROM documents) WHERE n > 0), sc AS (SELECT doc_id, avg(lp) AS lp, -avg(ln(rk)) AS logrank, {_FORMS['fastdetectgpt']['fastdetectgpt']} AS fast FROM st GROUP BY doc_id) SELECT doc_id, " + ", ".join(f"round({f}, 6) AS {n}" for n, f in detectors.TOCSIN.items()) + " FROM sc JOIN sa USING (doc_id)")(lambda s, d: detectors.tocsin(docs(s, d), statistics(s, d), "doc_id"))
+query("detector_raidar")(lambda s, d: detectors.raidar(docs(s, d), "doc_id"))
 
 
 # Texts from the model: kept candidates as intervals of whole numbers, and a keyed draw for each chain and step.
@@ -216,28 +161,9 @@ def regen(spark, d):
     return made.select("doc_id", "temperature", "top_p", F.concat_ws(" ", F.nullif("prompt", F.lit("")), "made").alias("text"), F.round("lp", 6).alias("lp"))
 
 
-#: Regenerations of a document's second half, their tokens, and how they are drawn.
-REGENERATIONS, CONTINUED, SAMPLED_AS = 3, 20, Setting("dna", 0.7, 0.95)
 _DNA = f"""hf AS (SELECT doc_id, n // 2 AS half, avg(lp) AS own, sum(CASE WHEN pos < n // 2 THEN lp END) AS kept, max(CASE WHEN pos = n // 2 - 1 THEN t END) AS h FROM (SELECT doc_id, pos, cd.t, lp, count(*) OVER (PARTITION BY doc_id) AS n FROM cd JOIN st USING (doc_id, pos)) WHERE n >= 20 GROUP BY doc_id, n)"""
-query("detector_dnagpt", f"""WITH RECURSIVE {_LM}, {_DNA}, {_nucleus([SAMPLED_AS])}, {_chains(f"SELECT doc_id, way, setting, h FROM hf, sg, range({REGENERATIONS}) w(way)", CONTINUED, "CAST(doc_id AS VARCHAR) || '-' || CAST(way AS VARCHAR)")}
-SELECT doc_id, round(any_value(own) - avg((kept + lp) / (half + {CONTINUED})), 6) AS dnagpt FROM hf JOIN ch USING (doc_id) WHERE k = {CONTINUED} GROUP BY doc_id""")(lambda s, d: dnagpt(s, d))
-
-
-def dnagpt(spark, d):
-    """Likelihood of a text (20 tokens at least) less the mean over regenerations of that of its first half and what is sampled after it."""
-    tokens = lm.token_table(docs(spark, d).select("doc_id", "text"), "doc_id")
-    model = fitted(spark, tokens)
-    told = model.pairs.select("h", "t", F.ln("p").alias("lp"))
-    sizes = tokens.groupBy("doc_id").agg(F.count("*").alias("n")).where("n >= 20").withColumn("half", F.floor(F.col("n") / 2))
-    rows = tokens.join(told, ["h", "t"]).join(sizes, "doc_id")
-    own = rows.groupBy("doc_id", "half").agg(F.avg("lp").alias("own"), F.sum(F.when(F.col("pos") < F.col("half"), F.col("lp"))).alias("kept"), F.max(F.when(F.col("pos") == F.col("half") - 1, F.col("t"))).alias("h"))
-    folder = written(spark, "dnagpt")
-    own.write.parquet(f"{folder}/own")
-    own = spark.read.parquet(f"{folder}/own")
-    ways = own.select("doc_id", "h", F.lit(SAMPLED_AS.name).alias("setting"), F.explode(F.sequence(F.lit(0), F.lit(REGENERATIONS - 1))).alias("way"))
-    chains = ways.select(F.concat_ws("-", "doc_id", "way").alias("chain"), "doc_id", "setting", "h")
-    again = generation.generate(chains, generation.guide(model, [SAMPLED_AS], folder), CONTINUED, "chain").select("doc_id", "lp").join(own, "doc_id")
-    return again.groupBy("doc_id").agg(F.round(F.max("own") - F.avg((F.col("kept") + F.col("lp")) / (F.col("half") + CONTINUED)), 6).alias("dnagpt"))
+query("detector_dnagpt", f"""WITH RECURSIVE {_LM}, {_DNA}, {_nucleus([detectors.SAMPLED_AS])}, {_chains(f"SELECT doc_id, way, setting, h FROM hf, sg, range({REGENERATIONS}) w(way)", CONTINUED, "CAST(doc_id AS VARCHAR) || '-' || CAST(way AS VARCHAR)")}
+SELECT doc_id, round(any_value(own) - avg((kept + lp) / (half + {CONTINUED})), 6) AS dnagpt FROM hf JOIN ch USING (doc_id) WHERE k = {CONTINUED} GROUP BY doc_id""")(_beside(detectors.dnagpt))
 
 
 query("token_jsd", f"WITH c AS (SELECT raw, sum(1 - quality) AS a, sum(quality) AS b FROM (SELECT doc_id, lower(unnest({WORDS})) AS raw FROM documents) JOIN labels USING (doc_id) GROUP BY raw), p AS (SELECT a / (SELECT sum(a) FROM c) AS p, b / (SELECT sum(b) FROM c) AS r FROM c) SELECT round(sum(CASE WHEN p > 0 THEN p * ln(2 * p / (p + r)) ELSE 0 END + CASE WHEN r > 0 THEN r * ln(2 * r / (p + r)) ELSE 0 END) / 2, 6) AS jsd FROM p")(lambda s, d: lm.divergence(lm.token_table(docs(s, d), "doc_id").join(table(s, d, "labels"), "doc_id"), "t", "quality"))
@@ -288,8 +214,8 @@ def fuzzy():
 @query("fuzz_ratio")
 def fuzz_ratio(spark, d):
     """Both ratios of every document with each of its rewrites."""
-    rows = _rewrites(docs(spark, d))
-    each = rows.select("doc_id", "text", F.explode(F.array(*[F.struct(F.lit(r).alias("rewrite"), F.col(r).alias("t")) for r in REWRITES])).alias("r"))
+    rows = detectors.rewrites(docs(spark, d), "doc_id")
+    each = rows.select("doc_id", "text", F.explode(F.array(*[F.struct(F.lit(r).alias("rewrite"), F.col(r).alias("t")) for r in detectors.REWRITES])).alias("r"))
     return each.select("doc_id", "r.rewrite", fuzzy()("text", "r.t").alias("f")).select("doc_id", "rewrite", "f.*")
 
 
@@ -331,6 +257,11 @@ def pu_prior_by_length(spark, d):
     return rows.join(lm.length_priors(rows.select("n").distinct(), 0.2), "n").select("doc_id", "n", "prior")
 
 
+def _dropped(seed: int) -> str:
+    u = uniform_sql(f"'{seed}'", "CAST(doc_id AS VARCHAR)", "'drop'", "CAST(i - 1 AS VARCHAR)")
+    return f"SELECT doc_id, {seed + 1} AS variant, CASE WHEN len(w) > 5 AND len(k) >= 5 AND array_to_string(k, ' ') <> text THEN array_to_string(k, ' ') ELSE text END AS text FROM (SELECT doc_id, text, w, list_transform(list_filter(list_transform(w, lambda x, i: {{'x': x, 'u': {u}}}), lambda s: s.u >= 0.1), lambda s: s.x) AS k FROM (SELECT doc_id, text, {WORDS} AS w FROM documents))"
+
+
 _BAGS = f"SELECT doc_id, t, sum(x) AS x, sum(y) AS y FROM (SELECT doc_id, lower(unnest({WORDS})) AS t, 1 AS x, 0 AS y FROM documents UNION ALL SELECT doc_id, lower(unnest({WORDS})), 0, 1 FROM ({_dropped(0)})) GROUP BY doc_id, t"
 _LIKE = f"SELECT doc_id, round(CASE WHEN sum(y) > 0 THEN sum(least(x, y)) / sum(y) ELSE 0 END, 6) AS precision, round(CASE WHEN sum(x) > 0 THEN sum(least(x, y)) / sum(x) ELSE 0 END, 6) AS recall, round(2 * sum(least(x, y)) / sum(x + y), 6) AS f1, round(CASE WHEN sum(x) * sum(y) > 0 THEN sum(x * y) / sqrt(CAST(sum(x * x) AS DOUBLE) * sum(y * y)) ELSE 0 END, 6) AS cosine FROM ({_BAGS}) GROUP BY doc_id"
 

@@ -254,7 +254,7 @@ def test_statistics_of_unseen_texts_by_brute_force(spark):
 
 def test_fuzz_and_rewrite_features(spark):
     from glyphmill.functions import fuzz
-    from glyphmill.plans import model_queries as mq
+    from glyphmill.operators import detectors
 
     def lcs(a, b):
         row = [0] * (len(b) + 1)
@@ -273,8 +273,8 @@ def test_fuzz_and_rewrite_features(spark):
     assert fuzz.token_set_ratio("a b", "a c") == pytest.approx(100 * (1 - 2 / 6))
     texts = {1: "The cat sat. " + "On the mat it lay all day long. " * 4, 2: "x", 3: ""}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    made = {r.doc_id: [r[n] for n in mq.REWRITES] for r in mq._rewrites(df).collect()}
-    rows = {r.doc_id: list(r[1:]) for r in mq._raidar(df).collect()}
+    made = {r.doc_id: [r[n] for n in detectors.REWRITES] for r in detectors.rewrites(df, "doc_id").collect()}
+    rows = {r.doc_id: list(r[1:]) for r in detectors.raidar(df, "doc_id").collect()}
     assert {k: len(v) for k, v in rows.items()} == {1: 50, 2: 50, 3: 50}
     assert rows[1] == pytest.approx(fuzz.rewrite_features(texts[1], made[1]), abs=1e-6)
     for k in (2, 3):
@@ -448,6 +448,15 @@ def test_names(spark):
     assert {r.id: r.score for r in names.scores(docs, "own", model).collect()} == {1: 5, 2: 3}
     likely = {r.id: r.score for r in names.scores(docs, "likelihood", model).collect()}
     assert set(likely) == {1, 2} and likely[1] > likely[2]
+    with pytest.raises(KeyError, match="lastdepp.*likelihood.*tocsin"):
+        names.scores(docs, "nothing", model)
+    long = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 7}" for j in range(30))) for k in range(1, 6)], "id long, text string")
+    model = names.train("ngram", long)
+    assert {"detectgpt", "dnagpt", "tocsin"} <= set(names.detector_names())
+    for name in ("NPR", "LastdePPDetector", "tocsin_fast", "gltr", "raidar"):
+        rows = {r.id: r.score for r in names.scores(long, name, model).collect()}
+        assert set(rows) == {1, 2, 3, 4, 5} and None not in rows.values(), name
+        assert {"gltr": 4, "raidar": 50}.get(name, 0) == (len(rows[1]) if isinstance(rows[1], list) else 0)
     assert tuple(lm.scores()) == lm.SCORES and set(lm.SCORES) <= set(names.DETECTORS.names())
     fit, apply = names.CALIBRATORS.get("platt")
     assert fit is cal.fit_platt and apply is cal.platt

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rng
-from . import ranges
+from . import ranges, sampling
 from .sampling import first_of
 
 
@@ -80,6 +80,47 @@ def paired_classes(df: DataFrame, bucket: str, label: str, key: str, seed: int =
     return human.join(machine, [bucket, "n"])
 
 
+#: Columns that tell what a text answers or where it is from, the closest first.
+PAIR_KEYS = ("id", "qid", "question_id", "question", "source", "lang")
+#: Rows of one bucket and class beyond which their places are counted in ranges.
+LARGE = 100_000
+
+
+def bucket_of(df: DataFrame, keys: tuple[str, ...] = PAIR_KEYS) -> Column:
+    """The first of the columns that df has and that is not blank in a row, with its name; null without any."""
+    there = [k for k in keys if k in df.columns]
+    return F.coalesce(*[F.when(F.trim(F.col(f"`{k}`").cast("string")) != "", F.concat(F.lit(f"{k}:"), F.col(f"`{k}`").cast("string"))) for k in there], F.lit(None).cast("string"))
+
+
+def _placed(rows: DataFrame, seed: int) -> DataFrame:
+    """rows (bucket, y, key) with n, each row's place in its bucket and class, in hashed order."""
+    sizes = rows.groupBy("bucket", "y").count().where(F.col("count") > LARGE)
+    large = F.broadcast(sizes.select(F.col("bucket").alias("of"), F.col("y").alias("class")))  # few, by their size
+    same = F.col("bucket").eqNullSafe(F.col("of")) & (F.col("y") == F.col("class"))
+    order = [rng.digest(seed, F.col("key")), F.col("key")]
+    n = F.row_number().over(W.partitionBy("bucket", "y").orderBy(*order))
+    few = rows.join(large, same, "left_anti").withColumn("n", n)
+    many = rows.join(large, same, "left_semi").withColumn("within", F.to_json(F.struct("bucket", "y")))
+    return few.unionByName(sampling.ranked(many, order, "n", "within").select(*few.columns))
+
+
+def paired_by_keys(df: DataFrame, label: str, key: str, keys: tuple[str, ...] = PAIR_KEYS, pair_by: str | None = None, seed: int = rng.SEED) -> DataFrame:
+    """(bucket, n, human, machine): pairs of keys of the two classes, from each bucket as many as the smaller class has.
+
+    A row's bucket is its first key that is not blank (pair_by before all others); rows without any share one. If no bucket has both classes,
+    the pairs are made of all rows, in the bucket null. Rows of other classes, or of none, have no part.
+    """
+    keys = (pair_by, *[k for k in keys if k != pair_by]) if pair_by else keys
+    rows = df.where(F.col(label).isin(0, 1)).select(bucket_of(df, keys).alias("bucket"), F.col(label).cast("int").alias("y"), F.col(key).alias("key"))
+    both = rows.groupBy("bucket").agg(F.countDistinct("y").alias("classes")).where("classes = 2")
+    if both.isEmpty():
+        rows = rows.withColumn("bucket", F.lit(None).cast("string"))
+    placed = _placed(rows, seed)
+    human, machine = (placed.where(F.col("y") == y).select(F.col("bucket").alias(f"b{y}"), F.col("n").alias(f"n{y}"), F.col("key").alias(c)) for y, c in ((0, "human"), (1, "machine")))
+    joined = human.join(machine, F.col("b0").eqNullSafe(F.col("b1")) & (F.col("n0") == F.col("n1")))
+    return joined.select(F.col("b0").alias("bucket"), F.col("n0").cast("int").alias("n"), "human", "machine")
+
+
 def quality_means(df: DataFrame, before: str, after: list[str]) -> DataFrame:
     """Mean change of each measure from a record to its samples, without nulls and NaN: (measure, n, mean)."""
     parts = F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), (F.col(c) - F.col(f"{before}_{c}")).alias("d")) for c in after]))

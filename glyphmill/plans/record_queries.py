@@ -121,6 +121,8 @@ query("align_pairs_order", _W + "SELECT a.k AS base, b.k AS attack, CAST(n AS BI
 query("align_one_to_many", _W + "SELECT count(*) AS bases, CAST(sum(CASE WHEN n IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing, count(n) AS keys, CAST(coalesce(sum(n), 0) AS BIGINT) AS variants, round(avg(n), 6) AS per_base FROM (SELECT DISTINCT id AS k FROM scored) LEFT JOIN (SELECT k, count(*) AS n FROM v GROUP BY k) USING (k)")(lambda s, d: alignment.one_to_many(bases(s, d), variants(s, d)))
 query("base_correct_cache", _W + "SELECT DISTINCT v.k, coalesce(ok.k IS NOT NULL, false) AS ok FROM v LEFT JOIN ok ON v.k = ok.k")(lambda s, d: variants(s, d).select("k").distinct().join(alignment.base_correct(bases(s, d)), "k", "left").select("k", F.coalesce("ok", F.lit(False)).alias("ok")))
 query("variants_of_correct", _W + "SELECT k, method, c FROM v WHERE k IN (SELECT k FROM ok)")(lambda s, d: alignment.variants_of_correct(bases(s, d), variants(s, d)).select("k", "method", "c"))
+_CLASSES = "b AS (SELECT CASE WHEN trim(source) <> '' THEN 'source:' || source WHEN trim(lang) <> '' THEN 'lang:' || lang END AS bucket, quality AS y, doc_id FROM documents JOIN labels USING (doc_id) WHERE quality IN (0, 1)), r AS (SELECT *, row_number() OVER (PARTITION BY bucket, y ORDER BY sha1('114514:' || CAST(doc_id AS VARCHAR)), doc_id) AS n FROM b)"
+query("pair_by_keys", f"WITH {_CLASSES} SELECT h.bucket, CAST(h.n AS INT) AS n, h.doc_id AS human, m.doc_id AS machine FROM r h JOIN r m ON h.bucket IS NOT DISTINCT FROM m.bucket AND h.n = m.n AND h.y = 0 AND m.y = 1")(lambda s, d: alignment.paired_by_keys(table(s, d, "documents").join(table(s, d, "labels"), "doc_id"), "quality", "doc_id"))
 query("pair_human_machine", "WITH r AS (SELECT conv_id, role, turn, row_number() OVER (PARTITION BY conv_id, role ORDER BY sha1('114514:' || CAST(turn AS VARCHAR)), turn) AS n FROM conversations) SELECT a.conv_id, CAST(a.n AS INT) AS n, a.turn AS human, b.turn AS machine FROM r a JOIN r b ON a.conv_id = b.conv_id AND a.n = b.n AND a.role = 'user' AND b.role = 'assistant'")(lambda s, d: alignment.paired_classes(table(s, d, "conversations").withColumn("y", norm.role_label(F.col("role"))), "conv_id", "y", "turn"))
 query("human_machine_link", "SELECT h.doc_id AS human, m.doc_id AS machine FROM documents h JOIN documents m ON m.doc_id = h.doc_id + 1 WHERE h.doc_id % 2 = 0")(lambda s, d: docs(s, d).where("doc_id % 2 = 0").select(F.concat(F.col("doc_id"), F.lit("-human")).alias("human_id"), F.col("doc_id").alias("human")).join(docs(s, d).where("doc_id % 2 = 1").select(F.concat(F.col("doc_id") - 1, F.lit("-human")).alias("human_id"), F.col("doc_id").alias("machine")), "human_id").select("human", "machine"))
 query("quality_means", "SELECT measure, count(*) AS n, round(avg(d), 6) AS mean FROM (SELECT 'chars' AS measure, CAST(length(substr(text, 1, 100)) - length(text) AS DOUBLE) AS d FROM documents UNION ALL SELECT 'words', CAST(CASE WHEN doc_id % 4 > 0 THEN length(substr(text, 1, 100)) - length(replace(substr(text, 1, 100), ' ', '')) - length(text) + length(replace(text, ' ', '')) END AS DOUBLE) FROM documents) WHERE d IS NOT NULL GROUP BY measure")(lambda s, d: _quality(docs(s, d)))

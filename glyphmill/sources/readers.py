@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import normalize as norm
 from ..functions import rng
 
+#: Keys of input files, the first that is there counts.
 CONTAINERS = ("data", "examples", "items", "records")
 CSV_TEXT = ("text", "answer", "generation", "content", "article", "body")
 CSV_LABEL = ("label", "labels", "target", "class", "y")

@@ -388,6 +388,22 @@ def test_samples_with_odd_labels(spark):
     assert empty.count() == 0
 
 
+@pytest.mark.parametrize("large", [100_000, 1])
+def test_pairs_by_the_first_key(spark, monkeypatch, large):
+    """The closest key that a row has; rows without any together; all rows where no bucket has both classes; also with places in ranges."""
+    monkeypatch.setattr(alignment, "LARGE", large)
+    rows = [(1, "q1", "web", 0), (2, "q1", "web", 1), (3, "q1", "web", 1), (4, " ", "web", 0), (5, None, "web", 1), (6, None, "", 0), (7, None, None, 1), (8, "q2", "web", 0), (9, "q1", "web", None), (10, "q1", "web", 5)]
+    df = spark.createDataFrame(rows, "k long, question string, source string, y int")
+    got = sorted((r.bucket, r.n, r.human, r.machine in (2, 3) if r.human == 1 else r.machine) for r in alignment.paired_by_keys(df, "y", "k").collect() if r.bucket)
+    assert got == [("question:q1", 1, 1, True), ("source:web", 1, 4, 5)]
+    assert [(r.human, r.machine) for r in alignment.paired_by_keys(df, "y", "k").where("bucket IS NULL").collect()] == [(6, 7)]
+    by_source = alignment.paired_by_keys(df.where("k IN (1, 2, 4, 5)"), "y", "k", pair_by="source").collect()
+    assert sorted(r.n for r in by_source) == [1, 2] and {r.bucket for r in by_source} == {"source:web"}
+    none = alignment.paired_by_keys(df.where("k IN (2, 3, 8)"), "y", "k").collect()
+    assert [(r.bucket, r.n, r.human) for r in none] == [(None, 1, 8)] and none[0].machine in (2, 3)
+    assert alignment.paired_by_keys(df.where("y = 7"), "y", "k").count() == 0
+
+
 def test_quota_table(spark):
     df = spark.createDataFrame([(g,) for g, n in (("a", 10), ("b", 7), ("c", 3), (None, 1)) for _ in range(n)], "g string")
     assert {r.g: [r.train, r.dev, r.test] for r in sampling.quota_table(df, "g").collect()} == {g: sampling.quotas(n) for g, n in (("a", 10), ("b", 7), ("c", 3), (None, 1))}

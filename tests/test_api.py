@@ -77,3 +77,16 @@ def test_built_dataset_holds_every_document(spark):
     assert built.groupBy("group").agg(F.countDistinct("split").alias("n")).where("n > 1").isEmpty()
     made = {r.group: r.text.split() for r in built.where("label = 1").collect()}
     assert all(made[str(k)][: len(t.split()[:64])] == t.split()[:64] for k, (t, _) in texts.items())
+
+
+def test_small_tables_of_few_files_are_dealt_out(spark, tmp_path, monkeypatch):
+    from glyphmill.plans import base
+
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(100).coalesce(1).write.parquet(f"file://{tmp_path}/one")
+    spark.range(100).repartition(2 * cores).write.parquet(f"file://{tmp_path}/many")
+    one, many = (spark.read.parquet(f"file://{tmp_path}/{n}") for n in ("one", "many"))
+    assert base.spread(one).rdd.getNumPartitions() == cores and base.spread(one).count() == 100
+    assert base.spread(many) is many
+    monkeypatch.setattr(base, "SMALL", 1)
+    assert base.spread(one) is one

@@ -45,40 +45,60 @@ def word_drop(t: Column, key: Column, p: float = 0.05, least: int = 5, seed: int
     return changed(text.let(lambda s: text.let(join, n=F.size(s["w"]), k=kept(s)), w=text.split_words(t)), t)
 
 
+def replaced(items: Column, places: Column, width: int, new: Callable[[Column], Column]) -> Column:
+    """items with width of them from each of places (from 0, ascending, at least width apart) replaced by the array new(place).
+
+    What stands between two places is a slice, so only the places cost an expression each.
+    """
+
+    def parts(s: Column) -> Column:
+        start = lambda k: F.coalesce(F.get(s["p"], k - 1) + width + 1, F.lit(1))
+        own = F.transform(s["p"], lambda x, k: F.concat(F.slice(s["w"], start(k), x + 1 - start(k)), new(x)))
+        return F.concat(F.flatten(own), F.slice(s["w"], start(F.size(s["p"])), F.size(s["w"])))
+
+    return text.let(lambda s: F.when(F.size(s["p"]) > 0, parts(s)).otherwise(s["w"]), w=items, p=places)
+
+
 def swapped(items: Column, flag: Callable[[Column, Column], Column]) -> Column:
     """items with flagged ones exchanged with the next, from left to right; neither of a pair is exchanged again.
 
-    The flags make a string in which a regular expression finds the pairs, which do not overlap.
+    Flagged places are marked as next to the one before (b) or not (a); in runs of them a regular expression finds every other one.
     """
 
-    def pairs(s: Column) -> Column:
-        flags = F.transform(s["w"], lambda w, i: F.when((i + 1 < F.size(s["w"])) & flag(s["w"], i), "1").otherwise("0"))
-        return F.split(F.regexp_replace(F.array_join(flags, ""), "1[01]", "SX"), "")
+    def chosen(s: Column) -> Column:
+        marks = F.transform(s["p"], lambda x, k: F.when(x == F.get(s["p"], k - 1) + 1, "b").otherwise("a"))
+        kept = lambda m: F.filter(s["p"], lambda x, k: F.get(m["m"], k) != "X")
+        return text.let(kept, m=F.split(F.regexp_replace(F.array_join(marks, ""), "[ab]b", "SX"), ""))
 
-    def exchange(s: Column) -> Column:
-        return F.transform(s["w"], lambda w, i: F.when(F.get(s["f"], i) == "S", F.get(s["w"], i + 1)).when(F.get(s["f"], i) == "X", F.get(s["w"], i - 1)).otherwise(w))
+    def exchanged(s: Column) -> Column:
+        flagged = F.filter(F.sequence(F.lit(0), F.greatest(F.size(s["w"]) - 2, F.lit(0))), lambda i: (i + 1 < F.size(s["w"])) & flag(s["w"], i))
+        return replaced(s["w"], text.let(chosen, p=flagged), 2, lambda x: F.array(F.get(s["w"], x + 1), F.get(s["w"], x)))
 
-    return text.let(lambda s: text.let(exchange, w=s["w"], f=pairs(s)), w=items)
+    return text.let(exchanged, w=items)
 
 
 def word_swap(t: Column, key: Column, p: float = 0.05, seed: int = rng.SEED) -> Column:
     """Some adjacent words exchanged, in texts of eight words at least."""
-    swap = lambda s: F.when(F.size(s["w"]) >= 8, F.array_join(swapped(s["w"], lambda w, i: rng.uniform(seed, key, "swap", i) < p), " "))
-    return changed(text.let(swap, w=text.split_words(t)), t)
+    swap = lambda s: F.when(F.size(s["w"]) >= 8, F.array_join(swapped(s["w"], lambda w, i: rng.under(p, s["own"], i)), " "))
+    return changed(text.let(swap, w=text.split_words(t), own=rng.prefix(seed, key, "swap")), t)
 
 
 def char_swap(t: Column, key: Column, p: float = 0.01, seed: int = rng.SEED) -> Column:
     """Some adjacent letters or digits exchanged, in texts of thirty characters at least."""
     alnum = lambda c: c.rlike(r"^[\p{L}\p{N}]$")
-    flag = lambda c, i: (rng.uniform(seed, key, "chars", i) < p) & alnum(F.get(c, i)) & alnum(F.get(c, i + 1))
-    return changed(F.when(F.length(t) >= 30, F.array_join(swapped(F.split(t, ""), flag), "")), t)
+    swap = lambda s: F.array_join(swapped(F.split(t, ""), lambda c, i: rng.under(p, s["own"], i) & alnum(F.get(c, i)) & alnum(F.get(c, i + 1))), "")
+    return changed(F.when(F.length(t) >= 30, text.let(swap, own=rng.prefix(seed, key, "chars"))), t)
 
 
 def punct_noise(t: Column, key: Column, p: float = 0.05, seed: int = rng.SEED) -> Column:
     """A mark after some letters or digits, in texts of twenty characters at least."""
     marks = F.array(*map(F.lit, MARKS))
-    one = lambda c, i: F.when(c.rlike(r"^[\p{L}\p{N}]$") & (rng.uniform(seed, key, "punct", i) < p), F.concat(c, F.get(marks, rng.below(len(MARKS), seed, key, "mark", i)))).otherwise(c)
-    return changed(F.when(F.length(t) >= 20, F.array_join(F.transform(F.split(t, ""), one), "")), t)
+
+    def noisy(s: Column) -> Column:
+        hit = F.filter(F.sequence(F.lit(0), F.size(s["c"]) - 1), lambda i: rng.under(p, s["own"], i) & F.get(s["c"], i).rlike(r"^[\p{L}\p{N}]$"))
+        return F.array_join(replaced(s["c"], hit, 1, lambda x: F.array(F.concat(F.get(s["c"], x), F.get(marks, rng.below(len(MARKS), seed, key, "mark", x))))), "")
+
+    return changed(F.when(F.length(t) >= 20, text.let(noisy, c=F.split(t, ""), own=rng.prefix(seed, key, "punct"))), t)
 
 
 def dict_subst(t: Column, key: Column, table: dict[str, str], p: float = 0.2, seed: int = rng.SEED) -> Column:

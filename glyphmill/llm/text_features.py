@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,9 @@ TRAIN_ROWS = 10_000
 #: A model keeps at most so many features, found in at least so many documents, with at least this z score.
 MOST, LEAST_DOCS, LEAST_Z = 4096, 3, 3.5
 
+#: Rows that the driver looks at at once while it fits.
+ROWS = 500
+
 #: Lengths of the beginnings of words that are features as well.
 BEGINNINGS = (4, 5, 6)
 
@@ -84,37 +88,44 @@ def sample(docs: DataFrame, labels: DataFrame, targets: dict[str, Column], doc:
 
 
 class Sparse:
-    """Rows of binary features over chosen columns."""
+    """Rows of binary features over chosen columns, in blocks of rows: what is made for a block is all that is made at once."""
 
     def __init__(self, lists: Iterable[np.ndarray], chosen: np.ndarray):
-        rows, cols, self.n = [], [], 0
-        for k, x in enumerate(lists):
-            at = np.searchsorted(chosen, x)
-            at[at == len(chosen)] = 0
-            hit = at[chosen[at] == x] if len(chosen) else at[:0]
-            rows.append(np.full(len(hit), k))
-            cols.append(hit)
-            self.n = k + 1
-        empty = [np.empty(0, np.int64)]
-        self.rows, self.cols, self.width = np.concatenate(rows or empty), np.concatenate(cols or empty), len(chosen)
+        self.blocks, self.n, self.width = [], 0, len(chosen)
+        for block in batched(lists, ROWS):
+            hits = []
+            for x in block:
+                at = np.searchsorted(chosen, x)
+                at[at == len(chosen)] = 0
+                hits.append((at[chosen[at] == x] if len(chosen) else at[:0]).astype(np.int32))
+            rows = np.repeat(np.arange(len(block), dtype=np.int32), [len(x) for x in hits])
+            self.blocks.append((self.n, self.n + len(block), rows, np.concatenate(hits)))
+            self.n += len(block)
 
     def times(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.rows, weights[self.cols], self.n)
+        return np.concatenate([np.empty(0), *(np.bincount(rows, weights[cols], b - a) for a, b, rows, cols in self.blocks)])
 
     def back(self, errors: np.ndarray) -> np.ndarray:
-        return np.bincount(self.cols, errors[self.rows], self.width)
+        out = np.zeros(self.width)
+        for a, b, rows, cols in self.blocks:
+            out += np.bincount(cols, errors[a:b][rows], self.width)
+        return out
 
 
 def chosen_features(lists: list[np.ndarray], target: np.ndarray) -> np.ndarray:
     """The features whose documents' mean target is farthest from the mean, in standard errors."""
     size = 1 << BITS
-    flat = np.concatenate(lists) if lists else np.empty(0, int)
-    count = np.bincount(flat, minlength=size)
-    total = np.bincount(flat, np.repeat(target.astype(float), [len(x) for x in lists]), size) if len(flat) else np.zeros(size)
+    count, total = np.zeros(size, np.int64), np.zeros(size)
+    for k in range(0, len(lists), ROWS):
+        block = lists[k : k + ROWS]
+        flat = np.concatenate(block)
+        np.add.at(count, flat, 1)
+        np.add.at(total, flat, np.repeat(target[k : k + ROWS].astype(float), [len(x) for x in block]))
     mean, var = float(np.mean(target)), float(np.var(target))
-    z = np.abs(total - count * mean) / np.sqrt(np.maximum(count, 1) * max(var, 1e-9))
-    ok = np.flatnonzero((count >= LEAST_DOCS) & (z >= LEAST_Z))
-    return np.sort(ok[np.argsort(-z[ok], kind="stable")[:MOST]])
+    ok = np.flatnonzero(count >= LEAST_DOCS)
+    z = np.abs(total[ok] - count[ok] * mean) / np.sqrt(count[ok] * max(var, 1e-9))
+    ok, z = ok[z >= LEAST_Z], z[z >= LEAST_Z]
+    return np.sort(ok[np.argsort(-z, kind="stable")[:MOST]])
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

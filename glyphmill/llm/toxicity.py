@@ -88,7 +88,9 @@ def chain(lists: list[np.ndarray], targets: dict[str, np.ndarray], order: np.nda
 
 
 def train(docs: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text") -> dict[str, Linear]:
-    return chain(*sample(docs, labels, categories(), doc, text))
+    models = chain(*sample(docs, labels, categories(), doc, text))
+    pa.default_memory_pool().release_unused()
+    return models
 
 
 def score_names(docs: DataFrame, models: dict[str, Linear]) -> list[str]:

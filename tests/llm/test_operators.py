@@ -685,3 +685,26 @@ def test_blocks_of_items_give_the_same(spark, edge_dir, monkeypatch):
     whole = sorted(map(tuple, decontamination.op10_decontamination(spark, edge_dir).collect()))
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", 60)
     assert sorted(map(tuple, decontamination.op10_decontamination(spark, edge_dir).collect())) == whole
+
+
+def test_fitting_holds_a_block_of_rows_at_once(monkeypatch):
+    """Blocks of any size choose the same features and give the same products, and what they make at once is small beside the rows."""
+    import tracemalloc
+
+    rnd = np.random.default_rng(3)
+    lists = [np.unique(rnd.integers(0, 5000, 400)).astype(np.int32) for _ in range(4000)]
+    y = np.array([float(0 in x[:3] or len(x) % 2) for x in lists])
+    chosen = text_features.chosen_features(lists, y)
+    tracemalloc.start()
+    x = text_features.Sparse(lists, np.arange(5000))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.reset_peak()
+    times, back = x.times(np.arange(5000.0)), x.back(y)
+    peak = tracemalloc.get_traced_memory()[1] - held
+    tracemalloc.stop()
+    assert peak < 0.4 * 8 * sum(map(len, lists))
+    assert np.array_equal(times, [v.sum(dtype=float) for v in lists])
+    assert np.array_equal(back, np.bincount(np.concatenate(lists), np.repeat(y, [len(v) for v in lists]), 5000))
+    monkeypatch.setattr(text_features, "ROWS", 7)
+    assert np.array_equal(chosen, text_features.chosen_features(lists, y))
+    assert text_features.Sparse([], np.arange(3)).times(np.ones(3)).shape == (0,)

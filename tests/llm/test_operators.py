@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -647,6 +648,24 @@ def test_longest_matches(spark):
     assert decontamination.decontaminated(docs, bench).count() == 0
 
 
+def test_decontamination_takes_texts_once_and_shard_by_shard(spark, monkeypatch):
+    """A column of strings goes to the tasks once, and each shard's rows are handed on before the next one's texts are taken."""
+    bench = spark.createDataFrame([("i", "one two three")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "a one two three b"), (2, None), (3, "one two")], "doc_id long, text string")
+    plan = lambda df: df._jdf.queryExecution().analyzed().toString()
+    assert "__text" not in plan(decontamination.matched(docs, bench))
+    assert [tuple(r) for r in decontamination.matched(docs.withColumn("text", F.encode("text", "UTF-8")), bench).orderBy("doc_id").select("__words", "__hits", "__items").collect()] == [tuple(r) for r in decontamination.matched(docs, bench).orderBy("doc_id").select("__words", "__hits", "__items").collect()] == [(5, [1, 4], ["i"]), (0, [], []), (2, [], [])]
+
+    monkeypatch.setattr(decontamination, "SHARD_WORDS", 10)
+    texts = ["x one two three", None, "", "y " * 200, "one two three", "z"]
+    n, kinds = len(texts), decontamination._LISTS
+    batch = pa.RecordBatch.from_arrays([pa.array(range(n)), pa.array(texts), pa.array([0] * n), *(pa.array([[]] * n, k) for k in kinds)], names=["id", "text", *(c for c, _ in decontamination.STATE)])
+    got = list(decontamination.searched_batch(decontamination.Tests([("i", b"one two three")]), batch, 1, 2, False))
+    assert [b.num_rows for b in got] == [n for _, n in decontamination.shards(batch.column(1).cast(pa.binary()))] == [4, 2]
+    assert pa.Table.from_batches(got).select([0, 1]).to_pydict() == {"id": list(range(n)), "text": texts}
+    assert [r for b in got for r in b.column(3).to_pylist()] == [[1, 4], [], [], [], [0, 3], []]
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_suffix_arrays(seed):
     rnd = random.Random(seed)

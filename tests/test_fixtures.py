@@ -207,6 +207,21 @@ def test_lastdepp_is_normalised_by_sampled_sequences(spark, monkeypatch, hot):
         assert got[key] == pytest.approx((own - np.mean(sampled)) / (np.std(sampled, ddof=1) or 1), abs=0.02)
 
 
+def test_lastdepp_in_rounds_is_the_same(spark, monkeypatch, tmp_path):
+    """Documents in rounds, each with its samples on the disk alone, have the scores that they have at once."""
+    from glyphmill.operators import language_model as lm
+    from glyphmill.operators import sampled_scores
+
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 7}" for j in range(5 + k % 9))) for k in range(40)] + [(40, "")], "id long, text string")
+    tokens = lm.token_table(docs, "id")
+    model = lm.fit(tokens, f"file://{tmp_path}/model")
+    once = sorted(map(tuple, sampled_scores.lastdepp(tokens, model, "id", fitted=True).collect()))
+    monkeypatch.setattr(sampled_scores, "ROUND", 100)
+    made = sorted(map(tuple, sampled_scores.lastdepp(tokens, model, "id", fitted=True, folder=f"file://{tmp_path}/rounds").collect()))
+    assert made == once and len(made) == 40
+    assert len([p for p in (tmp_path / "rounds").glob("*/*") if p.name.startswith("scores-")]) == 4
+
+
 def test_draws_are_uniform():
     from glyphmill.operators import sampled_scores
 

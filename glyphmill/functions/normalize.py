@@ -31,7 +31,7 @@ def role_label(role: Column) -> Column:
 
 def text_of(*columns: Column) -> Column:
     """The first text that is not blank, trimmed."""
-    return F.coalesce(*[F.nullif(F.regexp_replace(c.cast("string"), r"^\s+|\s+$", ""), F.lit("")) for c in columns])
+    return F.coalesce(*[F.nullif(F.regexp_replace(c.cast("string"), r"^\s+|\s+\z", ""), F.lit("")) for c in columns])
 
 
 def key(value: Column) -> Column:

@@ -210,9 +210,10 @@ def synonyms(t: Column, key: Column, table: dict[str, str], share: float = 0.2,
 
 
 def drop_sentences(t: Column, key: Column, p: float = 0.25, seed: int = rng.SEED) -> Column:
-    """Sentences but for a share p; the text itself if none would be left."""
-    kept = F.filter(text.sentences(t), lambda x, i: rng.uniform(seed, key, "sentence", i) >= p)
-    return text.let(lambda s: F.when(F.size(s["k"]) > 0, F.array_join(s["k"], " ")).otherwise(t), k=kept)
+    """Sentences but for a share p; the text itself if none would be left, null if it has none."""
+    kept = lambda s: F.filter(s["s"], lambda x, i: rng.uniform(seed, key, "sentence", i) >= p)
+    left = lambda s: F.when(F.size(s["k"]) > 0, F.array_join(s["k"], " ")).when(F.size(s["s"]) > 0, t)
+    return text.let(lambda s: text.let(left, s=s["s"], k=kept(s)), s=text.sentences(t))
 
 
 def blank_words(t: Column, key: Column, share: float = 0.015, seed: int = rng.SEED) -> Column:
